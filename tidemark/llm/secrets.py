@@ -32,20 +32,26 @@ def matches(text: Column, pattern: str) -> Column:
     return F.arrays_zip(F.regexp_extract_all(text, gapped, F.lit(1)).alias("gap"), F.regexp_extract_all(text, gapped, F.lit(2)).alias("m"))
 
 
-def places(found: Column, kind: str) -> Column:
-    """Spans in code points, end exclusive, from gaps and matches: a running sum of lengths."""
-    ends = F.aggregate(
-        found,
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["gap"]) + F.length(x["m"]))),
-    )
-    return F.zip_with(found, F.slice(ends, 2, 2_000_000_000), lambda x, e: F.struct((e - F.length(x["m"])).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m")))
+def places(found: Column, kind: str, counts) -> Column:
+    """Spans in code points, end exclusive, of the matches that count: every gap and match moves the running place, only those that count are kept."""
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["m"])
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m"))
+        return F.struct(end.alias("at"), F.when(counts(x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def base_spans(text: Column, kind: str) -> Column:
     pattern, least = BASE[kind]
-    length = (lambda m: F.length(F.regexp_extract(m, f"^{pattern}$", 2))) if kind == "assign" else F.length
-    return F.filter(places(matches(text, pattern), kind), lambda s: length(s["m"]) >= least)
+    if kind == "assign":  # a match that fails still takes up its text
+        return places(matches(text, pattern), kind, lambda m: F.length(F.regexp_extract(m, f"^{pattern}$", 2)) >= least)
+    # Runs are matched whole, so those that are too short need no match.
+    longer = {"access": "AKIA[A-Z0-9]{%d,}+" % (least - 4), "hex": "[0-9a-f]{%d,}+" % least}[kind]
+    return places(matches(text, longer), kind, lambda m: F.length(m) >= least)
 
 
 def peak_entropy(chars: Column) -> Column:
@@ -87,7 +93,7 @@ def entropy_spans(text: Column, kind: str) -> Column:
         peak = F.transform(F.array(F.split(m, "")), peak_entropy)[0]
         return F.when(mixed, peak >= least).otherwise(F.lit(False))
 
-    return F.filter(places(matches(text, pattern), kind), suspicious)
+    return F.filter(places(matches(text, pattern), kind, lambda m: m != ""), suspicious)
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
