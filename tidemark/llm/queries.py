@@ -1,17 +1,22 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import decontam, mixing, secrets, sharding, simhash
+from tidemark.llm import decontam, html_crf, langid, line_dedup, mixing, quality_pu, quality_rules, secrets, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_crf.op1,
         "op2_secret_scan": secrets.op2,
+        "op3_line_dedup": line_dedup.op3,
         "op4_benchmark_decontamination": decontam.op4,
+        "op5_quality_rules": quality_rules.op5,
         "op6_simhash_near_dedup": simhash.op6,
         "op7_sharding": sharding.op7,
         "op8_mixing": mixing.op8,
+        "op9_quality_classifier": quality_pu.op9,
+        "op10_language_id": langid.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op5_quality_rules": quality_rules.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
