@@ -12,9 +12,13 @@ def rows():
     return [*out, (None, "no id", None), (None, None, None), (5, "text", "z"), (5, "text", "z"), (6, "", "z"), (7, "long " * 3000, "z")]
 
 
+def placed(df):
+    return sharding.placed(sharding.keyed(df), ["doc_id", "text"])
+
+
 def test_bytes_are_near_equal_and_slots_gapless(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string, shard string")
-    out = sharding.placed(df).collect()
+    out = placed(df).collect()
     assert Counter((r.doc_id, r.text, r.shard) for r in out) == Counter(rows())
     size = Counter()
     for r in out:
@@ -26,7 +30,7 @@ def test_bytes_are_near_equal_and_slots_gapless(spark):
     assert sorted((s, i) for s in size for i in range(sum(r._tm_shard == s for r in out))) == sorted((r._tm_shard, r._tm_slot) for r in out)
     copies = {r._tm_shard for r in out if r.text and r.text.startswith("a text")}
     assert len(copies) == max(copies) - min(copies) + 1  # equal texts stand in neighbouring shards
-    again = {(r.doc_id, r.text): r._tm_shard for r in sharding.placed(df.repartition(7)).collect()}
+    again = {(r.doc_id, r.text): r._tm_shard for r in placed(df.repartition(7)).collect()}
     assert all(again[r.doc_id, r.text] == r._tm_shard for r in out)
 
 
@@ -34,7 +38,7 @@ def test_splitters_meet_their_goals(spark):
     keys = sharding.keyed(spark.createDataFrame(rows(), "doc_id long, text string, shard string")).select("_tm_key", "_tm_bytes").cache()
     total = keys.agg(F.sum("_tm_bytes")).first()[0]
     goals = [total * j / 50 for j in range(1, 50)]
-    for goal, cut in zip(goals, sharding.splitters(keys, goals, 200)):
+    for goal, cut in zip(goals, sharding.splitters(keys, goals, [200] * 49)):
         below = keys.where(F.col("_tm_key") < cut).agg(F.coalesce(F.sum("_tm_bytes"), F.lit(0))).first()[0]
         assert abs(below - goal) <= 200 or abs(below - goal) < 15_008
 
@@ -44,4 +48,6 @@ def test_query_columns_and_empty(spark, tmp_path):
     out = sharding.op7(spark, str(tmp_path))
     assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
     assert Counter((r.doc_id, r.text_crc32) for r in out.collect()) == Counter((d, zlib.crc32((t or "").encode())) for d, t, _ in rows())
-    assert sharding.placed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert placed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    kept = sharding.sharded(spark.createDataFrame(rows(), "doc_id long, text string, shard string"))
+    assert kept.columns == ["doc_id", "text", "shard", "slot"] and kept.count() == len(rows())

@@ -19,9 +19,9 @@ from tidemark.llm.common import materialize, table
 SHARDS = 24
 #: Most bytes that a splitter may be off, as a share of a shard's bytes.
 TOLERANCE = 0.001
-#: Rows of an exchanged range, and least and most ranges of a shard.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 250_000, 4, 64
-FIRST_BITS, STEP_BITS = 12, 8
+#: Bytes of an exchanged range, and least and most ranges of a shard.
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 128 << 20, 4, 256
+FIRST_BITS, STEP_BITS = 14, 8
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -31,8 +31,8 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.withColumns({"_tm_key": high.bitwiseOR(low), "_tm_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8})
 
 
-def splitters(keys: DataFrame, goals: list[float], tolerance: float) -> list[int]:
-    """For each goal, in ascending order, a key such that the bytes of the smaller keys are the goal, to the tolerance or as near as equal keys allow.
+def splitters(keys: DataFrame, goals: list[float], tolerances: list[float]) -> list[int]:
+    """For each goal, in ascending order, a key such that the bytes of the smaller keys are the goal, to its tolerance or as near as equal keys allow.
 
     The driver holds 2 ** FIRST_BITS counts at first, then 2 ** STEP_BITS for each goal still open."""
     shift = 64 - FIRST_BITS
@@ -52,7 +52,7 @@ def splitters(keys: DataFrame, goals: list[float], tolerance: float) -> list[int
                 sums.append(sums[-1] + n)
             k = min(max(0, bisect_right(sums, goals[j]) - 1), len(counts[prefix]) - 1)
             p, n = counts[prefix][k]
-            if n > tolerance and shift:
+            if n > tolerances[j] and shift:
                 still[j] = (p, sums[k])
             else:
                 out[j] = (p if goals[j] - sums[k] <= n / 2 else p + 1) << shift
@@ -60,13 +60,16 @@ def splitters(keys: DataFrame, goals: list[float], tolerance: float) -> list[int
     return sorted(min(x, (1 << 63) - 1) for x in out)
 
 
-def placed(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with _tm_bytes, _tm_shard and _tm_slot, the row's place in its shard, in key order."""
-    columns = docs.columns
-    keys = materialize(keyed(docs.select(doc_id, text), text, doc_id).select("_tm_key", "_tm_bytes"), "shard-keys")
-    total, rows = keys.agg(F.coalesce(F.sum("_tm_bytes"), F.lit(0)), F.count("*")).first()
-    m = min(MOST_RANGES, max(LEAST_RANGES, -(-rows // (RANGE_ROWS * shards))))
-    cuts = splitters(keys, [total * j / (shards * m) for j in range(1, shards * m)], TOLERANCE * total / shards) if rows else [0] * (shards * m - 1)
+def placed(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame:
+    """rows (with _tm_key and _tm_bytes) with _tm_shard and _tm_slot, the row's place in its shard, in the order of key and the named columns."""
+    columns = rows.columns
+    keys = materialize(rows.select("_tm_key", "_tm_bytes"), "shard-keys")
+    total = keys.agg(F.coalesce(F.sum("_tm_bytes"), F.lit(0))).first()[0]
+    m = min(MOST_RANGES, max(LEAST_RANGES, -(-total // (RANGE_BYTES * shards))))
+    each = total / (shards * m)
+    # Cuts within a shard only share out work, so they may be half a range off.
+    loose = [TOLERANCE * total / shards if j % m == 0 else each / 2 for j in range(1, shards * m)]
+    cuts = splitters(keys, [each * j for j in range(1, shards * m)], loose) if total else [0] * (shards * m - 1)
 
     def ranged(df: DataFrame) -> DataFrame:
         at = sum((F.col("_tm_key") >= F.lit(c)).cast("int") for c in cuts[m - 1 :: m])
@@ -77,20 +80,19 @@ def placed(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: st
     before = Window.partitionBy("_tm_shard").orderBy("_tm_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged(keys).groupBy("_tm_shard", "_tm_range").agg(F.count("*").alias("n"))  # at most shards * MOST_RANGES rows
     first = F.broadcast(sizes.select("_tm_shard", "_tm_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_tm_first")))
-    inside = Window.partitionBy("_tm_shard", "_tm_range").orderBy("_tm_key", doc_id, text)
-    out = ranged(keyed(docs, text, doc_id)).withColumn("_tm_row", F.row_number().over(inside))
-    return out.join(first, ["_tm_shard", "_tm_range"]).select(*columns, "_tm_bytes", "_tm_shard", (F.col("_tm_first") + F.col("_tm_row") - 1).alias("_tm_slot"))
+    inside = Window.partitionBy("_tm_shard", "_tm_range").orderBy("_tm_key", *order)
+    out = ranged(rows).withColumn("_tm_row", F.row_number().over(inside))
+    return out.join(first, ["_tm_shard", "_tm_range"]).select(*columns, "_tm_shard", (F.col("_tm_first") + F.col("_tm_row") - 1).alias("_tm_slot"))
 
 
 def op7(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # The digest needs no texts after the first pass: a hash stands for the text in keys and order.
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = placed(docs.select("doc_id", "text"))
-    return rows.select("doc_id", F.col("_tm_bytes").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    docs = keyed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_tm_key", "_tm_bytes", crc.alias("_tm_crc"))
+    rows = placed(docs, ["doc_id", "_tm_bytes", "_tm_crc"])
+    return rows.select("doc_id", F.col("_tm_bytes").alias("size"), F.col("_tm_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def sharded(docs: DataFrame) -> DataFrame:
     """docs with shard and slot; columns of these names that docs has already give way."""
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return placed(docs).select(*kept, F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"))
+    return placed(keyed(docs), ["doc_id", "text"]).select(*kept, F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"))
