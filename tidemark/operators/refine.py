@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats
 from tidemark.functions.stats import clamp
 from tidemark.operators import intervals
+from tidemark.sources.stored import stored
 
 KEYS = ["stream_id", "window_id"]
 
@@ -19,9 +20,12 @@ def windows(candidates: DataFrame, trace: DataFrame, roll: float) -> DataFrame:
 
 
 def refined(wins: DataFrame, trace: DataFrame, floor: float, gap: float, least: float) -> DataFrame:
-    """Refined events of each window, with their evidence; windows of fewer than 3 samples keep their candidate at confidence .35."""
+    """Refined events of each window, with their evidence; windows of fewer than 3 samples keep their candidate at confidence .35.
+
+    Windows, their levels and the spans found are small; each is stored, so that the samples are planned and read once a pass."""
+    wins = stored(wins, "windows")
     inside = trace.join(wins, "stream_id").where(F.col("t").between(F.col("w_start"), F.col("w_end")))
-    levels = stats.with_thresholds(stats.noise(inside.select(*KEYS, "score"), KEYS, 0.25), 4.0, 2.0, floor)
+    levels = stored(stats.with_thresholds(stats.noise(inside.select(*KEYS, "score"), KEYS, 0.25), 4.0, 2.0, floor), "levels")
     order = Window.partitionBy(*KEYS).orderBy("t", "seq")
     gaps = inside.withColumn("step", F.col("t") - F.lag("t").over(order)).where("step is not null")
     # The upper of the two middle ones.
@@ -30,6 +34,7 @@ def refined(wins: DataFrame, trace: DataFrame, floor: float, gap: float, least:
     found = intervals.active_intervals(inside.join(levels, KEYS), KEYS, dense=True)
     found = intervals.long_enough(intervals.bridged(found, KEYS, gap), least)
     touching = found.join(wins, KEYS).where((F.col("start") <= F.col("c_end")) & (F.col("c_start") <= F.col("end"))).join(levels, KEYS).join(spacing, KEYS, "left")
+    touching = stored(touching.select(*KEYS, "start", "end", "w_start", "w_end", "enter", "spacing", "n"), "spans")
     rows = touching.join(inside.select(*KEYS, "t", "score", "disturbed"), KEYS, "left").withColumn("in", F.col("t").between(F.col("start"), F.col("end")))
     score = F.when(F.col("in"), F.col("score"))
     evidence = rows.groupBy(*KEYS, "start", "end", "w_start", "w_end", "enter", "spacing", "n").agg(
@@ -64,5 +69,5 @@ def merged(events: DataFrame) -> DataFrame:
             F.greatest(a["disturbed_ratio"], b["disturbed_ratio"]).alias("disturbed_ratio"), a["clipped_start"].alias("clipped_start"), b["clipped_end"].alias("clipped_end"), F.greatest(a["confidence"], b["confidence"]).alias("confidence"),
         )
 
-    one = F.aggregate(F.slice("l", 2, 1_000_000), F.col("l")[0], fold)
+    one = F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.col("l")[0], fold)
     return lists.select("stream_id", one.alias("e")).select("stream_id", *[F.col(f"e.{c}").alias(c) for c in ("start", "end", "peak", "mean", "enter", "samples", "active", "disturbed_ratio", "clipped_start", "clipped_end", "confidence")])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geometry, sampling, stats
 from tidemark.operators import flow, intervals, pixels, refine, report, timing
+from tidemark.sources.stored import stored
 from tidemark.sources.tables import embedding_frames, events_trace
 
 KEY = ["stream_id"]
@@ -54,7 +55,7 @@ def refined(trace: DataFrame) -> DataFrame:
 
 def events(trace: DataFrame) -> DataFrame:
     """Merged refined events with status and label, and the pauses between them."""
-    found = report.with_status(refine.merged(refined(trace)))
+    found = stored(report.with_status(refine.merged(refined(trace))), "events")
     found = found.withColumn("label", F.when(F.col("end") - F.col("start") > LONG, "unusually long run").otherwise("activity"))
     idle = intervals.pauses(found, KEY, IDLE).withColumns({"label": F.lit("extended pause"), "status": F.when(F.col("confidence") >= report.CONFIRMED_FROM, "confirmed").otherwise("review"), "notes": F.array().cast("array<string>")})
     columns = ["stream_id", "label", "start", "end", "confidence", "status", "notes"]
