@@ -20,7 +20,7 @@ from tidemark.llm.common import table
 WINDOW, SHINGLE = 10, 3
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents that are handled as one array.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

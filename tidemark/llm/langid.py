@@ -24,7 +24,7 @@ SMOOTHING, PENALTY, STEPS = 0.5, 3.0, 8
 EVIDENCE = 1 / 3
 #: A second language below this proportion of the first fit is not tried.
 LEAST_SHARE = 0.03
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91], _FOLD[97:123] = np.arange(97, 123), np.arange(97, 123)
