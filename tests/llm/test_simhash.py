@@ -60,9 +60,10 @@ def test_against_brute_force(spark):
     assert got(spark, [(*r, "x", 1) for r in rows]) == plain_components(rows)
 
 
-@pytest.mark.parametrize("block", [8, 1024])
-def test_links_of_planted_fingerprints(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "piece"), [(8, 1), (1024, 128)])
+def test_links_of_planted_fingerprints(spark, monkeypatch, block, piece):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PIECE", piece)
     rng = np.random.default_rng(5)
     fps = [int(x) for x in rng.integers(0, 2**63, 300)]
     for f in fps[:40]:

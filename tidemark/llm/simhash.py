@@ -28,6 +28,9 @@ EDGES = (0, 11, 22, 33, 43, 53, 64)
 MASKS = [sum(((1 << EDGES[i + 1]) - 1) ^ ((1 << EDGES[i]) - 1) for i in pair) for pair in combinations(range(6), RADIUS - 2)]
 #: Rows of a sub-block of a large bucket.
 BLOCK = 1024
+#: Links of a node that a star step handles in one piece: at least so many, and at least all links over MOST_HUBS, so that fewer nodes than
+#: 2 * MOST_HUBS have more and their list can be broadcast at every size.
+PIECE, MOST_HUBS = 128, 25_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -202,12 +205,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("u != v"), "links")
     while True:
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = edges_to(both.where("v > u"), low).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = edges_to(both.where("v > u"), low, edges.count()).distinct()
         large = materialize(large, "large-star")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        star = edges_to(down, low).union(low.toDF("u", "v")).distinct()
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        star = edges_to(down, low, large.count()).union(low.select("u", "m").toDF("u", "v")).distinct()
         star = materialize(star, "small-star")
         # Stars only: no node is both a child and a root, and no child has two roots.
         shape = star.groupBy("u").agg(F.countDistinct("v").alias("k")).where("k > 1").limit(1).count()
@@ -217,9 +220,14 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.toDF("node", "root")
 
 
-def edges_to(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """Moves the far end of each link (u, v) to u's minimum: (v, m)."""
-    return edges.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+def edges_to(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """Moves the far end of each link (u, v) to u's minimum: (v, m), from low (u, m, n: its links). The links of a hub are dealt out in pieces; there are `total` links."""
+    piece = max(PIECE, -(-total // MOST_HUBS))
+    parts = F.ceil(F.col("n") / piece).cast("int")
+    hubs = F.broadcast(low.where(F.col("n") > piece).select("u", parts.alias("parts")))
+    dealt = edges.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int").alias("part"))
+    lows = low.select("u", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(lows, ["u", "part"]).where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
