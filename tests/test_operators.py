@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import sampling
-from tidemark.operators import flow, intervals, pixels, report, timing
+from tidemark.functions import review, sampling
+from tidemark.operators import flow, intervals, liquid, pixels, report, timing
+from tidemark.sources import probe
 from tidemark.streaming.scoring import motion_stream
 
 
@@ -110,3 +111,36 @@ def test_motion_scores(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("motion").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r)[1:] for r in spark.table("motion").collect()) == got
+
+
+def test_liquid_scores(spark):
+    inner, out = (10, 0, 20, 36), []
+    for i in range(8):
+        f = np.full((40, 40), 100.0)
+        if i in (2, 3):
+            f[0:36, 18:22] += 60  # a stream
+        if i == 4:
+            f[20:24, 18:21] += 60  # a drop
+        if i == 5:
+            f[10:14, 11:29] += 60  # too wide
+        if i == 6:
+            f[:, :10] += 60
+            f[:, 30:36] += 60  # the surroundings
+        if i == 7:
+            f += 60
+        out.append((1, i, 40, 40, [float(x) for x in f.ravel()]))
+    got = [r.asDict() for r in sorted(liquid.liquid_trace(spark.createDataFrame(out, SCHEMA), inner).collect(), key=lambda r: r.frame_index)]
+    assert [r["liquid"] for r in got[:6]] == [None, False, True, True, True, False]
+    assert [r["activity"] for r in got[:6]] == [0, 0, 1, 1, pytest.approx(4 / 36), 0]
+    assert [r["outlet"] for r in got[2:5]] == [1, 1, 0] and got[2]["contrast"] == pytest.approx(60)
+    assert [r["disturbed"] for r in got] == [False] * 6 + [True, True]
+
+
+def test_review_and_codec_edges(spark):
+    rows = spark.createDataFrame([(59.96,), (3599.96,), (3661.4,), (-2.0,), (None,), (float("nan"),), (float("inf"),)], "s double")
+    assert [r[0] for r in rows.select(review.tenths_text(F.col("s"))).collect()] == ["01:00.0", "1:00:00.0", "1:01:01.4", "00:00.0", *["--:--.-"] * 3]
+    assert [r[0] for r in rows.select(review.seek_time(F.col("s"), F.lit(100.0))).collect()] == [59.96, 100, 100, 0, 0, 0, 0]
+    codes = spark.createDataFrame([(0x34363248,), (0,), (-1,), (None,), (0x01020304,)], "c long")
+    assert [r[0] for r in codes.select(probe.codec_text(F.col("c"))).collect()] == ["H264", *["unknown"] * 4]
+    stamps = spark.createDataFrame([(1, i, 40.0 * i) for i in range(10)] + [(2, i, 0.0) for i in range(10)] + [(3, i, 40.0 * i) for i in range(5)], "stream_id long, frame long, pts_ms double")
+    assert dict(probe.estimated_rates(stamps).collect()) == {1: 25.0, 2: None, 3: None}

@@ -35,20 +35,26 @@ def opened(mask: np.ndarray) -> np.ndarray:
     return shifted(shifted(mask, True).all(axis=0), False).any(axis=0)
 
 
-def blob_areas(mask: np.ndarray) -> np.ndarray:
-    """Areas of the 8-connected parts: each set pixel takes the least number around it until nothing changes."""
+def blob_labels(mask: np.ndarray) -> np.ndarray:
+    """A number for each 8-connected part, 0 elsewhere: each set pixel takes the least number around it until nothing changes."""
     label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
     far = mask.size + 1
+    h, w = mask.shape
     while True:
         p = np.pad(np.where(mask, label, far), 1, constant_values=far)
-        h, w = mask.shape
         low = np.min([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
         low = np.where(mask, low, 0)
         if (low == label).all():
-            return np.bincount(label.ravel())[1:][np.bincount(label.ravel())[1:] > 0]
+            return label
         label = low
 
 
+def blob_areas(mask: np.ndarray) -> np.ndarray:
+    """Areas of the 8-connected parts."""
+    areas = np.bincount(blob_labels(mask).ravel())[1:]
+    return areas[areas > 0]
+
+
 class MotionScorer:
     def __init__(self, settings: MotionSettings = MotionSettings()):
         self.settings, self.background, self.mean = settings, None, None

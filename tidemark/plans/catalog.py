@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import geometry, sampling, stats
-from tidemark.operators import flow, intervals, pixels, refine, report, timing
+from tidemark.functions import geometry, review, sampling, stats
+from tidemark.operators import flow, intervals, liquid, pixels, refine, report, timing
+from tidemark.sources import probe
 from tidemark.sources.stored import stored
 from tidemark.sources.tables import embedding_frames, events_trace
 
@@ -103,6 +104,34 @@ def persistence(trace: DataFrame) -> DataFrame:
     return rows.select("stream_id", "seq", "run_start", "fires")
 
 
+def rates(trace: DataFrame) -> DataFrame:
+    return probe.estimated_rates(stamps(trace).withColumn("pts_ms", F.col("pts_ms") / 100))
+
+
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as recordings: codes, frame counts (every third one unknown) and last stamps (every fourth customer's unusable)."""
+    o, key = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    files = o.select("o_orderkey", (key * 2654435 % 2147483647).alias("code"), (10.0 + key % 50).alias("fps"), F.when(key % 3 != 0, key % 10000).alias("frame_count"), F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey") * 10.0).alias("end_ms"))
+    return probe.with_duration(files).select("o_orderkey", probe.codec_text(F.col("code")).alias("codec"), "duration", "duration_source")
+
+
+def orphaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, orders as records."""
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return probe.orphans(files, spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.max("o_orderdate").alias("used_at"))
+    return probe.expired(used, "used_at", F.lit("1998-01-01").cast("timestamp_ntz"), 36.5)
+
+
+def reviewed(trace: DataFrame) -> DataFrame:
+    s, end = F.col("score") * 20, F.lit(6000.0)
+    w, h = (F.col("seq") % 90).cast("int"), (F.col("seq") % 70).cast("int")
+    return trace.select("stream_id", "seq", review.tenths_text(s).alias("elapsed"), review.seek_time(s - 500, end).alias("seek"), review.boundary_seek(s, end).alias("jump"), review.timeline_percent(s, end).alias("percent"), review.enlarged_side(w, h, 480).alias("canvas_w"), review.enlarged_side(h, w, 480).alias("canvas_h"))
+
+
 def queries() -> dict:
     return {
         "sampling_plan": _of_trace(lambda t: rounded(plans(t))),
@@ -131,6 +160,12 @@ def queries() -> dict:
         "format_time": _of_trace(times),
         "roi_geometry": lambda spark, sf_dir: geometry.with_guard(geometry.with_geometry(rois(spark, sf_dir), 0.5), 9).drop("fw", "fh"),
         "click_region": lambda spark, sf_dir: geometry.with_click_region(rois(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("x").alias("px"), F.col("y").alias("py"), "fw", "fh")).drop("fw", "fh"),
+        "rate_estimates": _of_trace(lambda t: rounded(rates(t))),
+        "media_probe": lambda spark, sf_dir: rounded(media(spark, sf_dir)),
+        "orphaned_files": orphaned,
+        "expired_records": purged,
+        "review_times": _of_trace(lambda t: rounded(reviewed(t))),
+        "liquid_scores": lambda spark, sf_dir: liquid.liquid_trace(embedding_frames(spark, sf_dir), (2, 0, 4, 7)),
         "motion_scores": lambda spark, sf_dir: pixels.motion_trace(embedding_frames(spark, sf_dir)),
         "frame_levels": lambda spark, sf_dir: embedding_frames(spark, sf_dir).select("stream_id", "frame_index", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("pixels").cast("double").alias("brightest")),
     }

@@ -184,6 +184,24 @@ TIMES = r"""SELECT stream_id, seq, printf('%d:%02d:%02d.%03d', ms // 3600000, ms
 FROM (SELECT *, round_even(score * 1000, 0)::BIGINT AS ms, score * 20 AS d, round_even(score * 20 * 10, 0)::BIGINT AS k FROM trace)"""
 
 
+RATES = """
+SELECT stream_id, CASE WHEN k >= 5 AND hi > lo AND (k - 1) / ((hi - lo) / 1000) BETWEEN 0.5 AND 1000 THEN round((k - 1) / ((hi - lo) / 1000), 6) END AS fps
+FROM (SELECT stream_id, count(*) FILTER (pts > 0) AS k, arg_min(pts, frame) FILTER (pts > 0) AS lo, arg_max(pts, frame) FILTER (pts > 0) AS hi
+  FROM (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY t, seq) - 1 AS frame, round_even(t * 1000, 0) / 100 AS pts FROM trace) WHERE frame < 60 GROUP BY 1)"""
+
+MEDIA = """
+SELECT o_orderkey, CASE WHEN code > 0 AND text <> '' THEN text ELSE 'unknown' END AS codec, round(coalesce(frames / fps, stamp / 1000), 6) AS duration,
+       CASE WHEN frames IS NOT NULL THEN 'frame_count' WHEN stamp IS NOT NULL THEN 'timestamps' ELSE 'unknown' END AS duration_source
+FROM (SELECT *, trim(list_aggregate(list_transform(list_filter([code & 255, (code >> 8) & 255, (code >> 16) & 255, (code >> 24) & 255], lambda b: b BETWEEN 32 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255), lambda b: chr(b::INT)), 'string_agg', '')) AS text
+  FROM (SELECT o_orderkey, o_orderkey * 2654435 % 2147483647 AS code, 10::DOUBLE + o_orderkey % 50 AS fps, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 10000 > 0 THEN (o_orderkey % 10000)::DOUBLE END AS frames, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey * 10::DOUBLE END AS stamp FROM orders))"""
+
+REVIEW = """
+SELECT stream_id, seq, CASE WHEN tenths >= 36000 THEN (tenths // 36000) || ':' ELSE '' END || printf('%02d:%02d.%d', tenths // 600 % 60, tenths // 10 % 60, tenths % 10) AS elapsed,
+       round(least(6000::DOUBLE, greatest(0::DOUBLE, s - 500)), 6) AS seek, round(least(6000::DOUBLE, greatest(0::DOUBLE, s - 1)), 6) AS jump, round(least(100::DOUBLE, greatest(0::DOUBLE, s / 6000::DOUBLE * 100)), 6) AS percent,
+       CASE WHEN w > 0 AND h > 0 THEN greatest(1, floor(w * (480 / greatest(w, h)) + 0.5::DOUBLE)::INT) END AS canvas_w, CASE WHEN w > 0 AND h > 0 THEN greatest(1, floor(h * (480 / greatest(w, h)) + 0.5::DOUBLE)::INT) END AS canvas_h
+FROM (SELECT stream_id, seq, score * 20 AS s, floor(greatest(0::DOUBLE, score * 20) * 10 + 0.5::DOUBLE)::BIGINT AS tenths, (seq % 90)::INT AS w, (seq % 70)::INT AS h FROM trace)"""
+
+
 def oracle_sql() -> dict[str, str]:
     def q(ctes, select):
         return f"WITH {ctes.strip()}\n{select}"
@@ -215,6 +233,11 @@ def oracle_sql() -> dict[str, str]:
         "timing_windows": q(TIMING, "SELECT stream_id, n, w_start FROM ws"),
         "timing_verdict": q(TIMING, "SELECT stream_id, n, usable, reason, reason IN ('too_short_to_matter', 'constant') AS reliable FROM ver"),
         "format_time": q(TRACE, TIMES),
+        "rate_estimates": q(TRACE, RATES),
+        "media_probe": MEDIA,
+        "orphaned_files": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "expired_records": "SELECT o_custkey, max(o_orderdate) AS used_at FROM orders GROUP BY 1 HAVING max(o_orderdate) < TIMESTAMP '1998-01-01' - INTERVAL 2190 MINUTE",
+        "review_times": q(TRACE, REVIEW),
         "roi_geometry": q(ROIS, "SELECT *, w >= 4 AND h >= 4 AND x >= 0 AND y >= 0 AND x + w <= 320 AND y + h <= 240 AS valid, greatest(0, x) AS c_x, greatest(0, y) AS c_y, greatest(0, least(320, x + w) - greatest(0, x)) AS c_w, greatest(0, least(240, y + h) - greatest(0, y)) AS c_h, round_even(x * 0.5, 0)::INT AS s_x, round_even(y * 0.5, 0)::INT AS s_y, greatest(1, round_even(w * 0.5, 0)::INT) AS s_w, greatest(1, round_even(h * 0.5, 0)::INT) AS s_h, greatest(0, x - 9) AS g_x, greatest(0, y - 9) AS g_y, least(320, x + w + 9) - greatest(0, x - 9) AS g_w, least(240, y + h + 4) - greatest(0, y - 9) AS g_h FROM r"),
         "click_region": q(ROIS, "SELECT l_orderkey, l_linenumber, x AS px, y AS py, greatest(0, least(320 - 60, x - 30)) AS x, greatest(0, least(240 - 108, y - 4)) AS y, 60 AS w, 108 AS h FROM r"),
         "frame_levels": "SELECT label::BIGINT AS stream_id, vec_id AS frame_index, list_sum(px)::DOUBLE AS total, list_max(px)::DOUBLE AS brightest FROM (SELECT label, vec_id, list_transform(embedding, lambda v: round_even(greatest(0::DOUBLE, least(255::DOUBLE, (v::DOUBLE + 0.6::DOUBLE) * 200)), 0)) AS px FROM embeddings)",
