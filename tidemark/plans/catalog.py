@@ -116,9 +116,9 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as files, orders as records."""
+    """Customers as files, orders that are still processed as records."""
     files = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
-    return probe.orphans(files, spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return probe.orphans(files, spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
