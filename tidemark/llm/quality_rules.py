@@ -7,6 +7,9 @@ come from the same words; windows are compared by 64-bit hashes, and only docume
 Defined results: a null text has no words and fails; ties and repeated rows keep one row each; all of a text is read.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,30 +24,60 @@ MOST_SYMBOLS = 8
 #: Phrases of notices and menus, in lines of fewer than PHRASE_WORDS words.
 PHRASES = "(?i)all rights reserved|terms of (use|service)|privacy policy|cookie|javascript|click here|sign (up|in)|log in|subscribe|newsletter|share (this|on)|read more|skip to (main )?content"
 PHRASE_WORDS = 30
-ENDS = r"[.!?:;,)\]\x22'…»。]$"
+ENDS = r"[.!?:;,)\]\x22'…»。]\z"
+#: Every phrase holds one of these, in lower case.
+HINTS = ("rights reserved", "terms of ", "privacy policy", "cookie", "javascript", "click here", "sign ", "log in", "subscribe", "newsletter", "share ", "read more", "skip to ")
+BARS = "|»›·•"
+SPACE = "[ \\t-\\r]+"
+
+
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of text are in the class."""
+    return F.size(F.split(text, f"[{chars}]")) - 1
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _inked(text: Column) -> Column:
+    """Code points in words."""
+    return F.length(F.array_join(F.split(text, SPACE), ""))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \\t-\\r]+"), lambda x: x != "")
+    """The words of a text that begins and ends with none but words' characters; none if it is empty."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SPACE))
+
+
+LOOKS = ("_tm_symbolic", "_tm_barred", "_tm_loud", "_tm_upper", "_tm_short", "_tm_hinted")
+
+
+def looks(whole: Column) -> dict[str, Column]:
+    """One look at the whole text for each rule that most texts cannot break: false if no line can."""
+    low = F.lower(whole)
+    hint = reduce(or_, [low.contains(h) for h in HINTS])
+    return {
+        "_tm_symbolic": whole.rlike(f"[{SYMBOLS}]"),
+        "_tm_barred": reduce(or_, [whole.contains(c) for c in BARS]),
+        "_tm_loud": whole.contains("!"),
+        # A line with over twice as many capitals as small letters has two capitals without a small letter between, or no small letter.
+        "_tm_upper": whole.rlike(r"[A-Z][^a-z\n]*[A-Z]") | whole.rlike(r"(?md)^[^a-zA-Z\n]*+[A-Z][^a-z\n]*+$"),
+        "_tm_short": whole.rlike(r"(?md)^[ \t\x0b-\r]*[^ \t-\r]++(?:[ \t\x0b-\r]++[^ \t-\r]++){0,2}[ \t\x0b-\r]*$"),
+        "_tm_hinted": hint & whole.rlike(PHRASES),
+    }
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line (with a word) breaks a rule."""
-    bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
-    n = F.size(F.split(bare, "[ \\t-\\r]+"))
-    size = _without(bare, " \t\n\x0b\f\r")
-    symbols = F.length(bare) - _without(bare, SYMBOLS)
-    bars = F.length(bare) - _without(bare, "|»›·•")
-    upper = F.length(bare) - _without(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    lower = F.length(bare) - _without(bare, "abcdefghijklmnopqrstuvwxyz")
-    shouts = F.length(bare) - _without(bare, "!")
-    punctuation = (symbols * 100 > size * MOST_SYMBOLS) | ((n < 4) & ~bare.rlike(ENDS)) | ((n >= 4) & (shouts > n)) | ((n >= 5) & (upper > lower * 2))
-    navigation = (bars >= 2) & (bars * 4 >= n)
-    return punctuation | navigation | ((n < PHRASE_WORDS) & bare.rlike(PHRASES))
+    """Whether a line (with a word) breaks a rule; beside the columns of looks, which spare it the rules that no line of its text breaks."""
+    symbolic, barred, loud_text, upper, short_line, hinted = map(F.col, LOOKS)
+
+    def judge(bare):
+        n = F.size(F.split(bare, SPACE))
+        symbols = symbolic & bare.rlike(f"[{SYMBOLS}]") & (_count(bare, SYMBOLS) * 100 > _inked(bare) * MOST_SYMBOLS)
+        short = short_line & ~bare.rlike(ENDS) & (n < 4)
+        loud = loud_text & (n >= 4) & (_count(bare, "!") > n)
+        capitals = upper & (bare.rlike("[A-Z][^a-z]*[A-Z]") | ~bare.rlike("[a-z]")) & (n >= 5) & (_count(bare, "A-Z") > _count(bare, "a-z") * 2)
+        navigation = barred & (_count(bare, BARS) >= 2) & (_count(bare, BARS) * 4 >= n)
+        return symbols | short | loud | capitals | navigation | (hinted & bare.rlike(PHRASES) & (n < PHRASE_WORDS))
+
+    return judge(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
 
 
 def covered(hashes: Column) -> Column:
@@ -64,22 +97,28 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _tm_words (their number), _tm_chars, _tm_symbols, _tm_dup_lines, _tm_repeat, _tm_lines and _tm_bad (those that fail), _tm_base_failed and _tm_kept."""
     columns = docs.columns
     whole = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumns({"_tm_w": words(whole), "_tm_lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))})
-    w = F.col("_tm_w")
-    hashes = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[w[i + k] for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    docs = docs.withColumns({"_tm_h": hashes, "_tm_bad": F.filter("_tm_lines", line_fails)})
-    lost = F.aggregate("_tm_bad", F.lit(0), lambda a, x: a + _without(x, " \t\n\x0b\f\r"))
+    blank = F.split(whole, "\n")
+    # Only where a line is blank must lines be looked through.
+    lines = F.when(whole.rlike(r"(?:\A|\n)[ \t\x0b-\r]*(?:\n|\z)"), F.filter(blank, lambda x: x.rlike("[^ \\t-\\r]"))).otherwise(blank)
+    docs = docs.withColumns({"_tm_w": words(F.btrim(whole, F.lit(" \t\n\x0b\f\r"))), "_tm_lines": lines, **looks(whole)})
+    docs = docs.withColumn("_tm_wh", F.transform("_tm_w", lambda x: F.xxhash64(x)))
+    w = F.col("_tm_wh")
+    hashes = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    suspect = reduce(or_, map(F.col, LOOKS))
+    bad = F.when(suspect, F.filter("_tm_lines", line_fails)).otherwise(F.array().cast("array<string>"))
+    docs = docs.withColumns({"_tm_h": hashes, "_tm_bad": bad})
     repeats = F.when(F.size(F.array_distinct("_tm_h")) < F.size("_tm_h"), covered(F.col("_tm_h"))).otherwise(0)
     docs = docs.select(
         *columns,
         "_tm_lines",
         "_tm_bad",
+        *LOOKS,
         F.size("_tm_w").cast("long").alias("_tm_words"),
-        _without(whole, " \t\n\x0b\f\r").cast("long").alias("_tm_chars"),
-        (F.length(whole) - _without(whole, SYMBOLS)).cast("long").alias("_tm_symbols"),
+        F.length(F.array_join("_tm_w", "")).cast("long").alias("_tm_chars"),
+        F.when(F.col("_tm_symbolic"), _count(whole, SYMBOLS)).otherwise(0).cast("long").alias("_tm_symbols"),
         (F.size("_tm_lines") - F.size(F.array_distinct("_tm_lines"))).cast("long").alias("_tm_dup_lines"),
         repeats.cast("long").alias("_tm_repeat"),
-        lost.cast("long").alias("_tm_lost"),
+        F.when(F.size("_tm_bad") > 0, _inked(F.array_join("_tm_bad", " "))).otherwise(0).cast("long").alias("_tm_lost"),
     )
     failed = (F.col("_tm_words") < 10) | (100 * F.col("_tm_repeat") > 20 * F.col("_tm_words"))
     return docs.withColumns({"_tm_base_failed": failed, "_tm_kept": ~failed & (F.col("_tm_lost") <= LOSS * F.col("_tm_chars"))})
@@ -87,8 +126,10 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """The kept documents, without their failing lines."""
-    found = judged(docs, text).where("_tm_kept")
-    return found.withColumn(text, F.array_join(F.filter("_tm_lines", lambda x: ~line_fails(x)), "\n")).select(*docs.columns)
+    # The row number keeps the condition above the expressions that it is made of, which would be worked out again in it, word by word.
+    found = judged(docs, text).withColumn("_tm_row", F.monotonically_increasing_id()).where("_tm_kept and _tm_row >= 0")
+    bad = F.size("_tm_bad") > 0
+    return found.withColumn(text, F.array_join(F.filter("_tm_lines", lambda x: ~(bad & line_fails(x))), "\n")).select(*docs.columns)
 
 
 def op5(spark, sf_dir) -> DataFrame:
