@@ -1,16 +1,21 @@
 """Main text of web pages: a linear-chain CRF over DOM leaf blocks, decoded by Viterbi.
 
-A page is read into leaf blocks, each with its open elements. Blocks get binary features of ancestor tags and of their
-text; a chain of two labels, main and other, is trained on labelled pages and finds each page's best labelling.
-Labelled pages: the small ones below, and at most SAMPLE pages of the table whose own landmarks (article, nav, footer, ...) label
-every block. Half of the training pages hide their landmarks, so that text features are learned as well.
+A page is read into leaf blocks in one pass; blocks point to the marked elements around them (landmark elements, and elements whose
+class or id holds a word of OTHER or CONTENT), which form a tree with the prose that each holds. Blocks get binary features of these marks, of
+their element and of their text; marks are evidence beside the text, and the mark of an element that holds nearly all prose of
+its page counts for nothing. A chain of two labels, main and other, is trained on labelled pages and finds each page's best labelling.
 
-Defined results: null and empty html gives an empty text; markup cut off at the end is no text; repeated pages keep one row
-each; pages of any length are decoded whole.
+Labelled pages: those of llm/html_pages.py, labelled by hand, and at most SAMPLE different pages of the table. A page of the table is labelled by its own
+<article> or <main> alone; class words label nothing, and pages that have such words or landmarks inside that element teach nothing, nor do those of over MOST_BLOCKS
+blocks. Each page is learned twice, once without its marks, so that text features are learned as well.
+
+Defined results: null and empty html gives an empty text; markup cut off at the end is no text; a quote that is not closed
+ends with its tag; repeated pages keep one row each; pages of any length and depth are decoded whole, in time and memory of their length.
 """
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,27 +23,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.html_pages import PAGES
 
 #: Most pages of the table that training uses, and most blocks of such a page.
 SAMPLE, MOST_BLOCKS = 300, 400
-STEPS, RATE, DECAY = 200, 0.1, 1e-3
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:/?>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\shidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+STEPS, RATE, DECAY, STILL = 300, 0.5, 0.3, 1e-4
+#: Part of a page's prose that must stand outside a marked element for its mark to count; for comments, which may be longer than their article.
+OUTSIDE, OUTSIDE_COMMENTS = 0.15, 0.03
+#: Words that make a block prose.
+PROSE_WORDS = 8
+
+_TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_NAME = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*|)\s*(=?)\s*")
+_BARE = re.compile(r"[^\s>]*")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
-#: Elements whose content is raw text or never shown.
-RAW = frozenset("script style textarea title noscript template iframe object svg math select option button xmp noembed".split())
+_LONG_NUMBER = re.compile(r"&#[0-9]{1000,};?")
+#: Elements whose content is raw text or never shown; those of the second group only if they are closed.
+RAW = frozenset("script style textarea title template xmp noembed".split())
+SHUT = frozenset("noscript iframe object svg math select option button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag closes open elements of these names, up to the nearest container.
-CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 CONTAINERS = frozenset("html body div article section main aside nav header footer ul ol dl table form blockquote fieldset details figure".split())
-#: Words in class and id names, and element names, that mark parts of a page.
-CONTENT = frozenset("article main content post entry story body-text articlebody post-content entry-content article-body".split())
+#: Words in class and id names that mark parts of a page.
+CONTENT = frozenset("article main content post entry story body articlebody hentry".split())
 OTHER = {
     "nav": "nav navigation navbar menu breadcrumb breadcrumbs toc pagination pager skip topbar toolbar tabs",
-    "header": "header masthead banner site-header logo",
+    "header": "header masthead banner logo",
     "footer": "footer copyright colophon legal imprint",
     "side": "aside sidebar widget related recommended recommendations popular trending complementary tags",
     "notice": "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription paywall disclaimer warning",
@@ -47,223 +60,311 @@ OTHER = {
     "comment": "comment comments reply replies discussion disqus responses respond",
     "form": "form search login signup signin contact",
 }
+#: Words after another one that say no more than that an element holds it.
+HOLDERS = frozenset("area wrapper container list section box inner block bar top main thread".split())
 _KIND = {word: kind for kind, words in OTHER.items() for word in words.split()}
+#: Elements that are marks by themselves.
+LANDMARKS = {"article": "content", "main": "content", "nav": "nav", "header": "header", "footer": "footer", "aside": "side", "form": "form", "menu": "nav", "dialog": "notice"}
+
 
-PAGES = [
-    "<body><div class=top><a href=/>Home</a> | <a href=/n>News</a> | <a href=/c>Contact</a></div><div id=x><h1 data-main=1>The bridge opens again</h1><p data-main=1>After two years of repairs, the old bridge over the river was opened on Monday.</p><p data-main=1>Hundreds of people came to walk across it, and the mayor gave a short speech.</p></div><div class=low>&copy; 2020 The Paper. All rights reserved. <a href=/t>Terms</a></div></body>",
-    "<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>World</a></li></ul></nav><main><h2 data-main=1>How bees find home</h2><p data-main=1>Bees remember the sky, and they use the sun as a compass.</p><p data-main=1>They also follow smells.</p><div class=share><a href=/f>Share</a> <a href=/t>Tweet</a></div></main><aside class=sidebar><h3>Popular</h3><ul><li><a href=/1>Ten things you did not know</a></li></ul></aside><section class=comments><h3>2 comments</h3><p>Great article, thanks for this.</p><p>I have seen this in my own garden, and it is true.</p></section><footer>Contact us</footer></body>",
-    "<body><header><a href=/>Logo</a></header><div class=cookie-notice>We use cookies to improve this site. <a href=/ok>Accept</a></div><article><header><h1 data-main=1>A winter soup</h1></header><p data-main=1>Cut the onions, and let them fry slowly in butter until they are golden.</p><ul><li data-main=1>two onions</li><li data-main=1>one litre of stock</li></ul><div class=ad>Buy new pans today!</div><p data-main=1>Serve it hot, with bread.</p></article><form class=newsletter>Subscribe to our letter</form><footer>Imprint</footer></body>",
-    "<body><div class=menu><a href=/a>Start</a> <a href=/b>Produkte</a></div><div class=content><h1 data-main=1>Der lange Weg</h1><p data-main=1>Am Morgen gingen wir los, und am Abend waren wir noch nicht da.</p><blockquote data-main=1>Wer langsam geht, kommt auch ans Ziel.</blockquote></div><div class=sidebar>Mehr zum Thema</div><div class=footer>Impressum</div></body>",
-    "<body><div><p data-main=1>This is a short note that stands alone on its page, without a menu.</p></div></body>",
-    "<body><p data-main=1>A plain page of two paragraphs, as people wrote them long ago.</p><p data-main=1>It has no landmarks, and its last line is prose, too.</p></body>",
-]
-
-
-def _kinds(tag: str, attributes: str) -> tuple[str, ...]:
-    """What an element marks: 'content', or kinds of OTHER."""
-    words = {tag}
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            for name in (m[2] or m[3] or m[4] or "").lower().split():
-                words.add(name)
-                words.update(re.split(r"[-_]+", name))
-    kinds = {_KIND[w] for w in words if w in _KIND}
-    if not kinds and words & CONTENT:
-        kinds = {"content"}
-    return tuple(kinds)
-
-
-def blocks(page: str) -> list[tuple[str, int, bool, tuple[tuple[str, tuple[str, ...]], ...], str]]:
-    """Leaf blocks in page order: text, its characters inside links, whether it is labelled main (data-main), open elements, and the block's own element."""
-    out: list = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # element, kinds, data-main
+def attributes(page: str, at: int, lost: set) -> tuple[dict[str, str], int]:
+    """The attributes of the tag whose name ends at `at`, and where the tag ends. A quote that has no end is read as a bare value; `lost` has the quotes of which no more follow."""
+    out: dict[str, str] = {}
+    n = len(page)
+    while at < n:
+        m = _NAME.match(page, at)
+        at = m.end()
+        if at >= n:
+            break
+        value, ch = "", page[at]
+        if m[2]:
+            end = page.find(ch, at + 1) if ch in "\"'" and ch not in lost else -1
+            if end >= 0:
+                value, at = page[at + 1 : end], end + 1
+            else:
+                if ch in "\"'":
+                    lost.add(ch)
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        elif not m[1]:  # only '>' can stand here
+            return out, at + 1
+        if m[1]:
+            out.setdefault(m[1].lower(), value)
+    return out, n
+
+
+def mark(tag: str, given: dict[str, str]) -> tuple[str, str] | None:
+    """What an element marks: a kind of OTHER or 'content', and how it says so: 'element', 'name' (a whole class or id) or 'part' (a word in one)."""
+    own = LANDMARKS.get(tag)
+    found: dict[str, str] = {}
+    for name in f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower().split():
+        words = re.split(r"[-_]+", name)
+        kinds = [_KIND[w] for w in words if w in _KIND] or ["content"] * (not CONTENT.isdisjoint(words))
+        if kinds:
+            how = "name" if words[-1] in _KIND or len(words) == 1 or (words[0] in _KIND and words[0] != "widget" and len(words) == 2 and words[1] in HOLDERS) else "part"
+            if found.get(kinds[-1]) != "name":
+                found[kinds[-1]] = how
+    if "comment" in found:
+        return "comment", found["comment"]
+    if own:
+        return own, "element"
+    others = [k for k in found if k != "content"]
+    if named := [k for k in others if found[k] == "name"]:
+        return named[0], "name"
+    if "content" in found:
+        return "content", found["content"]
+    return (others[0], "part") if others else None
+
+
+class Page:
+    """A page's leaf blocks in order: text, characters inside links, label (data-main), own element, whether in a list, and innermost mark. Marks: parent, kind, how, prose."""
+
+    def __init__(self):
+        self.blocks: list[tuple[str, int, bool, str, bool, int]] = []
+        self.marks: list[tuple[int, str, str]] = []
+        self.prose: list[int] = []
+
+    def outside(self) -> list[bool]:
+        """For each mark, whether it counts: enough of the page's prose stands outside its element."""
+        held, total = self.prose[:], 0
+        for text, linked, *_, at in self.blocks:
+            if 2 * linked < len(text) and text.count(" ") + 1 >= PROSE_WORDS:
+                total += len(text)
+                if at >= 0:
+                    held[at] += len(text)
+        for i in range(len(held) - 1, -1, -1):
+            if (parent := self.marks[i][0]) >= 0:
+                held[parent] += held[i]
+        return [kind == "content" or n <= 0 or total - n >= (OUTSIDE_COMMENTS if kind == "comment" else OUTSIDE) * total for n, (_, kind, _) in zip(held, self.marks)]
+
+
+def parsed(page: str) -> Page:
+    """Reads a page in one pass; every element on the stack carries what its descendants need, so that nothing is searched for."""
+    out = Page()
+    # element, innermost mark, own block, in a list, in a link, labelled main, hidden, nearest container below
+    stack: list[tuple[str, int, str, bool, bool, bool, bool, int]] = []
+    top = ("", -1, "body", False, False, False, False, -1)
+    open_: dict[str, list[int]] = {}
     parts: list[str] = []
-    linked, links, skip = 0, 0, ""
-    hidden = 0  # depth of the stack at which a hidden element began, plus one
-    known: dict[tuple[str, str], tuple[str, ...]] = {}
+    linked, lost, endless, known = 0, set(), set(), {}
 
     def flush():
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" \t\n\x0b\f\r")
+            text = _SPACE.sub(" ", html.unescape(_LONG_NUMBER.sub("�", "".join(parts)))).strip(" \t\n\x0b\f\r")
             if text:
-                own = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "body")
-                out.append((text, linked, any(m for *_, m in stack), tuple((t, k) for t, k, _ in stack), own))
+                out.blocks.append((text, linked, top[5], top[2], top[3], top[1]))
             parts.clear()
         linked = 0
 
     def close(upto: int):
-        nonlocal hidden, links
-        for t, *_ in stack[upto:]:
-            links -= t == "a"
-        del stack[upto:]
-        if hidden and len(stack) < hidden:
-            hidden = 0
-
-    at = 0
-    while at < len(page):
-        if skip:  # raw text up to its end tag
-            end = re.compile(rf"</{skip}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at, skip = (end.end() if end else len(page)), ""
-            continue
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text and not hidden:
-            parts.append(text)
-            linked += len(text) * (links > 0)
+        nonlocal top
+        while len(stack) > upto:
+            open_[stack.pop()[0]].pop()
+        top = stack[-1] if stack else ("", -1, "body", False, False, False, False, -1)
+
+    def nearest(tags) -> int:
+        """The innermost open element of these names that no container encloses further in, or -1."""
+        i = max((open_[t][-1] for t in tags if open_.get(t)), default=-1)
+        return i if i > top[7] else -1
+
+    at, n = 0, len(page)
+    while at < n:
+        m = _TAG.search(page, at)
+        end = m.start() if m else n
+        if end > at and not top[6]:
+            parts.append(page[at:end])
+            linked += (end - at) * top[4]
         if not m:
             break
         at = m.end()
         if not m[2]:
+            close_with = "-->" if m[0] == "<!--" else ">"
+            at = page.find(close_with, at)
+            at = n if at < 0 else at + len(close_with)
             continue
         tag = m[2].lower()
+        given, at = attributes(page, at, lost)
         if m[1]:
-            if tag == "p" or any(t == tag for t, *_ in stack):
+            if tag in CONTAINERS:
+                i = open_[tag][-1] if open_.get(tag) else -1
+            else:
+                i = nearest((tag,))
+            if i >= 0 or tag == "p":
                 if tag in BLOCKS:
                     flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if stack[i][0] in CONTAINERS and tag not in CONTAINERS:
-                        break
+                if i >= 0:
+                    close(i)
             continue
-        if tag in RAW:
-            if not m[0].endswith("/>"):
-                skip = tag
+        if tag in RAW or tag in SHUT:
             parts.append(" ")
+            if page[at - 2 : at] == "/>":
+                continue
+            if tag not in endless:
+                shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+                if shut:
+                    at = shut.end()
+                    continue
+                endless.add(tag)
+            if tag in RAW:
+                at = n
             continue
         if tag in VOID:
-            if tag in ("br", "hr") and not hidden:
+            if tag in ("br", "hr") and not top[6]:
                 parts.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-            shut = CLOSES.get(tag, {"p"})
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    close(i)
-                    break
-                if stack[i][0] in CONTAINERS:
-                    break
-        key = (tag, m[3])
+            if (i := nearest(CLOSES.get(tag, ("p",)))) >= 0:
+                close(i)
+        key = (tag, given.get("class"), given.get("id"), given.get("role"))
         if key not in known:
-            known[key] = _kinds(tag, m[3])
-        stack.append((tag, known[key], "data-main" in m[3]))
-        links += tag == "a"
-        if not hidden and m[3] and _HIDDEN.search(m[3]):
-            hidden = len(stack)
+            known[key] = mark(tag, given)
+        at_mark = top[1]
+        if known[key] and tag not in ("body", "html"):
+            out.marks.append((at_mark, *known[key]))
+            out.prose.append(0)
+            at_mark = len(out.marks) - 1
+        hides = top[6] or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "style" in given and bool(_HIDDEN.search(given["style"]))
+        open_.setdefault(tag, []).append(len(stack))
+        top = (tag, at_mark, tag if tag in BLOCKS else top[2], top[3] or tag in ("ul", "ol"), top[4] or tag == "a", top[5] or "data-main" in given, hides, len(stack) if tag in CONTAINERS else top[7])
+        stack.append(top)
     flush()
     return out
 
 
-def landmarks(open_: tuple) -> tuple[str, str]:
-    """The innermost landmark, and the outermost kind that is no content. A header inside content is a title."""
-    inner, outer, inside = "none", "none", False
-    for _, kinds in open_:
-        for kind in kinds:
-            if kind == "header" and inside:
-                continue
-            inner = kind if kind == "content" else "other"
-            if kind != "content" and outer == "none":
-                outer = kind
-        inside |= "content" in kinds
-    return inner, outer
-
-
+HOWS = ("element", "name", "part")
 NAMES = [
-    "bias", "inner=content", "inner=other", "inner=none", "outer=any", *[f"outer={k}" for k in OTHER],
+    "bias", *[f"inner={k}" for k in ("content", "other", "none")], *[f"{how}={kind}" for how in HOWS for kind in OTHER], *[f"{how} in content" for how in HOWS], "others in content",
     "tag=p", "tag=h", "tag=li", "tag=div", "tag=cell", "tag=other", "links=0", "links<half", "links>half",
-    "words<3", "words<8", "words<20", "words<60", "words>60", "ends", "no end", "comma", "capital", "sign", "bar", "digits", "list depth", "first", "last", "notice words",
+    "words<3", "words<8", "words<20", "words<60", "words>60", "ends", "no end", "comma", "capital", "sign", "bar", "digits", "list", "first", "last", "notice words", "near heading",
 ]
 _NUMBER = {n: i for i, n in enumerate(NAMES)}
+MARKED = slice(_NUMBER["inner=content"], _NUMBER["tag=p"])
 _TAGS = {"p": "tag=p", "pre": "tag=p", "blockquote": "tag=p", "li": "tag=li", "dd": "tag=li", "dt": "tag=li", "td": "tag=cell", "th": "tag=cell", "div": "tag=div", "section": "tag=div", "article": "tag=div", "main": "tag=div"} | {f"h{i}": "tag=h" for i in range(1, 7)}
 _NOTICE = re.compile(r"cookie|all rights reserved|subscribe|privacy|sign up|log in|newsletter|advert", re.I)
 
 
-def features(found: list) -> list[list[int]]:
-    """The numbers of each block's features; those of landmarks are the first ones after bias."""
-    out, cache = [], {}
-    for i, (text, linked, _, open_, own) in enumerate(found):
-        if open_ not in cache:
-            inner, outer = landmarks(open_)
-            cache[open_] = ([f"inner={inner}"] + (["outer=any", f"outer={outer}"] if outer != "none" else []), sum(t in ("ul", "ol") for t, _ in open_))
-        names, lists = cache[open_]
+def evidence(page: Page) -> list[tuple[int, ...]]:
+    """For each mark, the feature numbers that it and the marks around it give; they are at most as many as NAMES."""
+    out, shared, counts = [], {}, page.outside()
+    for (parent, kind, how), use in zip(page.marks, counts):
+        above = set(out[parent]) if parent >= 0 else {_NUMBER["inner=none"]}
+        within = _NUMBER["inner=content"] in above or any(_NUMBER[f"{h} in content"] in above for h in HOWS)
+        if use and not (kind == "header" and how == "element" and within):  # a header inside content is a title
+            above -= {_NUMBER[f"inner={k}"] for k in ("content", "other", "none")}
+            if kind == "content":
+                above |= {_NUMBER["inner=content"], _NUMBER[f"{how} in content"]}
+            else:
+                above |= {_NUMBER["inner=other"], _NUMBER[f"{how}={kind}"]} | ({_NUMBER["others in content"]} if within else set())
+        own = tuple(sorted(above))
+        out.append(shared.setdefault(own, own))
+    return out
+
+
+def features(page: Page) -> list[list[int]]:
+    """The numbers of each block's features."""
+    marks, out, heading = evidence(page), [], False
+    none = (_NUMBER["inner=none"],)
+    for i, (text, linked, _, own, listed, at) in enumerate(page.blocks):
         n = text.count(" ") + 1
-        names = ["bias", *names, _TAGS.get(own, "tag=other")]
+        kind = _TAGS.get(own, "tag=other")
+        names = ["bias", kind]
         names.append("links=0" if not linked else "links<half" if 2 * linked < len(text) else "links>half")
         names.append("words<3" if n < 3 else "words<8" if n < 8 else "words<20" if n < 20 else "words<60" if n < 60 else "words>60")
         names.append("ends" if text[-1] in ".!?:;\"'”»)" else "no end")
-        for name, holds in (("comma", ", " in text), ("capital", text[0].isupper()), ("sign", "©" in text), ("bar", "|" in text or "·" in text), ("digits", text[0].isdigit()), ("list depth", lists > 0), ("first", i == 0), ("last", i == len(found) - 1), ("notice words", n < 25 and _NOTICE.search(text))):
+        for name, holds in (("comma", ", " in text), ("capital", text[0].isupper()), ("sign", "©" in text), ("bar", "|" in text or "·" in text), ("digits", text[0].isdigit()), ("list", listed), ("first", i == 0), ("last", i == len(page.blocks) - 1), ("notice words", n < 25 and _NOTICE.search(text)), ("near heading", heading)):
             if holds:
                 names.append(name)
-        out.append([_NUMBER[x] for x in names])
+        heading = kind == "tag=h"
+        out.append([*(_NUMBER[x] for x in names), *(marks[at] if at >= 0 else none)])
     return out
 
 
-LANDMARKS = slice(_NUMBER["inner=content"], _NUMBER["tag=p"])
-
-
-def matrix(numbers: list[list[int]], masked: bool = False) -> np.ndarray:
-    x = np.zeros((len(numbers), len(NAMES)), np.float32)
-    for i, own in enumerate(numbers):
-        x[i, own] = 1
-    if masked:
-        x[:, LANDMARKS] = 0
-        x[:, _NUMBER["inner=none"]] = 1
-    return x
+def hide_marks(numbers: list[list[int]]) -> list[list[int]]:
+    return [[x for x in own if not MARKED.start <= x < MARKED.stop] + [_NUMBER["inner=none"]] for own in numbers]
 
 
 def labelled(page: str) -> tuple[list[list[int]], list[int]] | None:
-    """A page's features and labels by its own landmarks, if these label every block."""
-    found = blocks(page)
-    if not 2 <= len(found) <= MOST_BLOCKS:
+    """A page's features and labels by its own <article> or <main>, if nothing in that element is marked otherwise."""
+    found = parsed(page)
+    if not 2 <= len(found.blocks) <= MOST_BLOCKS:
         return None
-    marks = [landmarks(open_) for *_, open_, _ in found]
-    if any(m == ("none", "none") for m in marks) or not any(m == ("content", "none") for m in marks):
+    inside: list[bool | None] = []  # None: marked otherwise, inside the article
+    for parent, kind, how in found.marks:
+        held = inside[parent] if parent >= 0 else False
+        if held is False:
+            inside.append(kind == "content" and how == "element")
+        else:
+            inside.append(True if held and kind in ("content", "header") else None)
+    labels = [inside[at] if at >= 0 else False for *_, at in found.blocks]
+    if None in labels or not any(labels) or all(labels):
         return None
-    return features(found), [int(m == ("content", "none")) for m in marks]
-
-
-def fit(pages: list[tuple[list[list[int]], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features by labels) and transitions by gradient ascent on the conditional log likelihood: forward and backward over all pages at once."""
-    cases = [(matrix(f, masked), np.array(y)) for f, y in pages for masked in (False, True)]
-    long = max(len(y) for _, y in cases)
-    x = np.zeros((len(cases), long, len(NAMES)), np.float32)
-    y = np.zeros((len(cases), long), np.int64)
-    live = np.zeros((len(cases), long), bool)
-    for i, (a, b) in enumerate(cases):
-        x[i, : len(b)], y[i, : len(b)], live[i, : len(b)] = a, b, True
-    w, t = np.zeros((len(NAMES), 2)), np.zeros((2, 2))
-    square = [np.full_like(w, 1e-8), np.full_like(t, 1e-8)]
-    one = np.eye(2)[y] * live[..., None]
+    return features(found), [int(x) for x in labels]
+
+
+def gradient(x: np.ndarray, y: np.ndarray, live: np.ndarray, weight: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Conditional log likelihood of weighted chains of one padded length and its gradients, by forward and backward sums. x: (chains, blocks, features)."""
+    long = x.shape[1]
+    e = (x @ w) * live[..., None]
+    forward, backward = np.zeros_like(e), np.zeros_like(e)
+    forward[:, 0] = e[:, 0]
+    for s in range(1, long):
+        step = np.logaddexp(forward[:, s - 1, :1] + t[0], forward[:, s - 1, 1:] + t[1]) + e[:, s]
+        forward[:, s] = np.where(live[:, s, None], step, forward[:, s - 1])
+    for s in range(long - 2, -1, -1):
+        ahead = e[:, s + 1] + backward[:, s + 1]
+        step = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
+        backward[:, s] = np.where(live[:, s + 1, None], step, 0)
+    z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    node = np.exp(forward + backward - z[:, None, None]) * live[..., None]
     pairs = live[:, 1:] & live[:, :-1]
-    seen = np.einsum("psi,psj,ps->ij", one[:, :-1], one[:, 1:], pairs)
-    for _ in range(STEPS):
-        e = (x @ w) * live[..., None]
-        forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[:, 0] = e[:, 0]
-        for s in range(1, long):
-            step = np.logaddexp(forward[:, s - 1, :1] + t[0], forward[:, s - 1, 1:] + t[1]) + e[:, s]
-            forward[:, s] = np.where(live[:, s, None], step, forward[:, s - 1])
-        for s in range(long - 2, -1, -1):
-            ahead = e[:, s + 1] + backward[:, s + 1]
-            step = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
-            backward[:, s] = np.where(live[:, s + 1, None], step, 0)
-        z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        node = np.exp(forward + backward - z[:, None, None]) * live[..., None]
-        edge = np.exp(forward[:, :-1, :, None] + t + (e + backward)[:, 1:, None, :] - z[:, None, None, None]) * pairs[..., None, None]
-        grads = (np.einsum("psf,psl->fl", x, one - node) - DECAY * w, seen - edge.sum(axis=(0, 1)) - DECAY * t)
-        for value, g, sq in zip((w, t), grads, square):
+    edge = np.exp(forward[:, :-1, :, None] + t + (e + backward)[:, 1:, None, :] - z[:, None, None, None]) * pairs[..., None, None]
+    one = np.eye(2)[y] * live[..., None]
+    seen = one[:, :-1, :, None] * one[:, 1:, None, :]
+    score = (e * one).sum((1, 2)) + (seen * t).sum((1, 2, 3)) - z
+    left = ((one - node) * weight[:, None, None]).reshape(-1, 2)
+    return float(score @ weight), x.reshape(-1, x.shape[2]).T @ left, ((seen - edge) * weight[:, None, None, None]).sum((0, 1))
+
+
+def fit(pages: list[tuple[list[list[int]], list[int], float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features by labels) and transitions by gradient ascent on the conditional log likelihood of (features, labels, weight); it ends when the likelihood stands still.
+    Equal chains are one chain of greater weight, and chains are held in groups of like length."""
+    alike: Counter = Counter()
+    for f, y, weight in pages:
+        for own in (f, hide_marks(f)):
+            alike[tuple(tuple(sorted(set(v))) for v in own), tuple(y)] += weight
+    groups: dict[int, list] = {}
+    for (f, y), weight in sorted(alike.items()):
+        groups.setdefault(max(2, 1 << (len(y) - 1).bit_length()), []).append((f, y, weight))
+    held = []
+    for long, some in groups.items():
+        x, y, live = np.zeros((len(some), long, len(NAMES))), np.zeros((len(some), long), np.int64), np.zeros((len(some), long), bool)
+        for i, (f, own, _) in enumerate(some):
+            for s, v in enumerate(f):
+                x[i, s, list(v)] = 1
+            y[i, : len(own)], live[i, : len(own)] = own, True
+        held.append((x, y, live, np.array([weight for *_, weight in some], float)))
+    w, t = np.zeros((len(NAMES), 2)), np.zeros((2, 2))
+    square, last = [np.full_like(w, 1e-8), np.full_like(t, 1e-8)], -np.inf
+    for step in range(STEPS):
+        got = [gradient(*g, w, t) for g in held]
+        value = sum(v for v, *_ in got) - DECAY / 2 * ((w * w).sum() + (t * t).sum())
+        if step > 20 and abs(value - last) < STILL * abs(value):
+            break
+        last = value
+        for p, g, sq in zip((w, t), (sum(g for _, g, _ in got) - DECAY * w, sum(g for *_, g in got) - DECAY * t), square):
             sq += g * g
-            value += RATE * 5 * g / np.sqrt(sq)
+            p += RATE * g / np.sqrt(sq)
     return w, t
 
 
-def viterbi(numbers: list[list[int]], w: np.ndarray, t: np.ndarray) -> list[int]:
+def viterbi(numbers: list[list[int]], w: list, t: list) -> list[int]:
+    """The likeliest labels of a chain."""
     if not numbers:
         return []
-    d = [(sum(w[i][0] for i in own), sum(w[i][1] for i in own)) for own in numbers]
+    gain = [b - a for a, b in w]
+    d = [(0.0, sum(gain[i] for i in own)) for own in numbers]
     (a, b), back = d[0], []
     t00, t01, t10, t11 = t[0][0], t[0][1], t[1][0], t[1][1]
     for e0, e1 in d[1:]:
@@ -277,27 +378,29 @@ def viterbi(numbers: list[list[int]], w: np.ndarray, t: np.ndarray) -> list[int]
 
 
 def train(pages: DataFrame, column: str = "html") -> tuple[list, list]:
-    """The model, as lists. At most SAMPLE pages of the table, by hash, are labelled by their landmarks."""
+    """The model, as lists. The table gives the SAMPLE different pages of least hash."""
 
     def run(batches):
         for batch in batches:
             got = [x for p in batch.column(0).to_pylist() if (x := labelled(p))]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.list_(pa.list_(pa.int64()))), pa.array([y for _, y in got], pa.list_(pa.int64()))], ["f", "y"])
 
-    rows = pages.where(F.col(column).isNotNull()).count()
-    share = int((1 << 30) * min(1.0, SAMPLE / max(1, rows)))
-    some = pages.where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(1 << 30)) < share)).select(column).limit(2 * SAMPLE)
+    hashed = pages.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"), F.col(column).alias("page"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    some = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.min("page").alias("page")).select("page") if least else hashed.select("page")
     cases = [([list(f) for f in r.f], list(r.y)) for r in some.mapInArrow(run, "f array<array<long>>, y array<long>").collect()]
+    # All pages of the table weigh as much as those labelled by hand.
+    weighed = [(f, y, min(1.0, len(PAGES) / len(cases))) for f, y in cases]
     for page in PAGES:
-        found = blocks(page)
-        cases += [(features(found), [int(main) for _, _, main, _, _ in found])] * (1 + len(cases) // 50)
-    w, t = fit(cases)
+        found = parsed(page)
+        weighed.append((features(found), [int(b[2]) for b in found.blocks], 1.0))
+    w, t = fit(weighed)
     return w.tolist(), t.tolist()
 
 
 def main_text(page: str | None, w: list, t: list) -> str:
-    found = blocks(page or "")
-    return " ".join(b[0] for b, main in zip(found, viterbi(features(found), w, t)) if main)
+    found = parsed(page or "")
+    return " ".join(b[0] for b, main in zip(found.blocks, viterbi(features(found), w, t)) if main)
 
 
 def extracted(pages: DataFrame, columns: list[str], column: str = "html") -> DataFrame:
