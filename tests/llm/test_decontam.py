@@ -66,3 +66,34 @@ def test_empty_tables(spark):
     none = [tuple(r) for r in decontam.digest(decontam.marked(d, i.limit(0), ["doc_id"])).collect()]
     assert sorted(none, key=str) == sorted(plain(docs[:5], []), key=str)
     assert decontam.decontaminated(d.limit(0), i).count() == 0
+
+
+def test_repeated_words_take_linear_work():
+    """Every window of item and document alike, and windows that share their rarest shingle."""
+    import resource
+    import time
+
+    same = b"a " * 20_000
+    shared = b" ".join(b"x y z " + b" ".join(b"w%d" % (k * 7 + i) for i in range(7)) for k in range(3000))
+    for item, doc, hit in ((same, same, 20_000), (shared, (b"x y z " * 7000) + shared, None)):
+        began, held = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        index = decontam.Index([("i", item), ("j", item)])
+        words = decontam.Words([doc])
+        index.order(index.count(words))
+        start, window = index.hits(words)
+        assert time.process_time() - began < 1
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - held < 200_000
+        spans = decontam._merged([], start, start + index.length[window])
+        assert index.items_of(window) == ["i", "j"]
+        assert hit is None or spans == [0, hit]
+        if hit is None:
+            n = len(doc.split())
+            assert spans[-1] == n and spans[0] >= n - len(item.split()) - 10
+
+
+def test_items_that_tie_and_repeat(spark):
+    items = [(1, "a b " * 30), (2, "b a " * 30), (1, "a b " * 30), (3, "a b " * 30), (4, "a " * 9 + "b")]
+    docs = [(1, "a b " * 400), (2, "a " * 300 + "b"), (3, "b " * 50)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontam.digest(decontam.marked(d, i, ["doc_id"])).collect()]
+    assert sorted(got) == sorted(plain(docs, items))

@@ -4,10 +4,11 @@ An item's windows are its runs of WINDOW consecutive words (a shorter item is on
 or not at all, so of its shingles, ordered by rarity in the documents, the rarest one alone is its necessary
 prefix. One pass over the documents counts the items' shingles; a second one joins document shingles with
 the prefixes, keeps starts where the window lies inside the document (positional and length bounds) and
-verifies all words exactly. Items are broadcast in blocks of at most BLOCK_BYTES of text, one pass each.
+verifies all words exactly: by the hash of the whole window, of which each start has at most one, then word by word, so that the work is
+linear in the text however often words repeat. Items are broadcast in blocks of about BLOCK_BYTES of text, one pass each.
 
-Defined results: a null or empty text has no words; repeated documents keep one row each; repeated item ids
-count once; a null item id reads as ''; no items, or no documents, give zero counts or no rows.
+Defined results: a null or empty text has no words; repeated documents keep one row each; repeated items and item ids
+count once; rows that tie in rarity take the leftmost shingle; a null item id reads as ''; no items, or no documents, give zero counts or no rows.
 """
 
 import numpy as np
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import materialize, table
 
 WINDOW, SHINGLE = 10, 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of documents that are handled as one array.
 CHUNK = 1 << 20
+#: Candidates that are verified at a time.
+PIECE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -65,26 +68,39 @@ class Words:
         return self.bytes[self.start[i] : self.end[i]].tobytes()
 
 
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges of n numbers from each first one, in a row."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Index:
-    """Windows of a block of items, found by their shingles."""
+    """The different windows of a block of items, by their length and prefix."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
         self.ids = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.ids)}
         self.words = w = Words([t for _, t in items])
-        start, length, item = [], [], []
-        for k, (name, _) in enumerate(items):
-            a, b = int(w.offsets[k]), int(w.offsets[k + 1])
-            n = min(WINDOW, b - a)
-            for s in range(a, b - n + 1) if n else ():
-                start.append(s), length.append(n), item.append(number[name])
-        self.start, self.length, self.item = (np.array(x, np.int64) for x in (start, length, item))
-        self.kinds = {}  # by shingle length: hashes, sorted and distinct
+        n = np.diff(w.offsets)
+        length = np.minimum(WINDOW, n)
+        windows = np.where(n > 0, n - length + 1, 0)
+        start, length, item = _ragged(w.offsets[:-1], windows), np.repeat(length, windows), np.repeat([number[name] for name, _ in items], windows).astype(np.int64)
+        key = np.zeros(len(start), "<u8")
+        for size in np.unique(length):
+            own = length == size
+            key[own] = w.shingles(size)[start[own]]
+        # Equal windows are one; windows of equal hash and other words stay apart.
+        order = np.lexsort((item, key, length))
+        start, length, item, key = start[order], length[order], item[order], key[order]
+        new = np.ones(len(start), bool)
+        if len(start) > 1:
+            new[1:] = (length[1:] != length[:-1]) | (key[1:] != key[:-1]) | ~same_words(w, start[1:], w, start[:-1], length[1:])
+        at = np.flatnonzero(new)
+        self.start, self.length, self.key = start[at], length[at], key[at]
+        self.items, self.first = item, np.append(at, len(item))
+        self.kinds = {}  # by shingle length: hashes of the windows' shingles, sorted and different
         for k in range(1, SHINGLE + 1):
-            if len(own := self.start[np.minimum(self.length, SHINGLE) == k]):
-                h = w.shingles(k)
-                runs = np.unique(np.concatenate([own + o for o in range(WINDOW - k + 1)]))
-                self.kinds[k] = np.unique(h[runs[runs < len(h)]])
+            if len(own := np.flatnonzero(np.minimum(self.length, SHINGLE) == k)):
+                self.kinds[k] = np.unique(w.shingles(k)[_ragged(self.start[own], self.length[own] - k + 1)])
         self.filters = {k: _filter(h) for k, h in self.kinds.items()}
         self.prefix = {}
 
@@ -106,44 +122,55 @@ class Index:
 
     def order(self, counts: dict[int, np.ndarray]) -> None:
         """Chooses each window's rarest shingle, the leftmost of equals, as its prefix."""
-        for k, known in self.kinds.items():
-            own = np.flatnonzero(np.minimum(self.length, SHINGLE) == k)
-            h, best, offset = self.words.shingles(k), np.full(len(own), np.iinfo(np.int64).max), np.zeros(len(own), np.int64)
-            for o in range(WINDOW - k + 1):
-                fits = o + k <= self.length[own]
-                rank = np.searchsorted(known, h[np.minimum(self.start[own] + o, len(h) - 1)])
-                n = counts[k][np.minimum(rank, len(known) - 1)]
-                better = fits & (n < best)
-                best, offset = np.where(better, n, best), np.where(better, o, offset)
-            key = h[self.start[own] + offset]
-            by = np.argsort(key, kind="stable")
-            distinct, first = np.unique(key[by], return_index=True)
-            self.prefix[k] = (distinct, _filter(distinct), own[by], offset[by], np.append(first, len(by)))
+        for size in np.unique(self.length):
+            k = min(int(size), SHINGLE)
+            known, own, h = self.kinds[k], np.flatnonzero(self.length == size), self.words.shingles(k)
+            best, offset = np.full(len(own), np.iinfo(np.int64).max), np.zeros(len(own), np.int64)
+            for o in range(size - k + 1):
+                n = counts[k][np.searchsorted(known, h[self.start[own] + o])]
+                offset, best = np.where(n < best, o, offset), np.minimum(n, best)
+            # A prefix and its place in the window: at most WINDOW pairs a prefix.
+            pairs = np.unique(np.stack([h[self.start[own] + offset], offset.astype("<u8")], 1), axis=0)
+            distinct, first = np.unique(pairs[:, 0], return_index=True)
+            self.prefix[int(size)] = (distinct, _filter(distinct), pairs[:, 1].astype(np.int64), np.append(first, len(pairs)), own)
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Windows that occur: the number of their first word, and the window."""
         text_of = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
-        starts, wins = [], []
-        for k, (known, mask, window, offset, first) in self.prefix.items():
-            at, rank = self.found(words, k, known, mask)
-            n = first[rank + 1] - first[rank]
-            entry = np.repeat(first[rank], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            s, w = np.repeat(at, n) - offset[entry], window[entry]
-            t = text_of[np.repeat(at, n)]
-            inside = (s >= words.offsets[t]) & (s + self.length[w] <= words.offsets[t + 1])
-            s, w = s[inside], w[inside]
-            for o in range(WINDOW):  # exact for words of up to 16 bytes
-                use = o < self.length[w]
-                a, b = np.where(use, s + o, s), np.where(use, self.start[w] + o, self.start[w])
-                same = ~use | ((words.first[a] == self.words.first[b]) & (words.last[a] == self.words.last[b]) & (words.size[a] == self.words.size[b]))
-                s, w = s[same], w[same]
-                use, a, b = use[same], a[same], b[same]
-                if (far := np.flatnonzero(use & (words.size[a] > 16))).size:
-                    keep = np.ones(len(s), bool)
-                    keep[far] = [words.word(i) == self.words.word(j) for i, j in zip(a[far], b[far])]
-                    s, w = s[keep], w[keep]
-            starts.append(s), wins.append(w)
-        return (np.concatenate(starts), np.concatenate(wins)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        starts, wins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, (known, mask, offset, first, own) in self.prefix.items():
+            at, rank = self.found(words, min(size, SHINGLE), known, mask)
+            whole, keys = words.shingles(size) if len(at) else None, self.key[own]
+            for a in range(0, len(at), PIECE):
+                n = first[rank[a : a + PIECE] + 1] - first[rank[a : a + PIECE]]
+                place = np.repeat(at[a : a + PIECE], n)
+                s = place - offset[_ragged(first[rank[a : a + PIECE]], n)]
+                t = text_of[place]
+                s = np.unique(s[(s >= words.offsets[t]) & (s + size <= words.offsets[t + 1])])  # positional and length bounds
+                low = np.searchsorted(keys, whole[s])
+                n = np.searchsorted(keys, whole[s], "right") - low
+                s, w = np.repeat(s, n), own[_ragged(low, n)]
+                same = same_words(words, s, self.words, self.start[w], self.length[w])
+                starts.append(s[same]), wins.append(w[same])
+        return np.concatenate(starts), np.concatenate(wins)
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """The ids of the items that have one of these windows."""
+        windows = np.unique(windows)
+        return [self.ids[i] for i in np.unique(self.items[_ragged(self.first[windows], self.first[windows + 1] - self.first[windows])])]
+
+
+def same_words(a: Words, s: np.ndarray, b: Words, t: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the `length` words from s in a are those from t in b, letter by letter."""
+    same = np.ones(len(s), bool)
+    for o in range(int(length.max(initial=0))):
+        at = np.flatnonzero(same & (o < length))
+        i, j = s[at] + o, t[at] + o
+        equal = (a.first[i] == b.first[j]) & (a.last[i] == b.last[j]) & (a.size[i] == b.size[j])
+        for k in np.flatnonzero(equal & (a.size[i] > 16)):  # first and last 8 bytes tell all of the shorter ones
+            equal[k] = a.word(i[k]) == b.word(j[k])
+        same[at] = equal
+    return same
 
 
 def _filter(hashes: np.ndarray) -> np.ndarray:
@@ -189,15 +216,19 @@ def _rarity(docs: DataFrame, text: str, index: Index) -> dict[int, np.ndarray]:
 def marked(docs: DataFrame, items: DataFrame, columns: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The named columns of docs, and _tm_n (words), _tm_spans (merged hit ranges of word numbers, flat) and _tm_items (ids of items with windows that occur)."""
     spark = docs.sparkSession
-    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("t"))
+    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("t")).distinct()
     weight = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-weight // BLOCK_BYTES))
+    if blocks > 1:
+        items = materialize(items, "items")
     out = docs.select(*columns, F.col(text).cast("binary").alias("_tm_text"), F.lit(0).cast("long").alias("_tm_n"), F.array().cast("array<long>").alias("_tm_spans"), F.array().cast("array<string>").alias("_tm_items"))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block)
         index = Index([(i, bytes(t)) for i, t in part.collect()])
         index.order(_rarity(docs, text, index))
         out = out.mapInArrow(_marker(spark.sparkContext.broadcast(index)), out.schema)
+        if block < blocks - 1:
+            out = materialize(out, "marked")  # one block's workers at a time
     return out.drop("_tm_text")
 
 
@@ -213,11 +244,14 @@ def _marker(given):
                 counts[a:b] = np.diff(words.offsets)
                 start, window = index.hits(words)
                 text_of = np.searchsorted(words.offsets, start, "right") - 1
-                for t in np.unique(text_of):
-                    own = text_of == t
-                    at = start[own] - words.offsets[t]
-                    spans[a + t] = _merged(spans[a + t], at, at + index.length[window[own]])
-                    ids[a + t] = sorted({*ids[a + t], *(index.ids[i] for i in np.unique(index.item[window[own]]))})
+                by = np.argsort(text_of, kind="stable")
+                start, window, text_of = start[by], window[by], text_of[by]
+                edges = np.flatnonzero(np.diff(text_of, prepend=-1, append=len(texts)))
+                for i, j in zip(edges[:-1], edges[1:]):
+                    t = text_of[i]
+                    at = start[i:j] - words.offsets[t]
+                    spans[a + t] = _merged(spans[a + t], at, at + index.length[window[i:j]])
+                    ids[a + t] = sorted({*ids[a + t], *index.items_of(window[i:j])})
             new = {"_tm_n": pa.array(counts), "_tm_spans": pa.array(spans, pa.list_(pa.int64())), "_tm_items": pa.array(ids, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
