@@ -1,13 +1,16 @@
 """Secret scans on whole texts, in SQL functions only.
 
 Base kinds are patterns; the method adds candidate strings of one character class in which the Shannon entropy of some
-window of WINDOW characters reaches the class's limit. Entropy slides: a map holds the window's character counts, and one
-character in and one out change the sum of c log2 c by two terms each. An allow-list keeps sample values and plain words
-from being added; it never takes away a base span.
+window of WINDOW characters reaches the class's limit. Entropy slides: a string holds the window's counts, one letter for each character of
+the class, and one character in and one out change the sum of c log2 c by two terms each. Candidates of too few different characters are
+not folded, and a fold stands still once it has reached the limit. An allow-list cuts sample values and plain words out of a candidate before its windows
+are looked at; it never takes away a base span. A candidate without a digit must have both cases and LETTERS bits.
 
-Defined results: a null text is empty; repeated rows keep one row each; every length is scanned whole.
+Defined results: a null text is empty; repeated rows keep one row each; every length is scanned whole; spans that begin together stand in the order of their kinds.
 """
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ BASE = {"assign": (ASSIGN, 6), "access": ("AKIA[A-Z0-9]+", 20), "hex": ("[0-9a-f
 WINDOW = 20
 #: Character classes: pattern, least entropy of a window in bits (log2(20) = 4.32 at most).
 CLASSES = {"ehex": (r"[0-9A-Fa-f]{20,}+", 2.95), "ealnum": (r"[0-9A-Za-z]{20,}+", 3.55), "ebase64": (r"[0-9A-Za-z+/_=-]{20,}+", 3.65)}
+#: Least entropy of a window without digits.
+LETTERS = 3.9
+#: Matches that are placed in one piece.
+PIECE = 256
 #: Values that documents use in place of secrets.
 ALLOWED = "(?i)example|sample|placeholder|changeme|dummy|redacted|0123456789|1234567890|abcdefgh|x{6}|0{12}"
 SPAN = "struct<start:int,end:int,kind:string,m:string>"
@@ -42,7 +49,16 @@ def places(found: Column, kind: str, counts) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m"))
         return F.struct(end.alias("at"), F.when(counts(x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def pieced(found):
+        def piece(acc, k):
+            # Spans are gathered by pieces: adding to one array would copy all of it each time.
+            got = F.aggregate(F.slice(found, k * PIECE + 1, PIECE), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return F.transform(F.array(got), lambda g: F.struct(g["at"].alias("at"), F.concat(acc["outs"], F.array(g["out"])).alias("outs")))[0]
+
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("outs"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(found) / PIECE).cast("int")), nothing, piece, lambda acc: F.flatten(acc["outs"]))
+
+    return F.transform(F.array(found), pieced)[0]  # a one-element array binds the matches once for all pieces
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -54,44 +70,47 @@ def base_spans(text: Column, kind: str) -> Column:
     return places(matches(text, longer), kind, lambda m: F.length(m) >= least)
 
 
-def peak_entropy(chars: Column) -> Column:
-    """The largest entropy, in bits, of any WINDOW consecutive elements of chars; 0 if there are fewer. One pass with incremental counts."""
+#: c log2 c of the counts in a window.
+TERMS = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
+#: Codes of the class characters ('+' to 'z'), with the code of what stands for a cut first.
+FIRST, LAST = ord("*"), ord("z")
 
-    def c_log_c(c):
-        return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
-    def count(counts, ch):
-        return F.coalesce(F.element_at(counts, ch), F.lit(0))
+def reaches(text: Column, least: Column) -> Column:
+    """Whether any WINDOW consecutive characters of text, none of them '*', have an entropy of `least` bits. One pass with incremental counts."""
+    terms = F.lit(TERMS)
 
-    def put(counts, ch, c):
-        return F.map_concat(F.map_filter(counts, lambda k, v: k != ch), F.create_map(ch, c))
+    def step(acc, x):
+        # x: a character's place among the codes, and 1 if it comes in or -1 if it goes out
+        c = F.ascii(F.substring(acc["counts"], x["at"], 1)) - 65
+        s = acc["s"] + F.get(terms, c + x["by"]) - F.get(terms, c)
+        run = F.when(x["by"] < 0, acc["run"]).when(x["at"] == 1, 0).otherwise(acc["run"] + 1)
+        done = (x["by"] > 0) & (run >= WINDOW) & (F.lit(log2(WINDOW)) - s / WINDOW >= acc["least"] - 1e-9)
+        moved = F.struct(F.overlay(acc["counts"], F.char(c + x["by"] + 65), x["at"], 1).alias("counts"), s.alias("s"), run.alias("run"), done.alias("done"), acc["least"].alias("least"))
+        return F.when(acc["done"], acc).otherwise(moved)
+
+    def folded(places):
+        def events(p, i):
+            entering = F.struct(p.alias("at"), F.lit(1).alias("by"))
+            return F.when(i < WINDOW, F.array(entering)).otherwise(F.array(F.struct(F.get(places, i - WINDOW).alias("at"), F.lit(-1).alias("by")), entering))
 
-    def step(acc, i):
-        new = chars[i]
-        more = count(acc["counts"], new) + 1
-        grown = put(acc["counts"], new, more)
-        s = acc["s"] + c_log_c(more) - c_log_c(more - 1)
-        old = chars[i - WINDOW]
-        less = count(grown, old) - 1
-        full = i >= WINDOW
-        s = F.when(full, s + c_log_c(less) - c_log_c(less + 1)).otherwise(s)
-        counts = F.when(full, put(grown, old, less)).otherwise(grown)
-        h = F.when(i >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - s / WINDOW).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), s.alias("s"), F.greatest(acc["best"], h).alias("best"))
+        zero = F.struct(F.repeat(F.lit("A"), LAST - FIRST + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("run"), F.lit(False).alias("done"), least.alias("least"))
+        return F.aggregate(F.flatten(F.transform(places, events)), zero, step, lambda acc: acc["done"])
 
-    zero = F.struct(F.create_map().cast("map<string,int>").alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda acc: acc["best"])
+    # One-element arrays bind the characters once for all steps.
+    places = F.transform(F.array(F.split(text, "")), lambda chars: F.transform(chars, lambda ch: F.ascii(ch) - FIRST + 1))
+    return F.transform(places, lambda p: F.when(F.size(F.array_distinct(p)) >= F.pow(F.lit(2.0), least) - 1e-6, folded(p)).otherwise(F.lit(False)))[0]
 
 
 def entropy_spans(text: Column, kind: str) -> Column:
     pattern, least = CLASSES[kind]
 
+    def judge(m):
+        need = F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]"), F.lit(least)).when(m.rlike("[a-z]") & m.rlike("[A-Z]"), F.lit(max(least, LETTERS)))
+        return F.transform(F.array(need), lambda n: F.when(n.isNotNull(), reaches(m, n)).otherwise(F.lit(False)))[0]
+
     def suspicious(s):
-        m = s["m"]
-        mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(ALLOWED)
-        # A one-element array binds the characters once for all steps.
-        peak = F.transform(F.array(F.split(m, "")), peak_entropy)[0]
-        return F.when(mixed, peak >= least).otherwise(F.lit(False))
+        return F.transform(F.array(F.regexp_replace(s["m"], ALLOWED, "*")), judge)[0]
 
     return F.filter(places(matches(text, pattern), kind, lambda m: m != ""), suspicious)
 
