@@ -1,15 +1,18 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows get a 64-bit sort key: its upper half is a hash of the text, so equal texts stand together, its lower half a hash of
-the doc_id, so that a text with very many copies can be cut anywhere. Rounds of exact counts of the bytes below
-candidate boundaries, summed over all partitions, narrow each splitter's interval by 8 bits until it holds no more bytes
-than the tolerance; then rows are exchanged once, to several ranges a shard, and numbered.
-
-Defined results: a null text has no bytes and crc32 0; a null doc_id is a value like any other; rows alike in doc_id and
-text have one key and stay in one shard; an empty table gives no rows.
+Rows get a 96-bit sort key: a hash of the text in the upper 32 bits, so that equal texts (a group) stand together, a hash of the doc_id in the next
+32, and a stored row number's hash in the last 32, so that even rows alike in everything can be cut anywhere. Rounds of exact counts of the bytes below
+candidate boundaries, summed over all partitions, narrow each splitter's interval by STEP_BITS until it holds no more bytes
+than the tolerance; a group of at most GROUP of a shard's bytes is never cut: the splitter goes to its nearer edge. Then rows are exchanged once, each
+shard as as many parts as its bytes ask for, sorted by key, and numbered.
+
+Defined results: a null text has no bytes and crc32 0, and is a group of its own; a null doc_id is a value like any other; repeated rows are rows, and
+may lie in several shards if they are many; an empty table gives no rows.
 """
 
 from bisect import bisect_right
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,72 +20,86 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize, table
 
 SHARDS = 24
-#: Most bytes that a splitter may be off, as a share of a shard's bytes.
-TOLERANCE = 0.001
-#: Bytes of an exchanged range, and least and most ranges of a shard.
-RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 128 << 20, 4, 256
-FIRST_BITS, STEP_BITS = 14, 8
+#: Most bytes that a splitter may be off, and most bytes of a group that is never cut, as shares of a shard's bytes.
+TOLERANCE, GROUP = 0.001, 0.05
+#: Bytes of an exchanged part, least parts of a shard, and most parts in all: the count of each part's rows is broadcast.
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 128 << 20, 4, 1_000_000
+#: Bits of the key, of its part below the text's hash, and of the first and later rounds.
+BITS, GROUP_BITS, FIRST_BITS, STEP_BITS = 96, 64, 16, 8
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with _tm_key and _tm_bytes (UTF-8 bytes and 8)."""
+    """docs with _tm_key (the upper 64 bits) and _tm_bytes (UTF-8 bytes and 8)."""
     high = F.shiftleft(F.shiftright(F.xxhash64(text), 32), 32)
     low = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit("shard")), 32)
     return docs.withColumns({"_tm_key": high.bitwiseOR(low), "_tm_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8})
 
 
-def splitters(keys: DataFrame, goals: list[float], tolerances: list[float]) -> list[int]:
-    """For each goal, in ascending order, a key such that the bytes of the smaller keys are the goal, to its tolerance or as near as equal keys allow.
+def _prefix(shift: int) -> list:
+    """The key without its last `shift` bits, as columns."""
+    return [F.shiftright("_tm_key", shift - 32)] if shift >= 32 else [F.col("_tm_key"), F.shiftright("_tm_tie", shift)]
+
+
+def _within(prefixes: list[int], shift: int):
+    if shift >= 32:
+        return F.shiftright("_tm_key", shift - 32).isin(prefixes)
+    bits = 32 - shift
+    return reduce(or_, [(F.col("_tm_key") == p >> bits) & (F.shiftright("_tm_tie", shift) == p & ((1 << bits) - 1)) for p in prefixes])
+
+
+def splitters(keys: DataFrame, goals: list[float], tolerance: float, group: float) -> list[int]:
+    """For each goal, in ascending order, a key such that the bytes of the smaller keys are the goal, to the tolerance, half a row or, where a group of at most `group` bytes would be cut, half of it.
 
     The driver holds 2 ** FIRST_BITS counts at first, then 2 ** STEP_BITS for each goal still open."""
-    shift = 64 - FIRST_BITS
+    shift = BITS - FIRST_BITS
     # Of each open goal: the interval's prefix (None: all keys) and the bytes below it.
     open_: dict[int, tuple[int | None, int]] = {j: (None, 0) for j in range(len(goals))}
-    last_shift, out = 64, [0] * len(goals)
+    last_shift, out = BITS, [0] * len(goals)
     while open_:
         prefixes = sorted({p for p, _ in open_.values() if p is not None})
-        part = keys.where(F.shiftright("_tm_key", last_shift).isin(prefixes)) if prefixes else keys
+        part = keys.where(_within(prefixes, last_shift)) if prefixes else keys
         counts: dict[int | None, list[tuple[int, int]]] = {}
-        for p, n in sorted(tuple(r) for r in part.groupBy(F.shiftright("_tm_key", shift).alias("p")).agg(F.sum("_tm_bytes").alias("n")).collect()):
-            counts.setdefault(p >> (last_shift - shift) if prefixes else None, []).append((p, n))
+        for *p, n in part.groupBy(*_prefix(shift)).agg(F.sum("_tm_bytes").alias("n")).collect():
+            whole = p[0] if len(p) == 1 else (p[0] << (32 - shift)) + p[1]
+            counts.setdefault(whole >> (last_shift - shift) if prefixes else None, []).append((whole, n))
         still = {}
         for j, (prefix, below) in open_.items():
-            sums = [below]
-            for _, n in counts[prefix]:
+            own, sums = sorted(counts[prefix]), [below]
+            for _, n in own:
                 sums.append(sums[-1] + n)
-            k = min(max(0, bisect_right(sums, goals[j]) - 1), len(counts[prefix]) - 1)
-            p, n = counts[prefix][k]
-            if n > tolerances[j] and shift:
+            k = min(max(0, bisect_right(sums, goals[j]) - 1), len(own) - 1)
+            p, n = own[k]
+            if n > (group if shift == GROUP_BITS else tolerance) and shift:
                 still[j] = (p, sums[k])
             else:
                 out[j] = (p if goals[j] - sums[k] <= n / 2 else p + 1) << shift
         open_, last_shift, shift = still, shift, max(0, shift - STEP_BITS)
-    return sorted(min(x, (1 << 63) - 1) for x in out)
+    return sorted(out)
 
 
 def placed(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame:
-    """rows (with _tm_key and _tm_bytes) with _tm_shard and _tm_slot, the row's place in its shard, in the order of key and the named columns."""
+    """rows (with _tm_key and _tm_bytes) with _tm_shard and _tm_slot, the row's place in its shard: by part, then by key and the named columns."""
     columns = rows.columns
-    keys = materialize(rows.select("_tm_key", "_tm_bytes"), "shard-keys")
+    # Stored, so that a row's number is the same in every round and in the exchange.
+    rows = materialize(rows.withColumn("_tm_row", F.monotonically_increasing_id()), "shard-rows")
+    rows = rows.withColumn("_tm_tie", F.shiftrightunsigned(F.xxhash64("_tm_row", F.lit("tie")), 32))
+    keys = rows.select("_tm_key", "_tm_tie", "_tm_bytes")
     total = keys.agg(F.coalesce(F.sum("_tm_bytes"), F.lit(0))).first()[0]
-    m = min(MOST_RANGES, max(LEAST_RANGES, -(-total // (RANGE_BYTES * shards))))
-    each = total / (shards * m)
-    # Cuts within a shard only share out work, so they may be half a range off.
-    loose = [TOLERANCE * total / shards if j % m == 0 else each / 2 for j in range(1, shards * m)]
-    cuts = splitters(keys, [each * j for j in range(1, shards * m)], loose) if total else [0] * (shards * m - 1)
-
-    def ranged(df: DataFrame) -> DataFrame:
-        at = sum((F.col("_tm_key") >= F.lit(c)).cast("int") for c in cuts[m - 1 :: m])
-        inner = F.array(*[F.array(*[F.lit(c) for c in cuts[s * m : s * m + m - 1]]) for s in range(shards)])
-        df = df.withColumn("_tm_shard", at)
-        return df.withColumn("_tm_range", F.size(F.filter(inner[F.col("_tm_shard")], lambda c: c <= F.col("_tm_key"))))
-
-    before = Window.partitionBy("_tm_shard").orderBy("_tm_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged(keys).groupBy("_tm_shard", "_tm_range").agg(F.count("*").alias("n"))  # at most shards * MOST_RANGES rows
-    first = F.broadcast(sizes.select("_tm_shard", "_tm_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_tm_first")))
-    inside = Window.partitionBy("_tm_shard", "_tm_range").orderBy("_tm_key", *order)
-    out = ranged(rows).withColumn("_tm_row", F.row_number().over(inside))
-    return out.join(first, ["_tm_shard", "_tm_range"]).select(*columns, "_tm_shard", (F.col("_tm_first") + F.col("_tm_row") - 1).alias("_tm_slot"))
+    m = min(max(LEAST_PARTS, -(-total // (PART_BYTES * shards))), MOST_PARTS // shards)
+    each = total / shards
+    cuts = splitters(keys, [each * j for j in range(1, shards)], TOLERANCE * each, GROUP * each) if total else []
+    # A cut above the greatest key leaves nothing beyond it.
+    above = [(F.col("_tm_key") > c >> 32) | ((F.col("_tm_key") == c >> 32) & (F.col("_tm_tie") >= c & 0xFFFFFFFF)) for c in cuts if c >> 32 < 1 << 63]
+    shard = sum((a.cast("int") for a in above), F.lit(0))
+    part = shard * m + F.pmod(F.xxhash64("_tm_key", "_tm_tie"), F.lit(m)).cast("int")
+
+    sizes = keys.groupBy(part.alias("_tm_part")).agg(F.count("*").alias("n")).withColumn("_tm_shard", F.floor(F.col("_tm_part") / m).cast("int"))
+    before = Window.partitionBy("_tm_shard").orderBy("_tm_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_tm_part", "_tm_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_tm_first"))
+    out = rows.withColumn("_tm_part", part).repartitionById(shards * m, "_tm_part").sortWithinPartitions("_tm_key", *order)
+    # A partition is one part; the lower 33 bits of the id number its rows.
+    out = out.withColumn("_tm_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.join(F.broadcast(first), "_tm_part").select(*columns, "_tm_shard", (F.col("_tm_first") + F.col("_tm_at")).alias("_tm_slot"))
 
 
 def op7(spark, sf_dir) -> DataFrame:
@@ -95,4 +112,4 @@ def op7(spark, sf_dir) -> DataFrame:
 def sharded(docs: DataFrame) -> DataFrame:
     """docs with shard and slot; columns of these names that docs has already give way."""
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return placed(keyed(docs), ["doc_id", "text"]).select(*kept, F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"))
+    return placed(keyed(docs), ["doc_id"]).select(*kept, F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"))
