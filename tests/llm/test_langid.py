@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from tidemark.llm import langid
 
 SOURCE = "/root/testdata/sf0.001/documents.parquet"
@@ -14,7 +18,7 @@ def test_held_out_accuracy_and_mixtures(spark):
     text = {r.lang: r.text for r in docs.where("n_chars > 1500").collect()}
     model = langid.train(docs)
     one, two = text["en"][:1500], text["fr"][:1500]
-    share, _ = langid.infer([one.encode(), (one + " " + two).encode()], model[1])
+    share, _, _ = langid.infer([one.encode(), (one + " " + two).encode()], *model[1:])
     at = [model[0].index(x) for x in ("en", "fr")]
     assert share[0][at[0]] == 1 and share[0].sum() == 1
     assert all(0.3 < share[1][i] < 0.7 for i in at)
@@ -33,3 +37,55 @@ def test_edges(spark):
     assert langid.accepted(df.limit(0)).count() == 0
     none = df.selectExpr("doc_id", "text", "cast(null as string) lang", "score")
     assert {r._tm_lang for r in langid.identified(none, langid.train(none), ["doc_id"]).collect()} == {"und"}
+
+
+def test_words_of_one_letter_are_predicted(spark):
+    texts = ["a", "I", "5 a", "x 1 y 2", "12", None, "é", "?? z ??", "1 2 3"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.train(spark.read.parquet(SOURCE))
+    out = {r.doc_id: r for r in langid.identified(df.coalesce(1), model, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert (out[i]._tm_lang == "und") == (t is None or not any(c.isalpha() for c in t)), t
+        assert (out[i]._tm_score > 0) == (out[i]._tm_lang != "und")
+
+
+def test_accepts_mixed_texts_and_rejects_unknown_ones(spark):
+    docs = spark.read.parquet(SOURCE)
+    part = [r.text[:900] for r in docs.where("n_chars > 1500 and lang is not null").dropDuplicates(["lang"]).collect()]
+    r = random.Random(3)
+    rows = [(90_000, " ".join(part[:3])), (90_001, " ".join(part)), (90_002, "".join(r.choices("abcdefghijklmnopqrstuvwxyz    ", k=1500))), (90_003, "η γλώσσα είναι ελληνική και δεν την ξέρει κανείς εδώ " * 5), (90_004, part[0])]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in langid.accepted(docs.unionByName(more, allowMissingColumns=True)).collect()}
+    assert kept & {k for k, _ in rows} == {90_000, 90_001, 90_004}
+
+
+def test_em_against_a_dense_loop():
+    """The same steps for one text after another, gram by gram."""
+    rng = np.random.default_rng(2)
+    k, grams = 3, 50
+    p = rng.dirichlet(np.full(grams, 0.3), k).T + 1e-6
+    log_p = np.log(p / p.sum(axis=0))
+    counts = [{int(g): int(n) for g, n in zip(rng.choice(grams, 12, replace=False), rng.integers(1, 9, 12))} for _ in range(5)]
+    begin = np.full((5, k), 1 / k, np.float32)
+    begin[3] = [0.5, 0.5, 0]
+    flat = [(t, g, n) for t, c in enumerate(counts) for g, n in sorted(c.items())]
+    text, gram, count = (np.array(x) for x in zip(*flat))
+    start = np.searchsorted(text, np.arange(5))
+    share, ll = langid.fit(gram, count.astype(np.float32), start, text, begin, log_p)
+    for t, c in enumerate(counts):
+        own = begin[t].astype(float)
+        for _ in range(langid.STEPS):
+            new = np.zeros(k)
+            for g, n in c.items():
+                part = np.exp(log_p[g]) * own
+                new += n * part / part.sum()
+            own = new / sum(c.values())
+        assert np.allclose(share[t], own, atol=1e-4)
+        assert np.isclose(ll[t], sum(n * np.log((np.exp(log_p[g]) * own).sum()) for g, n in c.items()), rtol=1e-4)
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    rows = [(i, f"some words of language {i % 3} " * (1 + i % 3), f"l{i % 3}") for i in range(30)]
+    langs, log_p, _ = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["l1", "l2"] and log_p.shape == (langid.GRAMS, 2)

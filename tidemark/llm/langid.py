@@ -6,7 +6,8 @@ with the best log likelihood less PENALTY * log(trigrams) for each language is c
 in chunks as one sparse table of (document, trigram, count).
 
 Defined results: null and empty texts, and texts without a letter, are `und` with score 0; so is every text where nothing
-can be learned; repeated rows keep one row each; a null doc_id counts as ''.
+can be learned; a single letter is a word of its own and is predicted; repeated rows keep one row each; a null doc_id counts as ''; of equally likely languages the first by
+name is taken. At most MOST_LANGS languages are learned, those of most training text: rows of others teach nothing.
 """
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, table
+from tidemark.llm.common import crc_mod, materialize, table
 
 FOLDS, HELD_OUT = 4, 2
 #: Hashed trigrams; the model has so many rows for each language.
@@ -25,6 +26,10 @@ EVIDENCE = 1 / 3
 #: A second language below this proportion of the first fit is not tried.
 LEAST_SHARE = 0.03
 CHUNK = 512 << 10
+MOST_LANGS = 256
+#: A text is accepted if its language, or languages, have at least this part of the evidence, and if its trigrams are at most so much less likely (in nats a
+#: trigram) than those that its languages were learned from; short texts vary more, by SPREAD over the root of their trigrams.
+LEAST_EVIDENCE, LEAST_FIT, SPREAD = 0.35, -3.0, 8.0
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91], _FOLD[97:123] = np.arange(97, 123), np.arange(97, 123)
@@ -32,11 +37,11 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed trigrams of letters and single spaces of some texts, and each one's text."""
+    """The hashed trigrams of letters and single spaces of some texts, and each one's text: those of two letters or more, and words of one letter."""
     sizes = np.array([len(t) + 3 for t in texts])
-    raw = _FOLD[np.frombuffer(b"   ".join([*texts, b""]) + b"   ", np.uint8)].astype(np.uint32)
+    raw = _FOLD[np.frombuffer(b" " + b"   ".join([*texts, b""]) + b"   ", np.uint8)].astype(np.uint32)
     a, b, c = raw[:-2], raw[1:-1], raw[2:]
-    keep = ((a != 32).astype(np.uint8) + (b != 32) + (c != 32)) >= 2
+    keep = (((a != 32).astype(np.uint8) + (b != 32) + (c != 32)) >= 2) | ((a == 32) & (b != 32) & (c == 32))
     h = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B)) ^ (c * np.uint32(0xC2B2AE35))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     text = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
@@ -45,20 +50,20 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (h[at] >> np.uint32(17)).astype(np.int64) % GRAMS, text[at]
 
 
-def chunks(texts: list[bytes | None]):
-    """Ranges of about CHUNK bytes."""
+def chunks(texts: list[bytes | None], size: int = CHUNK):
+    """Ranges of about `size` bytes."""
     first, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t or b"")
-        if held >= CHUNK:
+        if held >= size:
             yield first, i + 1
             first, held = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, and the log share of each trigram in each: counts over all rows of docs with a language and a text."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the log share of each trigram in each, from counts over all rows of docs with a language and a text, and the mean of these logs over each one's own texts."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -76,11 +81,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "gram", "n"])
 
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), F.col(text).cast("binary"))
-    rows = known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = materialize(known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
+    most = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MOST_LANGS)
+    rows = counts.join(F.broadcast(most), "lang", "left_semi").toPandas()  # at most GRAMS * MOST_LANGS rows
     langs = sorted(rows["lang"].unique())
     counts = np.full((GRAMS, len(langs)), SMOOTHING)
     counts[rows["gram"], np.searchsorted(langs, rows["lang"])] += rows["n"]
-    return langs, np.log(counts / counts.sum(axis=0))
+    log_p = np.log(counts / counts.sum(axis=0))
+    own = counts - SMOOTHING
+    return langs, log_p, (own * log_p).sum(axis=0) / np.maximum(own.sum(axis=0), 1)
 
 
 def fit(gram, count, start, text, share, log_p):
@@ -96,13 +105,14 @@ def fit(gram, count, start, text, share, log_p):
     return share, ll
 
 
-def infer(texts: list[bytes], log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the chosen languages (texts by languages, all zero for texts without trigrams), and scores."""
+def infer(texts: list[bytes], log_p: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions of the chosen languages (texts by languages, all zero for texts without trigrams), the evidence for the likeliest language against all,
+    and the log likelihood a trigram, less what is expected of the chosen languages and allowed for the text's length."""
     k = log_p.shape[1]
     gram, at = trigrams(texts)
-    out, score = np.zeros((len(texts), k), np.float32), np.zeros(len(texts))
+    out, evidence, fits = np.zeros((len(texts), k), np.float32), np.zeros(len(texts)), np.full(len(texts), -np.inf)
     if not len(gram):
-        return out, score
+        return out, evidence, fits
     key = np.sort(at * GRAMS + gram)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(first, len(key))).astype(np.float32)
@@ -115,7 +125,8 @@ def infer(texts: list[bytes], log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray
     best = single.argmax(axis=1)
     chosen = np.zeros_like(share)
     chosen[np.arange(len(seen)), best] = 1
-    value = single.max(axis=1) - PENALTY * np.log(n + 1)
+    likelihood = single.max(axis=1)
+    value = likelihood - PENALTY * np.log(n + 1)
     for size in range(2, k + 1):
         some = np.flatnonzero(np.take_along_axis(share, order[:, size - 1 : size], 1)[:, 0] >= LEAST_SHARE)
         if not len(some):
@@ -127,44 +138,48 @@ def infer(texts: list[bytes], log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray
         got, ll = fit(gram[use], count[use], sub_start, sub_text, begin, log_p)
         better = ll - size * PENALTY * np.log(n[sub] + 1) > value[sub]
         chosen[sub[better]] = got[better]
+        likelihood[sub[better]] = ll[better]
         value[sub[better]] = (ll - size * PENALTY * np.log(n[sub] + 1))[better]
-    top = chosen.argmax(axis=1)
     rival = np.exp(np.minimum(0, EVIDENCE * (single - single.max(axis=1, keepdims=True)))).sum(axis=1)
-    out[seen] = chosen
-    score[seen] = chosen[np.arange(len(seen)), top] / rival
-    return out, score
+    out[seen], evidence[seen] = chosen, 1 / rival
+    fits[seen] = likelihood / n - chosen @ expected + SPREAD / np.sqrt(n)
+    return out, evidence, fits
 
 
-def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str], text: str = "text") -> DataFrame:
-    """The named columns of docs, _tm_lang, _tm_score and _tm_shares (language -> proportion)."""
-    given = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], columns: list[str], text: str = "text") -> DataFrame:
+    """The named columns of docs, _tm_lang, _tm_score, _tm_evidence and _tm_fit (see infer) and _tm_shares (language -> proportion)."""
+    given = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32), model[2].astype(np.float32)))
 
     def run(batches):
-        langs, log_p = given.value
+        langs, log_p, expected = given.value
+        size = CHUNK * 8 // max(8, len(langs))
         for batch in batches:
             texts = batch.column("_tm_text").to_pylist()
-            lang, score, shares = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-            for a, b in chunks(texts) if langs else ():
-                part, value = infer([t or b"" for t in texts[a:b]], log_p)
+            lang, shares = ["und"] * len(texts), [[] for _ in texts]
+            score, evidence, fits = (np.zeros(len(texts)) for _ in range(3))
+            for a, b in chunks(texts, size) if langs else ():
+                part, sure, near = infer([t or b"" for t in texts[a:b]], log_p, expected)
                 for i in np.flatnonzero(part.any(axis=1)):
                     if any(ch.isalpha() for ch in texts[a + i].decode("utf-8", "replace")):
-                        lang[a + i], score[a + i] = langs[part[i].argmax()], min(1.0, value[i])
+                        top = part[i].argmax()
+                        lang[a + i], score[a + i] = langs[top], min(1.0, part[i, top] * sure[i])
+                        evidence[a + i], fits[a + i] = sure[i], near[i]
                         shares[a + i] = [(langs[j], float(part[i, j])) for j in np.flatnonzero(part[i])]
-            new = [pa.array(lang), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *new], [*columns, "_tm_lang", "_tm_score", "_tm_shares"])
+            new = [pa.array(lang), pa.array(score), pa.array(evidence), pa.array(fits), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *new], [*columns, "_tm_lang", "_tm_score", "_tm_evidence", "_tm_fit", "_tm_shares"])
 
     picked = docs.select(*columns, F.col(text).cast("binary").alias("_tm_text"))
-    schema = picked.select(*columns, F.lit("").alias("_tm_lang"), F.lit(0.0).alias("_tm_score"), F.create_map().cast("map<string,double>").alias("_tm_shares")).schema
+    schema = picked.select(*columns, F.lit("").alias("_tm_lang"), *(F.lit(0.0).alias(c) for c in ("_tm_score", "_tm_evidence", "_tm_fit")), F.create_map().cast("map<string,double>").alias("_tm_shares")).schema
     return picked.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """docs whose language is found with a score of at least `least`; where no row teaches a language, all that have a letter."""
+def accepted(docs: DataFrame) -> DataFrame:
+    """docs in one or more languages that were found with LEAST_EVIDENCE and that explain their text (LEAST_FIT); where no row teaches a language, all that have a letter."""
     model = train(docs.where(crc_mod("doc_id", FOLDS) != HELD_OUT))
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = identified(docs, model, docs.columns)
-    return found.where((F.col("_tm_lang") != "und") & (F.col("_tm_score") >= least)).select(*docs.columns)
+    return found.where((F.col("_tm_lang") != "und") & (F.col("_tm_evidence") >= LEAST_EVIDENCE) & (F.col("_tm_fit") >= LEAST_FIT)).select(*docs.columns)
 
 
 def op10(spark, sf_dir) -> DataFrame:
