@@ -54,6 +54,28 @@ def test_against_sql_and_the_rule(spark, tmp_path):
         assert abs(k - same * target) <= same
 
 
+def test_small_ranges_and_a_key_of_many_rows(spark, tmp_path, monkeypatch):
+    """Many ranges a source, and rows alike that are more than a range, cut by the partitions they are stored in."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    data = [*rows(), *[(77, "hot", "one two three", 1)] * 400, *[(78, None, "four five", 1)] * 300]
+    write(spark, tmp_path, data)
+    got = Counter(tuple(r) for r in mixing.op8(spark, str(tmp_path)).collect())
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == Counter(duckdb.sql(mixing.OP8_SQL).fetchall())
+
+
+def test_running_sums(spark):
+    rows = [(f"k{i * 7919 % 500:03}", i % 11) for i in range(500)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "k string, n long")
+    from pyspark.sql import functions as F
+
+    got = {r.k: (r.rank, r.upto) for r in mixing.running(df, [F.col("k").asc_nulls_last()], {"rank": F.lit(1), "upto": F.col("n")}).collect()}
+    upto = 0
+    for i, (k, n) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0]))):
+        assert got[k] == (i, upto)
+        upto += n
+
+
 def test_rows_of_the_mix(spark):
     df = spark.createDataFrame(rows(), "doc_id long, source string, text string, target int")
     out = mixing.repeated(df)

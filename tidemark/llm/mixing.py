@@ -1,9 +1,9 @@
-"""A mix of sources to target weights: hash-random order, distributed prefix sums, a cut at the exact budget.
+"""A mix of sources to target weights: hash-random order, a range sort, distributed prefix sums, a cut at the exact budget.
 
-Each row has a random key, an MD5 of seed, doc_id and text. Word counts are summed by source and key prefix (4096 prefixes a
-source), and prefix sums of these give, for each source, the prefix in which its budget ends. Rows below it are taken,
-rows above are not, and only rows of that one prefix are summed one by one: no source is ever sorted in one task.
-A budget over the source's size takes whole epochs first. The row in which the budget ends is cut there.
+Each row has a random key, an MD5 of seed, doc_id and text, and a stored row number that orders rows alike. Within each source rows are sorted by ranges of the key: a source
+has as many ranges as its rows ask for, and a key of very many rows is cut by the stored partitions they lie in. Prefix sums of the ranges' words, and of the words inside
+each range, give every row the words before it in its source; the row in which the rest of the source's budget ends is the cut. A budget over the source's size takes
+whole epochs first. The mix is then a comparison of each row with its source's cut, so no text is ever moved.
 
 Targets: sources by code point, null last, have weights 5, 2, 1, repeating, and share SHARE of all words; a target stops at
 CAP times its source's size and the excess goes to the others by weight, until none is above.
@@ -12,13 +12,17 @@ Defined results: a null text has size 0; a null source is one source; repeated r
 taken; an empty table gives no rows.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_broadcast, materialize, table
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 SPACE = " \t\n\x0b\f\r"
+#: Rows that one range of a source should have.
+RANGE_ROWS = 1_000_000
+#: Hexadecimal digits of the key that make ranges.
+DIGITS = 7
 
 
 def words(text: str):
@@ -33,52 +37,92 @@ def with_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     return docs.withColumns({"_tm_size": words(text), "_tm_key": F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), digest).cast("binary"))})
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with the named sums over all rows before, in a total order that no single task sees: a range sort, sums of its partitions, and sums inside them."""
+    columns = rows.columns
+    parted = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parted = materialize(parted.withColumns({"_tm_part": F.spark_partition_id(), "_tm_at": F.monotonically_increasing_id()}), "running")
+    # One row for each partition.
+    totals = parted.groupBy("_tm_part").agg(*[F.sum(c).alias(f"_tm_{name}") for name, c in sums.items()])
+    before = Window.orderBy("_tm_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_tm_part").orderBy("_tm_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_tm_part", *[F.coalesce(F.sum(f"_tm_{name}").over(before), F.lit(0)).alias(f"_tm_{name}") for name in sums])
+    found = parted.join(F.broadcast(starts), "_tm_part")
+    return found.select(*columns, *[(F.col(f"_tm_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name) for name, c in sums.items()])
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """From (_tm_source, _tm_of), a source and its size: the target of each. One row a source."""
-    by_name = Window.orderBy(F.col("_tm_source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int"))
-    rows = sizes.withColumn("w", weight).withColumn("cap", CAP * F.col("_tm_of").cast("double"))
+    rank = running(sizes, [F.col("_tm_source").asc_nulls_last()], {"rank": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    rows = materialize(rank.select("_tm_source", "_tm_of", weight.alias("w"), (CAP * F.col("_tm_of").cast("double")).alias("cap")), "mix-weights")
+    words, weights = rows.agg(F.sum("_tm_of"), F.sum("w")).first()
     # Those with the least cap by weight are capped first: the level is that of the first row that stays under its cap.
-    order = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("_tm_source").asc_nulls_last())
-    level = (SHARE * F.sum("_tm_of").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("level", level)
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), "level"))).over(Window.partitionBy(F.lit(0)))["level"])
-    return rows.select("_tm_source", "_tm_of", F.least("cap", F.col("level") * F.col("w")).alias("_tm_target"))
+    ratio = F.col("cap") / F.col("w")
+    under = running(rows, [ratio.asc(), F.col("_tm_source").asc_nulls_last()], {"caps": F.col("cap"), "ws": F.col("w")})
+    level = (F.lit(SHARE * float(words or 0)) - F.col("caps")) / (F.lit(float(weights or 0)) - F.col("ws"))
+    found = under.select(F.min(F.when(level <= ratio, F.struct(ratio.alias("ratio"), level.alias("level"))))["level"]).first()[0]
+    return rows.select("_tm_source", "_tm_of", F.least("cap", F.lit(found if found is not None else 0.0) * F.col("w")).alias("_tm_target"))
 
 
 def budgets(docs: DataFrame, source: str) -> DataFrame:
-    """One row a source: its size, target, whole epochs, and the key prefix in which the rest of the budget ends, with the words below that prefix."""
-    sums = docs.groupBy(F.col(source).alias("_tm_source"), F.substring("_tm_key", 1, 3).alias("prefix")).agg(F.sum("_tm_size").alias("n"))
-    sums = materialize(sums, "mix-prefixes")
-    goal = targets(sums.groupBy("_tm_source").agg(F.sum("n").alias("_tm_of")))
+    """One row a source: its size, target, whole epochs, and the row (key and number) in which the rest of the budget ends, with the words it gives. docs are stored, with _tm_size, _tm_key and _tm_row."""
+    rows = docs.where("_tm_size > 0").select(F.col(source).alias("_tm_source"), "_tm_size", "_tm_key", "_tm_row")
+    sizes = materialize(docs.groupBy(F.col(source).alias("_tm_source")).agg(F.sum("_tm_size").alias("_tm_of"), F.count("*").alias("n")), "mix-sizes")
+    goal = targets(sizes.select("_tm_source", "_tm_of"))
     size = F.greatest("_tm_of", F.lit(1))
     goal = goal.withColumn("_tm_epochs", F.floor(F.floor("_tm_target") / size)).withColumn("_tm_rest", F.floor("_tm_target") - F.col("_tm_epochs") * F.col("_tm_of"))
-    upto = F.sum("n").over(Window.partitionBy("_tm_source").orderBy("prefix"))
-    ends = sums.select(F.col("_tm_source").alias("s"), "prefix", "n", upto.alias("upto"))
-    cut = F.min(F.when(F.col("upto") > F.col("_tm_rest"), F.struct("prefix", (F.col("upto") - F.col("n")).alias("below"))))
-    at = goal.join(ends, goal["_tm_source"].eqNullSafe(ends["s"])).groupBy("_tm_source", "_tm_of", "_tm_target", "_tm_epochs", "_tm_rest").agg(cut.alias("cut"))
-    return materialize(at.select("_tm_source", "_tm_of", "_tm_target", "_tm_epochs", "_tm_rest", F.col("cut.prefix").alias("_tm_prefix"), F.col("cut.below").alias("_tm_below")), "mix-budgets")
+    parts = sizes.select(F.col("_tm_source").alias("s"), F.ceil(F.col("n") / RANGE_ROWS).alias("parts"))
+    goal = materialize(goal.join(parts, goal["_tm_source"].eqNullSafe(parts["s"])).drop("s"), "mix-goals")
+
+    # Ranges of the key, by source; a key of more rows than a range is a range by itself, cut by the partitions that its rows are stored in.
+    hot = rows.groupBy("_tm_source", "_tm_key").agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS).groupBy(F.col("_tm_source").alias("h")).agg(F.array_sort(F.collect_list("_tm_key")).alias("_tm_hot"))
+    ranges = goal.join(hot, goal["_tm_source"].eqNullSafe(F.col("h")), "left").select(F.col("_tm_source").alias("s"), "parts", F.coalesce("_tm_hot", F.array().cast("array<string>")).alias("_tm_hot"))
+    ranges = materialize(ranges, "mix-ranges")
+    rows = rows.join(bounded_broadcast(ranges, ranges.count()), rows["_tm_source"].eqNullSafe(ranges["s"]))
+    whole = F.conv(F.substring("_tm_key", 1, DIGITS), 16, 10).cast("long")
+    is_hot = F.array_contains("_tm_hot", F.col("_tm_key"))
+    rows = rows.withColumns(
+        {
+            "_tm_range": F.floor(whole * F.col("parts") / F.lit(16**DIGITS)),
+            "_tm_step": F.when(F.size("_tm_hot") == 0, 0).otherwise(2 * F.size(F.filter("_tm_hot", lambda h: h < F.col("_tm_key"))) + is_hot.cast("int")),
+            "_tm_piece": F.when(is_hot, F.shiftright("_tm_row", 33)).otherwise(F.lit(0).cast("long")),
+        }
+    ).select("_tm_source", "_tm_size", "_tm_key", "_tm_row", "_tm_range", "_tm_step", "_tm_piece")
+    bins = ["_tm_source", "_tm_range", "_tm_step", "_tm_piece"]
+    sums = rows.groupBy(*bins).agg(F.sum("_tm_size").alias("n"))
+    in_source = Window.partitionBy("_tm_source").orderBy(*bins[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = materialize(sums.withColumn("below", F.coalesce(F.sum("n").over(in_source), F.lit(0))), "mix-prefixes")
+    starts = sums.select(*[F.col(c).alias(c + "_e") for c in bins], "below")
+    same = [rows[c].eqNullSafe(starts[c + "_e"]) for c in bins]
+    in_range = Window.partitionBy(*bins).orderBy("_tm_key", "_tm_row").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("inside", F.coalesce(F.sum("_tm_size").over(in_range), F.lit(0))).join(bounded_broadcast(starts, sums.count()), same)
+    rest = goal.select(F.col("_tm_source").alias("g"), "_tm_rest")
+    summed = summed.join(bounded_broadcast(rest, ranges.count()), F.col("_tm_source").eqNullSafe(F.col("g"))).withColumn("before", F.col("below") + F.col("inside"))
+    cut = summed.where((F.col("before") <= F.col("_tm_rest")) & (F.col("_tm_rest") < F.col("before") + F.col("_tm_size")))
+    cut = cut.select(F.col("_tm_source").alias("s"), F.col("_tm_key").alias("_tm_cut_key"), F.col("_tm_row").alias("_tm_cut_row"), (F.col("_tm_rest") - F.col("before")).alias("_tm_cut_words"))
+    return materialize(goal.join(cut, F.col("_tm_source").eqNullSafe(F.col("s")), "left").drop("s", "parts", "_tm_rest"), "mix-budgets")
 
 
 def mixed(docs: DataFrame, source: str = "source") -> DataFrame:
-    """docs (with _tm_size and _tm_key) with _tm_of, _tm_target, _tm_epochs (whole repeats) and _tm_last (words of the cut epoch)."""
+    """docs (stored, with _tm_size, _tm_key and _tm_row) with _tm_of, _tm_target, _tm_epochs (whole repeats) and _tm_last (words of the cut epoch)."""
     goal = budgets(docs, source)
-    goal = bounded_broadcast(goal, goal.count())
-    rows = docs.join(goal, docs[source].eqNullSafe(goal["_tm_source"]))
-    mine, cut = F.substring("_tm_key", 1, 3), F.col("_tm_prefix")
-    keep = [*docs.columns, "_tm_of", "_tm_target", "_tm_epochs"]
-    # No prefix: all sizes are 0.
-    whole = rows.where(cut.isNull() | (mine != cut)).select(*keep, F.when(mine < cut, F.col("_tm_size")).otherwise(0).alias("_tm_last"))
-    order = Window.partitionBy("_tm_source").orderBy("_tm_key", "_tm_size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_tm_below") + F.coalesce(F.sum("_tm_size").over(order), F.lit(0))
-    part = rows.where(mine == cut).withColumn("_tm_last", F.greatest(F.lit(0), F.least("_tm_size", F.col("_tm_rest") - before))).select(*keep, "_tm_last")
-    return whole.union(part)
+    rows = docs.join(bounded_broadcast(goal, goal.count()), docs[source].eqNullSafe(goal["_tm_source"]))
+    key, row = F.col("_tm_cut_key"), F.col("_tm_cut_row")
+    below = (F.col("_tm_key") < key) | ((F.col("_tm_key") == key) & (F.col("_tm_row") < row))
+    # No cut: all sizes are 0.
+    last = F.when(below, F.col("_tm_size")).when((F.col("_tm_key") == key) & (F.col("_tm_row") == row), F.col("_tm_cut_words")).otherwise(0)
+    return rows.select(*docs.columns, "_tm_of", "_tm_target", "_tm_epochs", last.alias("_tm_last"))
+
+
+def stored_rows(docs: DataFrame) -> DataFrame:
+    return materialize(docs.withColumn("_tm_row", F.monotonically_increasing_id()), "mix-rows")
 
 
 def repeated(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The mix as rows: each one once for every epoch that takes it. The row in which a budget ends is whole where at least half of it is within, else left out."""
     columns = docs.columns
-    rows = mixed(with_keys(docs, text, doc_id), source)
+    rows = mixed(stored_rows(with_keys(docs, text, doc_id)), source)
     times = F.col("_tm_epochs") + (F.col("_tm_last") * 2 >= F.col("_tm_size")).cast("int")
     rows = rows.where("_tm_size > 0").withColumn("_tm_times", F.array_repeat(F.lit(1), times.cast("int")))
     return rows.withColumn("_tm_copy", F.explode("_tm_times")).select(*columns)
@@ -86,7 +130,7 @@ def repeated(docs: DataFrame, source: str = "source", text: str = "text", doc_id
 
 def op8(spark, sf_dir) -> DataFrame:
     docs = with_keys(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    docs = materialize(docs.select("doc_id", "source", "_tm_size", "_tm_key"), "mix-rows")
+    docs = stored_rows(docs.select("doc_id", "source", "_tm_size", "_tm_key"))
     taken = F.col("_tm_epochs") * F.col("_tm_size") + F.col("_tm_last")
     return mixed(docs).select("doc_id", F.col("_tm_size").alias("size"), F.col("_tm_of").alias("source_size"), F.col("_tm_target").alias("target"), taken.cast("long").alias("taken"))
 
