@@ -1,11 +1,11 @@
 """What the corpus operators share: table access and lineage cuts in the shared folder."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.stored import stored as materialize  # noqa: F401
+from tidemark.sources.stored import scratch, shared_dir  # noqa: F401
+
 #: Broadcast sides have at most this many rows of fixed width; beyond it a shuffled join is used.
 BROADCAST_ROWS = 100_000
 
@@ -14,22 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and lost executors cost nothing before it."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if its counted rows are within the bound, else df as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
