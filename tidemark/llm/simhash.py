@@ -77,26 +77,32 @@ def planes_of(fp: np.ndarray) -> np.ndarray:
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def close_lanes(planes: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def close_lanes(planes: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """For each task (query fingerprint, word of 64 lanes): the lanes within the radius. Returns tasks that have any, and their lanes.
 
-    The carry-save counters c1, c2, c4 count to 7 and `over` stays once 8 is reached; tasks whose lanes all exceed the radius are dropped every 8 planes."""
+    The carry-save counters hold the lanes' distances bit by bit, `over` what outgrew them; every 8 planes the counters are held against the radius, and tasks whose lanes all exceed it are dropped."""
     at = np.arange(len(query))
-    c1, c2, c4 = (np.zeros(len(query), "<u8") for _ in range(3))
+    counts = [np.zeros(len(query), "<u8") for _ in range(radius.bit_length())]
     over = ~lanes
     for b in range(64):
-        x = planes[b][word] ^ np.where((query >> np.uint64(b)) & np.uint64(1), ONES, np.uint64(0))
-        k1 = c1 & x
-        c1 ^= x
-        k2 = c2 & k1
-        c2 ^= k1
-        over |= c4 & k2
-        c4 ^= k2
-        over |= c4 & (c1 | c2)  # 5 or more
+        carry = planes[b][word] ^ np.where((query >> np.uint64(b)) & np.uint64(1), ONES, np.uint64(0))
+        for c in counts:
+            both = c & carry
+            c ^= carry
+            carry = both
+        over |= carry
         if b % 8 == 7:
+            equal = ONES
+            for j in range(len(counts) - 1, -1, -1):
+                if radius >> j & 1:
+                    equal = equal & counts[j]
+                else:
+                    over |= equal & counts[j]
+                    equal = equal & ~counts[j]
             alive = over != ONES
             if not alive.all():
-                at, query, word, c1, c2, c4, over = (v[alive] for v in (at, query, word, c1, c2, c4, over))
+                at, query, word, over = (v[alive] for v in (at, query, word, over))
+                counts = [c[alive] for c in counts]
             if not len(at):
                 break
     return at, ~over
