@@ -44,7 +44,9 @@ def got(spark, rows):
     return sorted((str(a), b, str(c)) for a, b, c in out.collect())
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("alike", [simhash.ALIKE, 2])
+def test_against_brute_force(spark, monkeypatch, alike):
+    monkeypatch.setattr(simhash, "ALIKE", alike)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
     rows = []
@@ -60,8 +62,11 @@ def test_against_brute_force(spark):
     assert got(spark, [(*r, "x", 1) for r in rows]) == plain_components(rows)
 
 
-@pytest.mark.parametrize(("block", "piece"), [(8, 1), (1024, 128)])
-def test_links_of_planted_fingerprints(spark, monkeypatch, block, piece):
+@pytest.mark.parametrize(("block", "piece", "six", "seven", "tables"), [(8, 1, 1 << 24, 0, 15), (1024, 128, 0, 1 << 24, 35), (1024, 128, 0, 0, 70)])
+def test_links_of_planted_fingerprints(spark, monkeypatch, block, piece, six, seven, tables):
+    monkeypatch.setattr(simhash, "SIX", six)
+    monkeypatch.setattr(simhash, "SEVEN", seven)
+    assert len(simhash.masks(1000)) == tables
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "PIECE", piece)
     rng = np.random.default_rng(5)

@@ -1,7 +1,7 @@
 """SimHash near-duplicate groups, compared on vertical bit planes.
 
 Fingerprints that differ in at most RADIUS bits agree on at least two of six bit blocks (pigeonhole), so the
-15 pairs of blocks are 15 exact tables: no link is missed. Within a bucket of a table the bit planes of 64
+15 pairs of blocks are 15 exact tables: no link is missed. Many fingerprints take seven or eight blocks, and longer keys of three or four of them. Within a bucket of a table the bit planes of 64
 fingerprints are held as 64 words; one XOR a plane updates 64 distances at once, carry-save counters hold the
 sums, and a block of lanes is abandoned as soon as all its lanes exceed the radius. A bucket yields a forest
 that spans its links, not its pairs. Buckets over BLOCK rows are dealt out as pairs of sub-blocks.
@@ -23,14 +23,22 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_broadcast, materialize
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Six blocks of the 64 bits; every two of them, as one mask, key one table.
-EDGES = (0, 11, 22, 33, 43, 53, 64)
-MASKS = [sum(((1 << EDGES[i + 1]) - 1) ^ ((1 << EDGES[i]) - 1) for i in pair) for pair in combinations(range(6), RADIUS - 2)]
+#: Most fingerprints for which six and seven blocks do: keys have 20 bits at least with six, 27 with seven, 32 with eight.
+SIX, SEVEN = 1 << 24, 1 << 31
 #: Rows of a sub-block of a large bucket.
 BLOCK = 1024
 #: Links of a node that a star step handles in one piece: at least so many, and at least all links over MOST_HUBS, so that fewer nodes than
 #: 2 * MOST_HUBS have more and their list can be broadcast at every size.
 PIECE, MOST_HUBS = 128, 25_000
+#: Rows of one fingerprint that one task joins with its answer.
+ALIKE = 250_000
+
+
+def masks(n: int) -> list[int]:
+    """Keys of the tables for n fingerprints: the 64 bits fall into blocks, and all blocks but RADIUS, as one mask, key one table."""
+    blocks = 6 if n <= SIX else 7 if n <= SEVEN else 8
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    return [sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in kept) for kept in combinations(range(blocks), blocks - RADIUS)]
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -164,8 +172,9 @@ def planes_of_flags(flags: np.ndarray) -> np.ndarray:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """From distinct fingerprints _tm_fp: pairs (u, v), u > v, that span the same components as all pairs within the radius."""
-    keyed = fps.select("_tm_fp", F.posexplode(F.array(*[F.col("_tm_fp").bitwiseAND(F.lit(_as_long(m))) for m in MASKS])).alias("t", "key"))
+    """From distinct fingerprints _tm_fp, stored: pairs (u, v), u > v, that span the same components as all pairs within the radius."""
+    tables = masks(fps.count())
+    keyed = fps.select("_tm_fp", F.posexplode(F.array(*[F.col("_tm_fp").bitwiseAND(F.lit(_as_long(m))) for m in tables])).alias("t", "key"))
     counted = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     large = counted.where(F.col("n") > BLOCK).select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     n_large = large.count()
@@ -241,12 +250,18 @@ def near_duplicates(docs: DataFrame, columns: list[str], text: str = "text", doc
     rows = with_fingerprints(docs, columns, text).withColumn("_tm_row", F.monotonically_increasing_id())
     rows = materialize(rows, "fingerprints")
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_tm_row").alias("row"))).alias("first")
-    fps = materialize(rows.groupBy("_tm_fp").agg(first), "distinct-fingerprints")
+    fps = materialize(rows.groupBy("_tm_fp").agg(first, F.count("*").alias("n")), "distinct-fingerprints")
     found = components(links(fps.select("_tm_fp")))
-    rooted = fps.join(found, fps["_tm_fp"] == found["node"], "left").select("_tm_fp", "first", F.coalesce("root", "_tm_fp").alias("root"))
+    rooted = fps.join(found, fps["_tm_fp"] == found["node"], "left").select("_tm_fp", "first", "n", F.coalesce("root", "_tm_fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    answer = rooted.join(least, "root").select("_tm_fp", F.col("least.id").alias("_tm_component"), F.col("least.row").alias("_tm_keep"))
+    answer = rooted.join(least, "root").select("_tm_fp", F.col("least.id").alias("_tm_component"), F.col("least.row").alias("_tm_keep"), F.ceil(F.col("n") / ALIKE).cast("int").alias("_tm_parts"))
+    # The rows of a fingerprint that very many share are dealt out to several tasks.
+    hot = fps.where(F.col("n") > ALIKE).select("_tm_fp", F.ceil(F.col("n") / ALIKE).cast("int").alias("_tm_parts"))
+    if n_hot := hot.count():
+        dealt = rows.join(bounded_broadcast(hot, n_hot), "_tm_fp", "left").withColumn("_tm_part", F.pmod("_tm_row", F.coalesce("_tm_parts", F.lit(1))).cast("int")).drop("_tm_parts")
+        answer = answer.withColumn("_tm_part", F.explode(F.sequence(F.lit(0), F.col("_tm_parts") - 1)))
+        return dealt.join(answer, ["_tm_fp", "_tm_part"]).select(*rows.columns, "_tm_component", "_tm_keep")
     return rows.join(answer, "_tm_fp").select(*rows.columns, "_tm_component", "_tm_keep")
 
 
