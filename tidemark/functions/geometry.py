@@ -1,6 +1,6 @@
 """Regions of interest (x, y, w, h in pixels of a frame fw by fh) as column expressions."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_SIDE = 4
@@ -25,6 +25,41 @@ def with_guard(rois: DataFrame, margin: int) -> DataFrame:
     return rois.withColumns({"g_x": x0, "g_y": y0, "g_w": x1 - x0, "g_h": y1 - y0})
 
 
+def with_inner(rois: DataFrame, scale: float) -> DataFrame:
+    """rois (with their guard region) with the place of the region inside the guard crop scaled by `scale`: i_x, i_y, i_w, i_h."""
+    c = F.col
+
+    def scaled(x):
+        return F.bround(x * scale).cast("int")
+
+    at_x, at_y = scaled(c("x") - c("g_x")), scaled(c("y") - c("g_y"))
+    w = F.greatest(F.lit(1), F.least(scaled(c("w")), F.greatest(F.lit(1), scaled(c("g_w"))) - at_x))
+    h = F.greatest(F.lit(1), F.least(scaled(c("h")), F.greatest(F.lit(1), scaled(c("g_h"))) - at_y))
+    return rois.withColumns({"i_x": F.greatest(F.lit(0), at_x), "i_y": F.greatest(F.lit(0), at_y), "i_w": w, "i_h": h})
+
+
+def roi_from_json(text: Column) -> Column:
+    """A struct x, y, width, height of whole numbers; numbers are cut to whole ones, texts must be whole numbers; anything else, or less, is an error."""
+
+    def side(name):
+        value = F.get_json_object(text, f"$.{name}")
+        quoted = text.rlike(rf'"{name}"\s*:\s*"')
+        usable = F.when(quoted, value.rlike(r"^\s*[+-]?\d+\s*$")).otherwise(value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
+        whole = F.when(quoted, F.trim(value).cast("int")).otherwise(F.floor(F.abs(value.cast("double"))).cast("int") * F.signum(value.cast("double")).cast("int"))
+        return F.when(F.coalesce(usable, F.lit(False)), whole).otherwise(F.raise_error(F.lit("the selected region is not valid")).cast("int")).alias(name)
+
+    return F.struct(*map(side, ("x", "y", "width", "height")))
+
+
+def valid_region(x: Column, y: Column, w: Column, h: Column, frame_w: Column, frame_h: Column) -> Column:
+    """Whether numbers name a region: finite, not empty, and inside the frame where the frame's size is known."""
+    numbers = F.lit(True)
+    for v in (x, y, w, h):
+        numbers = numbers & F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))
+    known = F.coalesce((frame_w > 0) & (frame_h > 0), F.lit(False))
+    return numbers & (w > 0) & (h > 0) & (~known | ((x >= 0) & (y >= 0) & (x + w <= frame_w) & (y + h <= frame_h)))
+
+
 def with_click_region(clicks: DataFrame) -> DataFrame:
     """From a click (px, py) in a frame fw by fh: a region below it, with a small margin above, inside the frame."""
     c = F.col

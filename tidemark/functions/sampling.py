@@ -19,6 +19,13 @@ def frame_index_at(t: Column, fps: Column, frame_count: Column) -> Column:
     return F.least(F.floor(F.greatest(F.lit(0.0), t) * fps), frame_count - 1)
 
 
+def last_index(end: Column, duration: Column, fps: Column, frame_count: Column) -> Column:
+    """The last frame of a scan that ends at `end`: bounded by the frame count, else by the duration, else only by what can be read (2 ** 30)."""
+    by_count = F.least(F.floor(F.greatest(F.lit(0.0), end) * fps), frame_count - 1)
+    by_time = F.floor(F.greatest(F.lit(0.0), F.least(end, duration)) * fps)
+    return F.when(frame_count > 0, by_count).when(duration.isNotNull(), by_time).when(end > 0, F.floor(end * fps)).otherwise(1 << 30).cast("long")
+
+
 def valid_fps(fps: Column) -> Column:
     return F.coalesce(~F.isnan(fps) & fps.between(0.5, 1000.0), F.lit(False))
 

@@ -60,6 +60,39 @@ def measurements(rows: DataFrame, threshold: float, least_break: float) -> DataF
     return got.join(n, "stream_id", "left").withColumn("breaks", F.coalesce("breaks", F.lit(0)).cast("long"))
 
 
+#: Fixed texts: why a measured time has the confidence it has, in the order in which they are given.
+NO_START, NO_END = "No liquid stream was detected at the outlet.", "Flow started but no end of flow could be determined."
+UNCONFIRMED = "The video ended while liquid was still visible, so the efflux time is a lower bound rather than a measurement."
+BROKEN = "The stream was only visible in %d%% of the timed interval, which makes the end of flow ambiguous."
+INTERRUPTED = "%d interruptions of the stream were seen before the end."
+SHAKEN = "%d%% of frames showed movement around the cup (camera or hand movement)."
+FAINT = "The stream contrast against the background is low; consider improving lighting or the background behind the stream."
+SHORT = "The measured interval (%.2f s) is very short for a Zahn cup test."
+CLEAR = "Stream detected continuously with a clear start and a sustained end."
+
+
+def with_reasons(flows: DataFrame, least_plausible: float) -> DataFrame:
+    """judged() with reasons, an array of texts."""
+
+    def percent(x):
+        return F.bround(x * 100).cast("long")
+
+    continuity = clamp(F.col("continuity"), 0.0, 1.0)
+    disturbed = clamp(F.col("disturbed") / F.greatest(F.lit(1), "frames"), 0.0, 1.0)
+    snr = clamp(safe_ratio(F.col("contrast"), F.greatest("noise", F.lit(1e-6))) / 8.0, 0.0, 1.0)
+    found = F.array(
+        F.when(~F.col("end_confirmed"), F.lit(UNCONFIRMED)),
+        F.when(continuity < 0.6, F.format_string(BROKEN, percent(continuity))),
+        F.when(F.col("breaks") > 1, F.format_string(INTERRUPTED, "breaks")),
+        F.when(disturbed > 0.02, F.format_string(SHAKEN, percent(disturbed))),
+        F.when(snr < 0.3, F.lit(FAINT)),
+        F.when((F.col("efflux") > 0) & (F.col("efflux") < least_plausible), F.format_string(SHORT, F.bround("efflux", 2))),
+    )
+    found = F.filter(found, lambda x: x.isNotNull())
+    reasons = F.when(F.col("start").isNull(), F.array(F.lit(NO_START))).when(F.col("end").isNull(), F.array(F.lit(NO_END))).when(F.size(found) == 0, F.array(F.lit(CLEAR))).otherwise(found)
+    return flows.withColumn("reasons", reasons)
+
+
 def judged(flows: DataFrame, least_plausible: float) -> DataFrame:
     """measurements() with efflux, continuity, confidence and status."""
     rows = flows.withColumn("efflux", F.greatest(F.lit(0.0), F.col("end") - F.col("start")))

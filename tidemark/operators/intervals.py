@@ -40,10 +40,19 @@ def long_enough(intervals: DataFrame, least: float) -> DataFrame:
 
 
 def with_peaks(intervals: DataFrame, trace: DataFrame, keys: list[str]) -> DataFrame:
-    """The largest score inside each closed interval, disturbed samples included; 0 without samples."""
-    within = trace.select(*keys, "t", "score")
-    pairs = intervals.join(within, keys, "left").withColumn("inside", F.col("t").between(F.col("start"), F.col("end")))
-    return pairs.groupBy(*keys, "start", "end").agg(F.coalesce(F.max(F.when(F.col("inside"), F.col("score"))), F.lit(0.0)).alias("peak"))
+    """The largest score inside each closed interval, disturbed samples included; 0 without samples. Intervals of a group may touch, but not overlap.
+
+    Starts and samples are put in one order, so that a sample knows the interval that began last, and the one before, which may end where the other starts: no join of intervals with samples."""
+    begun = intervals.select(*keys, F.col("start").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("score"), "start", "end")
+    begun = begun.withColumn("before", F.lag(F.struct("start", "end")).over(Window.partitionBy(*keys).orderBy("start", "end")))
+    none = [F.lit(None).cast("double").alias(c) for c in ("start", "end")]
+    samples = trace.select(*keys, "t", F.lit(1).alias("kind"), "score", *none, F.lit(None).cast("struct<start:double,end:double>").alias("before"))
+    upto = Window.partitionBy(*keys).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last(F.when(F.col("kind") == 0, F.struct(F.struct("start", "end").alias("last"), "before")), ignorenulls=True).over(upto)
+    rows = begun.unionByName(samples).withColumn("own", own)
+    at = F.explode(F.array("own.last", F.when(F.col("kind") == 1, F.col("own.before"))))
+    rows = rows.select(*keys, "t", "score", at.alias("at")).where(F.col("t") <= F.col("at.end"))
+    return rows.groupBy(*keys, F.col("at.start").alias("start"), F.col("at.end").alias("end")).agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("peak"))
 
 
 def strongest(intervals: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -1,13 +1,13 @@
 """Stateful scoring of liquid in a region of grey frames: streams and drops by the shape of what moves."""
 
-from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemark.operators.pixels import blob_labels
+from tidemark.operators.pixels import blob_labels, scored
 
 
 @dataclass(frozen=True)
@@ -27,8 +27,7 @@ class LiquidSettings:
     disturbed_median: float = 18.0
 
 
-@dataclass(frozen=True)
-class Liquid:
+class Liquid(NamedTuple):
     """What one frame shows; liquid is None on the first frame, where only the activity can tell."""
 
     activity: float = 0.0
@@ -106,16 +105,4 @@ class LiquidScorer:
 
 def liquid_trace(frames: DataFrame, inner: tuple[int, int, int, int], settings: LiquidSettings = LiquidSettings()) -> DataFrame:
     """frames (stream_id, frame_index, height, width, pixels array<float>) -> (stream_id, frame_index, activity, outlet, liquid, contrast, noise, disturbed), what flow.phases takes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, scorer = None, None
-        for pdf in batches:
-            found = []
-            for r in pdf.itertuples():
-                if scorer is None or r.stream_id != stream:
-                    stream, scorer = r.stream_id, LiquidScorer(inner, settings)
-                found.append(vars(scorer.score(np.asarray(r.pixels, np.float32).reshape(r.height, r.width))))
-            yield pd.concat([pdf[["stream_id", "frame_index"]].reset_index(drop=True), pd.DataFrame(found, columns=list(Liquid.__dataclass_fields__)).astype({"liquid": object})], axis=1)
-
-    rows = frames.repartition("stream_id").sortWithinPartitions("stream_id", "frame_index")
-    return rows.mapInPandas(run, "stream_id long, frame_index long, activity double, outlet double, liquid boolean, contrast double, noise double, disturbed boolean")
+    return scored(frames, lambda: LiquidScorer(inner, settings), "activity double, outlet double, liquid boolean, contrast double, noise double, disturbed boolean")

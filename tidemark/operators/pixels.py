@@ -3,6 +3,7 @@
 Frames are dealt out by stream and sorted; a task walks its frames in Arrow batches and holds one background a time.
 """
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,17 +37,31 @@ def opened(mask: np.ndarray) -> np.ndarray:
 
 
 def blob_labels(mask: np.ndarray) -> np.ndarray:
-    """A number for each 8-connected part, 0 elsewhere: each set pixel takes the least number around it until nothing changes."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    far = mask.size + 1
+    """A number for each 8-connected part, 0 elsewhere. Runs of set pixels are the nodes; runs of neighbouring rows that touch, also at corners, are joined."""
     h, w = mask.shape
-    while True:
-        p = np.pad(np.where(mask, label, far), 1, constant_values=far)
-        low = np.min([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
-        low = np.where(mask, low, 0)
-        if (low == label).all():
-            return label
-        label = low
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1] - 1
+    if not len(row):
+        return np.zeros(mask.shape, int)
+    wide = w + 3
+    low = np.searchsorted(row * wide + end, (row + 1) * wide + start - 1)
+    n = np.maximum(np.searchsorted(row * wide + start, (row + 1) * wide + end + 1, "right") - low, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    label = np.arange(len(row))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    out = np.zeros(mask.size, int)
+    size = end - start + 1
+    out[np.repeat(row * w + start - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(label + 1, size)
+    return out.reshape(mask.shape)
 
 
 def blob_areas(mask: np.ndarray) -> np.ndarray:
@@ -55,6 +70,13 @@ def blob_areas(mask: np.ndarray) -> np.ndarray:
     return areas[areas > 0]
 
 
+def blob_statistics(mask: np.ndarray, least_ratio: float) -> tuple[float, float, int]:
+    """Of the parts that have at least that share of the pixels: their share, the largest one's, and their number."""
+    areas = blob_areas(mask)
+    kept = areas[areas >= max(1, int(least_ratio * mask.size))]
+    return float(kept.sum() / mask.size), float(kept.max(initial=0) / mask.size), len(kept)
+
+
 class MotionScorer:
     def __init__(self, settings: MotionSettings = MotionSettings()):
         self.settings, self.background, self.mean = settings, None, None
@@ -77,8 +99,7 @@ class MotionScorer:
         mask = rest > max(s.least_difference, s.sigmas * sigma)
         if s.opening >= 2:
             mask = opened(mask)
-        areas = blob_areas(mask) if mask.any() else np.zeros(0, int)
-        moved = float(areas[areas >= max(1, int(s.least_blob * mask.size))].sum() / mask.size)
+        moved, _, _ = blob_statistics(mask, s.least_blob)
         if moved >= s.disturbed_area:
             self.background = now.copy()
             return 0.0, True
@@ -87,18 +108,26 @@ class MotionScorer:
         return moved, False
 
 
-def motion_trace(frames: DataFrame, settings: MotionSettings = MotionSettings()) -> DataFrame:
-    """frames (stream_id, frame_index, height, width, pixels array<float>) -> trace (stream_id, frame_index, score, disturbed)."""
+def scored(frames: DataFrame, make: Callable[[], object], columns: str, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """frames (keys, frame_index, height, width, pixels array<float>) -> keys, frame_index and what a scorer's score(frame) gives, named and typed by `columns`. Each group of the keys gets a
+    scorer of its own, which `make` makes; a task holds one at a time."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
-    def run(batches):
-        stream, scorer = None, None
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, scorer = None, None
         for pdf in batches:
-            scores = []
-            for r in pdf.itertuples():
-                if scorer is None or r.stream_id != stream:
-                    stream, scorer = r.stream_id, MotionScorer(settings)
-                scores.append(scorer.score(np.asarray(r.pixels, np.float32).reshape(r.height, r.width)))
-            yield pd.DataFrame({"stream_id": pdf["stream_id"], "frame_index": pdf["frame_index"], "score": [a for a, _ in scores], "disturbed": [b for _, b in scores]})
-
-    rows = frames.repartition("stream_id").sortWithinPartitions("stream_id", "frame_index")
-    return rows.mapInPandas(run, "stream_id long, frame_index long, score double, disturbed boolean")
+            found = []
+            for own, h, w, p in zip(zip(*(pdf[k] for k in keys)), pdf["height"], pdf["width"], pdf["pixels"]):
+                if scorer is None or own != group:
+                    group, scorer = own, make()
+                found.append(tuple(scorer.score(np.asarray(p, np.float32).reshape(h, w))))
+            yield pd.concat([pdf[[*keys, "frame_index"]].reset_index(drop=True), pd.DataFrame(found, columns=names, dtype=object)], axis=1)
+
+    rows = frames.select(*keys, "frame_index", "height", "width", "pixels").repartition(*keys).sortWithinPartitions(*keys, "frame_index")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keys).schema)
+    return rows.mapInPandas(run, f"{types}, frame_index long, {columns}")
+
+
+def motion_trace(frames: DataFrame, settings: MotionSettings = MotionSettings(), keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """frames -> trace (keys, frame_index, score, disturbed)."""
+    return scored(frames, lambda: MotionScorer(settings), "score double, disturbed boolean", keys)

@@ -1,6 +1,6 @@
 """Second pass: only the neighbourhood of each candidate is read again, densely."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
@@ -11,48 +11,67 @@ from tidemark.sources.stored import stored
 KEYS = ["stream_id", "window_id"]
 
 
-def windows(candidates: DataFrame, trace: DataFrame, roll: float) -> DataFrame:
-    """Candidates (stream_id, start, end), numbered by time, with the window around each, inside the stream."""
-    ends = trace.groupBy("stream_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+def windows_within(candidates: DataFrame, ends: DataFrame, pre: Column, post: Column, *more: str) -> DataFrame:
+    """Candidates (stream_id, start, end), numbered by time, with the window around each, inside the stream; ends: (stream_id, first, last) and what pre and post are made of."""
     rank = F.row_number().over(Window.partitionBy("stream_id").orderBy("start", "end"))
     rows = candidates.withColumn("window_id", rank).join(ends, "stream_id")
-    return rows.select(*KEYS, F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.greatest("first", F.col("start") - roll).alias("w_start"), F.least("last", F.col("end") + roll).alias("w_end"))
+    return rows.select(*KEYS, F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.greatest("first", F.col("start") - pre).alias("w_start"), F.least("last", F.col("end") + post).alias("w_end"), *more)
+
+
+def windows(candidates: DataFrame, trace: DataFrame, roll: float) -> DataFrame:
+    ends = trace.groupBy("stream_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    return windows_within(candidates, ends, F.lit(roll), F.lit(roll))
+
+
+def inside(wins: DataFrame, samples: DataFrame, bucket: float = 600.0, first_frame: bool = False) -> DataFrame:
+    """samples (stream_id, t, ...) with the window_id of each window they lie in. The join is on stream and stretch of time, so that a window meets the samples near it only.
 
+    With first_frame, frames are taken from that of the window's start on, by whole frames (samples have frame_index and fps), and w_first is its index."""
+    if first_frame:
+        wins = wins.join(samples.select("stream_id", "fps").distinct(), "stream_id").withColumns({"w_first": F.floor(F.col("w_start") * F.col("fps")), "w_start": F.floor(F.col("w_start") * F.col("fps")) / F.col("fps")}).drop("fps")
+    else:
+        wins = wins.withColumn("w_first", F.lit(None).cast("long"))
+    part = F.explode(F.sequence(F.floor(F.col("w_start") / bucket), F.floor(F.col("w_end") / bucket)))
+    near = wins.select(*KEYS, "w_start", "w_end", "w_first", part.alias("_part"))
+    rows = samples.withColumn("_part", F.floor(F.col("t") / bucket)).join(near, ["stream_id", "_part"])
+    return rows.where(F.col("t").between(F.col("w_start"), F.col("w_end"))).drop("_part", "w_start", "w_end")
 
-def refined(wins: DataFrame, trace: DataFrame, floor: float, gap: float, least: float) -> DataFrame:
-    """Refined events of each window, with their evidence; windows of fewer than 3 samples keep their candidate at confidence .35.
 
-    Windows, their levels and the spans found are small; each is stored, so that the samples are planned and read once a pass."""
-    wins = stored(wins, "windows")
-    inside = trace.join(wins, "stream_id").where(F.col("t").between(F.col("w_start"), F.col("w_end")))
-    levels = stored(stats.with_thresholds(stats.noise(inside.select(*KEYS, "score"), KEYS, 0.25), 4.0, 2.0, floor), "levels")
+def refined(wins: DataFrame, dense: DataFrame, floor: float, gap: float, least: float) -> DataFrame:
+    """Refined events of windows (stored), with their evidence, from dense samples (stream_id, window_id, t, seq, score, disturbed); windows of fewer than 3 samples keep their candidate at confidence .35.
+
+    Samples inside windows, their levels and the spans found are stored, so that each is worked out once."""
+    dense = stored(dense.select(*KEYS, "t", "seq", "score", "disturbed"), "inside")
+    levels = stats.with_thresholds(stats.noise(dense.select(*KEYS, "score"), KEYS, 0.25), 4.0, 2.0, floor)
     order = Window.partitionBy(*KEYS).orderBy("t", "seq")
-    gaps = inside.withColumn("step", F.col("t") - F.lag("t").over(order)).where("step is not null")
-    # The upper of the two middle ones.
-    middle = gaps.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("step"))).withColumn("n", F.count("*").over(Window.partitionBy(*KEYS)))
-    spacing = middle.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(*KEYS, F.col("step").alias("spacing"))
-    found = intervals.active_intervals(inside.join(levels, KEYS), KEYS, dense=True)
+    steps = dense.withColumn("step", F.col("t") - F.lag("t").over(order))
+    # The upper of the two middle steps; one row a window.
+    shape = steps.groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list("step")).alias("steps"), F.avg(F.col("disturbed").cast("double")).alias("disturbed_ratio"), F.max("score").alias("most"), (F.sum(F.bround(F.col("score") * 100).cast("long")) / 100.0 / F.count("score")).alias("average")
+    )
+    shape = shape.withColumn("spacing", F.get("steps", F.floor(F.size("steps") / 2).cast("int"))).drop("steps")
+    levels = stored(levels.join(shape, KEYS), "levels")
+    found = intervals.active_intervals(dense.join(levels.select(*KEYS, "enter", "exit"), KEYS), KEYS, dense=True)
     found = intervals.long_enough(intervals.bridged(found, KEYS, gap), least)
-    touching = found.join(wins, KEYS).where((F.col("start") <= F.col("c_end")) & (F.col("c_start") <= F.col("end"))).join(levels, KEYS).join(spacing, KEYS, "left")
-    touching = stored(touching.select(*KEYS, "start", "end", "w_start", "w_end", "enter", "spacing", "n"), "spans")
-    rows = touching.join(inside.select(*KEYS, "t", "score", "disturbed"), KEYS, "left").withColumn("in", F.col("t").between(F.col("start"), F.col("end")))
-    score = F.when(F.col("in"), F.col("score"))
-    evidence = rows.groupBy(*KEYS, "start", "end", "w_start", "w_end", "enter", "spacing", "n").agg(
+    touching = found.join(wins, KEYS).where((F.col("start") <= F.col("c_end")) & (F.col("c_start") <= F.col("end"))).join(levels, KEYS)
+    touching = stored(touching.select(*KEYS, "start", "end", "w_start", "w_end", "enter", "spacing", "n", "disturbed_ratio"), "spans")
+    rows = touching.join(dense.select(*KEYS, "t", "score"), KEYS, "left")
+    score = F.when(F.col("t").between(F.col("start"), F.col("end")), F.col("score"))
+    evidence = rows.groupBy(*touching.columns).agg(
         F.coalesce(F.max(score), F.lit(0.0)).alias("peak"),
         F.coalesce(F.sum(F.bround(score * 100).cast("long")) / 100.0 / F.count(score), F.lit(0.0)).alias("mean"),
-        F.count(score).alias("samples"),
-        F.count_if(F.col("in") & (F.col("score") >= F.col("enter"))).alias("active"),
-        F.coalesce(F.avg(F.when(F.col("in"), F.col("disturbed").cast("double"))), F.lit(0.0)).alias("disturbed_ratio"),
+        F.count(score).alias("held"),
+        F.count_if(score >= F.col("enter")).alias("active"),
     )
     near = F.coalesce("spacing", F.lit(0.0))
     evidence = evidence.withColumn("clipped_start", F.col("start") - F.col("w_start") <= near).withColumn("clipped_end", F.col("w_end") - F.col("end") <= near)
     strength = clamp((F.col("peak") - F.col("enter")) / F.greatest("enter", F.lit(1e-6)), 0.0, 1.0)
-    share = F.col("active") / F.greatest("samples", F.lit(1))
+    share = F.col("active") / F.greatest("held", F.lit(1))
     sure = 0.45 + 0.30 * strength + 0.25 * share - F.when(F.col("clipped_start") | F.col("clipped_end"), 0.15).otherwise(0.0) - 0.30 * F.col("disturbed_ratio")
-    evidence = evidence.where("n >= 3").withColumn("confidence", clamp(sure, 0.05, 0.99))
+    evidence = evidence.where("n >= 3").withColumn("confidence", clamp(sure, 0.05, 0.99)).withColumnRenamed("n", "samples")
     few = wins.join(levels, KEYS, "left").where("coalesce(n, 0) < 3")
     columns = [*KEYS, "start", "end", "peak", "mean", "enter", "samples", "active", "disturbed_ratio", "clipped_start", "clipped_end", "confidence"]
-    kept = few.selectExpr(*KEYS, "c_start as start", "c_end as end", "0D as peak", "0D as mean", "coalesce(enter, 0D) as enter", "coalesce(n, 0L) as samples", "0L as active", "0D as disturbed_ratio", "true as clipped_start", "true as clipped_end", "0.35D as confidence")
+    kept = few.selectExpr(*KEYS, "c_start as start", "c_end as end", "coalesce(most, 0D) as peak", "coalesce(average, 0D) as mean", "0D as enter", "coalesce(n, 0L) as samples", "0L as active", "coalesce(disturbed_ratio, 0D) as disturbed_ratio", "true as clipped_start", "true as clipped_end", "0.35D as confidence")
     return evidence.select(*columns).union(kept.select(*columns))
 
 

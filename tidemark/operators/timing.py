@@ -1,6 +1,6 @@
 """Whether one frame rate can describe a recording, from stamps at a few windows."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed limits of the verdict.
@@ -15,6 +15,17 @@ def window_starts(files: DataFrame) -> DataFrame:
     return files.select("stream_id", "n", F.explode(starts).alias("w_start"))
 
 
+def verified(windows: DataFrame) -> DataFrame:
+    """windows (w_start, seek_ok, landed) of which the seek is known to have come near: accepted, finite, and within the window's frames."""
+    near = ~F.isnan("landed") & (F.abs(F.col("landed") - F.col("w_start")) <= WINDOW_FRAMES)
+    return windows.where(F.coalesce(F.col("seek_ok") & near, F.lit(False)))
+
+
+def refusal_class(reason: Column) -> Column:
+    """Which of the messages a refused recording gets: unverifiable, drift or variable rate; null for an accepted one."""
+    return F.when(reason.isin("no_usable_timestamps", "unrepresentative_sample"), "unverifiable").when(reason == "timing_drift", "drift").when(~reason.isin("too_short_to_matter", "constant"), "variable_rate")
+
+
 def intervals(stamps: DataFrame) -> DataFrame:
     """(stream_id, frame, pts_ms) -> the positive gaps inside each window: stream_id, n, w_start, gap; and the window's offset from frame / fps."""
     files = stamps.groupBy("stream_id").agg(F.count("*").alias("n"), F.min("pts_ms").alias("first"), F.max("pts_ms").alias("last"))

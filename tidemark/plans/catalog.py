@@ -51,7 +51,8 @@ def windows(trace: DataFrame) -> DataFrame:
 
 
 def refined(trace: DataFrame) -> DataFrame:
-    return refine.refined(windows(trace), trace, FINE_FLOOR, FINE_GAP, FINE_LEAST)
+    wins = stored(windows(trace), "windows")
+    return refine.refined(wins, refine.inside(wins, trace, ROLL), FINE_FLOOR, FINE_GAP, FINE_LEAST)
 
 
 def events(trace: DataFrame) -> DataFrame:

@@ -71,13 +71,14 @@ fin AS (SELECT ins.*, enter, exit FROM ins JOIN fl USING (stream_id, window_id))
 tou AS (SELECT fb.*, w_start, w_end, enter, n, spacing FROM fb JOIN win USING (stream_id, window_id) JOIN fl USING (stream_id, window_id) LEFT JOIN spc USING (stream_id, window_id)
   WHERE "end" - "start" >= 0.0 AND "start" <= c_end AND c_start <= "end"),
 ev AS (SELECT t.stream_id, t.window_id, t."start", t."end", t.w_start, t.w_end, t.enter, t.spacing, t.n, coalesce(max(score), 0) AS peak, coalesce(sum(round_even(score * 100, 0)::BIGINT)::DOUBLE / 100 / count(score), 0) AS mean,
-    count(score) AS samples, count(*) FILTER (WHERE score >= t.enter) AS active, coalesce(avg(ins.disturbed::INT::DOUBLE), 0) AS disturbed_ratio
+    count(score) AS held, count(*) FILTER (WHERE score >= t.enter) AS active
   FROM tou t LEFT JOIN ins ON t.stream_id = ins.stream_id AND t.window_id = ins.window_id AND ins.t BETWEEN t."start" AND t."end" GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9),
-ev2 AS (SELECT *, "start" - w_start <= coalesce(spacing, 0) AS clipped_start, w_end - "end" <= coalesce(spacing, 0) AS clipped_end FROM ev WHERE n >= 3),
+shp AS (SELECT stream_id, window_id, avg(disturbed::INT::DOUBLE) AS disturbed_ratio, max(score) AS most, sum(round_even(score * 100, 0)::BIGINT)::DOUBLE / 100 / count(score) AS average FROM ins GROUP BY 1, 2),
+ev2 AS (SELECT ev.*, n AS samples, disturbed_ratio, "start" - w_start <= coalesce(spacing, 0) AS clipped_start, w_end - "end" <= coalesce(spacing, 0) AS clipped_end FROM ev JOIN shp USING (stream_id, window_id) WHERE n >= 3),
 ref AS (SELECT stream_id, window_id, "start", "end", peak, mean, enter, samples, active, disturbed_ratio, clipped_start, clipped_end,
-    greatest(0.05::DOUBLE, least(0.99::DOUBLE, 0.45::DOUBLE + 0.30::DOUBLE * greatest(0, least(1, (peak - enter) / greatest(enter, 1e-6::DOUBLE))) + 0.25::DOUBLE * active / greatest(samples, 1)
+    greatest(0.05::DOUBLE, least(0.99::DOUBLE, 0.45::DOUBLE + 0.30::DOUBLE * greatest(0, least(1, (peak - enter) / greatest(enter, 1e-6::DOUBLE))) + 0.25::DOUBLE * active / greatest(held, 1)
       - CASE WHEN clipped_start OR clipped_end THEN 0.15::DOUBLE ELSE 0 END - 0.30::DOUBLE * disturbed_ratio)) AS confidence FROM ev2
-  UNION ALL SELECT stream_id, window_id, c_start, c_end, 0, 0, coalesce(enter, 0), coalesce(n, 0), 0, 0, true, true, 0.35 FROM win LEFT JOIN fl USING (stream_id, window_id) WHERE coalesce(n, 0) < 3)"""
+  UNION ALL SELECT stream_id, window_id, c_start, c_end, coalesce(most, 0), coalesce(average, 0), 0, coalesce(n, 0), 0, coalesce(disturbed_ratio, 0), true, true, 0.35 FROM win LEFT JOIN fl USING (stream_id, window_id) LEFT JOIN shp USING (stream_id, window_id) WHERE coalesce(n, 0) < 3)"""
 )
 EVENT = 'struct_pack(s := "start", e := "end", i := window_id, peak := peak::DOUBLE, mean := mean::DOUBLE, enter := enter::DOUBLE, samples := samples::BIGINT, active := active::BIGINT, dist := disturbed_ratio::DOUBLE, cs := clipped_start, ce := clipped_end, conf := confidence::DOUBLE)'
 MERGED = (
