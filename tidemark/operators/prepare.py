@@ -82,7 +82,7 @@ def prepared(frames: DataFrame, roi: tuple[int, int, int, int] | None = None, sc
             new = [pa.array(heights, pa.int32()), pa.array(widths, pa.int32()), pa.array(values, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "height", "width", "pixels"])
 
-    schema = frames.select(*kept, F.lit(0).alias("height"), F.lit(0).alias("width"), F.array().cast("array<float>").alias("pixels")).schema
+    schema = frames.select(*kept, *(F.lit(None).cast(t).alias(c) for c, t in (("height", "int"), ("width", "int"), ("pixels", "array<float>")))).schema
     return frames.select(*used).mapInArrow(run, schema)
 
 

@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import geometry, review, sampling, stats
-from tidemark.operators import flow, intervals, liquid, pixels, refine, report, timing
+from tidemark.functions import clock, geometry, review, sampling, stats
+from tidemark.operators import detect, flow, intervals, liquid, pixels, prepare, refine, report, timing
 from tidemark.sources import probe
 from tidemark.sources.stored import stored
-from tidemark.sources.tables import embedding_frames, events_trace
+from tidemark.sources.tables import embedding_frames, event_frames, events_trace
 
 KEY = ["stream_id"]
 ENTER, EXIT, FLOOR = 6.0, 3.0, 0.004
@@ -133,6 +133,106 @@ def reviewed(trace: DataFrame) -> DataFrame:
     return trace.select("stream_id", "seq", review.tenths_text(s).alias("elapsed"), review.seek_time(s - 500, end).alias("seek"), review.boundary_seek(s, end).alias("jump"), review.timeline_percent(s, end).alias("percent"), review.enlarged_side(w, h, 480).alias("canvas_w"), review.enlarged_side(h, w, 480).alias("canvas_h"))
 
 
+def recording_starts(trace: DataFrame) -> DataFrame:
+    """A recording start for two streams of three."""
+    start = F.timestamp_add("SECOND", F.col("stream_id") * 3661, F.lit("2024-02-28 23:59:58").cast("timestamp_ntz"))
+    return trace.select("stream_id").distinct().select("stream_id", F.when(F.col("stream_id") % 3 != 0, start).alias("recording_start"))
+
+
+def exported(trace: DataFrame) -> DataFrame:
+    return report.export_rows(events(trace), recording_starts(trace), "activity")
+
+
+def typed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as users type them: with T, blank, no seconds, offsets, fractions, dates alone, and what is no time."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    forms = ["T07:43:00", " 07:43:00", " 07:43", "T23:59:59Z", "T00:00:00.250", "T06:05+02:00", "", "T25:00:00", " noon", "x"]
+    tail = F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
+    typed = F.concat(F.lit(" "), "d", tail)
+    return o.select("o_orderkey", clock.clock_text(clock.recording_start(typed)).alias("start"), clock.clock_text(clock.wall_clock(clock.recording_start(typed), F.col("o_orderkey") / 8 - 100)).alias("later"))
+
+
+def player_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, key = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    seconds = F.when(key % 11 != 0, (key % 90_000) / 8)
+    size = F.when(key % 7 != 0, (key * 1_048_576 % 5_000_000_000).cast("long"))
+    status = F.element_at(F.array(F.lit("confirmed"), F.lit("review"), F.lit("failed")), (key % 3 + 1).cast("int"))
+    return o.select(
+        "o_orderkey", clock.player_duration(seconds).alias("length"), clock.bytes_text(size).alias("size"), clock.scan_clock(F.coalesce(seconds, F.lit(0.0))).alias("at"),
+        clock.completion_message(key % 2 == 0, status, (key % 100).cast("string"), (key % 5).cast("int")).alias("message"), clock.display_name(F.concat(F.lit("a/b\\"), F.regexp_replace(F.coalesce("o_orderpriority", F.lit("")), "-", "\t"), F.lit(" é.mp4"))).alias("name"),
+    )
+
+
+def inner_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geometry.with_inner(geometry.with_guard(rois(spark, sf_dir), 9), 0.7)
+    text = F.format_string('{"x": %d, "y": "%d", "width": %d.9, "height": %d}', "x", "y", "w", "h")
+    sides = [F.col(c).cast("double") for c in ("x", "y", "w", "h", "fw", "fh")]
+    return found.select("l_orderkey", "l_linenumber", "i_x", "i_y", "i_w", "i_h", geometry.roi_from_json(text).alias("r"), geometry.valid_region(*sides).alias("usable")).select("*", "r.*").drop("r")
+
+
+def rule_stamps(trace: DataFrame) -> DataFrame:
+    """Stamps of streams that are, in turn, steady, too short, without stamps, stamped at the start only, irregular, of two rates, and drifting."""
+    frame, kind = F.col("frame"), F.col("stream_id") % 7
+    two = F.least(frame, F.lit(33))
+    pts = (
+        F.when(kind == 2, F.lit(0.0)).when(kind == 3, 40.0 * F.least(frame, F.lit(22))).when(kind == 4, 100.0 * frame - F.when(frame % 2 == 1, 60.0).otherwise(0.0))
+        .when(kind == 5, 40.0 * two + 60.0 * (frame - two)).when(kind == 6, 40.0 * two + 45.0 * (frame - two)).otherwise(40.0 * frame)
+    )
+    return stamps(trace).where((kind != 1) | (frame < 15)).select("stream_id", "frame", pts.alias("pts_ms"))
+
+
+def rules(trace: DataFrame) -> DataFrame:
+    return timing.verdicts(rule_stamps(trace)).withColumn("message", timing.refusal_class(F.col("reason")))
+
+
+def verified(trace: DataFrame) -> DataFrame:
+    """Windows of which every fourth seek fails, every fifth lands nowhere, and the others land up to 70 frames off."""
+    key = F.col("stream_id") + F.col("w_start")
+    seeks = timing.window_starts(files(trace)).withColumns({"seek_ok": key % 4 != 0, "landed": F.when(key % 5 == 0, float("nan")).otherwise(F.col("w_start") + key % 71)})
+    return timing.verified(seeks).select("stream_id", "w_start", "landed")
+
+
+def readable_frames(trace: DataFrame) -> DataFrame:
+    """Frames of which the disturbed ones cannot be read, and in every fifth stream none from the tenth to the fiftieth."""
+    hole = (F.col("stream_id") % 5 == 0) & F.col("frame_index").between(10, 50)
+    frame = F.row_number().over(Window.partitionBy("stream_id").orderBy("t", "seq")) - 1
+    return trace.withColumn("frame_index", frame.cast("long")).select("stream_id", "frame_index", (~F.col("disturbed") & ~hole).alias("readable"))
+
+
+def scan_walk(trace: DataFrame) -> DataFrame:
+    steps = trace.select("stream_id").distinct().withColumn("step", F.col("stream_id") % 4 + 2)
+    return prepare.sampled(readable_frames(trace), steps)
+
+
+def overlapping(trace: DataFrame) -> DataFrame:
+    """Refined events that reach 60 hours further to either side, so that neighbours overlap."""
+    return refined(trace).withColumns({"start": F.col("start") - 60, "end": F.col("end") + 60})
+
+
+def last_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, key = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    end, duration, count = (key % 400 - 20).cast("double"), F.when(key % 3 == 0, (key % 250).cast("double")), F.when(key % 2 == 0, key % 5000)
+    return o.select("o_orderkey", sampling.last_index(end, duration, 10.0 + key % 50, count).alias("last"))
+
+
+def frame_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recordings of one frame a second: coarse pass, candidates, second pass, runs and the pauses between them."""
+    frames = event_frames(spark, sf_dir)
+    found = detect.events(frames, recordings(frames), "robot_activity", {"shortest_event_s": 6, "idle_pause_s": 10, "long_run_s": 20})
+    return found.select("stream_id", "label", "start", "end", "truncated")
+
+
+def recordings(frames: DataFrame) -> DataFrame:
+    return stored(frames.groupBy("stream_id").agg(F.lit(1.0).alias("fps"), F.count("*").alias("n"), F.max("width").alias("width")), "recordings")
+
+
+def frame_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flow a recording: from the ninth frame on for eight seconds."""
+    frames = event_frames(spark, sf_dir, bar=True)
+    found = detect.flow_runs(frames, recordings(frames), (6, 0, 20, 18), (4, 0, 12, 18), 0.5, 2.0, 4.0, 2.0, 5.0)
+    return found.select("stream_id", "start", "end", "end_confirmed", "status", F.array_join("reasons", " | ").alias("reasons"))
+
+
 def queries() -> dict:
     return {
         "sampling_plan": _of_trace(lambda t: rounded(plans(t))),
@@ -166,6 +266,21 @@ def queries() -> dict:
         "orphaned_files": orphaned,
         "expired_records": purged,
         "review_times": _of_trace(lambda t: rounded(reviewed(t))),
+        "event_rows": _of_trace(exported),
+        "event_json": _of_trace(lambda t: report.export_json(exported(t), recording_starts(t))),
+        "boundary_events": _of_trace(lambda t: rounded(report.boundary_events(active(t, True), 2))),
+        "recording_starts": typed_starts,
+        "player_texts": player_texts,
+        "inner_regions": inner_regions,
+        "last_frames": last_frames,
+        "flow_reasons": _of_trace(lambda t: flow.with_reasons(flow.judged(flows(t), PLAUSIBLE), PLAUSIBLE).select("stream_id", F.array_join("reasons", " | ").alias("reasons"))),
+        "timing_rules": _of_trace(rules),
+        "verified_windows": _of_trace(verified),
+        "scan_walk": _of_trace(scan_walk),
+        "shown_frames": _of_trace(lambda t: prepare.next_readable(readable_frames(t))),
+        "merged_overlaps": _of_trace(lambda t: rounded(refine.merged(overlapping(t)))),
+        "motion_events": frame_events,
+        "liquid_run": frame_flows,
         "liquid_scores": lambda spark, sf_dir: liquid.liquid_trace(embedding_frames(spark, sf_dir), (2, 0, 4, 7)),
         "motion_scores": lambda spark, sf_dir: pixels.motion_trace(embedding_frames(spark, sf_dir)),
         "frame_levels": lambda spark, sf_dir: embedding_frames(spark, sf_dir).select("stream_id", "frame_index", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("pixels").cast("double").alias("brightest")),

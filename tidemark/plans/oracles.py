@@ -157,9 +157,7 @@ j3 AS (SELECT *, CASE WHEN end_confirmed THEN c0 ELSE least(0.5::DOUBLE, c0) END
 j4 AS (SELECT *, CASE WHEN "start" IS NULL OR "end" IS NULL THEN 0 ELSE greatest(0, least(0.98::DOUBLE, CASE WHEN efflux > 0 AND efflux < 24 THEN least(0.45::DOUBLE, c1) ELSE c1 END)) END AS confidence FROM j3),
 jud AS (SELECT *, CASE WHEN "start" IS NULL OR "end" IS NULL OR confidence < 0.4::DOUBLE THEN 'failed' WHEN confidence < 0.7::DOUBLE OR NOT end_confirmed THEN 'review' ELSE 'confirmed' END AS status FROM j4)"""
 )
-TIMING = (
-    PLAN
-    + """,
+TIMING_RULES = """
 ws AS (SELECT DISTINCT stream_id, n, first * 0 AS z, round_even(i * (greatest(0, n - 40) / 4.0::DOUBLE), 0)::BIGINT AS w_start FROM fil, range(0, 5) g(i)),
 sb AS (SELECT stream_id, min(pts_ms) AS p0, max(pts_ms) AS p1 FROM sta GROUP BY 1),
 iv AS (SELECT ws.stream_id, n, w_start, pts_ms - lag(pts_ms) OVER (PARTITION BY ws.stream_id, w_start ORDER BY frame) AS gap,
@@ -172,7 +170,44 @@ sp AS (SELECT stream_id, n, count(off) AS offs, max(off) - min(off) AS spread FR
 ver AS (SELECT stream_id, n, coalesce(usable, 0)::BIGINT AS usable, CASE WHEN n <= 21 THEN 'too_short_to_matter' WHEN usable IS NULL THEN 'no_usable_timestamps' WHEN usable < 2 AND (most + 1) * 2 < n THEN 'unrepresentative_sample'
     WHEN irr > 0.1::DOUBLE THEN 'irregular_within_window' WHEN overall > 0 AND drift > 0.15::DOUBLE * overall THEN 'rate_changes_between_windows' WHEN offs >= 2 AND spread > 2000000.0 THEN 'timing_drift' ELSE 'constant' END AS reason
   FROM sp LEFT JOIN ag USING (stream_id))"""
+TIMING = PLAN + "," + TIMING_RULES
+RULE_STAMPS = (
+    PLAN.replace("sta AS (", "sta0 AS (").replace("fil AS (", "fil0 AS (").replace("FROM fil WHERE", "FROM fil0 WHERE")
+    + """,
+sta AS (SELECT stream_id, frame, CASE stream_id % 7 WHEN 2 THEN 0 WHEN 3 THEN 40.0 * least(frame, 22) WHEN 4 THEN 100.0 * frame - CASE WHEN frame % 2 = 1 THEN 60 ELSE 0 END
+    WHEN 5 THEN 40.0 * least(frame, 33) + 60.0 * (frame - least(frame, 33)) WHEN 6 THEN 40.0 * least(frame, 33) + 45.0 * (frame - least(frame, 33)) ELSE 40.0 * frame END::DOUBLE AS pts_ms
+  FROM sta0 WHERE stream_id % 7 <> 1 OR frame < 15),
+fil AS (SELECT stream_id, count(*) AS n, min(pts_ms) AS first, max(pts_ms) AS last FROM sta GROUP BY 1),"""
+    + TIMING_RULES.replace("spread > 2000000.0", "spread > 50.0")
 )
+STARTS = """
+rec AS (SELECT DISTINCT stream_id, CASE WHEN stream_id % 3 <> 0 THEN TIMESTAMP '2024-02-28 23:59:58' + to_seconds(stream_id * 3661) END AS recording_start FROM trace),
+exp AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY "start", "end", label) AS number, label AS event, @A@ AS start_video_time, @B@ AS end_video_time,
+    round_even("end" - "start", 3) AS duration_s, coalesce(strftime(recording_start + to_microseconds(round_even("start" * 1000000, 0)::BIGINT), '%Y-%m-%d %H:%M:%S'), '') AS start_wall_clock,
+    coalesce(strftime(recording_start + to_microseconds(round_even("end" * 1000000, 0)::BIGINT), '%Y-%m-%d %H:%M:%S'), '') AS end_wall_clock, round_even(confidence * 100, 0)::INT AS confidence_pct,
+    CASE status WHEN 'confirmed' THEN 'detected' WHEN 'review' THEN 'needs review' ELSE 'failed' END AS status, 'activity' AS detector, notes
+  FROM (SELECT *, round_even("start" * 1000, 0)::BIGINT AS a, round_even("end" * 1000, 0)::BIGINT AS b FROM evt) JOIN rec USING (stream_id))"""
+WALK = """
+fr AS (SELECT stream_id, frame_index, NOT disturbed AND NOT (stream_id % 5 = 0 AND frame_index BETWEEN 10 AND 50) AS readable
+  FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY t, seq) - 1 AS frame_index FROM trace))"""
+REASONS = """SELECT stream_id, CASE WHEN "start" IS NULL THEN 'No liquid stream was detected at the outlet.' WHEN "end" IS NULL THEN 'Flow started but no end of flow could be determined.'
+  WHEN found = '' THEN 'Stream detected continuously with a clear start and a sustained end.' ELSE found END AS reasons
+FROM (SELECT *, concat_ws(' | ', CASE WHEN NOT end_confirmed THEN 'The video ended while liquid was still visible, so the efflux time is a lower bound rather than a measurement.' END,
+    CASE WHEN cont < 0.6::DOUBLE THEN 'The stream was only visible in ' || round_even(cont * 100, 0)::BIGINT || '% of the timed interval, which makes the end of flow ambiguous.' END,
+    CASE WHEN breaks > 1 THEN breaks || ' interruptions of the stream were seen before the end.' END,
+    CASE WHEN dis > 0.02::DOUBLE THEN round_even(dis * 100, 0)::BIGINT || '% of frames showed movement around the cup (camera or hand movement).' END,
+    CASE WHEN greatest(0, least(1, contrast / greatest(noise, 1e-6::DOUBLE) / 8)) < 0.3::DOUBLE THEN 'The stream contrast against the background is low; consider improving lighting or the background behind the stream.' END,
+    CASE WHEN efflux > 0 AND efflux < 24 THEN printf('The measured interval (%.2f s) is very short for a Zahn cup test.', round_even(efflux, 2)) END) AS found
+  FROM (SELECT *, greatest(0, least(1, continuity)) AS cont, greatest(0, least(1, disturbed::DOUBLE / greatest(1, frames))) AS dis FROM jud))"""
+TYPED = """SELECT o_orderkey, coalesce(strftime(s, '%Y-%m-%d %H:%M:%S'), '') AS start, coalesce(strftime(s + to_microseconds(round_even(greatest(0::DOUBLE, o_orderkey / 8 - 100) * 1000000, 0)::BIGINT), '%Y-%m-%d %H:%M:%S'), '') AS later
+FROM (SELECT o_orderkey, o_orderdate::DATE + [INTERVAL 27780 SECOND, INTERVAL 27780 SECOND, INTERVAL 27780 SECOND, INTERVAL 86399 SECOND, INTERVAL 250 MILLISECOND, INTERVAL 21900 SECOND, INTERVAL 0 SECOND, NULL, NULL, NULL][o_orderkey % 10 + 1] AS s FROM orders)"""
+PLAYER = r"""SELECT o_orderkey, CASE WHEN sec IS NULL THEN 'unknown' ELSE CASE WHEN w >= 3600 THEN printf('%d:%02d:%02d', w // 3600, w // 60 % 60, w % 60) ELSE printf('%d:%02d', w // 60, w % 60) END || ' (' || printf('%d.%d', k // 10, k % 10) || ' s)' END AS length,
+  CASE WHEN coalesce(b, 0) = 0 THEN 'unknown' WHEN b / 1048576 >= 1024 THEN printf('%.2f GB', floor(b / 1048576 / 1024 * 100 + 0.5::DOUBLE) / 100) ELSE printf('%.1f MB', b / 1048576) END AS size, printf('%d:%02d:%02d', v // 3600, v // 60 % 60, v % 60) AS at,
+  CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'Efflux time measured: ' || o_orderkey % 100 || ' s' WHEN 1 THEN 'A time was measured but needs review' ELSE 'No reliable efflux time could be measured' END
+    WHEN o_orderkey % 5 = 0 THEN 'Analysis complete - no events detected' ELSE 'Analysis complete - ' || o_orderkey % 5 || ' event(s) detected' END AS message,
+  replace(coalesce(o_orderpriority, ''), '-', '') || ' é.mp4' AS name
+FROM (SELECT *, floor(sec)::BIGINT AS w, coalesce(floor(sec), 0)::BIGINT AS v, floor(sec * 10 + 0.5::DOUBLE)::BIGINT AS k
+  FROM (SELECT *, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 90000) / 8 END AS sec, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey::BIGINT * 1048576 % 5000000000 END AS b FROM orders))"""
 STAMP = "printf('%d:%02d:%02d.%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 LOG = f"""SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY "start", "end", label) AS number, label, {STAMP.format("a")} AS start_text,
   {STAMP.format("b")} AS end_text, d AS duration_ms, round_even(confidence * 100, 0)::INT AS confidence_percent,
@@ -240,6 +275,31 @@ def oracle_sql() -> dict[str, str]:
         "expired_records": "SELECT o_custkey, max(o_orderdate) AS used_at FROM orders GROUP BY 1 HAVING max(o_orderdate) < TIMESTAMP '1998-01-01' - INTERVAL 2190 MINUTE",
         "review_times": q(TRACE, REVIEW),
         "roi_geometry": q(ROIS, "SELECT *, w >= 4 AND h >= 4 AND x >= 0 AND y >= 0 AND x + w <= 320 AND y + h <= 240 AS valid, greatest(0, x) AS c_x, greatest(0, y) AS c_y, greatest(0, least(320, x + w) - greatest(0, x)) AS c_w, greatest(0, least(240, y + h) - greatest(0, y)) AS c_h, round_even(x * 0.5, 0)::INT AS s_x, round_even(y * 0.5, 0)::INT AS s_y, greatest(1, round_even(w * 0.5, 0)::INT) AS s_w, greatest(1, round_even(h * 0.5, 0)::INT) AS s_h, greatest(0, x - 9) AS g_x, greatest(0, y - 9) AS g_y, least(320, x + w + 9) - greatest(0, x - 9) AS g_w, least(240, y + h + 4) - greatest(0, y - 9) AS g_h FROM r"),
+        "inner_regions": q(
+            ROIS
+            + ",\ng AS (SELECT *, greatest(0, x - 9) AS gx, greatest(0, y - 9) AS gy, least(320, x + w + 9) - greatest(0, x - 9) AS gw, least(240, y + h + 4) - greatest(0, y - 9) AS gh FROM r),"
+            + "\nk AS (SELECT *, round_even((x - gx) * 0.7::DOUBLE, 0)::INT AS ox, round_even((y - gy) * 0.7::DOUBLE, 0)::INT AS oy FROM g)",
+            "SELECT l_orderkey, l_linenumber, greatest(0, ox) AS i_x, greatest(0, oy) AS i_y, greatest(1, least(round_even(w * 0.7::DOUBLE, 0)::INT, greatest(1, round_even(gw * 0.7::DOUBLE, 0)::INT) - ox)) AS i_w, "
+            "greatest(1, least(round_even(h * 0.7::DOUBLE, 0)::INT, greatest(1, round_even(gh * 0.7::DOUBLE, 0)::INT) - oy)) AS i_h, x, y, w AS width, h AS height, w > 0 AND h > 0 AND x >= 0 AND y >= 0 AND x + w <= 320 AND y + h <= 240 AS usable FROM k",
+        ),
+        "last_frames": "SELECT o_orderkey, CASE WHEN c > 0 THEN least(floor(greatest(0, e) * f), c - 1) WHEN d IS NOT NULL THEN floor(greatest(0, least(e, d)) * f) WHEN e > 0 THEN floor(e * f) ELSE 1073741824 END::BIGINT AS last FROM (SELECT o_orderkey, (o_orderkey % 400 - 20)::DOUBLE AS e, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 250)::DOUBLE END AS d, 10::DOUBLE + o_orderkey % 50 AS f, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 5000 END AS c FROM orders)",
+        "event_rows": q(EVENTS + "," + STARTS.replace("@A@", STAMP.format("a")).replace("@B@", STAMP.format("b")), "SELECT * FROM exp"),
+        "boundary_events": q(DENSE, f'SELECT {iv}, number::INT AS number FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY "start", "end") AS number FROM dact) WHERE number <= 2'),
+        "recording_starts": TYPED,
+        "player_texts": PLAYER,
+        "flow_reasons": q(FLOW, REASONS),
+        "timing_rules": q(RULE_STAMPS, "SELECT stream_id, n, usable, reason, reason IN ('too_short_to_matter', 'constant') AS reliable, CASE WHEN reason IN ('no_usable_timestamps', 'unrepresentative_sample') THEN 'unverifiable' WHEN reason = 'timing_drift' THEN 'drift' WHEN reason NOT IN ('too_short_to_matter', 'constant') THEN 'variable_rate' END AS message FROM ver"),
+        "verified_windows": q(TIMING, "SELECT stream_id, w_start, landed FROM (SELECT stream_id, w_start, (w_start + (stream_id + w_start) % 71)::DOUBLE AS landed FROM ws WHERE (stream_id + w_start) % 4 <> 0 AND (stream_id + w_start) % 5 <> 0) WHERE abs(landed - w_start) <= 40"),
+        "scan_walk": "WITH RECURSIVE " + q(TRACE + "," + WALK + """,
+walk AS (SELECT DISTINCT stream_id, 0::BIGINT AS idx, 0 AS failed FROM trace UNION ALL
+  SELECT w.stream_id, CASE WHEN readable THEN idx + w.stream_id % 4 + 2 ELSE idx + 1 END, CASE WHEN readable THEN 0 ELSE failed + 1 END FROM walk w JOIN fr ON fr.stream_id = w.stream_id AND fr.frame_index = w.idx WHERE readable OR failed + 1 < 30)""", "SELECT w.stream_id, idx AS frame_index FROM walk w JOIN fr ON fr.stream_id = w.stream_id AND fr.frame_index = w.idx WHERE readable").removeprefix("WITH "),
+        "shown_frames": q(TRACE + "," + WALK, "SELECT *, min(CASE WHEN readable THEN frame_index END) OVER (PARTITION BY stream_id ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS shown FROM fr"),
+        "merged_overlaps": q(MERGED.replace("mb_1 AS (", 'ref60 AS (SELECT * REPLACE ("start" - 60 AS "start", "end" + 60 AS "end") FROM ref),\nmb_1 AS (', 1).replace("AS fresh FROM ref)", "AS fresh FROM ref60)"), f"SELECT {ev} FROM mer"),
+        "motion_events": """WITH n AS (SELECT user_id AS stream_id, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1),
+s AS (SELECT stream_id, (24 * k + 8)::DOUBLE AS "start", least(24 * k + 15, n - 1)::DOUBLE AS "end" FROM n, range(0, 10000) g(k) WHERE least(24 * k + 15, n - 1) - (24 * k + 8) >= 1),
+p AS (SELECT stream_id, "end" AS "start", lead("start") OVER (PARTITION BY stream_id ORDER BY "start") AS "end" FROM s)
+SELECT stream_id, 'Machine active' AS label, "start", "end", false AS truncated FROM s UNION ALL SELECT stream_id, 'Extended pause', "start", "end", false FROM p WHERE "end" IS NOT NULL""",
+        "liquid_run": """SELECT user_id AS stream_id, 8::DOUBLE AS "start", 15::DOUBLE AS "end", true AS end_confirmed, 'confirmed' AS status, 'Stream detected continuously with a clear start and a sustained end.' AS reasons FROM events WHERE ts IS NOT NULL GROUP BY 1""",
         "click_region": q(ROIS, "SELECT l_orderkey, l_linenumber, x AS px, y AS py, greatest(0, least(320 - 60, x - 30)) AS x, greatest(0, least(240 - 108, y - 4)) AS y, 60 AS w, 108 AS h FROM r"),
         "frame_levels": "SELECT label::BIGINT AS stream_id, vec_id AS frame_index, list_sum(px)::DOUBLE AS total, list_max(px)::DOUBLE AS brightest FROM (SELECT label, vec_id, list_transform(embedding, lambda v: round_even(greatest(0::DOUBLE, least(255::DOUBLE, (v::DOUBLE + 0.6::DOUBLE) * 200)), 0)) AS px FROM embeddings)",
     }

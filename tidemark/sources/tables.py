@@ -1,6 +1,6 @@
 """Bindings of stored tables to traces and frames."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,26 @@ def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").cast("long").alias("stream_id"), F.col("vec_id").alias("frame_index"), F.lit(8).alias("height"), F.lit(8).alias("width"), level.alias("pixels"))
 
 
+#: Size of the frames drawn from events, and the frames of each period in which something shows.
+WIDTH, HEIGHT, PERIOD, SHOWS = 32, 18, 24, (8, 16)
+
+
+def event_frames(spark: SparkSession, sf_dir: str, bar: bool = False, times: int = 1) -> DataFrame:
+    """A frame for each event, one recording a user, `times` as wide and high as the least one: grey with noise from the event's number, and in frames 8 to 15 of every 24 a bright block (or a bar from top to bottom)."""
+    width, height = WIDTH * times, HEIGHT * times
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null").select(F.col("user_id").alias("stream_id"), "ts", "event_id")
+    frame = F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id")) - 1
+    shown = (F.col("frame_index") % PERIOD).between(SHOWS[0], SHOWS[1] - 1)
+
+    def level(i):
+        x, y = F.floor(i % width / times), F.floor(i / (width * times))
+        place = x.between(14, 16) if bar else x.between(4, 11) & y.between(5, 12)
+        return (120 + F.pmod(F.xxhash64("event_id", i), F.lit(5)) + F.when(shown & place, 90).otherwise(0)).cast("float")
+
+    rows = e.select("stream_id", frame.cast("long").alias("frame_index"), "event_id")
+    return rows.select("stream_id", "frame_index", F.lit(height).alias("height"), F.lit(width).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), level).alias("pixels"))
+
+
 def frame_files(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     """Frames from image files named <stream>/<index>.<suffix>: what Spark's image source reads, with stream and index."""
     raw = spark.read.format("image").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
