@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from tidemark.llm import sharding
+from tidemark.llm.common import with_row_ids
 
 
 def rows():
@@ -18,7 +19,7 @@ def frame(spark, data):
 
 
 def placed(df):
-    return sharding.placed(sharding.keyed(df), ["doc_id"])
+    return sharding.placed(with_row_ids(sharding.keyed(df)), ["doc_id"])
 
 
 def check(out, data):
@@ -78,5 +79,9 @@ def test_query_columns_and_empty(spark, tmp_path):
     assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
     assert Counter((r.doc_id, r.text_crc32) for r in out.collect()) == Counter((d, zlib.crc32((t or "").encode())) for d, t, _ in rows())
     assert placed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    # A scan of files has row numbers of its own: nothing but keys is written.
+    data = [(i, f"text {i}", "x") for i in range(2000)] + [(77, "the same row", "y")] * 9000
+    frame(spark, data).repartition(3).write.parquet(f"{tmp_path}/alike")
+    check(placed(spark.read.parquet(f"{tmp_path}/alike")).collect(), data)
     kept = sharding.sharded(frame(spark, rows()))
     assert kept.columns == ["doc_id", "text", "shard", "slot"] and kept.count() == len(rows())

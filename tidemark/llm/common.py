@@ -1,5 +1,6 @@
 """What the corpus operators share: table access and lineage cuts in the shared folder."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_ids(df: DataFrame, name: str = "_tm_row") -> DataFrame:
+    """df with a number for each row that is the same whenever the row is read: from its file and its place there, or, where df is no plain scan of files, by writing it once."""
+    try:
+        return df.withColumn(name, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    except AnalysisException:
+        return materialize(df.withColumn(name, F.xxhash64(F.monotonically_increasing_id())), "rows")
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if its counted rows are within the bound, else df as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -1,7 +1,7 @@
 """A mix of sources to target weights: hash-random order, a range sort, distributed prefix sums, a cut at the exact budget.
 
-Each row has a random key, an MD5 of seed, doc_id and text, and a stored row number that orders rows alike. Within each source rows are sorted by ranges of the key: a source
-has as many ranges as its rows ask for, and a key of very many rows is cut by the stored partitions they lie in. Prefix sums of the ranges' words, and of the words inside
+Each row has a random key, an MD5 of seed, doc_id and text, and a row number, the same at every reading, that orders rows alike. Within each source rows are sorted by ranges of the key: a source
+has as many ranges as its rows ask for, and a key of very many rows is cut by row number. Prefix sums of the ranges' words, and of the words inside
 each range, give every row the words before it in its source; the row in which the rest of the source's budget ends is the cut. A budget over the source's size takes
 whole epochs first. The mix is then a comparison of each row with its source's cut, so no text is ever moved.
 
@@ -15,12 +15,12 @@ taken; an empty table gives no rows.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_broadcast, materialize, table
+from tidemark.llm.common import bounded_broadcast, materialize, table, with_row_ids
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 SPACE = " \t\n\x0b\f\r"
 #: Rows that one range of a source should have.
-RANGE_ROWS = 1_000_000
+RANGE_ROWS = 100_000
 #: Hexadecimal digits of the key that make ranges.
 DIGITS = 7
 
@@ -66,7 +66,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def budgets(docs: DataFrame, source: str) -> DataFrame:
-    """One row a source: its size, target, whole epochs, and the row (key and number) in which the rest of the budget ends, with the words it gives. docs are stored, with _tm_size, _tm_key and _tm_row."""
+    """One row a source: its size, target, whole epochs, and the row (key and number) in which the rest of the budget ends, with the words it gives. docs are stored digests, with _tm_size, _tm_key and _tm_row."""
     rows = docs.where("_tm_size > 0").select(F.col(source).alias("_tm_source"), "_tm_size", "_tm_key", "_tm_row")
     sizes = materialize(docs.groupBy(F.col(source).alias("_tm_source")).agg(F.sum("_tm_size").alias("_tm_of"), F.count("*").alias("n")), "mix-sizes")
     goal = targets(sizes.select("_tm_source", "_tm_of"))
@@ -75,7 +75,7 @@ def budgets(docs: DataFrame, source: str) -> DataFrame:
     parts = sizes.select(F.col("_tm_source").alias("s"), F.ceil(F.col("n") / RANGE_ROWS).alias("parts"))
     goal = materialize(goal.join(parts, goal["_tm_source"].eqNullSafe(parts["s"])).drop("s"), "mix-goals")
 
-    # Ranges of the key, by source; a key of more rows than a range is a range by itself, cut by the partitions that its rows are stored in.
+    # Ranges of the key, by source; a key of more rows than a range is a range by itself, cut into 256 by row number.
     hot = rows.groupBy("_tm_source", "_tm_key").agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS).groupBy(F.col("_tm_source").alias("h")).agg(F.array_sort(F.collect_list("_tm_key")).alias("_tm_hot"))
     ranges = goal.join(hot, goal["_tm_source"].eqNullSafe(F.col("h")), "left").select(F.col("_tm_source").alias("s"), "parts", F.coalesce("_tm_hot", F.array().cast("array<string>")).alias("_tm_hot"))
     ranges = materialize(ranges, "mix-ranges")
@@ -86,7 +86,7 @@ def budgets(docs: DataFrame, source: str) -> DataFrame:
         {
             "_tm_range": F.floor(whole * F.col("parts") / F.lit(16**DIGITS)),
             "_tm_step": F.when(F.size("_tm_hot") == 0, 0).otherwise(2 * F.size(F.filter("_tm_hot", lambda h: h < F.col("_tm_key"))) + is_hot.cast("int")),
-            "_tm_piece": F.when(is_hot, F.shiftright("_tm_row", 33)).otherwise(F.lit(0).cast("long")),
+            "_tm_piece": F.when(is_hot, F.shiftright("_tm_row", 56)).otherwise(F.lit(0).cast("long")),
         }
     ).select("_tm_source", "_tm_size", "_tm_key", "_tm_row", "_tm_range", "_tm_step", "_tm_piece")
     bins = ["_tm_source", "_tm_range", "_tm_step", "_tm_piece"]
@@ -104,9 +104,9 @@ def budgets(docs: DataFrame, source: str) -> DataFrame:
     return materialize(goal.join(cut, F.col("_tm_source").eqNullSafe(F.col("s")), "left").drop("s", "parts", "_tm_rest"), "mix-budgets")
 
 
-def mixed(docs: DataFrame, source: str = "source") -> DataFrame:
-    """docs (stored, with _tm_size, _tm_key and _tm_row) with _tm_of, _tm_target, _tm_epochs (whole repeats) and _tm_last (words of the cut epoch)."""
-    goal = budgets(docs, source)
+def mixed(docs: DataFrame, digests: DataFrame, source: str = "source") -> DataFrame:
+    """docs (with _tm_size, _tm_key and _tm_row, as in the stored digests) with _tm_of, _tm_target, _tm_epochs (whole repeats) and _tm_last (words of the cut epoch)."""
+    goal = budgets(digests, source)
     rows = docs.join(bounded_broadcast(goal, goal.count()), docs[source].eqNullSafe(goal["_tm_source"]))
     key, row = F.col("_tm_cut_key"), F.col("_tm_cut_row")
     below = (F.col("_tm_key") < key) | ((F.col("_tm_key") == key) & (F.col("_tm_row") < row))
@@ -115,24 +115,21 @@ def mixed(docs: DataFrame, source: str = "source") -> DataFrame:
     return rows.select(*docs.columns, "_tm_of", "_tm_target", "_tm_epochs", last.alias("_tm_last"))
 
 
-def stored_rows(docs: DataFrame) -> DataFrame:
-    return materialize(docs.withColumn("_tm_row", F.monotonically_increasing_id()), "mix-rows")
-
-
 def repeated(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The mix as rows: each one once for every epoch that takes it. The row in which a budget ends is whole where at least half of it is within, else left out."""
     columns = docs.columns
-    rows = mixed(stored_rows(with_keys(docs, text, doc_id)), source)
+    rows = with_row_ids(with_keys(docs, text, doc_id))
+    rows = mixed(rows, materialize(rows.select(source, "_tm_size", "_tm_key", "_tm_row"), "mix-rows"), source)
     times = F.col("_tm_epochs") + (F.col("_tm_last") * 2 >= F.col("_tm_size")).cast("int")
     rows = rows.where("_tm_size > 0").withColumn("_tm_times", F.array_repeat(F.lit(1), times.cast("int")))
     return rows.withColumn("_tm_copy", F.explode("_tm_times")).select(*columns)
 
 
 def op8(spark, sf_dir) -> DataFrame:
-    docs = with_keys(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    docs = stored_rows(docs.select("doc_id", "source", "_tm_size", "_tm_key"))
+    docs = with_row_ids(with_keys(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    docs = materialize(docs.select("doc_id", "source", "_tm_size", "_tm_key", "_tm_row"), "mix-rows")
     taken = F.col("_tm_epochs") * F.col("_tm_size") + F.col("_tm_last")
-    return mixed(docs).select("doc_id", F.col("_tm_size").alias("size"), F.col("_tm_of").alias("source_size"), F.col("_tm_target").alias("target"), taken.cast("long").alias("taken"))
+    return mixed(docs, docs).select("doc_id", F.col("_tm_size").alias("size"), F.col("_tm_of").alias("source_size"), F.col("_tm_target").alias("target"), taken.cast("long").alias("taken"))
 
 
 OP8_SQL = r"""

@@ -1,7 +1,7 @@
 """Shards of near equal bytes by histogram sort.
 
 Rows get a 96-bit sort key: a hash of the text in the upper 32 bits, so that equal texts (a group) stand together, a hash of the doc_id in the next
-32, and a stored row number's hash in the last 32, so that even rows alike in everything can be cut anywhere. Rounds of exact counts of the bytes below
+32, and a row number that is the same at every reading in the last 32, so that even rows alike in everything can be cut anywhere. Rounds of exact counts of the bytes below
 candidate boundaries, summed over all partitions, narrow each splitter's interval by STEP_BITS until it holds no more bytes
 than the tolerance; a group of at most GROUP of a shard's bytes is never cut: the splitter goes to its nearer edge. Then rows are exchanged once, each
 shard as as many parts as its bytes ask for, sorted by key, and numbered.
@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, table, with_row_ids
 
 SHARDS = 24
 #: Most bytes that a splitter may be off, and most bytes of a group that is never cut, as shares of a shard's bytes.
@@ -78,12 +78,10 @@ def splitters(keys: DataFrame, goals: list[float], tolerance: float, group: floa
 
 
 def placed(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame:
-    """rows (with _tm_key and _tm_bytes) with _tm_shard and _tm_slot, the row's place in its shard: by part, then by key and the named columns."""
+    """rows (with _tm_key, _tm_bytes and _tm_row, the same at every reading) with _tm_shard and _tm_slot, the row's place in its shard: by part, then by key and the named columns."""
     columns = rows.columns
-    # Stored, so that a row's number is the same in every round and in the exchange.
-    rows = materialize(rows.withColumn("_tm_row", F.monotonically_increasing_id()), "shard-rows")
     rows = rows.withColumn("_tm_tie", F.shiftrightunsigned(F.xxhash64("_tm_row", F.lit("tie")), 32))
-    keys = rows.select("_tm_key", "_tm_tie", "_tm_bytes")
+    keys = materialize(rows.select("_tm_key", "_tm_tie", "_tm_bytes"), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("_tm_bytes"), F.lit(0))).first()[0]
     m = min(max(LEAST_PARTS, -(-total // (PART_BYTES * shards))), MOST_PARTS // shards)
     each = total / shards
@@ -104,12 +102,12 @@ def placed(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame
 
 def op7(spark, sf_dir) -> DataFrame:
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    docs = keyed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_tm_key", "_tm_bytes", crc.alias("_tm_crc"))
-    rows = placed(docs, ["doc_id", "_tm_bytes", "_tm_crc"])
+    docs = with_row_ids(keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "_tm_key", "_tm_bytes", crc.alias("_tm_crc"), "_tm_row")
+    rows = placed(materialize(docs, "shard-rows"), ["doc_id", "_tm_bytes", "_tm_crc"])
     return rows.select("doc_id", F.col("_tm_bytes").alias("size"), F.col("_tm_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def sharded(docs: DataFrame) -> DataFrame:
     """docs with shard and slot; columns of these names that docs has already give way."""
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return placed(keyed(docs), ["doc_id"]).select(*kept, F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"))
+    return placed(with_row_ids(keyed(docs)), ["doc_id"]).select(*kept, F.col("_tm_shard").cast("int").alias("shard"), F.col("_tm_slot").cast("long").alias("slot"))
