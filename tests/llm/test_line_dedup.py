@@ -10,7 +10,7 @@ def rows():
     out = []
     for i in range(90):
         url = f"https://user@Host{i % 4}.example.com:80/p/{i}?q#x" if i % 10 else f"http://lone{i}.org"
-        body = f"<nav>Home | News</nav><script>var a='<p>';\nb()</script><p>Own  line {i}</p><p>Own  line {i}</p><!-- c -->" + ("<p>rare</p>" if i % 9 == 0 else "") + "<style>p{}</style><footer>Imprint\n </footer>"
+        body = f"<nav>Home | News</nav><script>var a='<p>';\nb()</script><p>Own  line {i}</p><p>O<b>wn</b>  line <a href='/x'>{i}</a></p><br/><!-- c -->" + ("<p>rare</p>" if i % 9 == 0 else "") + "<style>p{}</style><footer>Imprint\n </footer>"
         out.append((i, url, body))
     out += [(None, None, None), (100, "no host", "<p>a</p>"), (100, "no host", "<p>a</p>"), (101, "x://", ""), (102, None, "<p>a</p>"), (103, "https://host0.example.com", "Home | News\n" * 20000)]
     return [(*r, "n") for r in out]

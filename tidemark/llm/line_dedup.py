@@ -1,6 +1,6 @@
 """Line dedup by site-relative frequency.
 
-Lines are the texts between a page's tags. A line's frequency is the number of its host's pages that contain it, divided by
+Lines are the texts between a page's tags, those of inline elements (links, emphasis, spans) left out of account. A line's frequency is the number of its host's pages that contain it, divided by
 the host's pages; lines over RATIO, on at least PAGES pages, are boilerplate and go. A host's boilerplate lines are at
 most (mean lines of a page) / RATIO, so they travel as one array a host, broadcast if their counted number is small, else
 joined with pages salted over SALTS parts, so that no host is handled by one task.
@@ -22,8 +22,13 @@ BROADCAST_LINES, SALTS = 500_000, 32
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 
 
+#: Tags that do not end a line.
+INLINE = r"(?i)</?(?:a|abbr|b|bdi|bdo|big|cite|code|del|dfn|em|font|i|ins|kbd|label|mark|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var)(?:\s[^>]*)?>"
+
+
 def lines(html: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n"), "<[^>]*>", "\n")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n"), INLINE, "")
+    bare = F.regexp_replace(bare, "<[^>]*>", "\n")
     return F.filter(F.transform(F.split(bare, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r"))), lambda x: x != "")
 
 
@@ -67,7 +72,7 @@ def op3(spark, sf_dir) -> DataFrame:
 OP3_SQL = r"""
 WITH p AS (
   SELECT row_number() OVER () AS r, page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '')) AS host,
-    list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), chr(10)),
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g'), '@INLINE@', '', 'g'), '<[^>]*>', chr(10), 'g'), chr(10)),
       lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines
   FROM pages),
 h AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
@@ -75,4 +80,4 @@ c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(l
 d AS (SELECT host, list(line) AS drops FROM c JOIN h USING (host) WHERE n >= 3 AND n > 0.2::DOUBLE * pages GROUP BY host),
 k AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(drops, []), x)) AS kept FROM p LEFT JOIN d USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k
-"""
+""".replace("@INLINE@", INLINE)

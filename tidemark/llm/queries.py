@@ -1,6 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
 from tidemark.llm import decontam, html_crf, langid, line_dedup, mixing, quality_pu, quality_rules, secrets, sharding, simhash
+from tidemark.llm.common import table
 
 
 def queries() -> dict:
@@ -15,6 +16,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8,
         "op9_quality_classifier": quality_pu.op9,
         "op10_language_id": langid.op10,
+        # What two of the operators make of the documents.
+        "redacted_documents": lambda spark, sf_dir: secrets.redacted(table(spark, sf_dir, "documents").select("doc_id", "text")),
+        "cleaned_documents": lambda spark, sf_dir: quality_rules.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text")),
     }
 
 
