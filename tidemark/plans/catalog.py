@@ -47,6 +47,7 @@ def strongest(trace: DataFrame) -> DataFrame:
 
 
 def windows(trace: DataFrame) -> DataFrame:
+    trace = trace.repartition("stream_id")  # every step after works by stream: one exchange, and none of the joins and windows needs another
     return refine.windows(strongest(trace).select("stream_id", "start", "end"), trace, ROLL)
 
 
@@ -127,6 +128,12 @@ def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.expired(used, "used_at", F.lit("1998-01-01").cast("timestamp_ntz"), 36.5)
 
 
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer keys of orders, tripled, so that many have no record."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") * 3).alias("c_custkey")).distinct()
+    return probe.looked_up(keys, spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"), "c_custkey")
+
+
 def reviewed(trace: DataFrame) -> DataFrame:
     s, end = F.col("score") * 20, F.lit(6000.0)
     w, h = (F.col("seq") % 90).cast("int"), (F.col("seq") % 70).cast("int")
@@ -265,6 +272,7 @@ def queries() -> dict:
         "media_probe": lambda spark, sf_dir: rounded(media(spark, sf_dir)),
         "orphaned_files": orphaned,
         "expired_records": purged,
+        "record_lookup": looked_up,
         "review_times": _of_trace(lambda t: rounded(reviewed(t))),
         "event_rows": _of_trace(exported),
         "event_json": _of_trace(lambda t: report.export_json(exported(t), recording_starts(t))),

@@ -272,6 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "rate_estimates": q(TRACE, RATES),
         "media_probe": MEDIA,
         "orphaned_files": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
+        "record_lookup": "SELECT k AS c_custkey, c_nationkey, c_custkey IS NOT NULL AS found FROM (SELECT DISTINCT o_custkey * 3 AS k FROM orders) LEFT JOIN customer ON c_custkey = k",
         "expired_records": "SELECT o_custkey, max(o_orderdate) AS used_at FROM orders GROUP BY 1 HAVING max(o_orderdate) < TIMESTAMP '1998-01-01' - INTERVAL 2190 MINUTE",
         "review_times": q(TRACE, REVIEW),
         "roi_geometry": q(ROIS, "SELECT *, w >= 4 AND h >= 4 AND x >= 0 AND y >= 0 AND x + w <= 320 AND y + h <= 240 AS valid, greatest(0, x) AS c_x, greatest(0, y) AS c_y, greatest(0, least(320, x + w) - greatest(0, x)) AS c_w, greatest(0, least(240, y + h) - greatest(0, y)) AS c_h, round_even(x * 0.5, 0)::INT AS s_x, round_even(y * 0.5, 0)::INT AS s_y, greatest(1, round_even(w * 0.5, 0)::INT) AS s_w, greatest(1, round_even(h * 0.5, 0)::INT) AS s_h, greatest(0, x - 9) AS g_x, greatest(0, y - 9) AS g_y, least(320, x + w + 9) - greatest(0, x - 9) AS g_w, least(240, y + h + 4) - greatest(0, y - 9) AS g_h FROM r"),

@@ -39,6 +39,11 @@ def orphans(files: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return files.join(records.select(key), key, "left_anti")
 
 
+def looked_up(keys: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """keys with their record's columns and `found`; a key without a record keeps its row."""
+    return keys.join(records.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def expired(records: DataFrame, used_at: str, now: Column, hours: float) -> DataFrame:
     """Records that were last used before now - hours."""
     return records.where(F.col(used_at) < now - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(int(hours % 1 * 60))))
