@@ -4,12 +4,14 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock, geometry
 from tidemark.operators import detect, intervals, liquid, pixels, prepare, refine, report
 from tidemark.operators.settings import RefineSettings, RunSettings, ScanSettings, overridden
 from tidemark.plans import catalog
+from tidemark.streaming.flows import flow_stream
 from tidemark.streaming.scoring import liquid_stream, persistent_stream
 from tidemark.sources.tables import event_frames, events_trace
 
@@ -130,6 +132,25 @@ def test_windows_meet_their_samples(spark):
     assert sorted((r.stream_id, r.window_id, r.seq) for r in got.collect()) == sorted((s, k, i) for s, t, i in samples for v, k, a, b in wins if s == v and a <= t <= b)
 
 
+def test_flows_on_a_stream_as_by_windows(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    samples = catalog.flow_samples(events_trace(spark, sf)).drop("score")
+    for part in range(3):  # three triggers, so that the machine goes on from its state
+        third = samples.withColumn("part", F.ntile(3).over(Window.partitionBy("stream_id").orderBy("t", "seq"))).where(F.col("part") == part + 1).drop("part")
+        third.coalesce(1).sortWithinPartitions("t", "seq").write.parquet(f"{tmp_path}/in/{part}")
+    source = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(f"{tmp_path}/in")
+    q = flow_stream(source, *catalog.FLOW.values(), catalog.BREAK).writeStream.format("memory").queryName("flows").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = catalog.flows(events_trace(spark, sf)).where("end_confirmed")
+    names = want.columns
+
+    def rounded(rows):
+        return sorted(tuple(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in names) for r in rows)
+
+    got = rounded(spark.table("flows").collect())
+    assert len(got) > 10 and got == rounded(want.collect())
+
+
 def test_recording_starts(spark):
     rows = ["2026-03-04T07:43:00", "2026-03-04 07:43:00", "2026-03-04 07:43", " 2026-03-04T07:43:00Z ", "2026-03-04T07:43:00.5+02:00", "20260304T074300", "2026-03-04", "2026-02-30", "2026-03-04T24:00:00", "now", "", None, "2026-03-04T07:43:00Zx"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
