@@ -5,7 +5,8 @@ or not at all, so of its shingles, ordered by rarity in the documents, the rares
 prefix. One pass over the documents counts the items' shingles; a second one joins document shingles with
 the prefixes, keeps starts where the window lies inside the document (positional and length bounds) and
 verifies all words exactly: by the hash of the whole window, of which each start has at most one, then word by word, so that the work is
-linear in the text however often words repeat. Items are broadcast in blocks of about BLOCK_BYTES of text, one pass each.
+linear in the text however often words repeat. Items are broadcast in blocks of about BLOCK_BYTES of text. Where there are several blocks, one pass first sets
+aside all documents none of whose windows is in a bit filter of all items' windows (of fixed size, exact for what it sets aside), so that only suspects are read once a block.
 
 Defined results: a null or empty text has no words; repeated documents keep one row each; repeated items and item ids
 count once; rows that tie in rarity take the leftmost shingle; a null item id reads as ''; no items, or no documents, give zero counts or no rows.
@@ -24,6 +25,8 @@ BLOCK_BYTES = 16 << 20
 CHUNK = 1 << 20
 #: Candidates that are verified at a time.
 PIECE = 1 << 18
+#: Bits of the filter of all windows, as a power of two.
+FILTER_BITS = 27
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -222,6 +225,11 @@ def marked(docs: DataFrame, items: DataFrame, columns: list[str], text: str = "t
     if blocks > 1:
         items = materialize(items, "items")
     out = docs.select(*columns, F.col(text).cast("binary").alias("_tm_text"), F.lit(0).cast("long").alias("_tm_n"), F.array().cast("array<long>").alias("_tm_spans"), F.array().cast("array<string>").alias("_tm_items"))
+    aside = None
+    if blocks > 1:
+        looked = materialize(_filtered(out, items), "looked")
+        aside, out = looked.where("_tm_text is null"), looked.where("_tm_text is not null")
+        docs, text = out, "_tm_text"
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block)
         index = Index([(i, bytes(t)) for i, t in part.collect()])
@@ -229,7 +237,59 @@ def marked(docs: DataFrame, items: DataFrame, columns: list[str], text: str = "t
         out = out.mapInArrow(_marker(spark.sparkContext.broadcast(index)), out.schema)
         if block < blocks - 1:
             out = materialize(out, "marked")  # one block's workers at a time
-    return out.drop("_tm_text")
+    return (out.union(aside) if aside is not None else out).drop("_tm_text")
+
+
+def _window_bits(words: Words, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the filter of all runs of these many words that lie within a text, and each one's text."""
+    places, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    text_of = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
+    for size in sizes:
+        h = words.shingles(size)
+        own = text_of[: len(h)]
+        within = np.arange(len(h)) + size <= words.offsets[own + 1]
+        places.append(((h ^ np.uint64(size)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)[within])
+        texts.append(own[within])
+    return np.concatenate(places), np.concatenate(texts)
+
+
+def _filtered(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs with _tm_n, and with _tm_text kept only where a window may be an item's."""
+
+    def bits(batches):
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            for a, b in _chunks(texts):
+                words = Words(texts[a:b])
+                n = np.diff(words.offsets)
+                for size in range(1, WINDOW + 1):
+                    place, text = _window_bits(words, [size])
+                    place = np.unique(place[(n[text] == size) | ((size == WINDOW) & (n[text] > size))])
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.full(len(place), size))], ["place", "size"])
+
+    found = materialize(items.mapInArrow(bits, "place long, size long").distinct(), "item-windows")
+    sizes = sorted(r.size for r in found.select("size").distinct().collect())
+    # At most 2 ** (FILTER_BITS - 6) rows of 64 bits.
+    rows = found.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits")).toPandas()
+    words = np.zeros(1 << (FILTER_BITS - 6), "<i8")
+    words[rows["word"]] = rows["bits"]
+    given = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        known = given.value.view("<u8")
+        for batch in batches:
+            names, texts = batch.schema.names, batch.column("_tm_text").to_pylist()
+            n, suspect = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+            for a, b in _chunks(texts):
+                words = Words(texts[a:b])
+                n[a:b] = np.diff(words.offsets)
+                place, text = _window_bits(words, sizes)
+                hit = (known[place >> 6] >> (place & 63).astype("<u8")) & np.uint64(1)
+                suspect[a + text[hit > 0]] = True
+            new = {"_tm_n": pa.array(n), "_tm_text": pa.array([t if s else None for t, s in zip(texts, suspect)], pa.binary())}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _marker(given):
