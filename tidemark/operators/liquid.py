@@ -4,7 +4,6 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.operators.pixels import blob_labels, scored
@@ -57,11 +56,14 @@ def liquid_pixels(mask: np.ndarray, settings: LiquidSettings) -> np.ndarray:
     if not len(rows):
         return mask
     _, part = np.unique(blob_labels(mask)[rows, columns], return_inverse=True)
-    boxes = pd.DataFrame({"part": part, "row": rows, "column": columns}).groupby("part").agg(top=("row", "min"), bottom=("row", "max"), left=("column", "min"), right=("column", "max"), area=("row", "size"))
-    tall, wide = boxes["bottom"] - boxes["top"] + 1, boxes["right"] - boxes["left"] + 1
+    area, n = np.bincount(part), part.max() + 1
+    top, bottom, left, right = np.full(n, height), np.full(n, -1), np.full(n, width), np.full(n, -1)
+    for edge, at, take in ((top, rows, np.minimum), (bottom, rows, np.maximum), (left, columns, np.minimum), (right, columns, np.maximum)):
+        take.at(edge, part, at)
+    tall, wide = bottom - top + 1, right - left + 1
     is_stream = tall >= settings.least_stream_height * height
-    is_drop = (boxes["area"] >= settings.least_drop_area) & (tall >= settings.least_drop_height)
-    good = ((wide <= settings.most_width * width) & (is_stream | is_drop)).to_numpy()
+    is_drop = (area >= settings.least_drop_area) & (tall >= settings.least_drop_height)
+    good = (wide <= settings.most_width * width) & (is_stream | is_drop)
     out = np.zeros_like(mask)
     out[rows[good[part]], columns[good[part]]] = True
     return out
