@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import decontam, html_crf, langid, line_dedup, mixing, prefix_trie, quality_pu, quality_rules, resampling, secrets, sharding, simhash
+from tidemark.llm import decontam, html_crf, langid, line_dedup, lm_scoring, mixing, prefix_trie, quality_pu, quality_rules, resampling, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op10_language_id": langid.op10,
         "op11_importance_resampling": resampling.op11,
         "op12_prefix_trie": prefix_trie.op12,
+        "op13_lm_scoring": lm_scoring.op13,
         # What two of the operators make of the documents.
         "redacted_documents": lambda spark, sf_dir: secrets.redacted(table(spark, sf_dir, "documents").select("doc_id", "text")),
         "cleaned_documents": lambda spark, sf_dir: quality_rules.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text")),
