@@ -1,46 +1,66 @@
 """Timing of one flow a stream: persistence rules as two passes of gaps and islands."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import clamp, safe_ratio
-from tidemark.operators.intervals import persistent
+from tidemark.operators.intervals import before_pieces, earlier, groups_of, persistent
+from tidemark.sources.stored import stored
 
 KEY = ["stream_id"]
+#: Most streams whose own rows are broadcast to their samples.
+BROADCAST_STREAMS = 100_000
+
+
+def _of_stream(rows: DataFrame, **found: Column) -> DataFrame:
+    """rows with aggregates over their whole stream: by a window, or, for samples that are cut, by a small table."""
+    if "piece" not in rows.columns:
+        return rows.withColumns({name: c.over(Window.partitionBy("stream_id")) for name, c in found.items()})
+    each = stored(rows.groupBy("stream_id").agg(*[c.alias(name) for name, c in found.items()]), "streams")
+    return rows.join(F.broadcast(each) if each.count() <= BROADCAST_STREAMS else each, "stream_id")
+
+
+def _counted(rows: DataFrame, name: str, what: Column, order: list[str]) -> DataFrame:
+    """rows with the running sum of `what` in a stream, the row itself included."""
+    upto = Window.partitionBy(*groups_of(rows, KEY)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_what", what).withColumn(name, F.sum("_what").over(upto))
+    if "piece" in rows.columns:
+        rows = before_pieces(rows, KEY, [F.sum("_what").alias("e_sum")], {"_sum": F.sum("e_sum").over(earlier(KEY))})
+        rows = rows.withColumn(name, F.col(name) + F.coalesce("_sum", F.lit(0))).drop("_sum")
+    return rows.drop("_what")
 
 
 def phases(samples: DataFrame, threshold: float, start_hold: float, end_hold: float) -> DataFrame:
     """samples (stream_id, t, seq, activity, outlet, liquid, contrast, noise, disturbed) with pos, ok, present, absent, and the stream's c_pos, c_t, start (of the
     confirmed start) and e_pos (of the confirmed end): null where there is none. Rows after the end are gone."""
-    order = Window.partitionBy("stream_id").orderBy("t", "seq")
-    rows = samples.withColumns({"pos": F.row_number().over(order), "ok": ~F.col("disturbed")})
+    rows = _counted(samples, "pos", F.lit(1), ["t", "seq"]).withColumn("ok", ~F.col("disturbed"))
     rows = rows.withColumns({"present": F.col("ok") & F.coalesce(F.col("liquid"), F.col("activity") >= threshold), "at_outlet": F.col("ok") & (F.col("outlet") >= threshold)})
     rows = persistent(rows, KEY, "at_outlet", start_hold).withColumnsRenamed({"run_start": "start_run", "fires": "start_fires"})
-    stream = Window.partitionBy("stream_id")
-    first = F.min(F.when(F.col("start_fires"), F.struct("pos", "t", "start_run"))).over(stream)
-    rows = rows.withColumn("c", first).withColumns({"c_pos": F.col("c.pos"), "c_t": F.col("c.t"), "start": F.col("c.start_run")}).drop("c")
+    rows = _of_stream(rows, c=F.min(F.when(F.col("start_fires"), F.struct("pos", "t", "start_run"))))
+    rows = rows.withColumns({"c_pos": F.col("c.pos"), "c_t": F.col("c.t"), "start": F.col("c.start_run")}).drop("c")
     rows = rows.withColumn("absent", F.coalesce(F.col("pos") > F.col("c_pos"), F.lit(False)) & F.col("ok") & ~F.col("present"))
     rows = persistent(rows, KEY, "absent", end_hold).withColumnsRenamed({"run_start": "gap_start", "fires": "end_fires"})
-    rows = rows.withColumn("e_pos", F.min(F.when(F.col("end_fires"), F.col("pos"))).over(stream))
+    rows = _of_stream(rows, e_pos=F.min(F.when(F.col("end_fires"), F.col("pos"))))
     return rows.where(F.col("e_pos").isNull() | (F.col("pos") <= F.col("e_pos")))
 
 
 def breaks(rows: DataFrame, least: float) -> DataFrame:
     """From phases(): gaps of at least `least` that ended with liquid: stream_id, start, end. A disturbed sample ends a gap unseen."""
-    before = F.lag(F.when(F.col("absent"), F.col("gap_start"))).over(Window.partitionBy("stream_id").orderBy("pos"))
-    found = rows.withColumn("from", before).where(F.col("present") & (F.col("t") - F.col("from") >= least))
+    gap = F.when(F.col("absent"), F.col("gap_start"))
+    rows = rows.withColumn("from", F.lag(gap).over(Window.partitionBy(*groups_of(rows, KEY)).orderBy("pos")))
+    if "piece" in rows.columns:
+        rows = before_pieces(rows, KEY, [F.max_by(gap, "pos").alias("e_gap"), F.min("pos").alias("e_pos1")], {"s_gap": F.lag("e_gap").over(Window.partitionBy("stream_id").orderBy("piece")), "s_pos": F.col("e_pos1")})
+        rows = rows.withColumn("from", F.when(F.col("pos") == F.col("s_pos"), F.col("s_gap")).otherwise(F.col("from")))
+    found = rows.where(F.col("present") & (F.col("t") - F.col("from") >= least))
     return found.select("stream_id", F.col("from").alias("start"), F.col("t").alias("end"))
 
 
 def measurements(rows: DataFrame, threshold: float, least_break: float) -> DataFrame:
     """From phases(): one row a stream."""
     after = F.col("pos") > F.col("c_pos")
-    order = Window.partitionBy("stream_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     # Only an undisturbed sample away from the outlet starts the margins anew.
-    rows = rows.withColumn("margin_run", F.sum(F.when(F.col("ok") & ~F.col("at_outlet"), 1).otherwise(0)).over(order))
-    stream = Window.partitionBy("stream_id")
-    rows = rows.withColumn("c_run", F.max(F.when(F.col("pos") == F.col("c_pos"), F.col("margin_run"))).over(stream))
-    rows = rows.withColumn("last_pos", F.coalesce(F.max(F.when(after & F.col("present"), F.col("pos"))).over(stream), F.col("c_pos")))
+    rows = _counted(rows, "margin_run", F.when(F.col("ok") & ~F.col("at_outlet"), 1).otherwise(0), ["pos"])
+    rows = _of_stream(rows, c_run=F.max(F.when(F.col("pos") == F.col("c_pos"), F.col("margin_run"))), last_pos=F.max(F.coalesce(F.when(after & F.col("present"), F.col("pos")), F.col("c_pos"))))
     in_margin = F.col("at_outlet") & (F.col("margin_run") == F.col("c_run")) & (F.col("pos") <= F.col("c_pos"))
     trailing = F.count_if(F.col("absent") & (F.col("pos") > F.col("last_pos")))
     got = rows.groupBy("stream_id").agg(
