@@ -29,9 +29,9 @@ FOLDS, HELD_OUT = 5, 1
 ORDER = 2
 #: Weight of the order below, in counts.
 PRIOR = 40.0
-STEP, BITS, HASHES = 1.5, 12, 4
+STEP, BITS, HASHES = 1.5, 10, 4
 #: Tokens whose runs one block holds, bytes of text that are counted or scored at once, and the largest filter that is broadcast.
-BLOCK_TOKENS, CHUNK, BROADCAST_BYTES = 1 << 20, 4 << 20, 128 << 20
+BLOCK_TOKENS, CHUNK, BROADCAST_BYTES = 1 << 20, 2 << 20, 128 << 20
 #: Words of the table that is broadcast at most, and the bytes of one.
 HEAD, HEAD_BYTES = 200_000, 256
 
@@ -212,10 +212,10 @@ def head_words(counts: DataFrame, most: int = HEAD) -> dict[bytes, int]:
 
 def broadcast_filter(blocks: DataFrame, n: int):
     """The words of the filter and where each block starts, for workers."""
-    parts = dict(blocks.collect())  # BROADCAST_BYTES at most
-    start = np.concatenate([[0], np.cumsum([len(parts.get(b, b"")) // 8 for b in range(n)])]).astype(np.int64)
-    flat = np.zeros(start[-1], np.uint64)
-    for b, words in parts.items():
+    sizes = dict(blocks.select("block", F.octet_length("words")).collect())
+    start = np.concatenate([[0], np.cumsum([sizes.get(b, 0) // 8 for b in range(n)])]).astype(np.int64)
+    flat = np.zeros(start[-1], np.uint64)  # BROADCAST_BYTES at most, filled by one partition after the other
+    for b, words in blocks.select("block", "words").toLocalIterator():
         flat[start[b] : start[b + 1]] = np.frombuffer(words, np.uint64)
     return blocks.sparkSession.sparkContext.broadcast((flat, start))
 
@@ -277,9 +277,9 @@ def scored(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str
         for batch in batches:
             texts = batch.column("_tm_text").to_pylist()
             found = batch.column("levels").to_pylist() if given is None else None
-            out = [part(texts[a:b], found and found[a:b]) for a, b in chunks(texts, CHUNK)]
-            new = [pa.array([x for o in out for x in o[k]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "_tm_tokens", "_tm_known", "_tm_base", "_tm_score", "_tm_rare"])
+            for a, b in chunks(texts, CHUNK):
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *part(texts[a:b], found and found[a:b])], [*kept, "_tm_tokens", "_tm_known", "_tm_base", "_tm_score", "_tm_rare"])
 
     def part(texts, found):
         words = [split(t) for t in texts]
@@ -297,7 +297,7 @@ def scored(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str
                 runs = Runs([w], order)
                 different, got = np.unique(runs.asked()), np.frombuffer(answer, np.uint8).astype(np.int64)
                 score.append(runs.scores(lambda x: np.where(np.isin(x, different), got[np.minimum(np.searchsorted(different, x), len(got) - 1)], 0), total, 1)[0])
-        base, known, rare = [], [], []
+        base, known, rare, often, ends = [], [], [], [], [0]
         for w in words:
             each = Counter(w)
             each[b""] = 1
@@ -306,8 +306,12 @@ def scored(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str
             is_head = n_of >= 0
             base.append(float((k[is_head] * (np.log10(n_of[is_head] + 0.5) - np.log10(total))).sum()))
             known.append(int(k[is_head].sum()))
-            rare.append([{"word": x, "k": c} for (x, c), seen in zip(each.items(), is_head) if not seen])
-        return [len(w) + 1 for w in words], known, base, score, rare
+            rare += [x for x, seen in zip(each, is_head) if not seen]
+            often.append(k[~is_head])
+            ends.append(len(rare))
+        pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(np.concatenate(often))], ["word", "k"])
+        tokens = pa.array([len(w) + 1 for w in words], pa.int64())
+        return [tokens, pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
 
     schema = rows.select(*kept, *(F.lit(0).cast("long").alias(c) for c in ("_tm_tokens", "_tm_known")), *(F.lit(0.0).alias(c) for c in ("_tm_base", "_tm_score")), F.array().cast("array<struct<word:binary,k:bigint>>").alias("_tm_rare")).schema
     first = materialize(rows.mapInArrow(run, schema), "scored")
