@@ -6,15 +6,20 @@ from pyspark.sql import functions as F
 LEAST_SIDE = 4
 
 
+def inside_frame() -> Column:
+    """Whether the region x, y, w, h is large enough and lies in the frame fw by fh."""
+    c = F.col
+    return (c("w") >= LEAST_SIDE) & (c("h") >= LEAST_SIDE) & (c("x") >= 0) & (c("y") >= 0) & (c("x") + c("w") <= c("fw")) & (c("y") + c("h") <= c("fh"))
+
+
 def with_geometry(rois: DataFrame, scale: float) -> DataFrame:
     """rois with validity, the part inside the frame, and the region scaled (half-even, sides of 1 at least)."""
     c = F.col
-    ok = (c("w") >= LEAST_SIDE) & (c("h") >= LEAST_SIDE) & (c("x") >= 0) & (c("y") >= 0) & (c("x") + c("w") <= c("fw")) & (c("y") + c("h") <= c("fh"))
     x0, y0 = F.greatest(F.lit(0), "x"), F.greatest(F.lit(0), "y")
     x1, y1 = F.least(c("fw"), c("x") + c("w")), F.least(c("fh"), c("y") + c("h"))
     scaled = {f"s_{k}": F.bround(c(k) * scale).cast("int") for k in ("x", "y")} | {f"s_{k}": F.greatest(F.lit(1), F.bround(c(k) * scale).cast("int")) for k in ("w", "h")}
     clipped = {"c_x": x0, "c_y": y0, "c_w": F.greatest(F.lit(0), x1 - x0), "c_h": F.greatest(F.lit(0), y1 - y0)}
-    return rois.withColumns({"valid": ok, **clipped, **scaled})
+    return rois.withColumns({"valid": inside_frame(), **clipped, **scaled})
 
 
 def with_guard(rois: DataFrame, margin: int) -> DataFrame:
@@ -25,7 +30,7 @@ def with_guard(rois: DataFrame, margin: int) -> DataFrame:
     return rois.withColumns({"g_x": x0, "g_y": y0, "g_w": x1 - x0, "g_h": y1 - y0})
 
 
-def with_inner(rois: DataFrame, scale: float) -> DataFrame:
+def with_inner(rois: DataFrame, scale: float | Column) -> DataFrame:
     """rois (with their guard region) with the place of the region inside the guard crop scaled by `scale`: i_x, i_y, i_w, i_h."""
     c = F.col
 
@@ -60,11 +65,11 @@ def valid_region(x: Column, y: Column, w: Column, h: Column, frame_w: Column, fr
     return numbers & (w > 0) & (h > 0) & (~known | ((x >= 0) & (y >= 0) & (x + w <= frame_w) & (y + h <= frame_h)))
 
 
-def with_click_region(clicks: DataFrame) -> DataFrame:
+def with_click_region(clicks: DataFrame, width: int = 60, fraction: float = 0.45) -> DataFrame:
     """From a click (px, py) in a frame fw by fh: a region below it, with a small margin above, inside the frame."""
     c = F.col
-    w = F.least(F.lit(60), "fw")
-    h = F.least(c("fh"), F.greatest(F.lit(16), F.floor(c("fh") * 0.45).cast("int")))
+    w = F.least(F.lit(width), "fw")
+    h = F.least(c("fh"), F.greatest(F.lit(16), F.floor(c("fh") * fraction).cast("int")))
     above = F.greatest(F.lit(2), F.floor(c("fh") * 0.02).cast("int"))
     x = F.greatest(F.lit(0), F.least(c("fw") - w, c("px") - F.floor(w / 2).cast("int")))
     y = F.greatest(F.lit(0), F.least(c("fh") - h, c("py") - above))

@@ -3,6 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: unreadable frames in a row that end a scan, and frames that a look at one place tries.
+MOST_FAILURES = 30
+
 
 def seconds_to_frames(seconds: Column, fps: Column, least: int = 0) -> Column:
     """Half-even; a negative time is an error."""

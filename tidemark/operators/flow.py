@@ -113,7 +113,7 @@ def with_reasons(flows: DataFrame, least_plausible: float) -> DataFrame:
     return flows.withColumn("reasons", reasons)
 
 
-def judged(flows: DataFrame, least_plausible: float) -> DataFrame:
+def judged(flows: DataFrame, least_plausible: float, fail: float = 0.40, review: float = 0.70) -> DataFrame:
     """measurements() with efflux, continuity, confidence and status."""
     rows = flows.withColumn("efflux", F.greatest(F.lit(0.0), F.col("end") - F.col("start")))
     rows = rows.withColumn("continuity", F.when(F.col("timed") > 0, F.col("timed_with_liquid") / F.col("timed")).otherwise(0.0))
@@ -122,5 +122,5 @@ def judged(flows: DataFrame, least_plausible: float) -> DataFrame:
     sure = F.when(F.col("end_confirmed"), sure).otherwise(F.least(F.lit(0.50), sure))
     sure = F.when((F.col("efflux") > 0) & (F.col("efflux") < least_plausible), F.least(F.lit(0.45), sure)).otherwise(sure)
     rows = rows.withColumn("confidence", F.when(F.col("start").isNull() | F.col("end").isNull(), 0.0).otherwise(clamp(sure, 0.0, 0.98)))
-    status = F.when(F.col("start").isNull() | F.col("end").isNull() | (F.col("confidence") < 0.40), "failed").when((F.col("confidence") < 0.70) | ~F.col("end_confirmed"), "review").otherwise("confirmed")
+    status = F.when(F.col("start").isNull() | F.col("end").isNull() | (F.col("confidence") < fail), "failed").when((F.col("confidence") < review) | ~F.col("end_confirmed"), "review").otherwise("confirmed")
     return rows.withColumn("status", status)

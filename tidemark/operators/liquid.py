@@ -1,29 +1,12 @@
 """Stateful scoring of liquid in a region of grey frames: streams and drops by the shape of what moves."""
 
-from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from tidemark.operators.pixels import blob_labels, scored
-
-
-@dataclass(frozen=True)
-class LiquidSettings:
-    """Fixed defaults of the liquid scorer."""
-
-    least_difference: float = 12.0
-    sigmas: float = 4.0
-    opening: int = 2
-    outlet_band: float = 0.22
-    least_stream_height: float = 0.25
-    most_width: float = 0.55
-    least_drop_area: int = 8
-    least_drop_height: int = 2
-    idle_rate: float = 0.02
-    disturbed_outside: float = 0.35
-    disturbed_median: float = 18.0
+from tidemark.operators.settings import LiquidSettings
 
 
 class Liquid(NamedTuple):
@@ -105,6 +88,9 @@ class LiquidScorer:
         return Liquid(activity, float(wet[:band].sum()) / band, bool(kept.any()), contrast, sigma, disturbed)
 
 
-def liquid_trace(frames: DataFrame, inner: tuple[int, int, int, int], settings: LiquidSettings = LiquidSettings()) -> DataFrame:
-    """frames (stream_id, frame_index, height, width, pixels array<float>) -> (stream_id, frame_index, activity, outlet, liquid, contrast, noise, disturbed), what flow.phases takes."""
-    return scored(frames, lambda: LiquidScorer(inner, settings), "activity double, outlet double, liquid boolean, contrast double, noise double, disturbed boolean")
+def liquid_trace(frames: DataFrame, inner: tuple[int, int, int, int] | str, settings: LiquidSettings = LiquidSettings()) -> DataFrame:
+    """frames (stream_id, frame_index, height, width, pixels array<float>) -> (stream_id, frame_index, activity, outlet, liquid, contrast, noise, disturbed), what flow.phases takes. `inner` is the region of all streams, or the column that has each one's."""
+    columns = "activity double, outlet double, liquid boolean, contrast double, noise double, disturbed boolean"
+    if isinstance(inner, str):
+        return scored(frames, lambda own: LiquidScorer(tuple(own), settings), columns, given=inner)
+    return scored(frames, lambda: LiquidScorer(inner, settings), columns)

@@ -4,26 +4,15 @@ Frames are dealt out by stream and sorted; a task walks its frames in Arrow batc
 """
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-
-@dataclass(frozen=True)
-class MotionSettings:
-    """Fixed defaults of the motion scorer."""
-
-    least_difference: float = 10.0
-    sigmas: float = 4.0
-    least_blob: float = 0.0005
-    opening: int = 3
-    idle_rate: float = 0.05
-    active_rate: float = 0.0005
-    disturbed_area: float = 0.55
-    brightness_jump: float = 28.0
-    disturbed_median: float = 18.0
+from tidemark.functions.sampling import MOST_FAILURES
+from tidemark.operators.settings import MotionSettings
 
 
 def opened(mask: np.ndarray) -> np.ndarray:
@@ -108,26 +97,53 @@ class MotionScorer:
         return moved, False
 
 
-def scored(frames: DataFrame, make: Callable[[], object], columns: str, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+def scored(frames: DataFrame, make: Callable[..., object], columns: str, keys: tuple[str, ...] = ("stream_id",), given: str | None = None) -> DataFrame:
     """frames (keys, frame_index, height, width, pixels array<float>) -> keys, frame_index and what a scorer's score(frame) gives, named and typed by `columns`. Each group of the keys gets a
-    scorer of its own, which `make` makes; a task holds one at a time."""
+    scorer of its own, which `make` makes (from the group's value of the column `given`, if named); a task holds one at a time. A frame without pixels is stepped over; MOST_FAILURES of them in a row end their group."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, scorer = None, None
+        group, scorer, failed = None, None, 0
         for pdf in batches:
-            found = []
-            for own, h, w, p in zip(zip(*(pdf[k] for k in keys)), pdf["height"], pdf["width"], pdf["pixels"]):
+            found, at = [], []
+            for i, (own, h, w, p, x) in enumerate(zip(zip(*(pdf[k] for k in keys)), pdf["height"], pdf["width"], pdf["pixels"], pdf[given] if given else repeat(None))):
                 if scorer is None or own != group:
-                    group, scorer = own, make()
-                found.append(tuple(scorer.score(np.asarray(p, np.float32).reshape(h, w))))
-            yield pd.concat([pdf[[*keys, "frame_index"]].reset_index(drop=True), pd.DataFrame(found, columns=names, dtype=object)], axis=1)
-
-    rows = frames.select(*keys, "frame_index", "height", "width", "pixels").repartition(*keys).sortWithinPartitions(*keys, "frame_index")
+                    group, scorer, failed = own, make(x) if given else make(), 0
+                if failed >= MOST_FAILURES:
+                    continue
+                if p is None:
+                    failed += 1
+                    continue
+                failed = 0
+                at.append(i)
+                found.append(tuple(scorer.score(np.asarray(p, np.float32).reshape(int(h), int(w)))))
+            yield pd.concat([pdf[[*keys, "frame_index"]].iloc[at].reset_index(drop=True), pd.DataFrame(found, columns=names, dtype=object)], axis=1)
+
+    more = [given] if given else []
+    rows = frames.select(*keys, "frame_index", "height", "width", "pixels", *more).repartition(*keys).sortWithinPartitions(*keys, "frame_index")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keys).schema)
     return rows.mapInPandas(run, f"{types}, frame_index long, {columns}")
 
 
 def motion_trace(frames: DataFrame, settings: MotionSettings = MotionSettings(), keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
-    """frames -> trace (keys, frame_index, score, disturbed)."""
-    return scored(frames, lambda: MotionScorer(settings), "score double, disturbed boolean", keys)
+    """frames -> trace (keys, frame_index, score, disturbed). With the mean grey level of each frame (`mean`, see prepare.prepared), every recording is cut where it can be, see in_stretches."""
+    if "mean" not in frames.columns:
+        return scored(frames, lambda: MotionScorer(settings), "score double, disturbed boolean", keys)
+    found = scored(in_stretches(frames, settings, keys), lambda: MotionScorer(settings), "score double, disturbed boolean", (*keys, "stretch"))
+    # The first frame of a stretch is the jump itself: a disturbed one.
+    return found.select(*keys, "frame_index", "score", (F.col("disturbed") | (F.col("frame_index") == F.col("stretch"))).alias("disturbed"))
+
+
+def in_stretches(frames: DataFrame, settings: MotionSettings, keys: tuple[str, ...], most: int = 1_000_000) -> DataFrame:
+    """frames (with mean) with `stretch`, the frame at which scoring starts anew: whatever the background was, a jump in brightness replaces it, and the jump follows from two means alone, so that stretches between jumps
+    are scored apart and give the scores of the whole walk. -1 before the first jump. `most` is how many frames' numbers are broadcast."""
+    order = Window.partitionBy(*keys).orderBy("frame_index")
+    before = F.lag("mean").over(order)
+    # A mean of 0 counts as none.
+    jump = F.coalesce((before != 0) & (F.abs(F.col("mean") - before) >= settings.brightness_jump), F.lit(False))
+    means = frames.where("mean is not null").select(*keys, "frame_index", "mean").withColumn("jump", jump)
+    means = means.withColumn("stretch", F.last(F.when(F.col("jump"), F.col("frame_index")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    jumps = means.where("stretch is not null").select(*keys, "frame_index", "stretch")
+    n = jumps.count()
+    found = frames.join(F.broadcast(jumps) if n <= most else jumps, [*keys, "frame_index"], "left") if n else frames.withColumn("stretch", F.lit(None).cast("long"))
+    return found.withColumn("stretch", F.coalesce("stretch", F.lit(-1).cast("long")))

@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.sampling import MOST_FAILURES
+from tidemark.sources.stored import stored
+
+#: Most groups whose own rows are broadcast to their frames.
+BROADCAST_GROUPS = 100_000
 #: Fixed weights of blue, green and red, and small blur kernels.
 LUMA = np.array([0.114, 0.587, 0.299], np.float32)
 KERNELS = {3: [0.25, 0.5, 0.25], 5: [0.0625, 0.25, 0.375, 0.25, 0.0625], 7: [0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125]}
@@ -61,62 +66,85 @@ def prepare(frame: np.ndarray, roi: tuple[int, int, int, int] | None, scale: flo
     return frame
 
 
-def prepared(frames: DataFrame, roi: tuple[int, int, int, int] | None = None, scale: float = 1.0, blur: int = 0) -> DataFrame:
-    """frames with their grey levels as scorers take them: height, width and pixels array<float> new, other columns kept. frames have height, width, and either pixels array<float> (grey) or
-    n_channels and data (bytes by row, blue, green and red in turn, a fourth ignored; or grey). A null frame stays null."""
-    raw = "data" in frames.columns
-    kept = [c for c in frames.columns if c not in ("height", "width", "pixels", "n_channels", "data")]
-    used = [*kept, "height", "width", *(("n_channels", "data") if raw else ("pixels",))]
+def prepared(frames: DataFrame, roi: tuple[int, int, int, int] | str | None = None, scale: float | str = 1.0, blur: int = 0, mean: bool = False) -> DataFrame:
+    """frames with their grey levels as scorers take them: height, width and pixels array<float> new, and if asked for the mean level; other columns kept. frames have height, width, and either pixels array<float> (grey) or
+    n_channels and data (bytes by row, blue, green and red in turn, a fourth ignored; or grey). `roi` and `scale` are those of all frames, or names of columns, which go (an array x, y, w, h; a number). A null frame stays null, and so does one whose bytes do not fit its size."""
+    raw, by_row = "data" in frames.columns, [x for x in (roi, scale) if isinstance(x, str)]
+    kept = [c for c in frames.columns if c not in ("height", "width", "pixels", "n_channels", "data", *by_row)]
+    used = [*kept, "height", "width", *(("n_channels", "data") if raw else ("pixels",)), *by_row]
+    names = [*kept, "height", "width", "pixels", *(("mean",) if mean else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heights, widths, values = [], [], []
+            heights, widths, values, means = [], [], [], []
             channels = batch.column("n_channels").to_pylist() if raw else [1] * batch.num_rows
-            for h, w, c, v in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), channels, batch.column("data" if raw else "pixels")):
-                if not v.is_valid:
-                    heights.append(None), widths.append(None), values.append(None)
+            rois, scales = (batch.column(x).to_pylist() if isinstance(x, str) else [x] * batch.num_rows for x in (roi, scale))
+            for h, w, c, r, x, v in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), channels, rois, scales, batch.column("data" if raw else "pixels")):
+                flat = None if not v.is_valid else np.frombuffer(v.as_py(), np.uint8) if raw else v.values.to_numpy(zero_copy_only=False)
+                if flat is None or None in (h, w, c) or len(flat) != h * w * c or not len(flat):
+                    heights.append(None), widths.append(None), values.append(None), means.append(None)
                     continue
-                flat = np.frombuffer(v.as_py(), np.uint8) if raw else v.values.to_numpy(zero_copy_only=False)
-                got = prepare(flat.reshape(h, w, c)[..., :3] if c > 1 else flat.reshape(h, w), roi, scale, blur)
-                heights.append(got.shape[0]), widths.append(got.shape[1]), values.append(got.ravel())
-            new = [pa.array(heights, pa.int32()), pa.array(widths, pa.int32()), pa.array(values, pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "height", "width", "pixels"])
+                got = np.ascontiguousarray(prepare(flat.reshape(h, w, c)[..., :3] if c > 1 else flat.reshape(h, w), r, x, blur), np.float32)
+                heights.append(got.shape[0]), widths.append(got.shape[1]), values.append(got.ravel()), means.append(float(got.mean()))
+            new = [pa.array(heights, pa.int32()), pa.array(widths, pa.int32()), pa.array(values, pa.list_(pa.float32())), *([pa.array(means, pa.float64())] if mean else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names)
 
-    schema = frames.select(*kept, *(F.lit(None).cast(t).alias(c) for c, t in (("height", "int"), ("width", "int"), ("pixels", "array<float>")))).schema
+    types = {"height": "int", "width": "int", "pixels": "array<float>", "mean": "double"}
+    schema = frames.select(*kept, *(F.lit(None).cast(types[c]).alias(c) for c in names[len(kept) :])).schema
     return frames.select(*used).mapInArrow(run, schema)
 
 
-def sampled(frames: DataFrame, steps: DataFrame, most_failures: int = 30) -> DataFrame:
-    """Which frames a scan reads: (stream_id, frame_index) of frames (stream_id, frame_index, readable) for steps (stream_id, step).
+def sampled(frames: DataFrame, steps: DataFrame, most_failures: int = MOST_FAILURES, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """Which frames a scan reads: (keys, frame_index) of frames (keys, frame_index, readable) for steps (keys, step, and first, where the scan does not start at frame 0).
 
     The scan steps on by `step` after a readable frame, but by one after an unreadable one, so that its phase moves; that many unreadable ones in a row, or a missing frame, end it.
-    A task walks its streams in order and holds two numbers."""
+    A task walks its groups in order and holds three numbers."""
 
     def run(batches):
-        stream, target, failed = None, 0, 0
+        group, target, failed, expected = None, 0, 0, 0
         for pdf in batches:
             taken = []
-            for s, i, ok, step in zip(pdf["stream_id"], pdf["frame_index"], pdf["readable"], pdf["step"]):
-                if s != stream:
-                    stream, target, failed, expected = s, 0, 0, 0
+            for own, i, ok, step, first in zip(zip(*(pdf[k] for k in keys)), pdf["frame_index"], pdf["readable"], pdf["step"], pdf["first"]):
+                if own != group:
+                    group, target, failed, expected = own, first, 0, first
+                if i < first:
+                    continue
                 if i != expected:
                     target = -1
                 expected += 1
                 if i != target:
                     continue
                 if ok:
-                    taken.append((s, i))
+                    taken.append((*own, i))
                     target, failed = i + step, 0
                 else:
                     failed += 1
                     target = i + 1 if failed < most_failures else -1
-            yield pd.DataFrame(taken, columns=["stream_id", "frame_index"])
-
-    rows = frames.select("stream_id", "frame_index", "readable").join(steps.select("stream_id", "step"), "stream_id")
-    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "frame_index").mapInPandas(run, f"stream_id {frames.schema['stream_id'].dataType.simpleString()}, frame_index long")
-
-
-def next_readable(frames: DataFrame, most_reads: int = 30) -> DataFrame:
+            yield pd.DataFrame(taken, columns=[*keys, "frame_index"])
+
+    first = F.col("first") if "first" in steps.columns else F.lit(0)
+    rows = frames.select(*keys, "frame_index", "readable").join(steps.select(*keys, "step", first.cast("long").alias("first")), [*keys])
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keys).schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_index").mapInPandas(run, f"{types}, frame_index long")
+
+
+def on_grid(frames: DataFrame, steps: DataFrame, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """The frames (with readable) that the scans of `steps` read, see sampled. Where all frames of a group are readable, its frames follow from the step; only numbers of the other groups' frames are walked."""
+    first = F.coalesce("first", F.lit(0)) if "first" in steps.columns else F.lit(0)
+    numbers = frames.select(*keys, "frame_index", "readable")
+    odd = stored(numbers.where(~F.col("readable")).select(*keys).distinct(), "unreadable")
+    n_odd, n = odd.count(), steps.count()
+    small = F.broadcast(steps) if n <= BROADCAST_GROUPS else steps
+    since = F.col("frame_index") - first
+    even = frames.join(small, [*keys]).where((since >= 0) & (since % F.col("step") == 0)).select(*frames.columns)
+    if not n_odd:
+        return even
+    odd = F.broadcast(odd) if n_odd <= BROADCAST_GROUPS else odd
+    walked = sampled(numbers.join(odd, [*keys], "left_semi"), steps, keys=keys)
+    return even.join(odd, [*keys], "left_anti").unionByName(frames.join(walked, [*keys, "frame_index"], "left_semi"))
+
+
+def next_readable(frames: DataFrame, most_reads: int = MOST_FAILURES) -> DataFrame:
     """frames (stream_id, frame_index, readable) with `shown`: the first readable frame within so many from each one on; null if there is none."""
     ahead = Window.partitionBy("stream_id").orderBy("frame_index").rangeBetween(0, most_reads - 1)
     return frames.withColumn("shown", F.min(F.when(F.col("readable"), F.col("frame_index"))).over(ahead))

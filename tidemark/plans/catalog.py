@@ -16,6 +16,8 @@ ROLL, FINE_FLOOR, FINE_GAP, FINE_LEAST = 72.0, 0.0015, 12.0, 0.0
 IDLE, LONG = 96.0, 40.0
 FLOW = {"threshold": 60.0, "start_hold": 12.0, "end_hold": 30.0}
 BREAK, PLAUSIBLE = 10.0, 24.0
+#: Flows of the bar drawn in frames, at one frame a second.
+BAR_FLOW = {"guard_margin_px": 4, "activity_threshold": 0.5, "flow_start_persistence_s": 2.0, "flow_end_persistence_s": 4.0, "break_report_threshold_s": 2.0, "min_plausible_efflux_s": 5.0}
 
 
 def files(trace: DataFrame) -> DataFrame:
@@ -230,13 +232,13 @@ def frame_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recordings(frames: DataFrame) -> DataFrame:
-    return stored(frames.groupBy("stream_id").agg(F.lit(1.0).alias("fps"), F.count("*").alias("n"), F.max("width").alias("width")), "recordings")
+    return stored(frames.groupBy("stream_id").agg(F.lit(1.0).alias("fps"), F.count("*").alias("n"), F.max("width").alias("width"), F.max("height").alias("height")), "recordings")
 
 
 def frame_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow a recording: from the ninth frame on for eight seconds."""
     frames = event_frames(spark, sf_dir, bar=True)
-    found = detect.flow_runs(frames, recordings(frames), (6, 0, 20, 18), (4, 0, 12, 18), 0.5, 2.0, 4.0, 2.0, 5.0)
+    found = detect.flow_runs(frames, recordings(frames), BAR_FLOW, (10, 0, 12, 18))
     return found.select("stream_id", "start", "end", "end_confirmed", "status", F.array_join("reasons", " | ").alias("reasons"))
 
 

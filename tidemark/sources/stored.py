@@ -28,11 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written and read again: its plan ends there, and a lost executor repeats nothing before it."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which `scratch` deletes."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     for paths in _kept:
         paths.append(path)
+    return path
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written and read again: its plan ends there, and a lost executor repeats nothing before it."""
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
