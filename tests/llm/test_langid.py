@@ -18,8 +18,8 @@ def test_held_out_accuracy_and_mixtures(spark):
     text = {r.lang: r.text for r in docs.where("n_chars > 1500").collect()}
     model = langid.train(docs)
     one, two = text["en"][:1500], text["fr"][:1500]
-    share, _, _ = langid.infer([one.encode(), (one + " " + two).encode()], *model[1:])
-    at = [model[0].index(x) for x in ("en", "fr")]
+    share, _, _ = langid.infer([one.encode(), (one + " " + two).encode()], model)
+    at = [model.langs.index(x) for x in ("en", "fr")]
     assert share[0][at[0]] == 1 and share[0].sum() == 1
     assert all(0.3 < share[1][i] < 0.7 for i in at)
 
@@ -59,19 +59,24 @@ def test_accepts_mixed_texts_and_rejects_unknown_ones(spark):
     assert kept & {k for k, _ in rows} == {90_000, 90_001, 90_004}
 
 
-def test_em_against_a_dense_loop():
+def test_em_against_a_dense_loop(monkeypatch):
     """The same steps for one text after another, gram by gram."""
     rng = np.random.default_rng(2)
     k, grams = 3, 50
-    p = rng.dirichlet(np.full(grams, 0.3), k).T + 1e-6
-    log_p = np.log(p / p.sum(axis=0))
+    seen = rng.random((grams, k)) < 0.7
+    model = langid.Model(["a", "b", "c"], *np.nonzero(seen), rng.integers(1, 100, seen.sum()), grams)
+    log_p = model.of(np.arange(grams), np.arange(k)).astype(float)
+    assert np.allclose(np.exp(log_p).sum(axis=0), 1, atol=1e-5) and (log_p <= model.top[:, None] + 1e-6).all()
     counts = [{int(g): int(n) for g, n in zip(rng.choice(grams, 12, replace=False), rng.integers(1, 9, 12))} for _ in range(5)]
     begin = np.full((5, k), 1 / k, np.float32)
     begin[3] = [0.5, 0.5, 0]
     flat = [(t, g, n) for t, c in enumerate(counts) for g, n in sorted(c.items())]
     text, gram, count = (np.array(x) for x in zip(*flat))
     start = np.searchsorted(text, np.arange(5))
-    share, ll = langid.fit(gram, count.astype(np.float32), start, text, begin, log_p)
+    share, ll = langid.fit(gram, count.astype(np.float32), start, text, begin, model)
+    monkeypatch.setattr(langid, "CELLS", 2 * len(gram))  # two languages at a time
+    again, ll2 = langid.fit(gram, count.astype(np.float32), start, text, begin, model)
+    assert np.allclose(share, again, atol=1e-6) and np.allclose(ll, ll2, rtol=1e-6)
     for t, c in enumerate(counts):
         own = begin[t].astype(float)
         for _ in range(langid.STEPS):
@@ -84,8 +89,23 @@ def test_em_against_a_dense_loop():
         assert np.isclose(ll[t], sum(n * np.log((np.exp(log_p[g]) * own).sum()) for g, n in c.items()), rtol=1e-4)
 
 
-def test_languages_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGS", 2)
-    rows = [(i, f"some words of language {i % 3} " * (1 + i % 3), f"l{i % 3}") for i in range(30)]
-    langs, log_p, _ = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert langs == ["l1", "l2"] and log_p.shape == (langid.GRAMS, 2)
+def test_thousands_of_languages(spark):
+    """All are learned, and a worker needs little more memory for them."""
+    import resource
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(2000):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        words = ["".join(rng.choices(letters, k=5)) for _ in range(12)]
+        rows += [(3 * k + i, " ".join(rng.choices(words, k=40)), f"l{k:04}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(df.where("doc_id % 3 < 2"))
+    assert len(model.langs) == 2000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    texts = [t.encode() for _, t, _ in rows[2:300:3]] + [(" ".join(t for _, t, _ in rows[:3000])).encode()]
+    share, _, _ = langid.infer(texts[:-1], model)
+    assert np.mean([model.langs[i] == rows[3 * j][2] for j, i in enumerate(share.argmax(axis=1))]) > 0.9
+    long, _, _ = langid.infer(texts[-1:], model)  # a thousand languages in one text
+    assert np.isclose(long.sum(), 1)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000

@@ -7,7 +7,8 @@ in chunks as one sparse table of (document, trigram, count).
 
 Defined results: null and empty texts, and texts without a letter, are `und` with score 0; so is every text where nothing
 can be learned; a single letter is a word of its own and is predicted; repeated rows keep one row each; a null doc_id counts as ''; of equally likely languages the first by
-name is taken. At most MOST_LANGS languages are learned, those of most training text: rows of others teach nothing.
+name is taken. Every language of a training row is learned: the model has one entry for each trigram that a language was seen with, at most GRAMS of them, and workers make the
+rows they need of it, CELLS numbers at a time, whatever the number of languages.
 """
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, materialize, table
+from tidemark.llm.common import bounded_broadcast, crc_mod, materialize, table
 
 FOLDS, HELD_OUT = 4, 2
 #: Hashed trigrams; the model has so many rows for each language.
@@ -26,7 +27,8 @@ EVIDENCE = 1 / 3
 #: A second language below this proportion of the first fit is not tried.
 LEAST_SHARE = 0.03
 CHUNK = 512 << 10
-MOST_LANGS = 256
+#: Numbers (trigrams of a chunk by languages) that are looked at in one piece.
+CELLS = 4 << 20
 #: A text is accepted if its language, or languages, have at least this part of the evidence, and if its trigrams are at most so much less likely (in nats a
 #: trigram) than those that its languages were learned from; short texts vary more, by SPREAD over the root of their trigrams.
 LEAST_EVIDENCE, LEAST_FIT, SPREAD = 0.35, -3.0, 8.0
@@ -62,53 +64,91 @@ def chunks(texts: list[bytes | None], size: int = CHUNK):
         yield first, len(texts)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, the log share of each trigram in each, from counts over all rows of docs with a language and a text, and the mean of these logs over each one's own texts."""
+class Model:
+    """Log shares of trigrams in languages: entries for those seen, by trigram, and one value a language for all others."""
+
+    def __init__(self, langs: list[str], gram: np.ndarray, lang: np.ndarray, count: np.ndarray, grams: int = GRAMS):
+        order = np.lexsort((lang, gram))
+        gram, lang, count = gram[order], lang[order].astype(np.int32), count[order].astype(np.float64)
+        total = np.bincount(lang, count, len(langs)) + SMOOTHING * grams
+        self.langs, self.lang = langs, lang
+        self.first = np.searchsorted(gram, np.arange(grams + 1))
+        log_p, self.default = np.log((count + SMOOTHING) / total[lang]), np.log(SMOOTHING / total).astype(np.float32)
+        #: The mean of the log shares over each language's own texts.
+        self.expected = (np.bincount(lang, count * log_p, len(langs)) / np.maximum(np.bincount(lang, count, len(langs)), 1)).astype(np.float32)
+        self.log_p = log_p.astype(np.float32)
+        #: No log share of a trigram is above this.
+        self.top = np.full(grams, self.default.max(initial=-np.inf), np.float32)
+        np.maximum.at(self.top, gram, self.log_p)
+
+    def of(self, gram: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """The log shares of some trigrams (rows) in some languages (columns, ascending)."""
+        out = np.repeat(self.default[None, langs], len(gram), axis=0)
+        n = self.first[gram + 1] - self.first[gram]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[gram], n)
+        place = np.full(len(self.default), -1)
+        place[langs] = np.arange(len(langs))
+        column, row = place[self.lang[at]], np.repeat(np.arange(len(gram)), n)
+        some = column >= 0
+        out[row[some], column[some]] = self.log_p[at[some]]
+        return out
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """From counts over all rows of docs with a language and a text."""
 
     def run(batches):
-        total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 gram, at = trigrams(texts[a:b])
-                names = sorted(set(langs[a:b]))
-                number = np.array([names.index(x) for x in langs[a:b]])
-                counts = np.bincount(number[at] * GRAMS + gram, minlength=len(names) * GRAMS).reshape(-1, GRAMS)
-                for name, n in zip(names, counts):
-                    total[name] = total.get(name, 0) + n
-        for name, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "gram", "n"])
+                names, number = np.unique(np.array(langs[a:b], object), return_inverse=True)
+                key, n = np.unique(number[at] * GRAMS + gram, return_counts=True)
+                name = pa.DictionaryArray.from_arrays(pa.array(key // GRAMS, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([name, pa.array(key % GRAMS), pa.array(n)], ["lang", "gram", "n"])
 
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), F.col(text).cast("binary"))
     counts = materialize(known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
-    most = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MOST_LANGS)
-    rows = counts.join(F.broadcast(most), "lang", "left_semi").toPandas()  # at most GRAMS * MOST_LANGS rows
-    langs = sorted(rows["lang"].unique())
-    counts = np.full((GRAMS, len(langs)), SMOOTHING)
-    counts[rows["gram"], np.searchsorted(langs, rows["lang"])] += rows["n"]
-    log_p = np.log(counts / counts.sum(axis=0))
-    own = counts - SMOOTHING
-    return langs, log_p, (own * log_p).sum(axis=0) / np.maximum(own.sum(axis=0), 1)
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(langs)), "k int, lang string")
+    rows = counts.join(bounded_broadcast(numbers, len(langs)), "lang").select("gram", "k", "n").toArrow()  # at most GRAMS rows a language
+    return Model(langs, *(rows.column(c).to_numpy() for c in ("gram", "k", "n")))
 
 
-def fit(gram, count, start, text, share, log_p):
+def fit(gram, count, start, text, share, model):
     """EM steps over a sparse table; share: the proportions at first, zero for languages that are not in a text's set. Returns proportions and log likelihoods."""
-    top = log_p.max(axis=1)
-    p = np.exp(log_p - top[:, None])[gram].astype(np.float32)
+    langs = np.flatnonzero(share.any(axis=0))
+    different, at = np.unique(gram, return_inverse=True)
+    top = model.top[different]
+    wide = max(1, CELLS // max(1, len(gram)))
+    parts = [langs[i : i + wide] for i in range(0, len(langs), wide)]
     n = np.add.reduceat(count, start)[:, None]
+
+    def shares_of(some):
+        return np.exp(model.of(different, some) - top[:, None])[at]
+
+    held = shares_of(parts[0]) if len(parts) == 1 else None
+
+    def explained(some):
+        return (shares_of(some) if held is None else held) * share[text][:, some]
+
     for _ in range(STEPS):
-        part = p * share[text]
-        part *= (count / np.maximum(part.sum(axis=1), 1e-30))[:, None]
-        share = np.add.reduceat(part, start, axis=0) / n
-    ll = np.add.reduceat(count * (np.log(np.maximum((p * share[text]).sum(axis=1), 1e-30)) + top[gram]), start)
+        found = [explained(parts[0])] if held is not None else None
+        whole = sum((p.sum(axis=1) for p in (found or map(explained, parts))), np.zeros(len(gram), np.float32))
+        weight = (count / np.maximum(whole, 1e-30))[:, None]
+        new = np.zeros_like(share)
+        for i, some in enumerate(parts):
+            new[:, some] = np.add.reduceat((found[i] if found else explained(some)) * weight, start, axis=0) / n
+        share = new
+    whole = sum((explained(some).sum(axis=1) for some in parts), np.zeros(len(gram), np.float32))
+    ll = np.add.reduceat(count * (np.log(np.maximum(whole, 1e-30)) + top[at]), start)
     return share, ll
 
 
-def infer(texts: list[bytes], log_p: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def infer(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Proportions of the chosen languages (texts by languages, all zero for texts without trigrams), the evidence for the likeliest language against all,
     and the log likelihood a trigram, less what is expected of the chosen languages and allowed for the text's length."""
-    k = log_p.shape[1]
+    k = len(model.langs)
     gram, at = trigrams(texts)
     out, evidence, fits = np.zeros((len(texts), k), np.float32), np.zeros(len(texts)), np.full(len(texts), -np.inf)
     if not len(gram):
@@ -119,8 +159,10 @@ def infer(texts: list[bytes], log_p: np.ndarray, expected: np.ndarray) -> tuple[
     gram, at = key[first] % GRAMS, key[first] // GRAMS
     seen, start, text = np.unique(at, return_index=True, return_inverse=True)
     n = np.add.reduceat(count, start)
-    single = np.add.reduceat(count[:, None] * log_p[gram], start, axis=0)
-    share, _ = fit(gram, count, start, text, np.full((len(seen), k), 1 / k, np.float32), log_p)
+    different, place = np.unique(gram, return_inverse=True)
+    wide = max(1, CELLS // len(gram))
+    single = np.concatenate([np.add.reduceat(count[:, None] * model.of(different, np.arange(i, min(k, i + wide)))[place], start, axis=0, dtype=np.float64) for i in range(0, k, wide)], axis=1)
+    share, _ = fit(gram, count, start, text, np.full((len(seen), k), 1 / k, np.float32), model)
     order = np.argsort(-share, axis=1, kind="stable")
     best = single.argmax(axis=1)
     chosen = np.zeros_like(share)
@@ -135,30 +177,30 @@ def infer(texts: list[bytes], log_p: np.ndarray, expected: np.ndarray) -> tuple[
         sub, sub_start, sub_text = np.unique(text[use], return_index=True, return_inverse=True)
         begin = np.zeros((len(sub), k), np.float32)
         np.put_along_axis(begin, order[sub, :size], 1 / size, 1)
-        got, ll = fit(gram[use], count[use], sub_start, sub_text, begin, log_p)
+        got, ll = fit(gram[use], count[use], sub_start, sub_text, begin, model)
         better = ll - size * PENALTY * np.log(n[sub] + 1) > value[sub]
         chosen[sub[better]] = got[better]
         likelihood[sub[better]] = ll[better]
         value[sub[better]] = (ll - size * PENALTY * np.log(n[sub] + 1))[better]
     rival = np.exp(np.minimum(0, EVIDENCE * (single - single.max(axis=1, keepdims=True)))).sum(axis=1)
     out[seen], evidence[seen] = chosen, 1 / rival
-    fits[seen] = likelihood / n - chosen @ expected + SPREAD / np.sqrt(n)
+    fits[seen] = likelihood / n - chosen @ model.expected + SPREAD / np.sqrt(n)
     return out, evidence, fits
 
 
-def identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], columns: list[str], text: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """The named columns of docs, _tm_lang, _tm_score, _tm_evidence and _tm_fit (see infer) and _tm_shares (language -> proportion)."""
-    given = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32), model[2].astype(np.float32)))
+    given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        langs, log_p, expected = given.value
+        langs = given.value.langs
         size = CHUNK * 8 // max(8, len(langs))
         for batch in batches:
             texts = batch.column("_tm_text").to_pylist()
             lang, shares = ["und"] * len(texts), [[] for _ in texts]
             score, evidence, fits = (np.zeros(len(texts)) for _ in range(3))
             for a, b in chunks(texts, size) if langs else ():
-                part, sure, near = infer([t or b"" for t in texts[a:b]], log_p, expected)
+                part, sure, near = infer([t or b"" for t in texts[a:b]], given.value)
                 for i in np.flatnonzero(part.any(axis=1)):
                     if any(ch.isalpha() for ch in texts[a + i].decode("utf-8", "replace")):
                         top = part[i].argmax()
@@ -176,7 +218,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray],
 def accepted(docs: DataFrame) -> DataFrame:
     """docs in one or more languages that were found with LEAST_EVIDENCE and that explain their text (LEAST_FIT); where no row teaches a language, all that have a letter."""
     model = train(docs.where(crc_mod("doc_id", FOLDS) != HELD_OUT))
-    if not model[0]:
+    if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = identified(docs, model, docs.columns)
     return found.where((F.col("_tm_lang") != "und") & (F.col("_tm_evidence") >= LEAST_EVIDENCE) & (F.col("_tm_fit") >= LEAST_FIT)).select(*docs.columns)
