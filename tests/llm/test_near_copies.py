@@ -72,4 +72,22 @@ def test_close_pairs_against_plain_distances():
     fp = [near_copies.fingerprint(s) for s in sets]
     near = near_copies.close_pairs(sets)
     assert near.tolist() == [[(a ^ b).bit_count() <= near_copies.RADIUS for b in fp] for a in fp]
+    few = [s[:20] for s in sets[:5]]
+    assert near_copies.close_pairs([*few, *sets[-3:]])[:5].all()
     assert near_copies.fingerprint(np.zeros(0, "<u8")) == 0
+
+
+@pytest.mark.parametrize("size", [4, 5, 9, 20, 63, 64, 100, 300, 1000])
+def test_recall_of_planted_pairs(size):
+    """Pairs just at the similarity, in groups of two and of many: nothing is lost, and what is linked does not depend on the group."""
+    rng = np.random.default_rng(size)
+    shared = -(-8 * size // 9)  # both of `size`, so that shared / (2 size - shared) >= 0.8
+    pairs, found = [], 0
+    for _ in range(150):
+        common = rng.integers(0, 2**64, shared, "u8")
+        pairs.append([np.unique(np.concatenate([common, rng.integers(0, 2**64, size - shared, "u8")])) for _ in range(2)])
+    alone = [bool(near_copies.linked(p, False, np.zeros(2, bool))) for p in pairs]
+    assert np.mean(alone) >= 0.99
+    flat = [s for p in pairs for s in p]
+    together = {(min(a, b), max(a, b)) for a, b in near_copies.linked(flat, False, np.zeros(len(flat), bool))}
+    assert [(2 * i, 2 * i + 1) in together for i in range(len(pairs))] == alone

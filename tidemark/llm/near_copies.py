@@ -3,8 +3,9 @@
 Texts with equal sets are one node. Bands of hash minima (BANDS of DEPTH) block the texts: two of similarity s share a band
 with probability 1 - (1 - s^DEPTH)^BANDS, 0.9998 at 0.8. Texts that bands connect form a candidate group; within a group the SimHash fingerprints of all pairs are
 compared on bit planes, and pairs within RADIUS bits that are not connected yet are compared exactly. At 0.8 two fingerprints differ in 9.7 bits on average (the angle
-between the sets, 64 acos(2s / (1 + s)) / pi), with a deviation of 2.9: RADIUS lies 3.6 deviations above, and pairs of one group that share nothing lie at 32.
-Groups over BLOCK texts or LONG shingles are dealt out as pairs of sub-blocks, so every pair meets. Groups under PLANES texts go without planes.
+between the sets, 64 acos(2s / (1 + s)) / pi), with a deviation of 2.9; RADIUS lies five deviations above, and pairs of one group that share nothing lie at 32. Bits of small
+sets are not that even: a pair of which one has fewer than SMALL shingles is compared exactly, whatever its fingerprints. The rule is the same in groups of every size.
+Groups over BLOCK texts or LONG shingles are dealt out as pairs of sub-blocks, so every pair meets.
 
 Words are as for fingerprints (ASCII case and spaces); a text of fewer than SHINGLE words is one shingle; a null text, like an empty one, has none.
 """
@@ -22,8 +23,8 @@ from tidemark.llm.simhash import ONES, close_lanes, components, planes_of
 SHINGLE, BANDS, DEPTH = 5, 16, 4
 #: Texts are linked from this similarity on, as a fraction.
 SHARE, OF = 4, 5
-#: Bits in which the fingerprints of compared texts may differ, and texts from which on planes are faster than comparing all.
-RADIUS, PLANES = 20, 12
+#: Bits in which the fingerprints of compared texts may differ, and shingles from which on they are looked at.
+RADIUS, SMALL = 24, 64
 #: Texts, and their shingles, of a sub-block of a large group.
 BLOCK, LONG = 512, 2_000_000
 _RANDOM = np.random.default_rng(5)
@@ -117,7 +118,7 @@ def fingerprint(found: np.ndarray) -> int:
 
 
 def close_pairs(sets: list[np.ndarray]) -> np.ndarray:
-    """Whether the fingerprints of two sets differ in at most RADIUS bits: all pairs of a sub-block at once, 64 in a word of the bit planes."""
+    """Whether two sets are to be compared: one is small, or their fingerprints differ in at most RADIUS bits. All pairs of a sub-block at once, 64 in a word of the bit planes."""
     n = len(sets)
     fp = np.array([fingerprint(s) for s in sets], "<u8")
     words = -(-n // 64)
@@ -127,7 +128,8 @@ def close_pairs(sets: list[np.ndarray]) -> np.ndarray:
     near = np.zeros((n, 64 * words), bool)
     bits = np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
     near.reshape(n * words, 64)[at] = bits
-    return near[:, :n]
+    small = np.array([len(s) < SMALL for s in sets])
+    return near[:, :n] | small[:, None] | small[None, :]
 
 
 def linked(sets: list[np.ndarray], cross: bool, side: np.ndarray) -> list[tuple[int, int]]:
@@ -135,7 +137,7 @@ def linked(sets: list[np.ndarray], cross: bool, side: np.ndarray) -> list[tuple[
     n, size = len(sets), np.array([len(s) for s in sets])
     start = np.cumsum(size) - size
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    near = close_pairs(sets) if n >= PLANES else np.ones((n, n), bool)
+    near = close_pairs(sets)
     mark, label, links = np.zeros(flat.max() + 1, bool), np.arange(n), []
     for i in range(n - 1):
         open_ = (label != label[i]) & (OF * np.minimum(size, size[i]) >= SHARE * np.maximum(size, size[i]))

@@ -17,13 +17,13 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table, with_row_ids
+from tidemark.llm.common import bounded_broadcast, materialize, table, with_row_ids
 
 SHARDS = 24
 #: Most bytes that a splitter may be off, and most bytes of a group that is never cut, as shares of a shard's bytes.
 TOLERANCE, GROUP = 0.001, 0.05
-#: Bytes of an exchanged part, least parts of a shard, and most parts in all: the count of each part's rows is broadcast.
-PART_BYTES, LEAST_PARTS, MOST_PARTS = 128 << 20, 4, 1_000_000
+#: Bytes of an exchanged part, and least parts of a shard.
+PART_BYTES, LEAST_PARTS = 128 << 20, 4
 #: Bits of the key, of its part below the text's hash, and of the first and later rounds.
 BITS, GROUP_BITS, FIRST_BITS, STEP_BITS = 96, 64, 16, 8
 
@@ -83,7 +83,7 @@ def placed(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame
     rows = rows.withColumn("_tm_tie", F.shiftrightunsigned(F.xxhash64("_tm_row", F.lit("tie")), 32))
     keys = materialize(rows.select("_tm_key", "_tm_tie", "_tm_bytes"), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("_tm_bytes"), F.lit(0))).first()[0]
-    m = min(max(LEAST_PARTS, -(-total // (PART_BYTES * shards))), MOST_PARTS // shards)
+    m = max(LEAST_PARTS, -(-total // (PART_BYTES * shards)))
     each = total / shards
     cuts = splitters(keys, [each * j for j in range(1, shards)], TOLERANCE * each, GROUP * each) if total else []
     # A cut above the greatest key leaves nothing beyond it.
@@ -97,7 +97,7 @@ def placed(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame
     out = rows.withColumn("_tm_part", part).repartitionById(shards * m, "_tm_part").sortWithinPartitions("_tm_key", *order)
     # A partition is one part; the lower 33 bits of the id number its rows.
     out = out.withColumn("_tm_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    return out.join(F.broadcast(first), "_tm_part").select(*columns, "_tm_shard", (F.col("_tm_first") + F.col("_tm_at")).alias("_tm_slot"))
+    return out.join(bounded_broadcast(first, m * shards), "_tm_part").select(*columns, "_tm_shard", (F.col("_tm_first") + F.col("_tm_at")).alias("_tm_slot"))
 
 
 def op7(spark, sf_dir) -> DataFrame:
