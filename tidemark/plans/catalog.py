@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock, geometry, review, sampling, stats
-from tidemark.operators import detect, flow, intervals, liquid, pixels, prepare, refine, report, timing
-from tidemark.sources import probe
+from tidemark.operators import detect, flow, intervals, liquid, pixels, prepare, refine, report, review_frames, timing
+from tidemark.operators.settings import MotionSettings
+from tidemark.sources import frame_store, probe
 from tidemark.sources.stored import stored
-from tidemark.sources.tables import embedding_frames, event_frames, events_trace
+from tidemark.sources.tables import embedding_frames, event_frames, events_trace, flow_frames, recorded_frames
 
 KEY = ["stream_id"]
 ENTER, EXIT, FLOOR = 6.0, 3.0, 0.004
@@ -16,6 +17,8 @@ ROLL, FINE_FLOOR, FINE_GAP, FINE_LEAST = 72.0, 0.0015, 12.0, 0.0
 IDLE, LONG = 96.0, 40.0
 FLOW = {"threshold": 60.0, "start_hold": 12.0, "end_hold": 30.0}
 BREAK, PLAUSIBLE = 10.0, 24.0
+#: All events as one trace: its levels, and times in hours.
+ONE = {"enter": 60.0, "exit": 20.0, "hold": 1.0, "start_hold": 0.5, "end_hold": 3.0, "break": 0.5}
 #: Flows of the bar drawn in frames, at one frame a second.
 BAR_FLOW = {"guard_margin_px": 4, "activity_threshold": 0.5, "flow_start_persistence_s": 2.0, "flow_end_persistence_s": 4.0, "break_report_threshold_s": 2.0, "min_plausible_efflux_s": 5.0}
 
@@ -242,6 +245,59 @@ def frame_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream_id", "start", "end", "end_confirmed", "status", F.array_join("reasons", " | ").alias("reasons"))
 
 
+def one_stream(trace: DataFrame) -> DataFrame:
+    """All samples as one trace, cut into pieces: no task sees it whole."""
+    return intervals.cut(trace.withColumn("stream_id", F.lit(0).cast("long")), KEY)
+
+
+def one_intervals(trace: DataFrame) -> DataFrame:
+    return intervals.active_intervals(one_stream(trace).withColumns({"enter": F.lit(ONE["enter"]), "exit": F.lit(ONE["exit"])}), KEY, True)
+
+
+def one_persistence(trace: DataFrame) -> DataFrame:
+    rows = intervals.persistent(one_stream(trace).withColumn("on", F.col("score") >= ONE["exit"]), KEY, "on", ONE["hold"])
+    return rows.select("seq", "run_start", "fires")
+
+
+def one_flow(trace: DataFrame) -> DataFrame:
+    rows = flow.phases(flow_samples(one_stream(trace)), ONE["enter"], ONE["start_hold"], ONE["end_hold"])
+    return flow.measurements(rows, ONE["enter"], ONE["break"])
+
+
+def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of two sizes, with frames that cannot be read, from a store: the planted runs."""
+    frames = recorded_frames(spark, sf_dir)
+    store, files = frame_store.written(frames, span=64), recordings(frames)
+    found = detect.events(store, files, "motion_scan", {"shortest_event_s": 6})
+    return found.select("stream_id", "label", "start", "end", "truncated")
+
+
+def flow_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed flows that run once, with breaks, after a shaking, without end, or never."""
+    frames = flow_frames(spark, sf_dir)
+    store, files = frame_store.written(frames, span=16), recordings(frames)
+    found = detect.flow_runs(store, files, BAR_FLOW, (10, 0, 12, 18))
+    return found.select("stream_id", "start", "end", "end_confirmed", "breaks", F.col("start").isNotNull().alias("started"))
+
+
+def shown_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames at the starts and ends of intervals of the trace, of recordings in which disturbed frames cannot be read."""
+    trace = events_trace(spark, sf_dir)
+    frame = F.row_number().over(Window.partitionBy("stream_id").orderBy("t", "seq")) - 1
+    frames = trace.select("stream_id", frame.cast("long").alias("frame_index"), F.lit(1).alias("height"), F.lit(1).alias("width"), F.when(~F.col("disturbed"), F.array(F.col("score").cast("float"))).alias("pixels"))
+    files = stored(plans(trace).select("stream_id", "fps", "n", "first"), "files")
+    number = F.row_number().over(Window.partitionBy("stream_id").orderBy("start", "end"))
+    events = active(trace, True).join(files.select("stream_id", "first"), "stream_id").select("stream_id", number.alias("number"), *((F.col(c) - F.col("first")).alias(c) for c in ("start", "end")))
+    found = review_frames.boundary_frames(events, files, frame_store.written(frames, span=16))
+    return found.select("stream_id", "number", "boundary", "asked", "shown", F.get("pixels", F.lit(0)).cast("double").alias("level"))
+
+
+def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where scoring of the embeddings' frames can start anew, for jumps of two grey levels."""
+    frames = prepare.prepared(embedding_frames(spark, sf_dir), mean=True)
+    return pixels.in_stretches(frames, MotionSettings(brightness_jump=2.0), ("stream_id",)).select("stream_id", "frame_index", "stretch")
+
+
 def queries() -> dict:
     return {
         "sampling_plan": _of_trace(lambda t: rounded(plans(t))),
@@ -291,6 +347,13 @@ def queries() -> dict:
         "merged_overlaps": _of_trace(lambda t: rounded(refine.merged(overlapping(t)))),
         "motion_events": frame_events,
         "liquid_run": frame_flows,
+        "one_stream_intervals": _of_trace(lambda t: rounded(one_intervals(t))),
+        "one_stream_persistence": _of_trace(lambda t: rounded(one_persistence(t))),
+        "one_stream_flow": _of_trace(lambda t: rounded(one_flow(t))),
+        "recorded_events": recorded_events,
+        "flow_cases": flow_cases,
+        "boundary_frames": shown_boundaries,
+        "brightness_stretches": stretches,
         "liquid_scores": lambda spark, sf_dir: liquid.liquid_trace(embedding_frames(spark, sf_dir), (2, 0, 4, 7)),
         "motion_scores": lambda spark, sf_dir: pixels.motion_trace(embedding_frames(spark, sf_dir)),
         "frame_levels": lambda spark, sf_dir: embedding_frames(spark, sf_dir).select("stream_id", "frame_index", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("pixels").cast("double").alias("brightest")),

@@ -238,6 +238,18 @@ SELECT stream_id, seq, CASE WHEN tenths >= 36000 THEN (tenths // 36000) || ':' E
 FROM (SELECT stream_id, seq, score * 20 AS s, floor(greatest(0::DOUBLE, score * 20) * 10 + 0.5::DOUBLE)::BIGINT AS tenths, (seq % 90)::INT AS w, (seq % 70)::INT AS h FROM trace)"""
 
 
+ONE = TRACE.replace("user_id AS stream_id", "0::BIGINT AS stream_id")
+ONE_FLOW = FLOW.replace("user_id AS stream_id", "0::BIGINT AS stream_id").replace(">= 12.0, false)", ">= 0.5, false)").replace(">= 30.0, false)", ">= 3.0, false)").replace("t - frm >= 10.0", "t - frm >= 0.5")
+#: Frames with the planted signal in place of scores, through the same rules.
+FLOW_CASES = (
+    FLOW.replace(TRACE, """
+fc AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, user_id % 5 AS c FROM events WHERE ts IS NOT NULL),
+trace AS (SELECT stream_id, i::DOUBLE AS t, i AS seq, CASE WHEN CASE WHEN c IN (0, 2) THEN i BETWEEN 8 AND 23 WHEN c = 1 THEN i BETWEEN 8 AND 13 OR i BETWEEN 17 AND 22 OR i BETWEEN 26 AND 31 WHEN c = 3 THEN i >= 8 ELSE false END
+    THEN 100.0 ELSE 0.0 END AS score, c = 2 AND i BETWEEN 2 AND 6 AS disturbed FROM fc)""")
+    .replace("coalesce(CASE WHEN seq % 5 = 0 THEN score > 20 END, score >= 60.0)", "score >= 60.0").replace(">= 12.0, false)", ">= 2.0, false)").replace(">= 30.0, false)", ">= 4.0, false)").replace("t - frm >= 10.0", "t - frm >= 2.0")
+)
+
+
 def oracle_sql() -> dict[str, str]:
     def q(ctes, select):
         return f"WITH {ctes.strip()}\n{select}"
@@ -301,6 +313,22 @@ s AS (SELECT stream_id, (24 * k + 8)::DOUBLE AS "start", least(24 * k + 15, n -
 p AS (SELECT stream_id, "end" AS "start", lead("start") OVER (PARTITION BY stream_id ORDER BY "start") AS "end" FROM s)
 SELECT stream_id, 'Machine active' AS label, "start", "end", false AS truncated FROM s UNION ALL SELECT stream_id, 'Extended pause', "start", "end", false FROM p WHERE "end" IS NOT NULL""",
         "liquid_run": """SELECT user_id AS stream_id, 8::DOUBLE AS "start", 15::DOUBLE AS "end", true AS end_confirmed, 'confirmed' AS status, 'Stream detected continuously with a clear start and a sustained end.' AS reasons FROM events WHERE ts IS NOT NULL GROUP BY 1""",
+        "one_stream_intervals": q(ONE + ",\nlt AS (SELECT *, 60.0::DOUBLE AS enter, 20.0::DOUBLE AS exit FROM trace)," + active("dact", "lt", S, True), f"SELECT {iv} FROM dact"),
+        "one_stream_persistence": q(ONE + "," + persistent("p", "trace", "score >= 20", 1.0, "t, seq"), "SELECT seq, round(p_start, 6) AS run_start, p_fires AS fires FROM p"),
+        "one_stream_flow": q(ONE_FLOW, f"SELECT {iv}, end_confirmed, frames, with_liquid, disturbed, timed, timed_with_liquid, round(start_margin, 6) AS start_margin, round(contrast, 6) AS contrast, round(noise, 6) AS noise, breaks FROM flo"),
+        "recorded_events": """WITH n AS (SELECT user_id AS stream_id, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1)
+SELECT stream_id, 'Motion' AS label, (24 * k + 8)::DOUBLE AS "start", least(24 * k + 15, n - 1)::DOUBLE AS "end", false AS truncated FROM n, range(0, 10000) g(k) WHERE least(24 * k + 15, n - 1) - (24 * k + 8) >= 1""",
+        "flow_cases": q(FLOW_CASES, """SELECT stream_id, "start", "end", end_confirmed, breaks, "start" IS NOT NULL AS started FROM flo"""),
+        "boundary_frames": q(DENSE + """,
+fi AS (SELECT stream_id, count(*) AS n, min(t) AS first, (count(*) - 1) / (max(t) - min(t)) AS fps FROM trace GROUP BY 1 HAVING max(t) > min(t)),
+fr AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY t, seq) - 1 AS i, NOT disturbed AS readable, score FROM trace),
+nb AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY "start", "end") AS number FROM dact),
+bo AS (SELECT stream_id, number, 'start' AS boundary, "start" AS t FROM nb UNION ALL SELECT stream_id, number, 'end', "end" FROM nb),
+ak AS (SELECT bo.stream_id, number, boundary, least(floor(greatest(0, bo.t - first) * fps), n - 1)::BIGINT AS asked FROM bo JOIN fi USING (stream_id)),
+sh AS (SELECT ak.*, (SELECT min(i) FROM fr WHERE fr.stream_id = ak.stream_id AND readable AND i BETWEEN asked AND asked + 29) AS shown FROM ak)""", "SELECT sh.stream_id, number::INT AS number, boundary, asked, shown, score::FLOAT::DOUBLE AS level FROM sh LEFT JOIN fr ON fr.stream_id = sh.stream_id AND i = shown"),
+        "brightness_stretches": """WITH m AS (SELECT label::BIGINT AS stream_id, vec_id AS frame_index, list_sum(list_transform(embedding, lambda v: round_even(greatest(0::DOUBLE, least(255::DOUBLE, (v::DOUBLE + 0.6::DOUBLE) * 200)), 0))) / 64 AS mean FROM embeddings),
+j AS (SELECT *, coalesce(abs(mean - lag(mean) OVER (PARTITION BY stream_id ORDER BY frame_index)) >= 2, false) AS jump FROM m)
+SELECT stream_id, frame_index, coalesce(last_value(CASE WHEN jump THEN frame_index END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING), -1) AS stretch FROM j""",
         "click_region": q(ROIS, "SELECT l_orderkey, l_linenumber, x AS px, y AS py, greatest(0, least(320 - 60, x - 30)) AS x, greatest(0, least(240 - 108, y - 4)) AS y, 60 AS w, 108 AS h FROM r"),
         "frame_levels": "SELECT label::BIGINT AS stream_id, vec_id AS frame_index, list_sum(px)::DOUBLE AS total, list_max(px)::DOUBLE AS brightest FROM (SELECT label, vec_id, list_transform(embedding, lambda v: round_even(greatest(0::DOUBLE, least(255::DOUBLE, (v::DOUBLE + 0.6::DOUBLE) * 200)), 0)) AS px FROM embeddings)",
     }

@@ -38,6 +38,36 @@ def event_frames(spark: SparkSession, sf_dir: str, bar: bool = False, times: int
     return rows.select("stream_id", "frame_index", F.lit(height).alias("height"), F.lit(width).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), level).alias("pixels"))
 
 
+def recorded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As event_frames, of recordings as they come: every second one is twice as wide and high, and of every 24 frames the third and the twenty-first cannot be read."""
+    small, large = event_frames(spark, sf_dir), event_frames(spark, sf_dir, times=2)
+    frames = small.where("stream_id % 2 = 0").unionByName(large.where("stream_id % 2 = 1"))
+    return frames.withColumn("pixels", F.when(~(F.col("frame_index") % PERIOD).isin(2, 20), F.col("pixels")))
+
+
+#: Of every five recordings: frames in which a bar of liquid shows (from, to), and frames between which the light jumps.
+FLOW_CASES, SHAKEN = {0: [(8, 24)], 1: [(8, 14), (17, 23), (26, 32)], 2: [(8, 24)], 3: [(8, 1 << 30)], 4: []}, (2, 6)
+
+
+def flow_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each event, one recording a user: grey with noise, and a bar from top to bottom while liquid flows, by the cases of FLOW_CASES: once, with breaks, after a shaking of the camera, without end, never."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null").select(F.col("user_id").alias("stream_id"), "ts", "event_id")
+    rows = e.select("stream_id", (F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id")) - 1).cast("long").alias("frame_index"), "event_id")
+    case, at = F.pmod("stream_id", F.lit(len(FLOW_CASES))), F.col("frame_index")
+    shown = F.lit(False)
+    for k, spans in FLOW_CASES.items():
+        for a, b in spans:
+            shown = shown | ((case == k) & (at >= a) & (at < b))
+    light = F.when((case == 2) & (at >= SHAKEN[0]) & (at < SHAKEN[1]), F.when(at % 2 == 0, 60).otherwise(-60)).otherwise(0)
+
+    def level(i):
+        place = (i % WIDTH).between(14, 16)
+        return F.least(F.lit(255), 120 + F.pmod(F.xxhash64("event_id", i), F.lit(5)) + F.when(F.col("shown") & place, 90).otherwise(0) + F.col("light")).cast("float")
+
+    rows = rows.withColumns({"shown": shown, "light": light})
+    return rows.select("stream_id", "frame_index", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1)), level).alias("pixels"))
+
+
 def frame_files(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     """Frames from image files named <stream>/<index>.<suffix>: what Spark's image source reads, with stream and index."""
     raw = spark.read.format("image").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
