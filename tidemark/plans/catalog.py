@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import clock, geometry, review, sampling, stats
 from tidemark.operators import detect, flow, intervals, liquid, pixels, prepare, refine, report, review_frames, timing
 from tidemark.operators.settings import MotionSettings
-from tidemark.sources import frame_store, probe
-from tidemark.sources.stored import stored
+from tidemark.sources import containers, frame_store, probe, sinks
+from tidemark.sources.stored import new_path, stored
 from tidemark.sources.tables import embedding_frames, event_frames, events_trace, flow_frames, recorded_frames
 
 KEY = ["stream_id"]
@@ -298,6 +298,28 @@ def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.in_stretches(frames, MotionSettings(brightness_jump=2.0), ("stream_id",)).select("stream_id", "frame_index", "stretch")
 
 
+def film_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The embeddings' frames as AVI files of 25 frames a second, one a stream."""
+    path = new_path(spark, "films")
+    frames = embedding_frames(spark, sf_dir)
+    number = F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_index")) - 1
+    sinks.write_avi(frames.withColumn("frame_index", number.cast("long")), path, 25.0)
+    return path
+
+
+def film_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = containers.recordings(spark, film_folder(spark, sf_dir))
+    found = probe.with_duration(read.withColumn("frame_count", F.col("frame_count").cast("double")))
+    return rounded(found.select(F.col("stem").cast("long").alias("stream_id"), probe.codec_text(F.col("code")).alias("codec"), "width", "height", F.col("frame_count").cast("long").alias("frame_count"), "fps", "duration", "duration_source"))
+
+
+def film_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of the frames in the files, from the tenth frame on."""
+    read = containers.recordings(spark, film_folder(spark, sf_dir), "frames", 1024).where("frame_index >= 10")
+    grey = prepare.prepared(read.select(F.col("stem").cast("long").alias("stream_id"), "frame_index", "height", "width", "n_channels", "data"))
+    return grey.select("stream_id", "frame_index", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("pixels").cast("double").alias("brightest"))
+
+
 def queries() -> dict:
     return {
         "sampling_plan": _of_trace(lambda t: rounded(plans(t))),
@@ -353,6 +375,8 @@ def queries() -> dict:
         "recorded_events": recorded_events,
         "flow_cases": flow_cases,
         "boundary_frames": shown_boundaries,
+        "film_headers": film_headers,
+        "film_levels": film_levels,
         "brightness_stretches": stretches,
         "liquid_scores": lambda spark, sf_dir: liquid.liquid_trace(embedding_frames(spark, sf_dir), (2, 0, 4, 7)),
         "motion_scores": lambda spark, sf_dir: pixels.motion_trace(embedding_frames(spark, sf_dir)),

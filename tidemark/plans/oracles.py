@@ -329,6 +329,8 @@ sh AS (SELECT ak.*, (SELECT min(i) FROM fr WHERE fr.stream_id = ak.stream_id AND
         "brightness_stretches": """WITH m AS (SELECT label::BIGINT AS stream_id, vec_id AS frame_index, list_sum(list_transform(embedding, lambda v: round_even(greatest(0::DOUBLE, least(255::DOUBLE, (v::DOUBLE + 0.6::DOUBLE) * 200)), 0))) / 64 AS mean FROM embeddings),
 j AS (SELECT *, coalesce(abs(mean - lag(mean) OVER (PARTITION BY stream_id ORDER BY frame_index)) >= 2, false) AS jump FROM m)
 SELECT stream_id, frame_index, coalesce(last_value(CASE WHEN jump THEN frame_index END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING), -1) AS stretch FROM j""",
+        "film_headers": "SELECT label::BIGINT AS stream_id, 'DIB' AS codec, 8 AS width, 8 AS height, count(*) AS frame_count, 25::DOUBLE AS fps, round(count(*) / 25::DOUBLE, 6) AS duration, 'frame_count' AS duration_source FROM embeddings GROUP BY 1",
+        "film_levels": "SELECT label::BIGINT AS stream_id, i AS frame_index, list_sum(px)::DOUBLE AS total, list_max(px)::DOUBLE AS brightest FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, list_transform(embedding, lambda v: round_even(greatest(0::DOUBLE, least(255::DOUBLE, (v::DOUBLE + 0.6::DOUBLE) * 200)), 0)) AS px FROM embeddings) WHERE i >= 10",
         "click_region": q(ROIS, "SELECT l_orderkey, l_linenumber, x AS px, y AS py, greatest(0, least(320 - 60, x - 30)) AS x, greatest(0, least(240 - 108, y - 4)) AS y, 60 AS w, 108 AS h FROM r"),
         "frame_levels": "SELECT label::BIGINT AS stream_id, vec_id AS frame_index, list_sum(px)::DOUBLE AS total, list_max(px)::DOUBLE AS brightest FROM (SELECT label, vec_id, list_transform(embedding, lambda v: round_even(greatest(0::DOUBLE, least(255::DOUBLE, (v::DOUBLE + 0.6::DOUBLE) * 200)), 0)) AS px FROM embeddings)",
     }
