@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry, sampling, stats
 from tidemark.operators import flow, intervals, liquid, pixels, prepare, refine, report
 from tidemark.operators.settings import FlowSettings, RefineSettings, RunSettings, ScanSettings, overridden
+from tidemark.operators.tracking import Run
 from tidemark.sources.frame_store import FrameStore, written
 from tidemark.sources.stored import stored
 
@@ -73,7 +74,11 @@ def _scale(roi: tuple[int, int, int, int] | None, target: int) -> Column:
     return F.least(F.lit(1.0), F.lit(target) / F.greatest(wide, F.lit(1)))
 
 
-def coarse_trace(store: FrameStore, plan: DataFrame, n: int, how: Detector, roi: tuple[int, int, int, int] | None) -> DataFrame:
+def _watched(run: Run | None, df: DataFrame, name: str, **aggregates: Column) -> DataFrame:
+    return run.observed(df, name, **aggregates) if run else df
+
+
+def coarse_trace(store: FrameStore, plan: DataFrame, n: int, how: Detector, roi: tuple[int, int, int, int] | None, run: Run | None = None) -> DataFrame:
     """(stream_id, t, seq, score, disturbed) of the sampled frames; plan (stored): stream_id, step, fps, scale."""
     seen = prepare.on_grid(store.frames().drop("s_part", "t_part"), plan.select("stream_id", "step"))
     ready = prepare.prepared(_with_streams(seen.drop("readable"), plan.select("stream_id", "scale"), n), roi, "scale", BLUR, mean=how.by_jumps)
@@ -81,7 +86,8 @@ def coarse_trace(store: FrameStore, plan: DataFrame, n: int, how: Detector, roi:
         ready = stored(ready, "prepared")
     found = pixels.motion_trace(ready) if how.by_jumps else pixels.scored(ready, how.scorer, TRACE)
     found = _with_streams(found, plan.select("stream_id", "fps"), n)
-    return stored(found.select("stream_id", (F.col("frame_index") / F.col("fps")).alias("t"), F.col("frame_index").alias("seq"), "score", "disturbed"), "coarse-trace")
+    found = found.select("stream_id", (F.col("frame_index") / F.col("fps")).alias("t"), F.col("frame_index").alias("seq"), "score", "disturbed")
+    return stored(_watched(run, found, "scan", samples=F.count("*"), disturbed=F.count_if("disturbed")), "coarse-trace")
 
 
 def fine_trace(store: FrameStore, wins: DataFrame, how: Detector, roi: tuple[int, int, int, int] | None) -> DataFrame:
@@ -97,18 +103,22 @@ def fine_trace(store: FrameStore, wins: DataFrame, how: Detector, roi: tuple[int
     return found.select(*keys, (F.col("frame_index") / F.col("fps")).alias("t"), F.col("frame_index").alias("seq"), "score", "disturbed")
 
 
-def events(frames: DataFrame | FrameStore, files: DataFrame, mode: str, params: dict[str, Any] | None = None, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
+def events(frames: DataFrame | FrameStore, files: DataFrame, mode: str, params: dict[str, Any] | None = None, roi: tuple[int, int, int, int] | None = None, run: Run | None = None) -> DataFrame:
     """frames (stream_id, frame_index, height, width, pixels or data; or a store of them) of files (stream_id, fps, n frames, width) -> stream_id, label, start, end (seconds), confidence, status, notes, truncated.
 
-    Each file is scaled by its own width. A frame without pixels cannot be read: the scan steps over it by one, and 30 in a row end it. truncated says that a stream had more candidates than were looked at."""
+    Each file is scaled by its own width. A frame without pixels cannot be read: the scan steps over it by one, and 30 in a row end it. truncated says that a stream had more candidates than were looked at.
+    A run (see tracking) gets the counts and times of the passes."""
     how, params, store = detector(mode), params or {}, _as_store(frames)
     scan, fine, runs = (overridden(s, params) for s in (ScanSettings(), RefineSettings(), RunSettings()))
 
     plan = files.withColumn("interval", sampling.sample_interval(F.lit(scan.shortest_event_s), F.lit(scan.safety_factor), scan.min_sample_interval_s, scan.max_sample_interval_s, F.col("fps")))
     plan = plan.select("stream_id", "fps", "n", "interval", sampling.step_frames(F.col("interval"), F.col("fps")).alias("step"), _scale(roi, scan.scan_width_px).alias("scale"), _scale(roi, fine.refine_width_px).alias("fine_scale"))
-    plan = stored(plan.withColumn("fine_step", sampling.step_frames(F.lit(fine.dense_step_s), F.col("fps"))), "plans")
+    plan = plan.withColumn("fine_step", sampling.step_frames(F.lit(fine.dense_step_s), F.col("fps")))
+    plan = stored(_watched(run, plan, "plan", recordings=F.count("*"), duration_s=F.sum(F.col("n") / F.col("fps"))), "plans")
     n = plan.count()
-    trace = coarse_trace(store, plan, n, how, roi)
+    if run:
+        run.mark("plan")
+    trace = coarse_trace(store, plan, n, how, roi, run)
 
     levels = stats.with_thresholds(stats.noise(trace.select("stream_id", "score"), KEY), scan.enter_sigma, scan.exit_sigma, scan.min_changed_area_ratio, scan.sensitivity)
     found = intervals.active_intervals(trace.join(levels.select("stream_id", "enter", "exit"), KEY), KEY, dense=False)
@@ -116,12 +126,18 @@ def events(frames: DataFrame | FrameStore, files: DataFrame, mode: str, params:
     top = intervals.strongest(intervals.with_peaks(found, trace, KEY), KEY, scan.max_candidates)
     # The second pass looks back by a coarse interval at least, or a start could lie outside.
     ends = plan.select("stream_id", F.lit(0.0).alias("first"), (F.col("n") / F.col("fps")).alias("last"), F.greatest(F.lit(fine.pre_roll_s), "interval").alias("pre"), F.greatest(F.lit(fine.post_roll_s), "interval").alias("post"), "fps", "fine_step", "fine_scale")
-    wins = stored(refine.windows_within(top, ends, F.col("pre"), F.col("post"), "truncated", "fps", "fine_step", "fine_scale"), "windows")
+    wins = refine.windows_within(top, ends, F.col("pre"), F.col("post"), "truncated", "fps", "fine_step", "fine_scale")
+    wins = stored(_watched(run, wins, "windows", windows=F.count("*")), "windows")
+    if run:
+        run.mark("scan")
 
-    again = fine_trace(store, wins, how, roi)
+    again = _watched(run, fine_trace(store, wins, how, roi), "refine", dense=F.count("*"))
     merged = refine.merged(refine.refined(wins, again, 0.0015, fine.merge_gap_s, fine.min_event_duration_s))
 
-    out = stored(report.with_status(merged, fine.review_confidence).withColumn("label", how.label(runs)), "events")
+    out = report.with_status(merged, fine.review_confidence).withColumn("label", how.label(runs))
+    out = stored(_watched(run, out, "events", events=F.count("*")), "events")
+    if run:
+        run.mark("refine")
     columns = ["stream_id", "label", "start", "end", "confidence", "status", "notes"]
     if how.pauses and runs.idle_pause_s > 0:
         idle = intervals.pauses(out, KEY, runs.idle_pause_s).withColumns({"label": F.lit("Extended pause"), "status": F.when(F.col("confidence") >= fine.review_confidence, "confirmed").otherwise("review"), "notes": F.array().cast("array<string>")})
