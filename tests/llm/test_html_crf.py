@@ -70,6 +70,48 @@ def test_unseen_layouts(model, name):
     assert html_crf.main_text(f"<html><head><title>T</title></head><body>{LAYOUTS[name]}</body></html>", *model) == ALL
 
 
+def with_body(page, kind):
+    """The page with its paragraphs as other elements."""
+    if kind == "br" and BODY in page:
+        return page.replace(BODY, f"<table><tr><td>{H}<br><br>{P1}<br><br>{P2}<br>{P3}</td></tr></table>")
+    for p in (P1, P2, P3):
+        page = page.replace(f"<p>{p}</p>", f"<{kind}>{p}</{kind}>" if kind != "br" else f"<div>{p}<br></div>")
+    return page
+
+
+@pytest.mark.parametrize("kind", ["div", "section", "br"])
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_unseen_layouts_with_other_paragraphs(model, name, kind):
+    assert html_crf.main_text(f"<html><body>{with_body(LAYOUTS[name], kind)}</body></html>", *model) == ALL
+
+
+DIVS = f"<h1>{H}</h1><div>{P1}</div><div>{P2}</div><div>{P3}</div>"
+KEPT = {
+    "has a sidebar": f"<div id=main class=has-sidebar>{BODY}</div><aside><p>More rivers and more lakes are in our archive, which is free.</p></aside>",
+    "has none": f"<div class='site no-sidebar'>{BODY}</div><div class=footer><p>The Paper has been written by people who live here, since 1920.</p></div>",
+    "layout name": f"<div class=layout-right-sidebar>{BODY}</div><div class=footer><p>The Paper has been written by people who live here, since 1920.</p></div>",
+    "divs beside a menu": f"<div>{NAV}</div>{DIVS}<div>&copy; 2020 The Paper</div>",
+    "cell with breaks": f"<table><tr><td>{NAV}</td><td>{H}<br><br>{P1}<br><br>{P2}<br><br>{P3}</td></tr></table>",
+    "widget of text": f"<div class=menu>{NAV}</div><div class='widget widget-text'>{BODY}</div>",
+    "template name": f"<body class='page-with-sidebar hide-footer'><nav>{NAV}</nav><div class=with-comments>{BODY}</div></body>",
+    "comments without marks": f"<article>{BODY}</article><h3>Reader comments</h3>{SAID}{SAID}",
+    "comments counted": f"<nav>{NAV}</nav><main>{BODY}<h3>3 Comments</h3>{SAID}</main>",
+    "newsletter sentence": f"<article><h1>{H}</h1><p>{P1}</p><p>{P2}</p><p>Sign up for our newsletter, and get it every week.</p><p>{P3}</p></article>",
+    "read also": f"<article><h1>{H}</h1><p>{P1}</p><p>Read also: <a href=/x>The last ferry of the year</a></p><p>{P2}</p><p>{P3}</p></article>",
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_articles_are_kept_whole(model, name):
+    assert html_crf.main_text(f"<html>{KEPT[name]}</html>", *model) == ALL
+
+
+def test_tables_and_addresses_of_articles(model):
+    table = "<table><tr><th>Place</th><th>Depth</th></tr><tr><td>The mill</td><td>2 m</td></tr><tr><td>The bridge</td><td>5 m</td></tr></table>"
+    page = f"<nav>{NAV}</nav><article><h1>{H}</h1><p>{P1}</p>{table}<p>{P2}</p><address>The river museum, 4 Mill Lane</address><p>{P3}</p></article><footer>Imprint</footer>"
+    assert html_crf.main_text(page, *model) == f"{H} {P1} Place Depth The mill 2 m The bridge 5 m {P2} The river museum, 4 Mill Lane {P3}"
+
+
 def test_edges(spark):
     unseen = f"<div class=main-menu><a href=/1>One</a></div><div class=article-body><h1>A   &lt;b&gt;</h1><p>{P1}<br>{P2}</p><p hidden>{P1}</p></div></html"
     rows = [(1, unseen, "a"), (2, None, "b"), (3, "", None), (None, "<p>", "c"), (1, unseen, "a"), (4, f"<div><p>{P2}</p></div><scr", "d"), (5, "<article>" + "<p>A line of prose, as it should be.</p>" * 5000 + "</article>", "e")]

@@ -2,14 +2,17 @@
 
 A page is read into leaf blocks in one pass; blocks point to the marked elements around them (landmark elements, and elements whose
 class or id holds a word of OTHER or CONTENT), which form a tree with the prose that each holds. Blocks get binary features of these marks, of
-their element and of their text; marks are evidence beside the text, and the mark of an element that holds nearly all prose of
-its page counts for nothing. A chain of two labels, main and other, is trained on labelled pages and finds each page's best labelling.
+their element and of their text; marks are evidence beside the text, and the mark of an element that holds more of its page's prose than such a part does counts for nothing: the less a mark is
+worth, the sooner. A chain of two labels, main and other, is trained on labelled pages and finds each page's best labelling.
 
 Labelled pages: those of llm/html_pages.py, labelled by hand, and at most SAMPLE different pages of the table. A page of the table is labelled by its own
 <article> or <main> alone; class words label nothing, and pages that have such words or landmarks inside that element teach nothing, nor do those of over MOST_BLOCKS
 blocks. Each page is learned twice, once without its marks, so that text features are learned as well.
 
-Defined results: null and empty html gives an empty text; markup cut off at the end is no text; a quote that is not closed
+A page with prose of which nothing is decoded as main is decoded again without its marks, as far as no element or whole name marks a block otherwise; if that finds nothing either, its main text is the
+stretch with most prose.
+
+Defined results: null and empty html gives an empty text; a no-break space is a character like any other; markup cut off at the end is no text; a quote that is not closed
 ends with its tag; repeated pages keep one row each; pages of any length and depth are decoded whole, in time and memory of their length.
 """
 
@@ -28,8 +31,8 @@ from tidemark.llm.html_pages import PAGES
 #: Most pages of the table that training uses, and most blocks of such a page.
 SAMPLE, MOST_BLOCKS = 300, 400
 STEPS, RATE, DECAY, STILL = 300, 0.5, 0.3, 1e-4
-#: Part of a page's prose that must stand outside a marked element for its mark to count; for comments, which may be longer than their article.
-OUTSIDE, OUTSIDE_COMMENTS = 0.15, 0.03
+#: Part of a page's prose that must stand outside a marked element for its mark to count, by how it is marked; for comments, which may be longer than their article.
+OUTSIDE, OUTSIDE_COMMENTS = {"element": 0.15, "name": 0.25, "part": 0.5}, 0.03
 #: Words that make a block prose.
 PROSE_WORDS = 8
 
@@ -62,6 +65,10 @@ OTHER = {
 }
 #: Words after another one that say no more than that an element holds it.
 HOLDERS = frozenset("area wrapper container list section box inner block bar top main thread".split())
+#: Words that make a name describe the whole page or element: what they speak of is not in it, or only part of it.
+DESCRIBING = frozenset("no not non without has have with is hide hidden show layout template page col cols grid theme single".split())
+#: Words that say little by themselves.
+WEAK = frozenset("widget tags trending".split())
 _KIND = {word: kind for kind, words in OTHER.items() for word in words.split()}
 #: Elements that are marks by themselves.
 LANDMARKS = {"article": "content", "main": "content", "nav": "nav", "header": "header", "footer": "footer", "aside": "side", "form": "form", "menu": "nav", "dialog": "notice"}
@@ -99,9 +106,11 @@ def mark(tag: str, given: dict[str, str]) -> tuple[str, str] | None:
     found: dict[str, str] = {}
     for name in f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower().split():
         words = re.split(r"[-_]+", name)
+        if words[0] in DESCRIBING and len(words) > 1:
+            continue
         kinds = [_KIND[w] for w in words if w in _KIND] or ["content"] * (not CONTENT.isdisjoint(words))
         if kinds:
-            how = "name" if words[-1] in _KIND or len(words) == 1 or (words[0] in _KIND and words[0] != "widget" and len(words) == 2 and words[1] in HOLDERS) else "part"
+            how = "part" if words[-1] in WEAK or words == ["widget"] else "name" if words[-1] in _KIND or len(words) == 1 or (words[0] in _KIND and words[0] != "widget" and len(words) == 2 and words[1] in HOLDERS) else "part"
             if found.get(kinds[-1]) != "name":
                 found[kinds[-1]] = how
     if "comment" in found:
@@ -135,7 +144,7 @@ class Page:
         for i in range(len(held) - 1, -1, -1):
             if (parent := self.marks[i][0]) >= 0:
                 held[parent] += held[i]
-        return [kind == "content" or n <= 0 or total - n >= (OUTSIDE_COMMENTS if kind == "comment" else OUTSIDE) * total for n, (_, kind, _) in zip(held, self.marks)]
+        return [kind == "content" or n <= 0 or total - n >= (OUTSIDE_COMMENTS if kind == "comment" else OUTSIDE[how]) * total for n, (_, kind, how) in zip(held, self.marks)]
 
 
 def parsed(page: str) -> Page:
@@ -237,12 +246,16 @@ HOWS = ("element", "name", "part")
 NAMES = [
     "bias", *[f"inner={k}" for k in ("content", "other", "none")], *[f"{how}={kind}" for how in HOWS for kind in OTHER], *[f"{how} in content" for how in HOWS], "others in content",
     "tag=p", "tag=h", "tag=li", "tag=div", "tag=cell", "tag=other", "links=0", "links<half", "links>half",
-    "words<3", "words<8", "words<20", "words<60", "words>60", "ends", "no end", "comma", "capital", "sign", "bar", "digits", "list", "first", "last", "notice words", "near heading",
+    "words<3", "words<8", "words<20", "words<60", "words>60", "ends", "no end", "comma", "capital", "sign", "bar", "digits", "list", "first", "last", "notice words", "near heading", "address", "elsewhere", "after comments", "comments head", "row of cells", "most prose", "prose of it", "letter",
 ]
 _NUMBER = {n: i for i, n in enumerate(NAMES)}
 MARKED = slice(_NUMBER["inner=content"], _NUMBER["tag=p"])
 _TAGS = {"p": "tag=p", "pre": "tag=p", "blockquote": "tag=p", "li": "tag=li", "dd": "tag=li", "dt": "tag=li", "td": "tag=cell", "th": "tag=cell", "div": "tag=div", "section": "tag=div", "article": "tag=div", "main": "tag=div"} | {f"h{i}": "tag=h" for i in range(1, 7)}
-_NOTICE = re.compile(r"cookie|all rights reserved|subscribe|privacy|sign up|log in|newsletter|advert", re.I)
+#: How texts send the reader elsewhere, and what stands above readers' comments.
+_ELSEWHERE = re.compile(r"(?:read|see|watch|listen)\s+(?:also|more|next|on)\b|(?:lesen|siehe)\s+(?:sie\s+)?auch\b|(?:à\s+)?lire\s+aussi\b|(?:lea|vea|ver|leer)\s+también\b|related\b|more (?:from|on|about)\b|you (?:may|might) also", re.I)
+_COMMENTS = re.compile(r"(?:\(?\d+\)?\s*)?(?:reader(?:s'?|'s)?\s+|leser)?(?:comments?|responses?|replies|kommentare?|commentaires?|comentarios?|respuestas|réactions)(?:\s*\(?\d*\)?)?\s*:?$|leave a (?:reply|comment)|join the (?:discussion|conversation)|what (?:readers|others) say", re.I)
+_NOTICE = re.compile(r"cookie|all rights reserved|privacy|log in|advert", re.I)
+_LETTER = re.compile(r"subscribe|sign up|newsletter|abonnieren|abonnez|suscríb", re.I)
 
 
 def evidence(page: Page) -> list[tuple[int, ...]]:
@@ -262,9 +275,24 @@ def evidence(page: Page) -> list[tuple[int, ...]]:
     return out
 
 
+def prose_runs(page: Page) -> list[bool]:
+    """For each block, whether it stands in the stretch that holds most prose of its page; links, and what stands above comments, part stretches."""
+    run, held, of = 0, [0], []
+    for text, linked, *_ in page.blocks:
+        if 2 * linked >= len(text) or (text.count(" ") < 7 and _COMMENTS.match(text)):
+            held.append(0)
+            run = len(held) - 1
+        elif text.count(" ") + 1 >= PROSE_WORDS:
+            held[run] += len(text)
+        of.append(run)
+    most = max(range(len(held)), key=held.__getitem__)
+    return [x == most and held[x] > 0 and 2 * b[1] < len(b[0]) for x, b in zip(of, page.blocks)]
+
+
 def features(page: Page) -> list[list[int]]:
     """The numbers of each block's features."""
-    marks, out, heading = evidence(page), [], False
+    marks, out, heading, commented = evidence(page), [], False, False
+    own_tags, most = [own for *_, own, _, _ in page.blocks], prose_runs(page)
     none = (_NUMBER["inner=none"],)
     for i, (text, linked, _, own, listed, at) in enumerate(page.blocks):
         n = text.count(" ") + 1
@@ -273,9 +301,12 @@ def features(page: Page) -> list[list[int]]:
         names.append("links=0" if not linked else "links<half" if 2 * linked < len(text) else "links>half")
         names.append("words<3" if n < 3 else "words<8" if n < 8 else "words<20" if n < 20 else "words<60" if n < 60 else "words>60")
         names.append("ends" if text[-1] in ".!?:;\"'”»)" else "no end")
-        for name, holds in (("comma", ", " in text), ("capital", text[0].isupper()), ("sign", "©" in text), ("bar", "|" in text or "·" in text), ("digits", text[0].isdigit()), ("list", listed), ("first", i == 0), ("last", i == len(page.blocks) - 1), ("notice words", n < 25 and _NOTICE.search(text)), ("near heading", heading)):
+        for name, holds in (("comma", ", " in text), ("capital", text[0].isupper()), ("sign", "©" in text), ("bar", "|" in text or "·" in text), ("digits", text[0].isdigit()), ("list", listed), ("first", i == 0), ("last", i == len(page.blocks) - 1), ("notice words", n < 25 and _NOTICE.search(text)), ("near heading", heading), ("letter", n < 25 and _LETTER.search(text)), ("address", own == "address"), ("elsewhere", n < 25 and _ELSEWHERE.match(text)), ("after comments", commented), ("most prose", most[i]), ("prose of it", most[i] and n >= PROSE_WORDS), ("row of cells", kind == "tag=cell" and (own_tags[i - 1 : i] == [own] or own_tags[i + 1 : i + 2] == [own]))):
             if holds:
                 names.append(name)
+        if n < 8 and (kind != "tag=p" or n < 4) and _COMMENTS.match(text):
+            names.append("comments head")
+            commented = True
         heading = kind == "tag=h"
         out.append([*(_NUMBER[x] for x in names), *(marks[at] if at >= 0 else none)])
     return out
@@ -398,9 +429,23 @@ def train(pages: DataFrame, column: str = "html") -> tuple[list, list]:
     return w.tolist(), t.tolist()
 
 
+def labels(found: Page, w: list, t: list) -> list[int]:
+    """The best labelling; where it finds nothing on a page with prose, the best one by the text alone of what no strong mark excludes."""
+    numbers = features(found)
+    best = viterbi(numbers, w, t)
+    if any(best) or not any(2 * linked < len(text) and text.count(" ") + 1 >= PROSE_WORDS for text, linked, *_ in found.blocks):
+        return best
+    strong = {_NUMBER[f"{how}={kind}"] for how in ("element", "name") for kind in OTHER}
+    for again in (viterbi(hide_marks(numbers), w, t), [_NUMBER["prose of it"] in own for own in numbers]):
+        best = [int(main and strong.isdisjoint(own)) for main, own in zip(again, numbers)]
+        if any(best):
+            break
+    return best
+
+
 def main_text(page: str | None, w: list, t: list) -> str:
     found = parsed(page or "")
-    return " ".join(b[0] for b, main in zip(found.blocks, viterbi(features(found), w, t)) if main)
+    return " ".join(b[0] for b, main in zip(found.blocks, labels(found, w, t)) if main)
 
 
 def extracted(pages: DataFrame, columns: list[str], column: str = "html") -> DataFrame:

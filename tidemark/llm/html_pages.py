@@ -1,7 +1,7 @@
 """Pages labelled by hand, from which the page CRF learns: elements with data-main are main text.
 
 LAYOUTS hold the markup of a page; {h} is a title, {s} a heading, {p} a paragraph, {i} a list item, all of them main text; {c} is a reader's comment,
-{t} a headline of another page. Each layout is filled twice, with different texts.
+{t} a headline of another page. Each layout is filled twice, with different texts; layouts with paragraphs are filled three times more, with <div> and <section> in place of <p>.
 """
 
 from itertools import cycle, islice
@@ -18,6 +18,8 @@ PARAGRAPHS = [
     "La casa estaba vacía, pero las ventanas seguían abiertas, como si alguien fuera a volver.",
     "They printed four hundred copies of the first book; most of them were given away. The second one sold out within a week, to everyone's surprise, and paid for the press.",
     "Not so.",
+    "The town has two squares, and both are older than its church.",
+    "Nobody had asked her before, and so she had never told it.",
     "We walked along the beach at low water and found glass, rope, a shoe, and a letter that could no longer be read",
 ]
 ITEMS = ["two onions", "one litre of stock", "The first chapter, which is about water", "salt", "a compass, a map and warm gloves", "Drittens: Geduld."]
@@ -52,7 +54,21 @@ LAYOUTS = [
     "<div class=breadcrumb><a href=/>Home</a> &gt; <a href=/r>Recipes</a></div><main><article>{h}<ul>{i}{i}{i}{i}</ul>{p}{p}</article><aside><h4>See also</h4><p><a href=/1>{t}</a></p><p>{x}</p></aside></main><div class=popup>Wait! Before you go, take ten percent off your next order.</div>",
     "<div class=wrap><div class=left><p><a href=/1>{t}</a></p><p><a href=/2>{t}</a></p><p><a href=/3>{t}</a></p></div><div class=mid>{h}<div data-main=1>{x}</div><div data-main=1>{x}</div><div class=comments><div class=comment>{c}</div><div class=comment>{c}</div></div></div></div><div class=legal>The Paper takes no responsibility for what other sites say. Read our terms.</div>",
     "<div class=alert><p>Our office is closed on Monday. We are sorry for any trouble that this may cause.</p></div><div class='content main-content'>{h}{p}<figure><img src=a.png><figcaption data-main=1>The harbour in May</figcaption></figure>{p}{p}</div><div class=follow>Follow us on <a href=/m>the network</a></div><div class=widget><h3>Newest</h3><a href=/1>{t}</a> <a href=/2>{t}</a></div><div class=copyright>&copy; 2021</div>",
-    "<header><h1>The Paper</h1></header><main id=content>{h}{p}{p}<div class=sponsored><p>Advertisement: the new car is here, faster than ever, and it can be yours from today.</p></div>{p}</main><section id=disqus_thread><p>{c}</p><p>{c}</p><p>{c}</p></section><footer>{x}</footer>",
+    "<header><h1>The Paper</h1></header><main id=content>{h}{p}{p}<div class=sponsored><p>Advertisement: the new car is here, faster than ever, and it can be yours from today.</p></div>{p}</main><section id=disqus_thread><p>{c}</p><p>{c}</p><p>{c}</p></section><footer>{x}</footer>",    "<div id=main class=has-sidebar>{h}{p}{p}{p}</div><aside><h3>Most read</h3><p><a href=/1>{t}</a></p><p><a href=/2>{t}</a></p></aside><div class=footer><p>The Paper is printed by its readers. All rights reserved.</p></div>",
+    "<div class='site no-sidebar'><div class=menu><a href=/1>One</a> <a href=/2>Two</a></div>{h}{p}{p}</div><div class=footer><p>This is a paper for everyone, and has been one since 1920.</p><p>&copy; 2020</p></div>",
+    "<div class=layout-right-sidebar><div class=nav><a href=/1>Start</a></div><div>{h}{p}{p}{p}</div></div><footer><p>We answer every letter, but it may take some weeks. Write to us.</p></footer>",
+    "<table width=100%><tr><td><a href=/1>Home</a><br><a href=/2>News</a><br><a href=/3>Links</a></td><td data-main=1>{x}<br><br>{x}<br><br>{x}</td></tr></table>",
+    "<table><tr><td class=menu><a href=/1>Index</a> <a href=/2>Archive</a></td></tr><tr><td data-main=1>{x}<br><br>{x}</td></tr><tr><td>&copy; 1999</td></tr></table>",
+    "<ul><li><a href=/1>Home</a></li><li><a href=/2>Shop</a></li></ul><div class='widget widget-text'>{h}{p}{p}{p}</div><div class=bottom>&copy; 2021 A shop</div>",
+    "<nav><a href=/1>Start</a></nav><article>{h}{p}<table><tr><th data-main=1>Year</th><th data-main=1>Boats</th></tr><tr><td data-main=1>1990</td><td data-main=1>12</td></tr><tr><td data-main=1>2000</td><td data-main=1>31</td></tr></table>{p}<address data-main=1>The old mill, 3 River Street</address></article><footer>Contact</footer>",
+    "<div><a href=/1>Start</a> <a href=/2>Towns</a></div><div>{h}{p}<table><tr><td data-main=1>Monday</td><td data-main=1>9 to 5</td></tr><tr><td data-main=1>Sunday</td><td data-main=1>closed</td></tr></table>{p}</div><div>&copy; 2022</div>",
+    "<div class=head><a href=/>The Paper</a></div><div>{h}{p}{p}{p}</div><div><h3>Reader comments</h3><p>{c}</p><p>{c}</p><p>{c}</p></div><div>&copy; 2019</div>",
+    "<main>{h}{p}{p}<h3>3 Comments</h3><ul><li>{c}</li><li>{c}</li><li>{c}</li></ul></main><footer>Imprint</footer>",
+    "<article>{h}{p}{p}</article><h2>Kommentare</h2><p>{c}</p><p>{c}</p><p>Leave a reply</p>",
+    "<article>{h}{p}<p>Read also: <a href=/1>{t}</a></p>{p}<p>Sign up for our newsletter, and get it every Friday.</p>{p}</article><footer>Contact</footer>",
+    "<nav><a href=/1>Start</a></nav><main>{h}{p}{p}<p>See also: <a href=/1>{t}</a></p>{p}<div><p>Subscribe to our newsletter to get stories like this one.</p></div></main><footer>Imprint</footer>",
+    "<nav><a href=/1>Start</a></nav><article>{h}{p}<p data-main=1>All rights reserved.</p>{p}<p data-main=1>They were given tea and cookies, and asked to log in.</p>{p}</article><footer>&copy; 2020. All rights reserved.</footer>",
+    "<div class=topbar><a href=/1>One</a></div><section>{h}</section><section data-main=1>{x}</section><section data-main=1>{x}</section><section data-main=1>{x}</section><div class=copyright>&copy; 2020</div>",
 ]
 
 
@@ -70,9 +86,9 @@ def pages() -> list[str]:
         return islice(cycle(shape.format(x) for x in texts), k, None)
 
     out = []
-    for k in (0, 3):
-        texts = {"h": around(TITLES, "<h1 data-main=1>{}</h1>", k), "s": around(HEADINGS, "<h2 data-main=1>{}</h2>", k), "p": around(PARAGRAPHS, "<p data-main=1>{}</p>", k), "i": around(ITEMS, "<li data-main=1>{}</li>", k), "x": around(PARAGRAPHS, "{}", k + 2), "c": around(COMMENTS, "{}", k), "t": around(ELSEWHERE, "{}", k)}
-        out += [_filled(layout, texts) for layout in LAYOUTS]
+    for k, tag in ((0, "p"), (3, "p"), (5, "div"), (1, "div"), (2, "section")):
+        texts = {"h": around(TITLES, "<h1 data-main=1>{}</h1>", k), "s": around(HEADINGS, "<h2 data-main=1>{}</h2>", k), "p": around(PARAGRAPHS, f"<{tag} data-main=1>{{}}</{tag}>", k), "i": around(ITEMS, "<li data-main=1>{}</li>", k), "x": around(PARAGRAPHS, "{}", k + 2), "c": around(COMMENTS, "{}", k), "t": around(ELSEWHERE, "{}", k)}
+        out += [_filled(layout, texts) for layout in LAYOUTS if tag == "p" or "{p}" in layout]
     return out
 
 
