@@ -4,9 +4,11 @@ Base kinds are patterns; the method adds candidate strings of one character clas
 window of WINDOW characters reaches the class's limit. Entropy slides: a string holds the window's counts, one letter for each character of
 the class, and one character in and one out change the sum of c log2 c by two terms each. Candidates of too few different characters are
 not folded, and a fold stands still once it has reached the limit. An allow-list cuts sample values and plain words out of a candidate before its windows
-are looked at; it never takes away a base span. A candidate without a digit must have both cases and LETTERS bits.
+are looked at; it never takes away a base span. Parts of addresses, paths and identifiers are allowed too: pieces between other characters that are words, also joined with capitals, with
+a number of up to four digits behind, or numbers of up to eight. A candidate without a digit must have both cases and LETTERS bits; what is a word in this sense, such as a key of letters of one case, is not found.
 
 Defined results: a null text is empty; repeated rows keep one row each; every length is scanned whole; spans that begin together stand in the order of their kinds.
+Addresses and paths are no secrets by themselves; a key in one is found like any other.
 """
 
 from math import log2
@@ -28,6 +30,8 @@ LETTERS = 3.9
 PIECE = 256
 #: Values that documents use in place of secrets.
 ALLOWED = "(?i)example|sample|placeholder|changeme|dummy|redacted|0123456789|1234567890|abcdefgh|x{6}|0{12}"
+#: A piece that is words or a number; bounded, so that it takes no stack on long runs.
+WORDS = r"(?<![A-Za-z0-9])(?:(?:[A-Z]?+[a-z]{2,}+|[A-Z]{1,5}(?![a-z])){1,40}+[0-9]{0,4}+|[0-9]{1,8}+)(?![A-Za-z0-9])"
 SPAN = "struct<start:int,end:int,kind:string,m:string>"
 
 
@@ -110,7 +114,7 @@ def entropy_spans(text: Column, kind: str) -> Column:
         return F.transform(F.array(need), lambda n: F.when(n.isNotNull(), reaches(m, n)).otherwise(F.lit(False)))[0]
 
     def suspicious(s):
-        return F.transform(F.array(F.regexp_replace(s["m"], ALLOWED, "*")), judge)[0]
+        return F.transform(F.array(F.regexp_replace(F.regexp_replace(s["m"], ALLOWED, "*"), WORDS, "*")), judge)[0]
 
     return F.filter(places(matches(text, pattern), kind, lambda m: m != ""), suspicious)
 
