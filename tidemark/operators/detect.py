@@ -120,8 +120,8 @@ def events(frames: DataFrame | FrameStore, files: DataFrame, mode: str, params:
         run.mark("plan")
     trace = coarse_trace(store, plan, n, how, roi, run)
 
-    levels = stats.with_thresholds(stats.noise(trace.select("stream_id", "score"), KEY), scan.enter_sigma, scan.exit_sigma, scan.min_changed_area_ratio, scan.sensitivity)
-    found = intervals.active_intervals(trace.join(levels.select("stream_id", "enter", "exit"), KEY), KEY, dense=False)
+    levels = stats.with_thresholds(stats.with_noise(trace, KEY), scan.enter_sigma, scan.exit_sigma, scan.min_changed_area_ratio, scan.sensitivity)
+    found = intervals.active_intervals(levels, KEY, dense=False)
     found = intervals.long_enough(intervals.bridged(found, KEY, scan.bridge_gap_s), scan.min_candidate_duration_s)
     top = intervals.strongest(intervals.with_peaks(found, trace, KEY), KEY, scan.max_candidates)
     # The second pass looks back by a coarse interval at least, or a start could lie outside.

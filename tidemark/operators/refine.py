@@ -40,21 +40,20 @@ def inside(wins: DataFrame, samples: DataFrame, bucket: float = 600.0, first_fra
 def refined(wins: DataFrame, dense: DataFrame, floor: float, gap: float, least: float) -> DataFrame:
     """Refined events of windows (stored), with their evidence, from dense samples (stream_id, window_id, t, seq, score, disturbed); windows of fewer than 3 samples keep their candidate at confidence .35.
 
-    Samples inside windows, their levels and the spans found are stored, so that each is worked out once."""
-    dense = stored(dense.select(*KEYS, "t", "seq", "score", "disturbed"), "inside")
-    levels = stats.with_thresholds(stats.noise(dense.select(*KEYS, "score"), KEYS, 0.25), 4.0, 2.0, floor)
+    Samples inside windows are stored with their levels, so that both are worked out once."""
     order = Window.partitionBy(*KEYS).orderBy("t", "seq")
-    steps = dense.withColumn("step", F.col("t") - F.lag("t").over(order))
+    dense = stats.with_thresholds(stats.with_noise(dense.select(*KEYS, "t", "seq", "score", "disturbed"), KEYS, 0.25), 4.0, 2.0, floor)
+    dense = stored(dense.withColumn("step", F.col("t") - F.lag("t").over(order)).drop("base", "sigma"), "inside")
     # The upper of the two middle steps; one row a window.
-    shape = steps.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list("step")).alias("steps"), F.avg(F.col("disturbed").cast("double")).alias("disturbed_ratio"), F.max("score").alias("most"), (F.sum(F.bround(F.col("score") * 100).cast("long")) / 100.0 / F.count("score")).alias("average")
-    )
-    shape = shape.withColumn("spacing", F.get("steps", F.floor(F.size("steps") / 2).cast("int"))).drop("steps")
-    levels = stored(levels.join(shape, KEYS), "levels")
-    found = intervals.active_intervals(dense.join(levels.select(*KEYS, "enter", "exit"), KEYS), KEYS, dense=True)
+    levels = dense.groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list("step")).alias("steps"), F.avg(F.col("disturbed").cast("double")).alias("disturbed_ratio"), F.max("score").alias("most"), (F.sum(F.bround(F.col("score") * 100).cast("long")) / 100.0 / F.count("score")).alias("average"),
+        F.first("n").alias("n"), F.first("enter").alias("enter"),
+    )
+    levels = levels.withColumn("spacing", F.get("steps", F.floor(F.size("steps") / 2).cast("int"))).drop("steps")
+    found = intervals.active_intervals(dense, KEYS, dense=True)
     found = intervals.long_enough(intervals.bridged(found, KEYS, gap), least)
     touching = found.join(wins, KEYS).where((F.col("start") <= F.col("c_end")) & (F.col("c_start") <= F.col("end"))).join(levels, KEYS)
-    touching = stored(touching.select(*KEYS, "start", "end", "w_start", "w_end", "enter", "spacing", "n", "disturbed_ratio"), "spans")
+    touching = touching.select(*KEYS, "start", "end", "w_start", "w_end", "enter", "spacing", "n", "disturbed_ratio")
     rows = touching.join(dense.select(*KEYS, "t", "score"), KEYS, "left")
     score = F.when(F.col("t").between(F.col("start"), F.col("end")), F.col("score"))
     evidence = rows.groupBy(*touching.columns).agg(

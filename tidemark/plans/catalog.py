@@ -40,7 +40,7 @@ def levels(trace: DataFrame) -> DataFrame:
 
 
 def active(trace: DataFrame, dense: bool) -> DataFrame:
-    return intervals.active_intervals(trace.join(levels(trace).select("stream_id", "enter", "exit"), KEY), KEY, dense)
+    return intervals.active_intervals(stats.with_thresholds(stats.with_noise(trace, KEY), ENTER, EXIT, FLOOR), KEY, dense)
 
 
 def candidates(trace: DataFrame) -> DataFrame:
