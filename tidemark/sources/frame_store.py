@@ -63,7 +63,8 @@ def written(frames: DataFrame, path: str | None = None, span: int = SPAN, stream
         path = new_path(spark, "frames")
     store = FrameStore(spark, path, span, stream_parts)
     rows = frames.withColumns({"readable": F.col("data" if "data" in frames.columns else "pixels").isNotNull(), "s_part": store.stream_part(F.col("stream_id")), "t_part": store.time_part(F.col("frame_index"))})
-    order = ["s_part", "t_part", "stream_id", "frame_index"]
+    order = ["s_part", "t_part", "stream_id"]
     store = replace(store, schema=rows.schema)
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("s_part", "t_part").parquet(path)
+    # By hash: a sort by ranges would first draw a sample, and so read all frames twice. A stretch of one stream lies in one file.
+    rows.repartition(*order).sortWithinPartitions(*order, "frame_index").write.partitionBy("s_part", "t_part").parquet(path)
     return store
