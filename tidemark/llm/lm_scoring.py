@@ -32,6 +32,8 @@ PRIOR = 40.0
 STEP, BITS, HASHES = 1.5, 10, 4
 #: Tokens whose runs one block holds, bytes of text that are counted or scored at once, and the largest filter that is broadcast.
 BLOCK_TOKENS, CHUNK, BROADCAST_BYTES = 1 << 20, 2 << 20, 128 << 20
+#: Tasks that make or ask the blocks; a task holds one block at a time.
+MOST_TASKS = 20_000
 #: Words of the table that is broadcast at most, and the bytes of one.
 HEAD, HEAD_BYTES = 200_000, 256
 
@@ -175,7 +177,13 @@ def filter_blocks(docs: DataFrame, n: int, order: int = ORDER, text: str = "text
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([words.tobytes()], pa.binary())], ["block", "words"])
 
     counted = docs.select(F.col(text).cast("binary")).mapInArrow(count, "block long, runs binary, k binary")
-    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(build, "block long, words binary")
+    return by_block(counted, n).sortWithinPartitions("block").mapInArrow(build, "block long, words binary")
+
+
+def by_block(rows: DataFrame, n: int) -> DataFrame:
+    """rows with every block whole in one partition, and the blocks dealt out evenly."""
+    parts = min(n, MOST_TASKS)
+    return rows.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int"))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -247,7 +255,7 @@ def exchanged_levels(rows: DataFrame, blocks: DataFrame, n: int, order: int) ->
 
     asked = rows.select("_tm_row", "_tm_text").mapInArrow(ask, "block long, _tm_row long, data binary")
     filters = blocks.select("block", F.lit(None).cast("long").alias("_tm_row"), F.col("words").alias("data"))
-    met = asked.unionByName(filters).repartition("block").sortWithinPartitions(F.col("block"), F.col("_tm_row").asc_nulls_first())
+    met = by_block(asked.unionByName(filters), n).sortWithinPartitions(F.col("block"), F.col("_tm_row").asc_nulls_first())
     answers = met.mapInArrow(answer, "_tm_row long, block long, levels binary")
     by_row = answers.groupBy("_tm_row").agg(F.array_sort(F.collect_list(F.struct("block", "levels"))).alias("parts"))  # as long as the text
     return by_row.select("_tm_row", F.expr("aggregate(parts, binary(''), (a, p) -> concat(a, p.levels))").alias("levels"))
