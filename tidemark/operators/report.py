@@ -96,6 +96,19 @@ def downsampled(trace: DataFrame, most: int) -> DataFrame:
     return rows.where((F.col("n") <= most) | ((i < most) & (F.floor(i * F.col("n") / most) == F.col("k")))).select("stream_id", "t", "score", "disturbed")
 
 
+#: Fixed texts: what a run tells besides its events.
+TRUNCATED = "More than %d candidate periods were found; only the strongest were analysed in detail. Consider lowering the sensitivity or selecting a region of interest."
+NOTHING = "No activity above the detection threshold was found. If activity was expected, raise the sensitivity or narrow the region of interest."
+
+
+def run_warnings(streams: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    """streams (stream_id) with n_candidates, truncated and warnings, of all candidates that were found of which `most` a stream are looked at."""
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    rows = streams.select("stream_id").join(candidates.groupBy("stream_id").agg(F.count("*").alias("n")), "stream_id", "left")
+    found = F.array(F.when(n > most, F.lit(TRUNCATED % most)), F.when(n == 0, F.lit(NOTHING)))
+    return rows.select("stream_id", n.alias("n_candidates"), (n > most).alias("truncated"), F.filter(found, lambda x: x.isNotNull()).alias("warnings"))
+
+
 def safe_name(stem: Column, mode: str) -> Column:
     return F.concat(F.substring(F.regexp_replace(stem, r"[^\p{L}\p{N}_-]", "_"), 1, 60), F.lit(f"_{mode}_events.csv"))
 

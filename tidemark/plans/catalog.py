@@ -338,6 +338,7 @@ def queries() -> dict:
         "activity_events": _of_trace(lambda t: rounded(events(t).withColumn("notes", F.array_join("notes", " | ")))),
         "event_log": _of_trace(lambda t: report.log_rows(events(t))),
         "event_summary": _of_trace(lambda t: report.summary(events(t))),
+        "run_warnings": _of_trace(lambda t: report.run_warnings(t.select("stream_id").distinct(), intervals.long_enough(active(t, True), LEAST), 1).withColumn("warnings", F.array_join("warnings", " | "))),
         "trace_downsample": _of_trace(lambda t: rounded(report.downsampled(t, 20))),
         "persistence": _of_trace(lambda t: rounded(persistence(t))),
         "flow_measurement": _of_trace(lambda t: rounded(flows(t))),

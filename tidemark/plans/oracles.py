@@ -273,6 +273,10 @@ def oracle_sql() -> dict[str, str]:
         "activity_events": q(EVENTS, f"SELECT {iv}, label, round(confidence, 6) AS confidence, status, notes FROM evt"),
         "event_log": q(EVENTS, LOG),
         "event_summary": q(EVENTS, "SELECT stream_id, count(*) AS n_events, count(*) FILTER (WHERE status = 'confirmed') AS n_confirmed, count(*) FILTER (WHERE status = 'review') AS n_review, count(*) FILTER (WHERE status = 'failed') AS n_failed, sum(round_even((\"end\" - \"start\") * 1000, 0)::BIGINT)::BIGINT AS active_ms FROM evt GROUP BY 1"),
+        "run_warnings": q(DENSE, """SELECT stream_id, coalesce(k, 0)::BIGINT AS n_candidates, coalesce(k, 0) > 1 AS truncated,
+  CASE WHEN k > 1 THEN 'More than 1 candidate periods were found; only the strongest were analysed in detail. Consider lowering the sensitivity or selecting a region of interest.'
+    WHEN k IS NULL THEN 'No activity above the detection threshold was found. If activity was expected, raise the sensitivity or narrow the region of interest.' ELSE '' END AS warnings
+FROM (SELECT DISTINCT stream_id FROM trace) LEFT JOIN (SELECT stream_id, count(*) AS k FROM dact WHERE "end" - "start" >= 1 GROUP BY 1) USING (stream_id)"""),
         "trace_downsample": q(TRACE, "SELECT stream_id, round(t, 6) AS t, score, disturbed FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY t, seq) - 1 AS k, count(*) OVER (PARTITION BY stream_id) AS n FROM trace) x WHERE n <= 20 OR k IN (SELECT i * n // 20 FROM range(0, 20) g(i))"),
         "persistence": q(TRACE + "," + persistent("p", "trace", "score >= 30", 12.0, "t, seq"), "SELECT stream_id, seq, round(p_start, 6) AS run_start, p_fires AS fires FROM p"),
         "flow_measurement": q(FLOW, f"SELECT {iv}, end_confirmed, frames, with_liquid, disturbed, timed, timed_with_liquid, round(start_margin, 6) AS start_margin, round(contrast, 6) AS contrast, round(noise, 6) AS noise, breaks FROM flo"),
