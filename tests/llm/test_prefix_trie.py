@@ -3,10 +3,11 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from tidemark.llm.prefix_trie import component_steps, op12, prefix_trie
+from tidemark.llm.prefix_trie import OP12_SQL, component_steps, op12, prefix_trie
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -94,3 +95,11 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     turns = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert rows_of(op12(spark, sf)) == brute(turns)
+
+
+def test_sql_against_brute_force(spark, tmp_path):
+    turns = talks(40, 9) + [(None, 1, "u", "x"), (None, None, None, None), (75, 3, "u", None), (75, 3, "u", "b"), (75, 3, "a", "b"), (75, None, None, "z"), (77, 0, "u", "x")]
+    spark.createDataFrame(turns, SCHEMA).write.parquet(f"{tmp_path}/c")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    assert set(con.sql(OP12_SQL).fetchall()) == brute(turns)

@@ -285,3 +285,33 @@ def prefix_trie(turns: DataFrame, small: int = SMALL) -> DataFrame:
 
 def op12(spark, sf_dir) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: The checksum is worked out bit by bit; prefixes are compared as whole lists of turns; every node adds to all nodes above it.
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations),
+c AS (
+  SELECT conv_id, max(pos) AS n, CASE WHEN conv_id IS NULL THEN 0 ELSE xor(list_reduce(
+    list_concat([4294967295], flatten(list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: list_concat([ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 END AS h
+  FROM t GROUP BY conv_id),
+b AS (SELECT c.conv_id, c.h, least(c.h, coalesce(o.n, 0)) AS m FROM c LEFT JOIN c o ON o.conv_id = c.conv_id - c.conv_id % 5),
+rt AS (
+  SELECT b.conv_id, pos AS d, r, x FROM b JOIN t ON t.conv_id = b.conv_id - b.conv_id % 5 AND pos <= m
+  UNION ALL SELECT b.conv_id, pos - h + m, r, x FROM b JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND pos > h
+  UNION ALL SELECT conv_id, 0, '', '' FROM b),
+k AS (SELECT conv_id, d, x, list(struct_pack(r := r, x := x)) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM rt),
+i AS (SELECT conv_id, d, x, min(conv_id) OVER (PARTITION BY path) AS id, count(*) OVER (PARTITION BY path) AS members FROM k),
+p AS (SELECT *, lag(id) OVER (PARTITION BY conv_id ORDER BY d) AS pid, d = max(d) OVER (PARTITION BY conv_id) AS last FROM i),
+node AS (
+  SELECT id, d, any_value(pid) AS pid, any_value(members) AS members, (any_value(members) - 1) * CASE WHEN d = 0 THEN 0 ELSE any_value(octet_length(encode(x))) END AS worth,
+         sha256(coalesce(string_agg(coalesce(conv_id::VARCHAR, ''), ',' ORDER BY conv_id ASC NULLS LAST) FILTER (WHERE last), '')) AS ends
+  FROM p GROUP BY id, d),
+kid AS (SELECT pid AS id, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+u AS (SELECT node.*, coalesce(kid.n, 0) AS n FROM node LEFT JOIN kid ON kid.id IS NOT DISTINCT FROM node.id AND kid.d = node.d),
+s AS (SELECT a.id, a.d, sum((u.n = 0)::INT) AS leaves, sum(u.worth) AS saved FROM u JOIN p a ON a.conv_id IS NOT DISTINCT FROM u.id AND a.d <= u.d GROUP BY a.id, a.d)
+SELECT u.id AS conv_id, u.d::BIGINT AS depth, pid AS parent_conv_id, members::BIGINT AS n_convs, n::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM u JOIN s ON s.id IS NOT DISTINCT FROM u.id AND s.d = u.d
+"""
