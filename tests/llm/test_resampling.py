@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 
+from tests.oracle import compare, connection
 from tidemark.llm import resampling
 from tidemark.llm.resampling import drawn, nth, resampled, scored
 
@@ -100,3 +101,8 @@ def test_query(spark):
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = sorted(tuple(r) for r in resampling.op11(spark, sf).select("doc_id", "n_features", "weight", "score", "rank").collect())
     assert [r[1:] for r in got] == [w for _, w in sorted(zip([d for d, _ in docs], brute(docs, items)))]
+
+
+def test_query_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    compare(resampling.op11(spark, sf), connection(sf), resampling.OP11_SQL)

@@ -149,3 +149,27 @@ def resampled(docs: DataFrame, target: DataFrame, share: int = PERCENT) -> DataF
 def op11(spark, sf_dir) -> DataFrame:
     found = drawn(scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
     return found.select("doc_id", *(F.col(f"_tm_{c}").cast("long").alias(a) for c, a in (("features", "n_features"), ("weight", "weight"), ("score", "score"), ("rank", "rank"))))
+
+
+#: Checksums by the table of their polynomial, of different features only.
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(0, 256) g(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+o AS (SELECT r, f, count(*) AS n FROM df GROUP BY ALL),
+ob AS (SELECT f, count(*) AS n FROM bf GROUP BY ALL),
+hx AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM o UNION SELECT f FROM ob)),
+fs AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, e: xor(tab[(xor(a, e) & 255) + 1], a >> 8)), 4294967295) % 10000 AS bucket FROM hx, tab),
+own AS (SELECT bucket, sum(n) AS s FROM o JOIN fs USING (f) GROUP BY 1),
+goal AS (SELECT bucket, sum(n) AS t FROM ob JOIN fs USING (f) GROUP BY 1),
+g AS (SELECT i AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM own) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM goal) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(0, 10000) x(i) LEFT JOIN own ON own.bucket = i LEFT JOIN goal ON goal.bucket = i),
+wt AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM o JOIN fs USING (f) JOIN g USING (bucket) GROUP BY 1),
+sc AS (SELECT r, doc_id, len(w) >= 20 AS open, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN wt USING (r)),
+s AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM sc),
+k AS (SELECT *, row_number() OVER (PARTITION BY open ORDER BY score DESC, doc_id ASC NULLS LAST) AS place, count(*) OVER (PARTITION BY open) AS n FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND place <= 25 * n // 100 THEN place END AS rank FROM k
+"""
