@@ -3,7 +3,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 
-from tidemark.llm import quality_rules
+from tests.oracle import compare, connection
+from tidemark.llm import quality_rules, queries
 
 
 def rows():
@@ -37,3 +38,8 @@ def test_failing_lines_go(spark):
     text = {r.doc_id: r.text for r in out.collect()}
     assert "Home" not in text[108] and "reserved" not in text[108] and len(text[108].split()) == 40
     assert quality_rules.cleaned(df.limit(0)).count() == 0
+
+
+def test_cleaned_documents_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    compare(queries.queries()["cleaned_documents"](spark, sf), connection(sf), quality_rules.CLEANED_SQL)

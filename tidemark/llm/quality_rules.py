@@ -160,3 +160,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * lost <= word_chars AS kept
 FROM f
 """.replace("@PHRASES@", PHRASES)
+
+_FAILS = OP5_SQL[OP5_SQL.index("WHERE symbols") + 6 : OP5_SQL.index("  GROUP BY r),\nf AS")]
+#: The same rules, with the lines that pass in their order.
+CLEANED_SQL = (
+    OP5_SQL[: OP5_SQL.rindex("SELECT doc_id, n_words")]
+    .replace("SELECT r, unnest(lines) AS l FROM w", "SELECT r, unnest(lines) AS l, generate_subscripts(lines, 1) AS i FROM w")
+    .replace("line AS (SELECT r, trim(", "line AS (SELECT r, i, l, trim(")
+    .replace("m AS (SELECT r, b,", "m AS (SELECT r, i, l, b,")
+    .replace("f AS (SELECT doc_id,", "f AS (SELECT w.r AS r, doc_id,")
+    .rstrip()
+    + f""",
+good AS (SELECT r, string_agg(l, chr(10) ORDER BY i) AS text FROM m WHERE NOT ({_FAILS}) GROUP BY r)
+SELECT doc_id, coalesce(text, '') AS text FROM f LEFT JOIN good USING (r) WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * lost <= word_chars
+"""
+)

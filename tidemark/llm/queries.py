@@ -26,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL, "op5_quality_rules": quality_rules.OP5_SQL, "op8_mixing": mixing.OP8_SQL, "op11_importance_resampling": resampling.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op5_quality_rules": quality_rules.OP5_SQL, "cleaned_documents": quality_rules.CLEANED_SQL, "op8_mixing": mixing.OP8_SQL, "op11_importance_resampling": resampling.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
