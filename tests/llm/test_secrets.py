@@ -137,3 +137,20 @@ def test_long_runs_of_words(spark):
     assert secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).count() == 5
     secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).select("_tm_all").collect()
     assert time.time() - began < 60
+
+
+def test_redacted_documents_against_plain_redaction(spark):
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    want = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        out, at = [], 0
+        for span in filter(None, plain(r.text)[-1].split(",")):
+            kind, a, b = span.split(":")
+            if int(a) >= at:
+                out += [r.text[at : int(a)], f"[{kind}]"]
+            at = max(at, int(b))
+        want[r.doc_id, None if r.text is None else "".join(out) + r.text[at:]] += 1
+    got = Counter((r.doc_id, r.text) for r in queries.queries()["redacted_documents"](spark, sf).collect())
+    assert got == want and any("[assign]" in (t or "") for _, t in got)
