@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm_scoring
@@ -96,6 +97,22 @@ def test_exchange_gives_the_scores_of_the_broadcast(spark, monkeypatch):
         assert a.keys() == b.keys() and all(math.isclose(a[d]["_tm_score"], b[d]["_tm_score"], rel_tol=1e-12) for d in a)
 
 
+def test_texts_ask_groups_of_many_blocks_in_bounded_batches(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pylist([{"_tm_row": i, "_tm_text": t.encode()} for i, t in enumerate(texts(2000, 3))])
+    monkeypatch.setattr(lm_scoring, "CHUNK", 1 << 16)
+    most = [(b.num_rows, b.nbytes) for b in lm_scoring.questions([batch], 1024, 4)]
+    assert len(most) > 50 and max(rows for rows, _ in most) < 1000 and max(size for _, size in most) < 100_000
+    assert sum(rows for rows, _ in most) <= 4 * 2000
+    # The same scores, whatever the groups: of many blocks each, of one.
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 200)
+    docs = spark.createDataFrame(DOCS, SCHEMA)
+    want = by_id(scored(docs, ["doc_id"]))
+    for size in (1 << 20, 4000, 1):
+        monkeypatch.setattr(lm_scoring, "GROUP_BYTES", size)
+        got = by_id(scored(docs, ["doc_id"], most_broadcast=0))
+        assert got.keys() == want.keys() and all(math.isclose(got[d]["_tm_score"], want[d]["_tm_score"], rel_tol=1e-12) for d in want)
+
+
 def test_filter_never_misses_and_rarely_errs():
     rng = np.random.default_rng(2)
     runs = np.unique(rng.integers(0, 1 << 63, 20000).astype(np.uint64) * np.uint64(2))

@@ -6,7 +6,7 @@ of 64. Probabilities are those of each order smoothed by the order below, down t
 before it up, so that the probabilities of all tokens after a context never sum above 1 but for wrong hits.
 
 The filter is cut into blocks by the first bits of a run's hash, as many as the training tokens ask for, each made by one task. Filters of at most BROADCAST_BYTES go to the workers by broadcast; of larger ones,
-the runs of each text go to the blocks and their levels come back, which gives the same scores. Single-token counts of the base score are exact: words of high count travel as one table of at most
+the runs of each text go to groups of blocks and their levels come back, which gives the same scores. Single-token counts of the base score are exact: words of high count travel as one table of at most
 HEAD words, all others are joined, and none of those has over about N / HEAD tokens.
 
 Words are runs of other characters than ASCII spaces, A-Z in lower case; each text is followed by one end token, which also stands before its first word as context.
@@ -32,8 +32,8 @@ PRIOR = 40.0
 STEP, BITS, HASHES = 1.5, 10, 4
 #: Tokens whose runs one block holds, bytes of text that are counted or scored at once, and the largest filter that is broadcast.
 BLOCK_TOKENS, CHUNK, BROADCAST_BYTES = 1 << 20, 2 << 20, 128 << 20
-#: Tasks that make or ask the blocks; a task holds one block at a time.
-MOST_TASKS = 20_000
+#: Tasks that make or ask the blocks; a task holds one block at a time, or, where texts ask, blocks of about so many bytes.
+MOST_TASKS, GROUP_BYTES = 20_000, 16 << 20
 #: Words of the table that is broadcast at most, and the bytes of one.
 HEAD, HEAD_BYTES = 200_000, 256
 
@@ -122,9 +122,9 @@ def block_of(runs: np.ndarray, n: int) -> np.ndarray:
     return (runs >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64) if n > 1 else np.zeros(len(runs), np.int64)
 
 
-def levels(runs: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The levels of runs in a filter: its words, and where each block starts in them."""
-    block = block_of(runs, len(start) - 1)
+def levels(runs: np.ndarray, flat: np.ndarray, start: np.ndarray, n: int | None = None, first_block: int = 0) -> np.ndarray:
+    """The levels of runs in a filter: its words, and where each block starts in them; or in the part of a filter of n blocks that begins with first_block."""
+    block = block_of(runs, n or len(start) - 1) - first_block
     words, first = np.diff(start)[block], start[:-1][block]
     level, at = np.zeros(len(runs), np.int64), np.flatnonzero(words)
     for j in range(1, len(LOW) + 1):
@@ -180,10 +180,10 @@ def filter_blocks(docs: DataFrame, n: int, order: int = ORDER, text: str = "text
     return by_block(counted, n).sortWithinPartitions("block").mapInArrow(build, "block long, words binary")
 
 
-def by_block(rows: DataFrame, n: int) -> DataFrame:
+def by_block(rows: DataFrame, n: int, block: str = "block") -> DataFrame:
     """rows with every block whole in one partition, and the blocks dealt out evenly."""
     parts = min(n, MOST_TASKS)
-    return rows.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int"))
+    return rows.repartitionById(parts, F.pmod(block, F.lit(parts)).cast("int"))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -228,36 +228,61 @@ def broadcast_filter(blocks: DataFrame, n: int):
     return blocks.sparkSession.sparkContext.broadcast((flat, start))
 
 
-def exchanged_levels(rows: DataFrame, blocks: DataFrame, n: int, order: int) -> DataFrame:
-    """(_tm_row, levels) of rows (_tm_row, _tm_text): the levels of the text's different runs, sorted, one byte each. Runs go to their blocks, and levels come back."""
-
-    def ask(batches):
-        for batch in batches:
+def questions(batches, n: int, groups: int, order: int = ORDER):
+    """(grp, _tm_row, data) of batches (_tm_row, _tm_text): the text's different runs, sorted, a row for each group of blocks that they fall into; batches of at most CHUNK / 8 bytes of text, or of one text."""
+    for batch in batches:
+        ids, texts = batch.column("_tm_row").to_pylist(), batch.column("_tm_text").to_pylist()
+        for a, b in chunks(texts, CHUNK // 8):
             out = []
-            for row, t in zip(batch.column("_tm_row").to_pylist(), batch.column("_tm_text").to_pylist()):
+            for row, t in zip(ids[a:b], texts[a:b]):
                 runs = np.unique(Runs([split(t)], order).asked())
-                block, first = np.unique(block_of(runs, n), return_index=True)
-                out += [(b, row, runs[i:j].astype("<u8").tobytes()) for b, i, j in zip(block.tolist(), first, [*first[1:], len(runs)])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["block", "_tm_row", "data"])
+                group, first = np.unique(block_of(runs, n) // (n // groups), return_index=True)
+                out += [(g, row, runs[i:j].astype("<u8").tobytes()) for g, i, j in zip(group.tolist(), first, [*first[1:], len(runs)])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["grp", "_tm_row", "data"])
+
+
+def exchanged_levels(rows: DataFrame, blocks: DataFrame, n: int, order: int, size: int = 0) -> DataFrame:
+    """(_tm_row, levels) of rows (_tm_row, _tm_text): the levels of the text's different runs, sorted, one byte each. Runs go to their groups of blocks, and levels come back.
+
+    The n blocks of the filter, of `size` bytes, are asked by groups of about GROUP_BYTES, so that a text asks few groups, however many blocks there are."""
+    groups = min(n, 1 << max(0, int(np.ceil(np.log2(max(1, size / GROUP_BYTES))))))
+    per = n // groups
+
+    def ask(batches):
+        return questions(batches, n, groups, order)
 
     def answer(batches):
-        block, words = None, np.zeros(0, np.uint64)
+        group, held, flat, start = None, {}, None, None
         for batch in batches:
-            out = []
-            for b, row, data in zip(*(batch.column(c).to_pylist() for c in ("block", "_tm_row", "data"))):
+            out, used = [], 0
+            for g, row, block, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "_tm_row", "block", "data"))):
                 if row is None:
-                    block, words = b, np.frombuffer(data, np.uint64)
+                    if g != group:
+                        group, held = g, {}
+                    held[block - g * per], flat = np.frombuffer(data, np.uint64), None
                     continue
+                if g != group:
+                    group, held, flat = g, {}, None
+                if flat is None:
+                    start = np.concatenate([[0], np.cumsum([len(held.get(k, ())) for k in range(per)])]).astype(np.int64)
+                    flat = np.concatenate([np.zeros(0, np.uint64), *(held[k] for k in sorted(held))])
+                    held = {}
                 runs = np.frombuffer(data, "<u8")
-                got = levels(runs, words, np.array([0, len(words)])) if b == block else np.zeros(len(runs))
-                out.append((row, b, got.astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["_tm_row", "block", "levels"])
-
-    asked = rows.select("_tm_row", "_tm_text").mapInArrow(ask, "block long, _tm_row long, data binary")
-    filters = blocks.select("block", F.lit(None).cast("long").alias("_tm_row"), F.col("words").alias("data"))
-    met = by_block(asked.unionByName(filters), n).sortWithinPartitions(F.col("block"), F.col("_tm_row").asc_nulls_first())
-    answers = met.mapInArrow(answer, "_tm_row long, block long, levels binary")
-    by_row = answers.groupBy("_tm_row").agg(F.array_sort(F.collect_list(F.struct("block", "levels"))).alias("parts"))  # as long as the text
+                out.append((row, g, levels(runs, flat, start, n, g * per).astype(np.uint8).tobytes()))
+                used += len(runs)
+                if used >= CHUNK // 8:
+                    yield answers(out)
+                    out, used = [], 0
+            yield answers(out)
+
+    def answers(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["_tm_row", "grp", "levels"])
+
+    asked = rows.select("_tm_row", "_tm_text").mapInArrow(ask, "grp long, _tm_row long, data binary").withColumn("block", F.lit(None).cast("long"))
+    filters = blocks.select(F.floor(F.col("block") / per).alias("grp"), F.lit(None).cast("long").alias("_tm_row"), F.col("words").alias("data"), "block")
+    met = by_block(asked.unionByName(filters), groups, "grp").sortWithinPartitions(F.col("grp"), F.col("_tm_row").asc_nulls_first())
+    got = met.mapInArrow(answer, "_tm_row long, grp long, levels binary")
+    by_row = got.groupBy("_tm_row").agg(F.array_sort(F.collect_list(F.struct("grp", "levels"))).alias("parts"))  # as long as the text
     return by_row.select("_tm_row", F.expr("aggregate(parts, binary(''), (a, p) -> concat(a, p.levels))").alias("levels"))
 
 
@@ -278,7 +303,7 @@ def scored(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str
     if size <= most_broadcast:
         given = broadcast_filter(blocks, n)
     else:
-        rows = rows.join(exchanged_levels(rows, blocks, n, order), "_tm_row")
+        rows = rows.join(exchanged_levels(rows, blocks, n, order, size), "_tm_row")
     kept = [*columns, "_tm_fold", "_tm_row"]
 
     def run(batches):
