@@ -144,3 +144,12 @@ def test_review_and_codec_edges(spark):
     assert [r[0] for r in codes.select(probe.codec_text(F.col("c"))).collect()] == ["H264", *["unknown"] * 4]
     stamps = spark.createDataFrame([(1, i, 40.0 * i) for i in range(10)] + [(2, i, 0.0) for i in range(10)] + [(3, i, 40.0 * i) for i in range(5)], "stream_id long, frame long, pts_ms double")
     assert dict(probe.estimated_rates(stamps).collect()) == {1: 25.0, 2: None, 3: None}
+
+
+def test_sizes_as_text_round_halves_to_even_below_a_gigabyte(spark):
+    from tidemark.functions.clock import bytes_text
+
+    mb = 1 << 20
+    rows = [(mb // 4 * 5,), (mb // 4 * 7,), (mb * 1023 + mb // 4 * 3,), (mb * 1024,), (1320 * mb + 819 * 1024,), (0,), (None,)]
+    got = [r.t for r in spark.createDataFrame(rows, "n long").coalesce(1).select(bytes_text(F.col("n")).alias("t")).collect()]
+    assert got == ["1.2 MB", "1.8 MB", "1023.8 MB", "1.00 GB", "1.29 GB", "unknown", "unknown"]

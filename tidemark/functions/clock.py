@@ -41,9 +41,10 @@ def player_duration(seconds: Column) -> Column:
 
 
 def bytes_text(size: Column) -> Column:
-    """MB to one digit, from 1024 MB on GB to two; `unknown` for null and 0."""
+    """MB to one digit, half-even, from 1024 MB on GB to two, half up; `unknown` for null and 0. Rounded before they are printed: a format rounds all halves up."""
     mb = size / F.lit(1024.0 * 1024.0)
-    return F.when(F.coalesce(size, F.lit(0)) == 0, "unknown").when(mb >= 1024, F.format_string("%.2f GB", mb / 1024)).otherwise(F.format_string("%.1f MB", mb))
+    gb = F.floor(mb / 1024 * 100 + 0.5) / 100
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "unknown").when(mb >= 1024, F.format_string("%.2f GB", gb)).otherwise(F.format_string("%.1f MB", F.bround(mb, 1)))
 
 
 def display_name(path: Column) -> Column:
