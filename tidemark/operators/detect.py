@@ -81,10 +81,14 @@ def _watched(run: Run | None, df: DataFrame, name: str, **aggregates: Column) ->
 def coarse_trace(store: FrameStore, plan: DataFrame, n: int, how: Detector, roi: tuple[int, int, int, int] | None, run: Run | None = None) -> DataFrame:
     """(stream_id, t, seq, score, disturbed) of the sampled frames; plan (stored): stream_id, step, fps, scale."""
     seen = prepare.on_grid(store.frames().drop("s_part", "t_part"), plan.select("stream_id", "step"))
-    ready = prepare.prepared(_with_streams(seen.drop("readable"), plan.select("stream_id", "scale"), n), roi, "scale", BLUR, mean=how.by_jumps)
-    if how.by_jumps:  # read twice: for the jumps, and for the scores
-        ready = stored(ready, "prepared")
-    found = pixels.motion_trace(ready) if how.by_jumps else pixels.scored(ready, how.scorer, TRACE)
+    seen = _with_streams(seen.drop("readable"), plan.select("stream_id", "scale"), n)
+    # Looked at twice: for the jumps, and for the scores.
+    if store.decode:
+        look = prepare.Look(roi, "scale", BLUR, store.decode)
+        found = pixels.motion_trace(seen, look=look, means=stored(prepare.means(seen, look), "means")) if how.by_jumps else pixels.scored(seen, how.scorer, TRACE, look=look)
+    else:
+        ready = prepare.prepared(seen, roi, "scale", BLUR, mean=how.by_jumps)
+        found = pixels.motion_trace(stored(ready, "prepared")) if how.by_jumps else pixels.scored(ready, how.scorer, TRACE)
     found = _with_streams(found, plan.select("stream_id", "fps"), n)
     found = found.select("stream_id", (F.col("frame_index") / F.col("fps")).alias("t"), F.col("frame_index").alias("seq"), "score", "disturbed")
     return stored(_watched(run, found, "scan", samples=F.count("*"), disturbed=F.count_if("disturbed")), "coarse-trace")
@@ -96,7 +100,10 @@ def fine_trace(store: FrameStore, wins: DataFrame, how: Detector, roi: tuple[int
     keys = ("stream_id", "window_id")
     near = store.near(spans.select(*keys, "w_first", "w_last", "fine_scale"), "fine_scale").drop("w_first")
     seen = prepare.on_grid(near, spans.select(*keys, F.col("fine_step").alias("step"), F.col("w_first").alias("first")), keys)
-    found = pixels.scored(prepare.prepared(seen.drop("readable"), roi, "fine_scale", BLUR), how.scorer, TRACE, keys)
+    if store.decode:
+        found = pixels.scored(seen, how.scorer, TRACE, keys, look=prepare.Look(roi, "fine_scale", BLUR, store.decode))
+    else:
+        found = pixels.scored(prepare.prepared(seen.drop("readable"), roi, "fine_scale", BLUR), how.scorer, TRACE, keys)
     n = spans.count()
     rates = spans.select(*keys, "fps")
     found = found.join(F.broadcast(rates) if n <= BROADCAST_STREAMS else rates, [*keys])
@@ -179,7 +186,10 @@ def flow_runs(frames: DataFrame | FrameStore, files: DataFrame, params: dict[str
     while (n := open_.count()) or not out:
         seen = _with_streams(store.until(horizon).drop("s_part", "t_part"), open_.select("stream_id", "guard", "inner", "scale"), n).where(F.col("frame_index") < horizon)
         seen = prepare.on_grid(seen, open_.select("stream_id", F.lit(1).alias("step"))).drop("readable")
-        found = liquid.liquid_trace(prepare.prepared(seen, "guard", "scale", BLUR), "inner", settings.scorer())
+        if store.decode:
+            found = liquid.liquid_trace(seen, "inner", settings.scorer(), prepare.Look("guard", "scale", BLUR, store.decode))
+        else:
+            found = liquid.liquid_trace(prepare.prepared(seen, "guard", "scale", BLUR), "inner", settings.scorer())
         samples = _with_streams(found, open_.select("stream_id", "fps"), n).withColumns({"t": F.col("frame_index") / F.col("fps"), "seq": F.col("frame_index")})
         samples = stored(samples.select("stream_id", "t", "seq", "activity", "outlet", "liquid", "contrast", "noise", "disturbed"), "flow-samples")
         threshold = settings.activity_threshold

@@ -3,6 +3,7 @@
 A store is a table of frames partitioned by (s_part, t_part): a hash of the stream, and its frame number by SPAN. Windows meet frames through these two columns, from which the scan leaves out, when it runs, all
 partitions that no window touches (dynamic partition pruning)."""
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +26,11 @@ class FrameStore:
     stream_parts: int = STREAM_PARTS
     #: Known to whoever wrote the store; a store that is opened by its path alone must have a frame.
     schema: StructType | None = None
+    #: How frames that are stored as codes are drawn where they are scored (see prepare.Look).
+    decode: Callable | None = None
 
     def frames(self) -> DataFrame:
-        """stream_id, frame_index, height, width, pixels (or n_channels and data), readable, s_part, t_part."""
+        """stream_id, frame_index, height, width, pixels (or n_channels and data, or code), readable, s_part, t_part."""
         return (self.spark.read.schema(self.schema) if self.schema else self.spark.read).parquet(self.path)
 
     def stream_part(self, stream: Column) -> Column:
@@ -56,13 +59,13 @@ class FrameStore:
         return self.frames().where(F.col("t_part") <= (max(0, frame - 1)) // self.span)
 
 
-def written(frames: DataFrame, path: str | None = None, span: int = SPAN, stream_parts: int = STREAM_PARTS) -> FrameStore:
-    """Stores frames (stream_id, frame_index, height, width, and pixels, or n_channels and data). A frame without pixels is kept as one that cannot be read."""
+def written(frames: DataFrame, path: str | None = None, span: int = SPAN, stream_parts: int = STREAM_PARTS, decode: Callable | None = None) -> FrameStore:
+    """Stores frames (stream_id, frame_index, height, width, and pixels, or n_channels and data, or code with what decodes it). A frame without pixels is kept as one that cannot be read."""
     spark = frames.sparkSession
     if path is None:
         path = new_path(spark, "frames")
-    store = FrameStore(spark, path, span, stream_parts)
-    rows = frames.withColumns({"readable": F.col("data" if "data" in frames.columns else "pixels").isNotNull(), "s_part": store.stream_part(F.col("stream_id")), "t_part": store.time_part(F.col("frame_index"))})
+    store = FrameStore(spark, path, span, stream_parts, decode=decode)
+    rows = frames.withColumns({"readable": F.col("code" if decode else "data" if "data" in frames.columns else "pixels").isNotNull(), "s_part": store.stream_part(F.col("stream_id")), "t_part": store.time_part(F.col("frame_index"))})
     order = ["s_part", "t_part", "stream_id"]
     store = replace(store, schema=rows.schema)
     # By hash: a sort by ranges would first draw a sample, and so read all frames twice. A stretch of one stream lies in one file.
