@@ -153,3 +153,10 @@ def test_sizes_as_text_round_halves_to_even_below_a_gigabyte(spark):
     rows = [(mb // 4 * 5,), (mb // 4 * 7,), (mb * 1023 + mb // 4 * 3,), (mb * 1024,), (1320 * mb + 819 * 1024,), (0,), (None,)]
     got = [r.t for r in spark.createDataFrame(rows, "n long").coalesce(1).select(bytes_text(F.col("n")).alias("t")).collect()]
     assert got == ["1.2 MB", "1.8 MB", "1023.8 MB", "1.00 GB", "1.29 GB", "unknown", "unknown"]
+
+
+def test_regions_are_read_from_a_text_once(spark):
+    from tidemark.plans import catalog
+
+    plan = catalog.inner_regions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1 and plan.count("get_json_object") == 4

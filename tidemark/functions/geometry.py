@@ -46,14 +46,20 @@ def with_inner(rois: DataFrame, scale: float | Column) -> DataFrame:
 def roi_from_json(text: Column) -> Column:
     """A struct x, y, width, height of whole numbers; numbers are cut to whole ones, texts must be whole numbers; anything else, or less, is an error."""
 
-    def side(name):
-        value = F.get_json_object(text, f"$.{name}")
-        quoted = text.rlike(rf'"{name}"\s*:\s*"')
+    def once(x, f):
+        # As a lambda's variable x is worked out once, however often f names it.
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def whole(side):
+        value, quoted = side["value"], side["quoted"]
         usable = F.when(quoted, value.rlike(r"^\s*[+-]?\d+\s*$")).otherwise(value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
-        whole = F.when(quoted, F.trim(value).cast("int")).otherwise(F.floor(F.abs(value.cast("double"))).cast("int") * F.signum(value.cast("double")).cast("int"))
-        return F.when(F.coalesce(usable, F.lit(False)), whole).otherwise(F.raise_error(F.lit("the selected region is not valid")).cast("int")).alias(name)
+        number = F.when(quoted, F.trim(value).cast("int")).otherwise(F.floor(F.abs(value.cast("double"))).cast("int") * F.signum(value.cast("double")).cast("int"))
+        return F.when(F.coalesce(usable, F.lit(False)), number).otherwise(F.raise_error(F.lit("the selected region is not valid")).cast("int"))
+
+    def sides(t):
+        return F.struct(*(once(F.struct(F.get_json_object(t, f"$.{name}").alias("value"), t.rlike(rf'"{name}"\s*:\s*"').alias("quoted")), whole).alias(name) for name in ("x", "y", "width", "height")))
 
-    return F.struct(*map(side, ("x", "y", "width", "height")))
+    return once(text, sides)
 
 
 def valid_region(x: Column, y: Column, w: Column, h: Column, frame_w: Column, frame_h: Column) -> Column:
