@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.report import COLUMNS
-from tidemark.sources import sinks
+from tidemark.sources import containers, sinks
 from tidemark.sources.containers import recordings
 
 FRAMES = "stream_id long, frame_index long, height int, width int, n_channels int, data binary"
@@ -117,3 +117,19 @@ def test_failed_jobs_leave_no_file(spark, tmp_path):
     assert list(tmp_path.iterdir()) == []
     sinks.write_avi(frames, str(tmp_path), 10.0)
     assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_small_splits_of_large_files_are_bounded(tmp_path, monkeypatch):
+    for k, size in enumerate((40_000, 10_000, 10)):
+        (tmp_path / f"{k}.avi").write_bytes(b"x" * size)
+
+    def pieces(split):
+        found = containers.RecordingReader(str(tmp_path), "frames", split).partitions()
+        assert {(p.path, p.number) for p in found} == {(p.path, i) for p in found for i in range(p.of)}
+        return len(found)
+
+    assert pieces(1024) == 40 + 10 + 1
+    monkeypatch.setattr(containers, "MOST_PIECES", 20)
+    assert 17 <= pieces(1024) <= 23 and pieces(10_000) == 6
+    monkeypatch.setattr(containers, "SPLIT_BYTES", 100)
+    assert pieces(1024) == 51  # no split grows beyond the size that a task reads by default

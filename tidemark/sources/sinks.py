@@ -9,6 +9,7 @@ import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,11 +162,26 @@ def write_logs(rows: DataFrame, recordings: DataFrame, path: str) -> None:
     logs.repartition("file").sortWithinPartitions("file", "number").write.format("event_log").mode("append").save(path)
 
 
+def as_bytes(frames: DataFrame) -> DataFrame:
+    """frames with their pixels (whole grey levels) as n_channels and data."""
+    kept = [c for c in frames.columns if c not in ("pixels", "n_channels")]
+
+    def run(batches):
+        for batch in batches:
+            levels = batch.column("pixels")
+            flat, at = levels.values.to_numpy(zero_copy_only=False).astype(np.uint8), levels.offsets.to_numpy()
+            data = [flat[a:b].tobytes() if ok else None for a, b, ok in zip(at[:-1], at[1:], levels.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([1] * len(data), pa.int32()), pa.array(data, pa.binary())], [*kept, "n_channels", "data"])
+
+    schema = frames.select(*kept, F.lit(None).cast("int").alias("n_channels"), F.lit(None).cast("binary").alias("data")).schema
+    return frames.select(*kept, "pixels").mapInArrow(run, schema)
+
+
 def write_avi(frames: DataFrame, path: str, fps: float) -> None:
     """Writes the frames of each stream (stream_id, frame_index, height, width, and n_channels and data, or pixels of whole grey levels) to <stream_id>.avi. All frames must be readable, and of one size in a stream."""
     frames.sparkSession.dataSource.register(AviSink)
     if "data" not in frames.columns:
-        frames = frames.withColumns({"n_channels": F.lit(1), "data": F.unhex(F.array_join(F.transform("pixels", lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))})
+        frames = as_bytes(frames)
     n = frames.groupBy("stream_id").agg(F.count("*").alias("n"))
     rows = frames.join(n, "stream_id").select(F.col("stream_id").cast("string").alias("file"), "frame_index", "n", F.lit(float(fps)).alias("fps"), *(F.col(c).cast("int") for c in ("height", "width", "n_channels")), "data")
     rows.repartition("file").sortWithinPartitions("file", "frame_index").write.format("avi").mode("append").save(path)
