@@ -2,20 +2,23 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tests.oracle import compare
 from tidemark.functions import clock, geometry
 from tidemark.operators import detect, intervals, liquid, pixels, prepare, refine, report
 from tidemark.operators.settings import RefineSettings, RunSettings, ScanSettings, overridden
-from tidemark.plans import catalog
+from tidemark.plans import catalog, oracles
 from tidemark.streaming.flows import flow_stream
 from tidemark.streaming.scoring import liquid_stream, persistent_stream
 from tidemark.sources.tables import event_frames, events_trace
 
 SF = "/root/testdata/sf0.001"
+SQL = oracles.oracle_sql()
 
 
 def test_prepare_against_plain_means():
@@ -216,3 +219,19 @@ def test_streams_of_liquid_and_persistence(spark, tmp_path):
 
     assert run("wet", f"{tmp_path}/frames", frames.schema, lambda s: liquid_stream(s, (10, 0, 12, 18))) == sorted(want, key=str)
     assert run("held", f"{tmp_path}/trace", trace.schema, lambda s: persistent_stream(s, "on", 12.0)) == sorted(held, key=str)
+
+
+@pytest.fixture(scope="module")
+def long_stream(spark, tmp_path_factory):
+    """Events of a stream of 221 runs, more than a scan's default of candidates, and of a short one."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    rows = spark.range(5300 + 40).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") < 5300, 7).otherwise(8).cast("long").alias("user_id"))
+    rows.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return folder, con
+
+
+def test_motion_events_of_a_stream_of_many_runs(spark, long_stream):
+    folder, con = long_stream
+    compare(catalog.queries()["motion_events"](spark, folder), con, SQL["motion_events"])

@@ -110,11 +110,11 @@ def fine_trace(store: FrameStore, wins: DataFrame, how: Detector, roi: tuple[int
     return found.select(*keys, (F.col("frame_index") / F.col("fps")).alias("t"), F.col("frame_index").alias("seq"), "score", "disturbed")
 
 
-def events(frames: DataFrame | FrameStore, files: DataFrame, mode: str, params: dict[str, Any] | None = None, roi: tuple[int, int, int, int] | None = None, run: Run | None = None) -> DataFrame:
+def events(frames: DataFrame | FrameStore, files: DataFrame, mode: str, params: dict[str, Any] | None = None, roi: tuple[int, int, int, int] | None = None, run: Run | None = None, every: bool = False) -> DataFrame:
     """frames (stream_id, frame_index, height, width, pixels or data; or a store of them) of files (stream_id, fps, n frames, width) -> stream_id, label, start, end (seconds), confidence, status, notes, truncated.
 
-    Each file is scaled by its own width. A frame without pixels cannot be read: the scan steps over it by one, and 30 in a row end it. truncated says that a stream had more candidates than were looked at.
-    A run (see tracking) gets the counts and times of the passes."""
+    Each file is scaled by its own width. A frame without pixels cannot be read: the scan steps over it by one, and 30 in a row end it. truncated says that a stream had more candidates than were looked at;
+    with `every`, all candidates are looked at, however many there are. A run (see tracking) gets the counts and times of the passes."""
     how, params, store = detector(mode), params or {}, _as_store(frames)
     scan, fine, runs = (overridden(s, params) for s in (ScanSettings(), RefineSettings(), RunSettings()))
 
@@ -130,7 +130,7 @@ def events(frames: DataFrame | FrameStore, files: DataFrame, mode: str, params:
     levels = stats.with_thresholds(stats.with_noise(trace, KEY), scan.enter_sigma, scan.exit_sigma, scan.min_changed_area_ratio, scan.sensitivity)
     found = intervals.active_intervals(levels, KEY, dense=False)
     found = intervals.long_enough(intervals.bridged(found, KEY, scan.bridge_gap_s), scan.min_candidate_duration_s)
-    top = intervals.strongest(intervals.with_peaks(found, trace, KEY), KEY, scan.max_candidates)
+    top = found.withColumn("truncated", F.lit(False)) if every else intervals.strongest(intervals.with_peaks(found, trace, KEY), KEY, scan.max_candidates)
     # The second pass looks back by a coarse interval at least, or a start could lie outside.
     ends = plan.select("stream_id", F.lit(0.0).alias("first"), (F.col("n") / F.col("fps")).alias("last"), F.greatest(F.lit(fine.pre_roll_s), "interval").alias("pre"), F.greatest(F.lit(fine.post_roll_s), "interval").alias("post"), "fps", "fine_step", "fine_scale")
     wins = refine.windows_within(top, ends, F.col("pre"), F.col("post"), "truncated", "fps", "fine_step", "fine_scale")
