@@ -202,3 +202,30 @@ def test_query(spark):
     got = op13(spark, sf).collect()
     assert len(got) == len(docs)
     assert all((r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:3] and math.isclose(r["base_score"], want[r["doc_id"]][3], rel_tol=1e-9) for r in got)
+
+
+def test_exchange_asks_for_many_texts_at_once(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 200)
+    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 500)
+    docs = spark.createDataFrame(DOCS, SCHEMA).coalesce(2)
+    calls, plain = spark.sparkContext.accumulator(0), lm_scoring.levels
+
+    def counted(*given):
+        calls.add(1)
+        return plain(*given)
+
+    for order, most in ((2, 8000), (3, 12_000)):  # shorter runs go by broadcast, those of full order by exchange
+        want = by_id(scored(docs, ["doc_id"], order=order))
+        before = calls.value
+        with monkeypatch.context() as m:
+            m.setattr(lm_scoring, "levels", counted)
+            got = by_id(scored(docs, ["doc_id"], order=order, most_broadcast=most))
+        assert 0 < calls.value - before < len(DOCS)
+        assert got.keys() == want.keys() and all(math.isclose(got[d]["_tm_score"], want[d]["_tm_score"], rel_tol=1e-12) for d in want)
+
+
+def test_packed_runs_come_back():
+    runs = Runs([split(t.encode()) for t in texts(50, 5)], 3)
+    for k, run in runs.runs.items():
+        assert (lm_scoring.unpacked(lm_scoring.packed(run)) == run).all() and (run >> np.uint64(63) == (k == 3)).all()
+    assert lm_scoring.packed(np.zeros(0, np.uint64)) == b"" and len(lm_scoring.unpacked(b"")) == 0

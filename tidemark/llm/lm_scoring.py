@@ -5,8 +5,9 @@ the filter: (run, 1), ..., (run, q). Reading asks for one level after the other
 of 64. Probabilities are those of each order smoothed by the order below, down to the add-half share of single tokens; counts of a run are rounded down to their level and counts of what stands
 before it up, so that the probabilities of all tokens after a context never sum above 1 but for wrong hits.
 
-The filter is cut into blocks by the first bits of a run's hash, as many as the training tokens ask for, each made by one task. Filters of at most BROADCAST_BYTES go to the workers by broadcast; of larger ones,
-the runs of each text go to groups of blocks and their levels come back, which gives the same scores. Single-token counts of the base score are exact: words of high count travel as one table of at most
+The filter is cut into blocks by the first bits of a run's hash, as many as the training tokens ask for, each made by one task; the very first bit says whether the run is of ORDER tokens. Filters of at most
+BROADCAST_BYTES go to the workers by broadcast. Of larger ones, only the blocks of shorter runs do: the runs of ORDER tokens go to groups of blocks, with the levels of the shorter runs that their probabilities take,
+and only sums come back, by some hundred texts at a time, which gives the same scores. Should the shorter runs alone exceed it, their levels come back to the texts by exchange first. Single-token counts of the base score are exact: words of high count travel as one table of at most
 HEAD words, all others are joined, and none of those has over about N / HEAD tokens.
 
 Words are runs of other characters than ASCII spaces, A-Z in lower case; each text is followed by one end token, which also stands before its first word as context.
@@ -40,6 +41,8 @@ HEAD, HEAD_BYTES = 200_000, 256
 #: Least count of each level from 1 on, and the greatest.
 LOW = np.array([int(np.ceil(round(STEP**j, 9))) for j in range(100)], np.int64)
 HIGH = np.append(LOW[1:] - 1, np.iinfo(np.int64).max)
+#: A hash ends with 16 bits of 0, which are not exchanged.
+_KEPT, _FULL = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(1 << 63)
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -49,12 +52,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def smoothed(level: np.ndarray, before: np.ndarray | None, p: np.ndarray | None, total: float) -> np.ndarray:
+    """The probability of runs by their level, the level of what stands before their last token, and the probability by the order below; of single tokens by their share of the total."""
+    count = np.where(level > 0, LOW[level - 1], 0)
+    if p is None:
+        return (count + 0.5) / total
+    return (count + PRIOR * p) / (np.where(before > 0, HIGH[before - 1], 0).astype(np.float64) + PRIOR)
+
+
 def split(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def packed(runs: np.ndarray) -> bytes:
+    return runs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 class Runs:
-    """The tokens of some texts with the hashes of the runs that end in each; runs[k] are of k tokens, and of `long[k]` tokens only they are whole."""
+    """The tokens of some texts with the hashes of the runs that end in each; runs[k] are of k tokens, and of `long[k]` tokens only they are whole. The first bit of a hash says whether the run is of `order` tokens."""
 
     def __init__(self, texts: list[list[bytes]], order: int = ORDER):
         digest = xxhash.xxh64_intdigest
@@ -66,32 +87,44 @@ class Runs:
         token[inner] = np.fromiter((digest(w) for t in texts for w in t), np.uint64, int(inner.sum()))
         place = np.arange(len(token)) - np.repeat(start, sizes)
         self.text, self.token = np.repeat(np.arange(len(texts)), sizes), place > 0
-        self.runs, self.long = {1: mixed(token * _P + np.uint64(1))}, {1: np.ones(len(token), bool)}
+        self.order, self.runs, self.long = order, {1: self._marked(mixed(token * _P + np.uint64(1)), order == 1)}, {1: np.ones(len(token), bool)}
         for k in range(2, order + 1):
             before = np.concatenate([np.zeros(1, np.uint64), self.runs[k - 1][:-1]])
-            self.runs[k], self.long[k] = mixed(before * _P + self.runs[1] + np.uint64(k)), place >= k - 1
+            self.runs[k], self.long[k] = self._marked(mixed(before * _P + self.runs[1] + np.uint64(k)), k == order), place >= k - 1
+
+    @staticmethod
+    def _marked(runs: np.ndarray, full: bool) -> np.ndarray:
+        runs = (runs >> np.uint64(1)) & _KEPT
+        return runs | _FULL if full else runs
 
     def counted(self) -> np.ndarray:
         """All runs, as often as they occur: those of single tokens without the start."""
         return np.concatenate([self.runs[k][self.token & self.long[k]] for k in self.runs])
 
-    def asked(self) -> np.ndarray:
-        """All runs whose counts scores need."""
-        return np.concatenate([self.runs[k][self.long[k]] for k in self.runs])
+    def asked(self, orders: range | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different runs of each text whose counts scores need, of all orders or of these: (text, run), sorted; and where each stands among them, one order after the other."""
+        orders = self.runs if orders is None else orders
+        text, run = (np.concatenate(x) for x in zip(*((self.text[self.long[k]], self.runs[k][self.long[k]]) for k in orders)))
+        order = np.lexsort((run, text))
+        text, run = text[order], run[order]
+        fresh = np.concatenate([[True], (text[1:] != text[:-1]) | (run[1:] != run[:-1])])
+        at = np.zeros(len(run), np.int64)
+        at[order] = np.cumsum(fresh) - 1
+        return text[fresh], run[fresh], at
+
+    def chances(self, level: dict[int, np.ndarray], total: float) -> np.ndarray:
+        """The probability of each token by the runs of the orders that have levels."""
+        p = before = None
+        for k, of_run in level.items():
+            here = smoothed(of_run, before, p, total)
+            p = here if p is None else np.where(self.long[k], here, p)
+            # What stands before the next token; an end is the start of the next text there, and is not looked at.
+            before = np.concatenate([[0], of_run[:-1]])
+        return p
 
     def scores(self, level_of, total: float, n_texts: int) -> np.ndarray:
         """log10 probabilities of the texts; level_of gives the levels of runs, total is what single tokens share."""
-        p = context = None
-        for k, run in self.runs.items():
-            level = level_of(run)
-            count = np.where(level > 0, LOW[level - 1], 0)
-            if k == 1:
-                p = (count + 0.5) / total
-            else:
-                p = np.where(self.long[k], (count + PRIOR * p) / (context + PRIOR), p)
-            # What stands before the next token; an end is the start of the next text there, and is not looked at.
-            upper = np.where(level > 0, HIGH[level - 1], 0).astype(np.float64)
-            context = np.concatenate([[0.0], upper[:-1]])
+        p = self.chances({k: level_of(run) for k, run in self.runs.items()}, total)
         logs = np.where(self.token, np.log10(p), 0.0)
         return np.bincount(self.text, logs, n_texts)
 
@@ -146,7 +179,8 @@ def filter_blocks(docs: DataFrame, n: int, order: int = ORDER, text: str = "text
                 runs, k = np.unique(Runs([split(t) for t in texts[a:b]], order).counted(), return_counts=True)
                 block, first = np.unique(block_of(runs, n), return_index=True)
                 ends = [*first[1:], len(runs)]
-                parts = [(runs[i:j].astype("<u8").tobytes(), k[i:j].astype("<u4").tobytes()) for i, j in zip(first, ends)]
+                data, k = packed(runs), k.astype("<u4")
+                parts = [(data[6 * i : 6 * j], k[i:j].tobytes()) for i, j in zip(first, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array([p[c] for p in parts], pa.binary()) for c in (0, 1))], ["block", "runs", "k"])
 
     def build(batches):
@@ -162,7 +196,7 @@ def filter_blocks(docs: DataFrame, n: int, order: int = ORDER, text: str = "text
             yield built(block, held)
 
     def built(block, held):
-        runs = np.frombuffer(b"".join(r for r, _ in held), "<u8")
+        runs = unpacked(b"".join(r for r, _ in held))
         k = np.frombuffer(b"".join(x for _, x in held), "<u4").astype(np.int64)
         order_ = np.argsort(runs, kind="stable")
         runs = runs[order_]
@@ -228,64 +262,168 @@ def broadcast_filter(blocks: DataFrame, n: int):
     return blocks.sparkSession.sparkContext.broadcast((flat, start))
 
 
-def questions(batches, n: int, groups: int, order: int = ORDER):
-    """(grp, _tm_row, data) of batches (_tm_row, _tm_text): the text's different runs, sorted, a row for each group of blocks that they fall into; batches of at most CHUNK / 8 bytes of text, or of one text."""
-    for batch in batches:
-        ids, texts = batch.column("_tm_row").to_pylist(), batch.column("_tm_text").to_pylist()
-        for a, b in chunks(texts, CHUNK // 8):
-            out = []
-            for row, t in zip(ids[a:b], texts[a:b]):
-                runs = np.unique(Runs([split(t)], order).asked())
-                group, first = np.unique(block_of(runs, n) // (n // groups), return_index=True)
-                out += [(g, row, runs[i:j].astype("<u8").tobytes()) for g, i, j in zip(group.tolist(), first, [*first[1:], len(runs)])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["grp", "_tm_row", "data"])
+def groups_of(n: int, size: int) -> int:
+    """Groups of the n blocks of a filter, half of which hold `size` bytes: of about GROUP_BYTES each, two at least."""
+    return min(n, 2 << max(0, int(np.ceil(np.log2(max(1, size / GROUP_BYTES))))))
 
 
-def exchanged_levels(rows: DataFrame, blocks: DataFrame, n: int, order: int, size: int = 0) -> DataFrame:
-    """(_tm_row, levels) of rows (_tm_row, _tm_text): the levels of the text's different runs, sorted, one byte each. Runs go to their groups of blocks, and levels come back.
+def met(asked: DataFrame, blocks: DataFrame, n: int, groups: int, answers, schema: str) -> DataFrame:
+    """What answers(rows, levels) gives for rows of `asked` (grp, data: packed runs, ...) of one group of blocks, and the levels of all their runs. blocks are the first or the second half of a filter of n blocks in so many groups."""
+    per, names = n // groups, asked.columns
 
-    The n blocks of the filter, of `size` bytes, are asked by groups of about GROUP_BYTES, so that a text asks few groups, however many blocks there are."""
-    groups = min(n, 1 << max(0, int(np.ceil(np.log2(max(1, size / GROUP_BYTES))))))
-    per = n // groups
+    def run(batches):
+        group, held, flat, start, waiting, used = None, {}, None, None, [], 0
 
-    def ask(batches):
-        return questions(batches, n, groups, order)
+        def answered():
+            runs = unpacked(b"".join(x["data"] for x in waiting))
+            return answers(waiting, levels(runs, flat, start, n, group * per))
 
-    def answer(batches):
-        group, held, flat, start = None, {}, None, None
         for batch in batches:
-            out, used = [], 0
-            for g, row, block, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "_tm_row", "block", "data"))):
-                if row is None:
-                    if g != group:
-                        group, held = g, {}
-                    held[block - g * per], flat = np.frombuffer(data, np.uint64), None
-                    continue
+            block_of_row = batch.column("block").to_pylist()
+            for i, (g, data) in enumerate(zip(batch.column("grp").to_pylist(), batch.column("data"))):
+                if waiting and (g != group or used >= CHUNK // 8):
+                    yield answered()
+                    waiting, used = [], 0
                 if g != group:
                     group, held, flat = g, {}, None
+                if block_of_row[i] is not None:
+                    held[block_of_row[i] - g * per] = np.frombuffer(data.as_py(), np.uint64)
+                    continue
                 if flat is None:
                     start = np.concatenate([[0], np.cumsum([len(held.get(k, ())) for k in range(per)])]).astype(np.int64)
-                    flat = np.concatenate([np.zeros(0, np.uint64), *(held[k] for k in sorted(held))])
-                    held = {}
-                runs = np.frombuffer(data, "<u8")
-                out.append((row, g, levels(runs, flat, start, n, g * per).astype(np.uint8).tobytes()))
-                used += len(runs)
-                if used >= CHUNK // 8:
-                    yield answers(out)
-                    out, used = [], 0
-            yield answers(out)
-
-    def answers(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["_tm_row", "grp", "levels"])
-
-    asked = rows.select("_tm_row", "_tm_text").mapInArrow(ask, "grp long, _tm_row long, data binary").withColumn("block", F.lit(None).cast("long"))
-    filters = blocks.select(F.floor(F.col("block") / per).alias("grp"), F.lit(None).cast("long").alias("_tm_row"), F.col("words").alias("data"), "block")
-    met = by_block(asked.unionByName(filters), groups, "grp").sortWithinPartitions(F.col("grp"), F.col("_tm_row").asc_nulls_first())
-    got = met.mapInArrow(answer, "_tm_row long, grp long, levels binary")
+                    flat, held = np.concatenate([np.zeros(0, np.uint64), *(held[k] for k in sorted(held))]), {}
+                waiting.append({c: batch.column(c)[i].as_py() for c in names})
+                used += len(waiting[-1]["data"]) // 6
+        if waiting:
+            yield answered()
+
+    rows = asked.withColumn("block", F.lit(None).cast("long"))
+    words = blocks.select(F.floor(F.col("block") / per).alias("grp"), F.col("words").alias("data"), "block")
+    both = by_block(rows.unionByName(words, allowMissingColumns=True), max(1, groups // 2), "grp")
+    return both.sortWithinPartitions(F.col("grp"), F.col("block").asc_nulls_last()).mapInArrow(run, schema)
+
+
+def questions(batches, n: int, groups: int, order: int = ORDER, orders: range | None = None):
+    """(grp, _tm_row, data) of batches (_tm_row, _tm_text): the text's different runs of these orders, sorted, a row for each group of blocks that they fall into; batches of at most CHUNK / 8 bytes of text, or of one text."""
+    for batch in batches:
+        ids, texts = batch.column("_tm_row").to_pylist(), batch.column("_tm_text").to_pylist()
+        for a, b in chunks(texts, CHUNK // 8):
+            text, runs, _ = Runs([split(t) for t in texts[a:b]], order).asked(orders)
+            group, data = block_of(runs, n) // (n // groups), packed(runs)
+            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (group[1:] != group[:-1])]))
+            parts = [data[6 * i : 6 * j] for i, j in zip(first, [*first[1:], len(runs)])]
+            yield pa.RecordBatch.from_arrays([pa.array(group[first], pa.int64()), pa.array([ids[a + i] for i in text[first]], pa.int64()), pa.array(parts, pa.binary())], ["grp", "_tm_row", "data"])
+
+
+def exchanged_levels(rows: DataFrame, blocks: DataFrame, n: int, order: int, size: int) -> DataFrame:
+    """(_tm_row, levels) of rows (_tm_row, _tm_text): the levels of the text's different runs of lower orders, sorted, one byte each. Runs go to their groups of blocks (of `size` bytes in all), and levels come back."""
+    groups = groups_of(n, size)
+
+    def ask(batches):
+        return questions(batches, n, groups, order, range(1, order))
+
+    def answers(waiting, level):
+        ends = np.cumsum([len(x["data"]) // 6 for x in waiting])
+        got = np.split(level.astype(np.uint8), ends[:-1])
+        return pa.RecordBatch.from_pylist([{"_tm_row": x["_tm_row"], "grp": x["grp"], "levels": v.tobytes()} for x, v in zip(waiting, got)], pa.schema([("_tm_row", pa.int64()), ("grp", pa.int64()), ("levels", pa.binary())]))
+
+    asked = rows.select("_tm_row", "_tm_text").mapInArrow(ask, "grp long, _tm_row long, data binary")
+    got = met(asked, blocks, n, groups, answers, "_tm_row long, grp long, levels binary")
     by_row = got.groupBy("_tm_row").agg(F.array_sort(F.collect_list(F.struct("grp", "levels"))).alias("parts"))  # as long as the text
     return by_row.select("_tm_row", F.expr("aggregate(parts, binary(''), (a, p) -> concat(a, p.levels))").alias("levels"))
 
 
+def exchanged_scores(rows: DataFrame, blocks: DataFrame, n: int, order: int, size: int, total: float, given) -> DataFrame:
+    """(_tm_row, _tm_score) of rows (_tm_row, _tm_text, and the levels of lower orders where these are not `given`, by broadcast). The runs of full order go to their groups of blocks (of `size` bytes in all), each with two levels
+    for every order below: of the run that ends with it, and of the one that ends before its last token. A message has the runs of some texts that fall into one group, and is answered by a sum for each of the texts."""
+    groups = groups_of(n, size)
+    lower, per = range(1, order), n // groups
+    types = {"grp": pa.int64(), "data": pa.binary(), "lower": pa.binary(), "counts": pa.binary(), "part": pa.int64(), "ids": pa.binary(), "more": pa.binary()}
+
+    def ask(batches):
+        for batch in batches:
+            ids, texts = batch.column("_tm_row").to_pylist(), batch.column("_tm_text").to_pylist()
+            found = batch.column("levels").to_pylist() if given is None and order > 1 else None
+            for a, b in chunks(texts, CHUNK // 8):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(messages(ids[a:b], texts[a:b], found and found[a:b]), types.values())], list(types))
+
+    def messages(ids, texts, found):
+        runs, level = Runs([split(t) for t in texts], order), {}
+        if found:
+            level = answered_levels(runs, lower, found)
+        elif order > 1:
+            for k in lower:
+                different, at = np.unique(runs.runs[k], return_inverse=True)
+                level[k] = levels(different, *given.value)[at]
+        whole = runs.token & runs.long[order]
+        alone = np.flatnonzero(runs.token & ~whole)
+        more = np.bincount(runs.text[alone], np.log10(runs.chances(level, total)[alone]), len(texts)) if len(alone) else np.zeros(len(texts))
+        at = np.flatnonzero(whole)
+        group = block_of(runs.runs[order][at], n) // per
+        by_group = np.argsort(group, kind="stable")
+        at, group = at[by_group], group[by_group]
+        data, text = packed(runs.runs[order][at]), runs.text[at]
+        low = np.stack([*(level[k][at] for k in lower), *(level[k][at - 1] for k in lower)]).astype(np.uint8) if order > 1 else np.zeros((0, len(at)), np.uint8)
+        different, first = np.unique(group, return_index=True)
+        spans = list(zip(different.tolist(), first, [*first[1:], len(at)])) or [(groups // 2, 0, 0)]
+        rest = [None] * (len(spans) - 1)
+        return (
+            [g for g, _, _ in spans], [data[6 * i : 6 * j] for _, i, j in spans], [low[:, i:j].tobytes() for _, i, j in spans], [np.bincount(text[i:j], minlength=len(texts)).astype("<u4").tobytes() for _, i, j in spans],
+            [ids[0]] * len(spans), [np.array(ids, "<i8").tobytes(), *rest], [more.astype("<f8").tobytes(), *rest],
+        )
+
+    def answers(waiting, level):
+        out, end = [], 0
+        size = [len(x["data"]) // 6 for x in waiting]
+        low = np.concatenate([np.frombuffer(x["lower"], np.uint8).reshape(2 * len(lower), m) for x, m in zip(waiting, size)], axis=1).astype(np.int64)
+        p = before = None
+        for k, here in enumerate([*low[: len(lower)], level]):
+            p = smoothed(here, before, p, total)
+            before = low[len(lower) + k] if k < len(lower) else None
+        logs = np.log10(p)
+        for x, m in zip(waiting, size):
+            counts = np.frombuffer(x["counts"], "<u4")
+            sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs[end : end + m], len(counts))
+            out.append((x["part"], x["grp"], (sums if x["more"] is None else sums + np.frombuffer(x["more"], "<f8")).astype("<f8").tobytes(), x["ids"]))
+            end += m
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "grp", "sums", "ids"])
+
+    def add(batches):
+        part, ids, sums = None, None, None
+        for batch in batches:
+            done = []
+            for p, x, i in zip(*(batch.column(c).to_pylist() for c in ("part", "sums", "ids"))):
+                x = np.frombuffer(x, "<f8")
+                if p == part:
+                    sums = sums + x
+                else:
+                    done += [] if part is None else [(ids, sums)]
+                    part, ids, sums = p, i, x  # the first message of a part has its ids
+            yield scores(done)
+        yield scores([] if part is None else [(ids, sums)])
+
+    def scores(done):
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(i, "<i8") for i, _ in done)])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.zeros(0), *(x for _, x in done)]))], ["_tm_row", "_tm_score"])
+
+    used = ["_tm_row", "_tm_text", *(["levels"] if given is None and order > 1 else [])]
+    asked = rows.select(*used).mapInArrow(ask, "grp long, data binary, lower binary, counts binary, part long, ids binary, more binary")
+    got = met(asked, blocks, n, groups, answers, "part long, grp long, sums binary, ids binary")
+    return got.repartition("part").sortWithinPartitions("part", "grp").mapInArrow(add, "_tm_row long, _tm_score double")
+
+
+def answered_levels(runs: Runs, orders: range, found: list[bytes]) -> dict[int, np.ndarray]:
+    """The levels of the runs of these orders, from those of each text's different runs."""
+    _, _, at = runs.asked(orders)
+    got, end, level = np.frombuffer(b"".join(found), np.uint8).astype(np.int64)[at], 0, {}
+    for k in orders:
+        level[k] = np.zeros(len(runs.token), np.int64)
+        m = int(runs.long[k].sum())
+        level[k][runs.long[k]] = got[end : end + m]
+        end += m
+    return level
+
+
 def scored(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str = "doc_id", order: int = ORDER, most_broadcast: int = BROADCAST_BYTES, head: int = HEAD) -> DataFrame:
     """The named columns of docs with _tm_held_out, _tm_tokens, _tm_known, _tm_train (tokens), _tm_base and _tm_score."""
     spark = docs.sparkSession
@@ -293,30 +431,38 @@ def scored(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str
     counts = materialize(word_counts(train, text), "words")
     n_train, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total = n_train + 0.5 * (n_words + 1)
-    n = 1 << max(0, int(np.ceil(np.log2(max(1, n_train / BLOCK_TOKENS)))))
+    n = 1 << max(1, int(np.ceil(np.log2(max(1, n_train / BLOCK_TOKENS)))))
     blocks = materialize(filter_blocks(train, n, order, text), "filter")
-    size = blocks.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    of_half = [F.coalesce(F.sum(F.when(half, F.octet_length("words"))), F.lit(0)) for half in (F.col("block") < n // 2, F.col("block") >= n // 2)]
+    lower_size, full_size = blocks.agg(*of_half).first()
+    whole = lower_size + full_size <= most_broadcast
     frequent = spark.sparkContext.broadcast(head_words(counts, head))
 
     rows = with_row_ids(docs).select(*columns, crc_mod(doc_id, FOLDS).alias("_tm_fold"), "_tm_row", F.col(text).cast("binary").alias("_tm_text"))
-    given = None
-    if size <= most_broadcast:
+    given = sums = None
+    if whole:
         given = broadcast_filter(blocks, n)
     else:
-        rows = rows.join(exchanged_levels(rows, blocks, n, order, size), "_tm_row")
+        lower, full = (blocks.where(x) for x in (F.col("block") < n // 2, F.col("block") >= n // 2))
+        asking = rows.select("_tm_row", "_tm_text")
+        if lower_size <= most_broadcast:
+            given = broadcast_filter(lower, n)
+        elif order > 1:
+            asking = asking.join(exchanged_levels(asking, lower, n, order, lower_size), "_tm_row")
+        sums = exchanged_scores(asking, full, n, order, full_size, total, given)
     kept = [*columns, "_tm_fold", "_tm_row"]
 
     def run(batches):
         for batch in batches:
             texts = batch.column("_tm_text").to_pylist()
-            found = batch.column("levels").to_pylist() if given is None else None
             for a, b in chunks(texts, CHUNK):
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *part(texts[a:b], found and found[a:b])], [*kept, "_tm_tokens", "_tm_known", "_tm_base", "_tm_score", "_tm_rare"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *part(texts[a:b])], [*kept, "_tm_tokens", "_tm_known", "_tm_base", "_tm_score", "_tm_rare"])
 
-    def part(texts, found):
+    def part(texts):
         words = [split(t) for t in texts]
-        if found is None:
+        score = np.zeros(len(texts))
+        if whole:
             runs, flat, start = Runs(words, order), *given.value
 
             def level_of(x):
@@ -324,12 +470,6 @@ def scored(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str
                 return levels(different, flat, start)[at]
 
             score = runs.scores(level_of, total, len(texts))
-        else:
-            score = []
-            for w, answer in zip(words, found):
-                runs = Runs([w], order)
-                different, got = np.unique(runs.asked()), np.frombuffer(answer, np.uint8).astype(np.int64)
-                score.append(runs.scores(lambda x: np.where(np.isin(x, different), got[np.minimum(np.searchsorted(different, x), len(got) - 1)], 0), total, 1)[0])
         base, known, rare, often, ends = [], [], [], [], [0]
         for w in words:
             each = Counter(w)
@@ -348,6 +488,8 @@ def scored(docs: DataFrame, columns: list[str], text: str = "text", doc_id: str
 
     schema = rows.select(*kept, *(F.lit(0).cast("long").alias(c) for c in ("_tm_tokens", "_tm_known")), *(F.lit(0.0).alias(c) for c in ("_tm_base", "_tm_score")), F.array().cast("array<struct<word:binary,k:bigint>>").alias("_tm_rare")).schema
     first = materialize(rows.mapInArrow(run, schema), "scored")
+    if sums is not None:
+        first = first.drop("_tm_score").join(materialize(sums, "sums"), "_tm_row")
     each = first.select("_tm_row", F.explode("_tm_rare").alias("x")).select("_tm_row", "x.word", "x.k").join(counts, "word", "left")
     rest = each.groupBy("_tm_row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - float(np.log10(total)))).alias("logs"))
     out = first.drop("_tm_rare").join(rest, "_tm_row", "left")
